@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arc_warc, bpe, dart_minhash, exact_dedup, license_scan
+from . import arc_warc, bpe, dart_minhash, decontaminate, exact_dedup, license_scan
 from .common import documents
 
 
@@ -18,6 +18,10 @@ def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op5_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(documents(spark, sf_dir))
 
@@ -33,7 +37,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_arc_to_warc, op4_dart_minhash, op7_license_scan, op9_byte_bpe, op10_exact_dedup)}
+    return {f.__name__: f for f in (op3_arc_to_warc, op4_dart_minhash, op5_edit_decontamination, op7_license_scan, op9_byte_bpe, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
