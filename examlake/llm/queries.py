@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import arc_warc, bpe, dart_minhash, decontaminate, exact_dedup, license_scan
-from .common import documents
+from . import arc_warc, bpe, dart_minhash, decontaminate, exact_dedup, language_id, license_scan
+from .common import documents, held_out
 
 
 def op3_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,12 @@ def op5_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = held_out(F.col("doc_id"), 4, 2)
+    return language_id.identify(docs, held).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(documents(spark, sf_dir))
 
@@ -37,7 +44,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_arc_to_warc, op4_dart_minhash, op5_edit_decontamination, op7_license_scan, op9_byte_bpe, op10_exact_dedup)}
+    return {f.__name__: f for f in (op3_arc_to_warc, op4_dart_minhash, op5_edit_decontamination, op6_language_id, op7_license_scan, op9_byte_bpe, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

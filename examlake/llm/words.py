@@ -66,9 +66,15 @@ def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, offsets): hashes of all words in order, and where each text's words begin; the last offset is their number."""
+    return word_spans(column, lower)[3:]
+
+
+def word_spans(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, hashes, offsets): the same, with the place of each word in the bytes of all texts."""
     data, offsets = flat_bytes(column)
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        none = np.zeros(0, np.int64)
+        return data, none, none, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     inside = ~_SPACE[data]
     bound = np.zeros(len(data) + 1, bool)
     bound[offsets] = True
@@ -91,7 +97,7 @@ def word_hashes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nd
         out[at:stop] = (sums[ends[at:stop] - low] - sums[first]) * down[first]
         at = stop
     out += (ends - starts).astype(np.uint64)
-    return mix(out), np.searchsorted(starts, offsets)
+    return data, starts, ends, mix(out), np.searchsorted(starts, offsets)
 
 
 def shingle_hashes(words: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
