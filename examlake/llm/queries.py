@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc_warc, bpe, dart_minhash, decontaminate, exact_dedup, language_id, license_scan
+from . import arc_warc, bpe, dart_minhash, decontaminate, exact_dedup, language_id, license_scan, quality
 from .common import documents, held_out
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(documents(spark, sf_dir), labels(spark, sf_dir), "quality", held_out(F.col("doc_id"), 4, 2))
+
+
 def op3_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arc_warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("url", "record_id")
 
@@ -44,7 +52,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_arc_to_warc, op4_dart_minhash, op5_edit_decontamination, op6_language_id, op7_license_scan, op9_byte_bpe, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_quality, op3_arc_to_warc, op4_dart_minhash, op5_edit_decontamination, op6_language_id, op7_license_scan, op9_byte_bpe, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -83,21 +83,41 @@ def word_spans(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nda
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | bound[1:-1]
     starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    hashes = span_hashes(data, starts, [ends], lower)[0]
+    return data, starts, ends, hashes, np.searchsorted(starts, offsets)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: list[np.ndarray], lower: bool = True) -> list[np.ndarray]:
+    """Hashes of stretches of bytes: for each array in ``ends``, those from ``starts`` to it. The first ends are the furthest."""
     values = _LOWER if lower else _PLAIN
-    out = np.empty(len(starts), np.uint64)
+    out = [np.empty(len(starts), np.uint64) for _ in ends]
     at = 0
     while at < len(starts):
         # as many words as end within a chunk, one at least
-        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + _CHUNK, "right")))
-        low, high = int(starts[at]), int(ends[stop - 1])
+        stop = max(at + 1, int(np.searchsorted(ends[0], starts[at] + _CHUNK, "right")))
+        low, high = int(starts[at]), int(ends[0][stop - 1])
         up, down = _table(max(high - low, _CHUNK))
         sums = np.zeros(high - low + 1, np.uint64)
         np.cumsum(values[data[low:high]] * up[: high - low], out=sums[1:])
         first = starts[at:stop] - low
-        out[at:stop] = (sums[ends[at:stop] - low] - sums[first]) * down[first]
+        for made, end in zip(out, ends, strict=True):
+            made[at:stop] = (sums[end[at:stop] - low] - sums[first]) * down[first]
         at = stop
-    out += (ends - starts).astype(np.uint64)
-    return data, starts, ends, mix(out), np.searchsorted(starts, offsets)
+    return [mix(made + (end - starts).astype(np.uint64)) for made, end in zip(out, ends, strict=True)]
+
+
+_CLASS = np.arange(256, dtype=np.uint8)
+_CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 97, 65, 48, 97
+
+
+def shape_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words with each run of lower-case (or other) letters, capitals or digits, or of one sign, made one byte."""
+    kind = _CLASS[data]
+    keep = np.ones(len(kind), bool)
+    keep[1:] = kind[1:] != kind[:-1]
+    keep[starts] = True
+    at = np.cumsum(keep)
+    return span_hashes(kind[keep], at[starts] - 1, [at[ends - 1]], lower=False)[0]
 
 
 def shingle_hashes(words: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
