@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc_warc, bpe, dart_minhash, decontaminate, exact_dedup, language_id, license_scan, quality
+from . import arc_warc, bpe, dart_minhash, decontaminate, exact_dedup, language_id, license_scan, quality, toxicity
 from .common import documents, held_out
 
 
@@ -41,6 +41,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(documents(spark, sf_dir))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), labels(spark, sf_dir), "toxic", held_out(F.col("doc_id"), 5, 0))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,7 +56,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_arc_to_warc, op4_dart_minhash, op5_edit_decontamination, op6_language_id, op7_license_scan, op9_byte_bpe, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_quality, op3_arc_to_warc, op4_dart_minhash, op5_edit_decontamination, op6_language_id, op7_license_scan, op8_toxicity, op9_byte_bpe, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
