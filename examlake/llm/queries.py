@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc_warc, bpe, dart_minhash, decontaminate, exact_dedup, language_id, license_scan, quality, toxicity
+from . import arc_warc, bpe, dart_minhash, decontaminate, exact_dedup, language_id, license_scan, pitman_yor, quality, toxicity
 from .common import documents, held_out
 
 
@@ -19,6 +19,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents(spark, sf_dir), labels(spark, sf_dir), "quality", held_out(F.col("doc_id"), 4, 2))
 
 
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(documents(spark, sf_dir), held_out(F.col("doc_id"), 7, 2))
+
+
 def op3_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arc_warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("url", "record_id")
 
@@ -56,7 +60,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_arc_to_warc, op4_dart_minhash, op5_edit_decontamination, op6_language_id, op7_license_scan, op8_toxicity, op9_byte_bpe, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_quality, op2_pitman_yor, op3_arc_to_warc, op4_dart_minhash, op5_edit_decontamination, op6_language_id, op7_license_scan, op8_toxicity, op9_byte_bpe, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
