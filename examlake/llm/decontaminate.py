@@ -16,6 +16,7 @@ their id and text repeat; an empty table gives an empty result; other columns ar
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -148,37 +149,56 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[Item]]:
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """(doc_id, item_id, distance, budget, places, norm_start, norm_end): one row per document and item found in it."""
     bounded_batches(docs.sparkSession)
-    out = None
+    types = [pa.int64(), pa.int64()] + [pa.int32()] * 5
+    names = [x.split(" ")[0] for x in _SCHEMA.split(", ")]
+
+    def over(block: list[Item]) -> DataFrame:
+        matcher = _shared(docs, block, rate)
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            find = matcher().find
+            for b in batches:
+                rows = []
+                for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                    rows += [(doc, *x) for x in find(words_only(text))]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+        return texts(docs).mapInArrow(run, _SCHEMA)
+
     blocks = _blocks(benchmark)
-    block, n = next(blocks), 0
-    while block is not None:
+    out, following = over(next(blocks)), next(blocks, None)
+    while following is not None:
+        out = stored(out, "matches").union(stored(over(following), "matches"))
         following = next(blocks, None)
-        made = _pass(docs, block, rate, n)
-        if out is not None or following is not None:
-            made = stored(made, "matches")
-        out = made if out is None else out.union(made)
-        block, n = following, n + 1
     return out
 
 
-def _pass(docs: DataFrame, block: list[Item], rate: float, number: int) -> DataFrame:
+def _shared(docs: DataFrame, block: list[Item], rate: float):
+    """A function that gives a task the matcher of a block, built once in each Python worker."""
     sent = docs.sparkSession.sparkContext.broadcast(block)
-    key = (docs.sparkSession.sparkContext.applicationId, sent._jbroadcast.id() if sent._jbroadcast else number, rate)
+    key = (docs.sparkSession.sparkContext.applicationId, uuid.uuid4().hex)
+    return lambda: _matcher(sent.value, rate, key)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no item is found; no shuffle."""
+    bounded_batches(docs.sparkSession)
+    schema = docs.schema
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _matcher(sent.value, rate, key)
-        for b in batches:
-            rows = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                rows += [(doc, *x) for x in matcher.find(words_only(text))]
-            if rows:
-                types = [pa.int64(), pa.int64()] + [pa.int32()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split(" ")[0] for x in _SCHEMA.split(", ")])
+    def without(some: DataFrame, block: list[Item]) -> DataFrame:
+        matcher = _shared(docs, block, rate)
 
-    return texts(docs).mapInArrow(run, _SCHEMA)
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            find = matcher().find
+            for b in batches:
+                yield b.filter(pa.array([x is None or next(find(words_only(x)), None) is None for x in b.column("text").cast(pa.binary()).to_pylist()], pa.bool_()))
 
+        return some.mapInArrow(run, schema)
 
-def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no item is found."""
-    found = matches(docs, benchmark, rate).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_hit"]), "left_anti")
+    blocks = _blocks(benchmark)
+    out, following = without(docs, next(blocks)), next(blocks, None)
+    while following is not None:
+        out = without(stored(out, "clean"), following)
+        following = next(blocks, None)
+    return out
