@@ -1,28 +1,20 @@
-"""Registered queries and their SQL, gathered from the operator modules."""
+"""Registered queries and their SQL, gathered from the plan modules."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from . import rollups
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines, revenue and discount by return flag and line status."""
-    return (
-        spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-        .groupBy("l_returnflag", "l_linestatus")
-        .agg(F.count("*").alias("n_lines"), F.sum(F.col("l_quantity")).alias("sum_qty"))
-    )
-
-
-FLAGSHIP_SQL = "SELECT l_returnflag, l_linestatus, count(*) AS n_lines, sum(l_quantity) AS sum_qty FROM lineitem GROUP BY ALL"
+_ALL = {**rollups.QUERIES}
+FLAGSHIP = "a2_list_sheets"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"flagship": flagship}
+    return {name: run for name, (run, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"flagship": FLAGSHIP_SQL}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
