@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import rollups
+from . import ordered, rollups, texts
 
-_ALL = {**rollups.QUERIES}
+_ALL = {**rollups.QUERIES, **ordered.QUERIES, **texts.QUERIES}
 FLAGSHIP = "a2_list_sheets"
 
 
