@@ -9,8 +9,9 @@ earliest of each is the signature. Two signatures agree at a coordinate with pro
 Jaccard similarity.
 
 Bands of the signature are joined by hash. A bucket first links every member to one pivot; pairs are tested on their
-signatures and then exactly, on the texts. Where a bucket's members are still in different components, the pairs
-across components that have not been tested are tested too, so that no candidate link is lost to the choice of pivot.
+signatures and then exactly, on the texts. Where a bucket's members are still in different components, those that no
+other can be similar to are set aside, and the rest are compared across components, too, so that no candidate link is
+lost to the choice of pivot: pair by pair in small buckets, by tiles in large ones.
 With 32 bands of 6, a pair of similarity 0.8 becomes a candidate with probability 0.99994, and more above.
 
 Defined cases: null text is empty; texts with the same shingle multiset, empty texts among them, are copies and
@@ -35,6 +36,9 @@ from .words import mix, seeded, shingle_hashes, unit, word_hashes
 
 BANDS, ROWS = 32, 6
 SIMILARITY = 0.8
+PRUNING_ROUNDS = 2
+#: buckets up to this size are compared by joined pairs, larger ones by tiles of about so many nodes
+PAIRED, TILE = 32, 512
 #: a signature of 192 agrees below this share with probability under 1e-6 at similarity 0.8
 _LOWEST_AGREEMENT = 0.66
 
@@ -149,7 +153,7 @@ def _agreement(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if b.num_rows:
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(b.num_rows, -1) for c in ("sig_a", "sig_b"))
             near = (x == y).mean(1) >= _LOWEST_AGREEMENT
-            yield b.select(["a", "b", "id_a", "id_b"]).filter(pa.array(near))
+            yield b.select(["a", "b"]).filter(pa.array(near))
 
 
 def weighted_jaccard(left: pa.Array, right: pa.Array) -> np.ndarray:
@@ -172,20 +176,88 @@ def _exact(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.select(["a", "b"]).filter(pa.array(near))
 
 
-def _linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+def _shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for big in batches:
+        for b in _blocks(big):
+            element, weight, doc, _ = weighted_elements(b.column("text"))
+            node = b.column("node").to_numpy(zero_copy_only=False)[doc]
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(element.view(np.int64)), pa.array(weight.astype(np.int64))], names=["node", "shingle", "w"])
+
+
+def _linked(pairs: DataFrame, reps: DataFrame, text: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes that are similar: first by signature, then by text."""
-    side = lambda s: reps.select(F.col("node").alias(s), F.col("doc_id").alias(f"id_{s}"), F.col("signature").alias(f"sig_{s}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_agreement, "a long, b long, id_a long, id_b long")
-    near = stored(near, "near")
-    wanted = near.select(F.col("id_a").alias("id")).union(near.select(F.col("id_b").alias("id"))).distinct()
-    # ids may repeat or be null: a text counts for the node that its own shingles have
-    text = texts(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").mapInArrow(_with_node, "node long, text string")
-    text = stored(text, "near-texts")
+    side = lambda s: reps.select(F.col("node").alias(s), F.col("signature").alias(f"sig_{s}"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_agreement, "a long, b long")
     one = lambda s: text.select(F.col("node").alias(s), F.col("text").alias(f"text_{s}"))
-    joined = near.select("a", "b").join(one("a"), "a").join(one("b"), "b")
+    joined = stored(near, "near").join(one("a"), "a").join(one("b"), "b")
     return stored(joined.select("a", "b", "text_a", "text_b").mapInArrow(_exact, "a long, b long"), "linked").distinct()
 
 
+def _split_buckets(members: DataFrame, label: DataFrame) -> DataFrame:
+    """(band, node, pivot, comp) of the buckets whose members are in several components."""
+    member = members.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    split = member.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band")
+    return member.join(split, "band", "left_semi").select("band", "node", "pivot", "comp")
+
+
+def _can_link(members: DataFrame, text: DataFrame) -> DataFrame:
+    """``members`` without nodes that cannot be similar to another of them.
+
+    A node whose shingles that no other node has weigh more than 1 - ``SIMILARITY`` of its own total is similar to none,
+    as its overlap with any other is at most the rest. Without it, shingles of others become unique in turn.
+    """
+    nodes = members.select("node").distinct()
+    shingles = stored(text.join(nodes, "node", "left_semi").mapInArrow(_shingles, "node long, shingle long, w long"), "shingles")
+    for _ in range(PRUNING_ROUNDS):
+        single = shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.sum("w").alias("own")).where("n = 1")
+        own = single.groupBy("node").agg(F.sum("own").alias("own"))
+        total = shingles.groupBy("node").agg(F.sum("w").alias("total"))
+        out = stored(total.join(own, "node").where(F.col("own") > (1 - SIMILARITY) * F.col("total") + 1e-9).select("node"), "unlike")
+        members = members.join(out, "node", "left_anti")
+        shingles = shingles.join(out, "node", "left_anti")
+    return members
+
+
+def tile_links(rows: pa.Table) -> pa.Table:
+    """Similar pairs across components among some texts: overlaps are products of a matrix of texts by shared shingles.
+
+    A shingle of weight c counts as c columns, so that overlaps are those of the weighted sets.
+    """
+    rows = rows.combine_chunks()
+    node, comp = (rows.column(c).to_numpy() for c in ("node", "comp"))
+    element, weight, doc, _ = weighted_elements(pa.concat_arrays(rows.column("text").chunks))
+    total = np.bincount(doc, weight, len(node))
+    copy = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+    doc = np.repeat(doc, weight)
+    _, column, times = np.unique(seeded(np.repeat(element, weight), 3) + copy.astype(np.uint64), return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1
+    shared = times[column] > 1
+    column, doc = number[column[shared]], doc[shared]
+    order = np.argsort(column, kind="stable")
+    column, doc = column[order], doc[order]
+    common = np.zeros((len(node), len(node)), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        a, b = np.searchsorted(column, (low, low + 2048))
+        dense = np.zeros((len(node), int(column[b - 1]) - low + 1), np.float32)
+        dense[doc[a:b], column[a:b] - low] = 1
+        common += dense @ dense.T
+    near = common >= SIMILARITY * (total[:, None] + total[None, :] - common) - 1e-3
+    a, b = np.nonzero(np.triu(near & (comp[:, None] != comp[None, :]), 1))
+    return pa.table({"a": pa.array(np.minimum(node[a], node[b])), "b": pa.array(np.maximum(node[a], node[b]))})
+
+
+def _linked_in_tiles(members: DataFrame, text: DataFrame) -> DataFrame:
+    """Similar pairs of nodes of large buckets, (band, node, comp, n): every two tiles of a bucket meet in one task.
+
+    A tile has about ``TILE`` nodes whatever the bucket's size; only similar pairs leave a task.
+    """
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    own = F.pmod(F.xxhash64("node"), tiles).cast("int")
+    dealt = members.select("band", "node", "comp", own.alias("own"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
+    dealt = dealt.select("band", "node", "comp", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    return stored(dealt.join(text, "node").groupBy("band", "low", "high").applyInArrow(tile_links, "a long, b long"), "tile-links").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, class_size, kept): one row per document."""
     made = stored(sketches(docs), "sketches")
@@ -194,17 +266,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bands = reps.select("node", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = stored(bands.join(shared, "band"), "members")
+    # ids may repeat or be null: a text counts for the node that its own shingles have; a merge join at every size
+    wanted = reps.join(members.select("node").distinct(), "node", "left_semi").select(F.col("doc_id").alias("id")).distinct()
+    text = texts(docs).join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").mapInArrow(_with_node, "node long, text string")
+    text = stored(text, "candidate-texts")
     star = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = _linked(star, reps, docs)
-    label = components(links)
+    links = _linked(star, reps, text)
     # what shares a bucket but no component yet
-    member = members.select("band", "node", "pivot").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    split = member.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band")
-    left = stored(member.join(split, "band", "left_semi"), "unlinked")
-    x, y = left.select("band", F.col("node").alias("a"), F.col("comp").alias("ca"), "pivot"), left.select("band", F.col("node").alias("b"), F.col("comp").alias("cb"))
+    left = stored(_split_buckets(members, components(links)), "unlinked")
+    left = stored(_can_link(left, text), "unlinked")
+    sized = stored(left.join(left.groupBy("band").agg(F.count("*").alias("n")), "band"), "unlinked")
+    few = sized.where(F.col("n") <= PAIRED)
+    x, y = few.select("band", F.col("node").alias("a"), F.col("comp").alias("ca"), "pivot"), few.select("band", F.col("node").alias("b"), F.col("comp").alias("cb"))
     across = x.join(y, "band").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & (F.col("a") != F.col("pivot"))).select("a", "b").distinct()
-    more = _linked(across, reps, docs)
-    label = components(links.union(more).distinct())
+    label = components(links.union(_linked(across, reps, text)).union(_linked_in_tiles(sized.where(F.col("n") > PAIRED), text)).distinct())
     node = made.select("doc_id", "node").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     classes = node.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return node.join(classes, "comp").select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
