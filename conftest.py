@@ -1,5 +1,11 @@
+import os
+from pathlib import Path
+
 import pytest
 
+# Python workers find the package wherever the tests are started
+os.environ["PYTHONPATH"] = os.pathsep.join([str(Path(__file__).parent), os.environ.get("PYTHONPATH", "")])
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):

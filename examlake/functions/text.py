@@ -194,3 +194,88 @@ def split_answers(zone: Column, marker: str) -> Column:
     pairs = F.zip_with(numbers, texts, lambda n, t: F.struct(n.alias("n"), F.trim(F.regexp_replace(t, r"\s+", " ")).alias("text")))
     rising = F.aggregate(numbers, F.lit(0), lambda acc, x: F.when((acc < 0) | (x <= acc), F.lit(-1)).otherwise(x)) >= 0
     return F.when(rising, pairs)
+
+
+def decide(got: Column, full: Column, mark: Column, answer_verdict: Column, answer: Column, readable: Column) -> Column:
+    """Points beat marks, marks beat the answer; without any, blank or, where it could not be read, unsure."""
+    scored = verdict_of_score(got, full)
+    marked = F.when(mark == "tick", "right").when(mark == "cross", "wrong").when(mark == "half", "partial")
+    judged = F.when(answer_verdict, "right").when(~answer_verdict, "wrong")
+    blank = F.trim(F.coalesce(answer, F.lit(""))) == ""
+    return F.coalesce(scored, marked, judged, F.when(blank & F.coalesce(readable, F.lit(False)), "blank").otherwise("unsure"))
+
+
+def split_options(stem: Column, marker: str = r"(?:^|\s)([A-D])[.．、]\s*") -> Column:
+    """struct<body, options> where the first four markers in a row are A, B, C and D; else the stem alone."""
+    keys = F.regexp_extract_all(stem, F.lit(marker), F.lit(1))
+    parts = F.split(stem, marker, -1)
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(keys) - 3, F.lit(1))), lambda i: F.array_join(F.slice(keys, i, F.lit(4)), "") == "ABCD")
+    first = F.element_at(starts, 1).cast("int")
+    body = F.trim(F.array_join(F.slice(parts, F.lit(1), first), " "))
+    options = F.transform(F.slice(parts, first + 1, F.lit(4)), lambda x: F.trim(x))
+    found = (F.size(keys) >= 4) & (F.size(starts) > 0)
+    return F.when(found, F.struct(body.alias("body"), options.alias("options"))).otherwise(F.struct(F.trim(stem).alias("body"), F.array().cast("array<string>").alias("options")))
+
+
+def coverage_note(source: Column, read: Column) -> Column:
+    """What a reading lacks of its source: length, or different characters; null if it will do."""
+    a, b = F.array_distinct(F.split(source, "")), F.array_distinct(F.split(read, ""))
+    share = F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.lit(1))
+    return F.when(F.length(read) < 0.85 * F.length(source), "short").when(share < 0.75, "different")
+
+
+def first_object(text: Column, schema: str) -> Column:
+    """The first JSON object in a text, with stray backslashes taken as themselves."""
+    block = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    return F.from_json(F.regexp_replace(block, r'\\(?![\\"/bfnrtu])', r"\\\\\\\\"), schema)
+
+
+def norm_tex(text: Column) -> Column:
+    """Bracketed formulas as dollar signs."""
+    return F.regexp_replace(text, r"\\\(|\\\)|\\\[|\\\]", r"\\$")
+
+
+def tex_spans(text: Column) -> Column:
+    """The formulas between dollar signs."""
+    return F.regexp_extract_all(text, F.lit(r"\$[^$]+\$"), F.lit(0))
+
+
+def hollow(text: Column, blame: str = r"(?i)careless|attention|try harder|be careful") -> Column:
+    """Advice that is empty, blames, or names nothing concrete (a number, a formula or a term in quotes)."""
+    return (F.trim(F.coalesce(text, F.lit(""))) == "") | text.rlike(blame) | ~text.rlike(r"[0-9=$\"']")
+
+
+def progress_of(line: Column) -> Column:
+    """struct<done, total> of a log line such as ``page 3/12``."""
+    part = lambda k: F.regexp_extract(line, r"(\d+)\s*/\s*(\d+)", k).try_cast("int")
+    return F.when(part(2).isNotNull(), F.struct(part(1).alias("done"), part(2).alias("total")))
+
+
+def payload(parts: list[tuple[Column, int]]) -> Column:
+    """Parts, each cut to a length, on lines of their own; empty ones are left out."""
+    return F.concat_ws("\n", *[F.nullif(F.left(F.coalesce(c, F.lit("")), F.lit(n)), F.lit("")) for c, n in parts])
+
+
+def file_sections(text: Column) -> Column:
+    """Map of file name to content of a text with ``===FILE name===`` lines; fences are stripped, other names dropped."""
+    names = F.regexp_extract_all(text, F.lit(r"===FILE ([\w.-]+)==="), F.lit(1))
+    bodies = F.transform(F.slice(F.split(text, r"===FILE [\w.-]+===", -1), F.lit(2), F.size(names)), lambda b: F.trim(F.regexp_replace(b, r"(?m)^```\w*\s*$", "")))
+    return F.map_from_entries(F.filter(F.arrays_zip(names.alias("key"), bodies.alias("value")), lambda e: e["key"].rlike(r"\.(js|css|html|json)$")))
+
+
+def failure_phrase(text: Column, phrases: list[str]) -> Column:
+    """The first known phrase that a text contains, whatever its case."""
+    return F.coalesce(*[F.when(F.contains(F.lower(text), F.lit(p.lower())), F.lit(p)) for p in phrases])
+
+
+def splice(text: Column, segments: Column) -> Column:
+    """A text with [s, e) replaced by given strings, in order; a segment that overlaps an earlier one is left out.
+
+    ``segments`` is array<struct<s int, e int, r string>>.
+    """
+
+    def step(acc: Column, x: Column) -> Column:
+        ok = x["s"] >= acc["at"]
+        return F.struct(F.when(ok, x["e"]).otherwise(acc["at"]).alias("at"), F.when(ok, F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), x["r"])).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(F.array_sort(segments), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))

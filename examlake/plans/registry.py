@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ordered, rollups, texts
+from . import ordered, pages, rollups, texts
 
-_ALL = {**rollups.QUERIES, **ordered.QUERIES, **texts.QUERIES}
+_ALL = {**rollups.QUERIES, **ordered.QUERIES, **texts.QUERIES, **pages.QUERIES}
 FLAGSHIP = "a2_list_sheets"
 
 
