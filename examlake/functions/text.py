@@ -75,7 +75,7 @@ def same_value(a: Column, b: Column) -> Column:
 def norm_expr(text: Column) -> Column:
     """A formula in one spelling: no dollar signs or spaces, text commands unwrapped, short exponents without braces."""
     t = F.regexp_replace(text, r"\\(?:text|mathrm|mathbf|operatorname)\{([^{}]*)\}", "$1")
-    t = F.regexp_replace(F.regexp_replace(t, r"\\[dt]frac", r"\\\\frac"), r"\^\{(\w)\}", r"^$1")
+    t = F.regexp_replace(F.regexp_replace(t, r"\\[dt]frac", r"\\frac"), r"\^\{(\w)\}", r"^$1")
     return F.regexp_replace(F.translate(t, "$", ""), r"\s+", "")
 
 
@@ -89,7 +89,7 @@ def _single(student: Column, ref: Column) -> Column:
     a, b = as_choice(student), as_choice(ref)
     x, y, u, v = lead_number(student), lead_number(ref), unit(student), unit(ref)
     numbers = x.isNotNull() & y.isNotNull() & u.isNotNull() & v.isNotNull()
-    p, q = norm_expr(norm_text(student)), norm_expr(norm_text(ref))
+    p, q = norm_text(norm_expr(student)), norm_text(norm_expr(ref))
     long = (F.length(q) > 20) | (F.length(p) > 3 * F.length(q))
     return (
         F.when(b.isNotNull(), F.when(a.isNotNull(), a == b))
@@ -227,7 +227,7 @@ def coverage_note(source: Column, read: Column) -> Column:
 def first_object(text: Column, schema: str) -> Column:
     """The first JSON object in a text, with stray backslashes taken as themselves."""
     block = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.from_json(F.regexp_replace(block, r'\\(?![\\"/bfnrtu])', r"\\\\\\\\"), schema)
+    return F.from_json(F.regexp_replace(block, r'\\(?![\\"/bfnrtu])', r"\\\\"), schema)
 
 
 def norm_tex(text: Column) -> Column:
@@ -259,7 +259,7 @@ def payload(parts: list[tuple[Column, int]]) -> Column:
 def file_sections(text: Column) -> Column:
     """Map of file name to content of a text with ``===FILE name===`` lines; fences are stripped, other names dropped."""
     names = F.regexp_extract_all(text, F.lit(r"===FILE ([\w.-]+)==="), F.lit(1))
-    bodies = F.transform(F.slice(F.split(text, r"===FILE [\w.-]+===", -1), F.lit(2), F.size(names)), lambda b: F.trim(F.regexp_replace(b, r"(?m)^```\w*\s*$", "")))
+    bodies = F.transform(F.slice(F.split(text, r"===FILE [\w.-]+===", -1), F.lit(2), F.size(names)), lambda b: F.regexp_replace(F.regexp_replace(b, r"(?m)^```\w*\s*$", ""), r"^\s+|\s+$", ""))
     return F.map_from_entries(F.filter(F.arrays_zip(names.alias("key"), bodies.alias("value")), lambda e: e["key"].rlike(r"\.(js|css|html|json)$")))
 
 

@@ -1,0 +1,113 @@
+"""Operators on small tables with nulls, ties and no rows, and streams against batches."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from examlake.functions import text as T
+from examlake.operators import joins, layout, merge, rollup, series, state, windows
+from examlake.sources import store
+from examlake.streaming import quota as stream
+
+SF = "/root/testdata/sf0.001"
+
+
+def values(df, *columns):
+    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).collect()[0].x
+
+
+@pytest.mark.parametrize(
+    ("student", "ref", "verdict"),
+    [("ＡＣ", "CA", True), ("b", "B", True), ("1/2", "0.5", True), ("3/0", "1", None), ("1e3 m", "1000 m", True), ("2 m", "2", True), ("A/3 m/s", "A/3 m/s", True), ("A/B", "A/C", False), (" ", "A", None), ("A/B", "A", None), (r"\dfrac{1}{2}", r"\frac{1}{2}", True)],
+)
+def test_judge(spark, student, ref, verdict):
+    assert one(spark, T.judge(F.lit(student), F.lit(ref))) is verdict
+
+
+def test_text_functions(spark):
+    assert one(spark, T.question_number(F.lit("12（3）"))) == 1203 and one(spark, T.question_number(F.lit("x"))) is None
+    assert one(spark, T.show_number(F.lit(1203))) == "12(3)"
+    assert one(spark, T.balanced(F.lit("a(b（c）)"))) and not one(spark, T.balanced(F.lit(")(")))
+    assert one(spark, T.normalize(F.lit("⼈　\x00a"))) == "人 a"
+    assert one(spark, T.verdict_of_score(F.lit(1.0), F.lit(0.0))) is None and one(spark, T.verdict_of_score(F.lit(0.5), F.lit(1.0))) == "partial"
+    files = one(spark, T.file_sections(F.lit("x ===FILE a.js===\n```js\nlet a;\n```\n===FILE b.exe===\nno")))
+    assert files == {"a.js": "let a;"}
+    assert one(spark, T.split_answers(F.lit("1. a\n b 2. c"), r"(\d+)\. ")) == [(1, "a b"), (2, "c")]
+    assert one(spark, T.split_answers(F.lit("2. a 1. c"), r"(\d+)\. ")) is None
+    cut = F.array(F.struct(F.lit(1).alias("s"), F.lit(3).alias("e"), F.lit("X").alias("r")), F.struct(F.lit(2).alias("s"), F.lit(4).alias("e"), F.lit("Y").alias("r")))
+    assert one(spark, T.splice(F.lit("abcdef"), cut)) == "aXdef"
+    assert one(spark, T.hollow(F.lit("be careful"))) and not one(spark, T.hollow(F.lit("use v = 3")))
+    assert one(spark, T.failure_phrase(F.lit("Error: Not Logged In"), ["expired", "not logged in"])) == "not logged in"
+    assert one(spark, T.first_object(F.lit(r'so {"a": "\d x"} ok'), "a string"))["a"] == r"\d x"
+
+
+def test_joins_keep_unknown_apart(spark):
+    sheet, ref = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (3, 9), (4, 1)], "k int, n int"), spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 2), (3, 1)], "k int, n int")
+    assert values(joins.bind(sheet, ref, "k", "n"), "k", "state") == [(1, "bound"), (2, "partial"), (3, "mismatch"), (4, "unknown")]
+    a, b = spark.createDataFrame([(1, "x", None), (2, "y", 1)], "n int, t string, g int"), spark.createDataFrame([(1, "z", 5), (3, "w", 2)], "n int, t string, g int")
+    assert values(joins.merge_reads(a, b, ["n"], ["t", "g"]), "n", "t", "g", "conflicts") == [(1, "x", 5, "t"), (2, "y", 1, ""), (3, "w", 2, "")]
+
+
+def test_merges(spark):
+    old, new = spark.createDataFrame([(1, "a", "seen"), (2, "b", "known")], "k int, c string, e string"), spark.createDataFrame([(2, "B"), (3, "C")], "k int, c string")
+    assert values(merge.snapshot(old, new, "k", ["c"], ["e"]), "k", "c", "e", "action") == [(2, "B", "known", "updated"), (3, "C", None, "inserted")]
+    tries = spark.createDataFrame([(1, 1, True), (1, 2, False), (2, 1, False), (2, 2, False)], "k int, at int, ok boolean")
+    assert values(merge.last_success(tries, "k", ["at"], F.col("ok"), ["at"]), "k", "passed", "at") == [(1, True, 1), (2, False, 2)]
+    assert merge.insert_absent(old, old.limit(0), "k").count() == 2
+
+
+def test_folds(spark):
+    e = spark.createDataFrame([("a", 0, 1), ("a", 10, 2), ("a", 20, 3), ("a", 65, 4)], "u string, t long, id long")
+    assert [r.allowed for r in state.quota(e, "u", F.col("t"), "id", 60, 2).orderBy("id").collect()] == [True, True, False, True]
+    tops = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate((0, 2, 4, 6, 20))], "k int, i int, y double")
+    assert values(windows.rows_by_top(tops, "k", ["i"], "y", 3.0), "sizes") == [("2,2,1",)]
+    assert values(windows.increasing(tops, "k", ["i"], "y"), "n", "kept", "usable") == [(5, 5, True)]
+
+
+def test_option_figures(spark):
+    grid = [(1, f"g{i}", 1, 10.0 + 50 * (i % 2), 500.0 - 60 * (i // 2), 40.0, 50.0) for i in range(4)]
+    rows = [(1, "stem", 1, 10.0, 700.0, 200.0, 100.0), *grid, (2, "alone", 1, 0.0, 0.0, 1.0, 1.0)]
+    got = layout.option_figures(spark.createDataFrame(rows, "q int, figure string, page int, x double, top double, w double, h double"), "q", 4)
+    assert {r.figure for r in got.collect() if r.is_option} == {"g0", "g1", "g2", "g3"}
+
+
+def test_assertions_allow_nothing_else():
+    for bad in ("__import__('os')", "x.y", "[a for a in b]", "open(1)", "max(key=1)", "(lambda: 1)()"):
+        with pytest.raises((ValueError, SyntaxError)):
+            series.checked(bad)
+    assert series.names_in("max(p[(u >= 0) & (u <= 1/3)]) < q[-1]") == ["p", "q", "u"]
+
+
+def test_rollups_of_nothing(spark):
+    none = spark.createDataFrame([], "sheet_id int, verdict string, score_got decimal(10,2), score_full decimal(10,2)")
+    sheets = spark.createDataFrame([(1, 2)], "sheet_id int, paper_id int")
+    assert values(rollup.list_sheets(sheets, none), "sheet_id", "n_answers", "lost") == [(1, 0, 0.0)]
+
+
+def test_store(spark, tmp_path):
+    for name, text in (("p10.png", "b"), ("p2.png", "a"), ("q.json", "a")):
+        (tmp_path / name).write_text(text)
+    files = store.read_files(spark, f"file://{tmp_path}")
+    assert [r.name for r in files.orderBy("page").collect()] == ["p2.png", "p10.png", "q.json"]
+    assert values(store.put_assets(files, "name"), "names") == [(1,), (2,)]
+    path = f"file://{tmp_path}/out"
+    first = store.publish(spark, path, spark.createDataFrame([(1, "a")], "k int, c string"), "k", ["c"], ["label"])
+    assert values(first, "k", "c", "label") == [(1, "a", None)] and store.versions(spark, path) == [1]
+    store.publish(spark, path, spark.createDataFrame([(1, "b"), (2, "c")], "k int, c string"), "k", ["c"], ["label"])
+    assert values(store.latest(spark, path), "k", "c") == [(1, "b"), (2, "c")] and store.latest(spark, f"file://{tmp_path}/none") is None
+
+
+def test_streamed_quota_is_the_batch_quota(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.select("user_id", "event_id", "ts").repartitionByRange(1, "ts").write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema("user_id long, event_id long, ts timestamp").parquet(f"{tmp_path}/in")
+    query = stream.quota(source, "user_id", "ts", "event_id", 43200, 2).writeStream.format("memory").queryName("quota_out").outputMode("append").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    want = state.quota(events, "user_id", F.unix_timestamp("ts"), "event_id", 43200, 2)
+    assert values(spark.table("quota_out"), "event_id", "allowed") == values(want, "event_id", "allowed")
