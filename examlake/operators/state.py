@@ -67,4 +67,4 @@ def cell_states(items: DataFrame, stages: DataFrame, now: Column, failed: Column
     """each item against each stage of a small stage table: fail, done, now or todo by position."""
     position = F.col("position")
     state = F.when(failed.isNotNull() & (position == failed), "fail").when(position < now, "done").when(position == now, "now").otherwise("todo")
-    return items.join(F.broadcast(stages), how="cross").withColumn("cell", state)
+    return items.join(stages, how="cross").withColumn("cell", state)
