@@ -83,3 +83,23 @@ def merged_tables(tables: DataFrame, root: str, order: str, width: str, cells: s
     """Continuations join their root if none is empty and all rows are as wide; else they stay apart."""
     per = tables.groupBy(root).agg(F.count("*").alias("n_parts"), F.min(width).alias("narrow"), F.max(width).alias("wide"), F.min(cells).alias("least"), F.sum(cells).alias("cells"))
     return per.select(root, "n_parts", ((F.col("narrow") == F.col("wide")) & (F.col("least") > 0)).alias("merged"), "cells")
+
+
+def reset_on_change(old: DataFrame, new: DataFrame, key: str, content: Sequence[str], status: str, first: str = "draft") -> DataFrame:
+    """New content; its status is the old one's only if no part of the content has changed."""
+    before = old.select(key, *[F.col(c).alias(f"_o_{c}") for c in content], F.col(status).alias("_status"))
+    same = F.lit(True)
+    for c in content:
+        same = same & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    return new.select(key, *content).join(before, key, "left").select(key, *content, F.when(same & F.col("_status").isNotNull(), F.col("_status")).otherwise(first).alias(status))
+
+
+def partial_update(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """What the update gives replaces what is there, field by field; the rest stays."""
+    other = new.select(key, *[F.col(f).alias(f"_n_{f}") for f in fields])
+    return old.join(other, key, "left").select(key, *[F.coalesce(f"_n_{f}", f).alias(f) for f in fields], F.greatest(*[F.col(f"_n_{f}").isNotNull() for f in fields], F.lit(False)).alias("touched"))
+
+
+def claim_orphans(rows: DataFrame, owner: str, taker: Column) -> DataFrame:
+    """Rows that nobody owns get an owner."""
+    return rows.withColumn(owner, F.coalesce(owner, taker))

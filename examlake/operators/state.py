@@ -6,6 +6,8 @@ as many times as the quota allows, not all.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,3 +70,29 @@ def cell_states(items: DataFrame, stages: DataFrame, now: Column, failed: Column
     position = F.col("position")
     state = F.when(failed.isNotNull() & (position == failed), "fail").when(position < now, "done").when(position == now, "now").otherwise("todo")
     return items.join(stages, how="cross").withColumn("cell", state)
+
+
+def sheet_stage(pages: Column, read: Column, graded: Column, answers: Column) -> Column:
+    """the two-stage chain of a sheet: reading its pages, then grading its answers."""
+    return F.when(read < pages, "read").when(graded < answers, "grade").otherwise("done")
+
+
+def sessions(rows: DataFrame, as_of: Column, expires: str, owner: str) -> DataFrame:
+    """ST4: sessions that hold at a time, by owner."""
+    return rows.where(F.col(expires) > as_of).groupBy(owner).agg(F.count("*").alias("n_live"), F.max(expires).alias("until"))
+
+
+def sweep(status: Column, started: Column, as_of: Column, seconds: int) -> Column:
+    """ST6: what still runs after so long has been orphaned and counts as an error."""
+    late = F.unix_timestamp(as_of) - F.unix_timestamp(started) >= seconds
+    return F.when((status == "running") & late, "error").otherwise(status)
+
+
+def log_line(text: Column, most: int = 400) -> Column:
+    """ST7: a log line without control characters, cut to a length."""
+    return F.left(F.regexp_replace(text, r"[\x00-\x1F\x7F]", ""), F.lit(most))
+
+
+def messages(parts: Sequence[tuple[Column, Column]]) -> Column:
+    """those lines of a report whose condition holds, in order."""
+    return F.array_compact(F.array(*[F.when(condition, line) for condition, line in parts]))

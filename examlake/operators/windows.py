@@ -96,3 +96,22 @@ def natural_key(name: Column) -> Column:
     """K2: a sort key in which runs of digits count as numbers."""
     parts = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(1))
     return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d+$"), F.lpad(x, 12, "0")).otherwise(x)), "")
+
+
+def nearest_full_size(atoms: DataFrame, by: str, order: Sequence[str], full: Column, value: str, back: int = 3) -> DataFrame:
+    """The value of the nearest of the few atoms before that has full size; null if none of them has."""
+    line = Window.partitionBy(by).orderBy(*order).rowsBetween(-back, -1)
+    return atoms.withColumn("base", F.last(F.when(full, F.col(value)), ignorenulls=True).over(line))
+
+
+def sample_grid(cases: DataFrame, points: int) -> DataFrame:
+    """Each case at evenly spaced u from 0 to 1."""
+    return cases.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("u", F.col("i") / (points - 1))
+
+
+def interleave(rows: DataFrame, key: str, text: str, mark: str) -> DataFrame:
+    """K6: a text cut at its placeholders, pieces and placeholders in order, empty pieces left out."""
+    marks = F.regexp_extract_all(text, F.lit(mark), F.lit(0))
+    pieces = F.split(text, mark, -1)
+    both = F.flatten(F.transform(F.arrays_zip(pieces.alias("t"), F.concat(marks, F.array(F.lit(""))).alias("m")), lambda x: F.array(x["t"], x["m"])))
+    return rows.select(key, F.posexplode(F.filter(both, lambda x: x != "")).alias("position", "part"))

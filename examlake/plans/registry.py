@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audits, ordered, pages, rollups, texts
+from . import audits, ordered, pages, records, rollups, texts
 
-_ALL = {**rollups.QUERIES, **ordered.QUERIES, **texts.QUERIES, **pages.QUERIES, **audits.QUERIES}
+_ALL = {**rollups.QUERIES, **ordered.QUERIES, **texts.QUERIES, **pages.QUERIES, **audits.QUERIES, **records.QUERIES}
 FLAGSHIP = "a2_list_sheets"
 
 
