@@ -38,7 +38,7 @@ BANDS, ROWS = 32, 6
 SIMILARITY = 0.8
 PRUNING_ROUNDS = 2
 #: buckets up to this size are compared by joined pairs, larger ones by tiles of about so many nodes
-PAIRED, TILE = 32, 512
+PAIRED, TILE = 8, 512
 #: a signature of 192 agrees below this share with probability under 1e-6 at similarity 0.8
 _LOWEST_AGREEMENT = 0.66
 
@@ -219,7 +219,7 @@ def _can_link(members: DataFrame, text: DataFrame) -> DataFrame:
 
 
 def tile_links(rows: pa.Table) -> pa.Table:
-    """Similar pairs across components among some texts: overlaps are products of a matrix of texts by shared shingles.
+    """Similar pairs that join the components of some texts: overlaps are products of a matrix of texts by shared shingles.
 
     A shingle of weight c counts as c columns, so that overlaps are those of the weighted sets.
     """
@@ -243,13 +243,30 @@ def tile_links(rows: pa.Table) -> pa.Table:
         common += dense @ dense.T
     near = common >= SIMILARITY * (total[:, None] + total[None, :] - common) - 1e-3
     a, b = np.nonzero(np.triu(near & (comp[:, None] != comp[None, :]), 1))
+    # as many links as join the components that are similar here, no more
+    kind = np.unique(comp, return_inverse=True)[1]
+    both = np.sort(np.stack([kind[a], kind[b]]), axis=0)
+    one = np.unique(both[0] * len(node) + both[1], return_index=True)[1]
+    owner, kept = list(range(len(node))), []
+
+    def top(k: int) -> int:
+        while owner[k] != k:
+            owner[k] = k = owner[owner[k]]
+        return k
+
+    for i in one.tolist():
+        x, y = top(int(both[0, i])), top(int(both[1, i]))
+        if x != y:
+            owner[y] = x
+            kept.append(i)
+    a, b = a[kept], b[kept]
     return pa.table({"a": pa.array(np.minimum(node[a], node[b])), "b": pa.array(np.maximum(node[a], node[b]))})
 
 
 def _linked_in_tiles(members: DataFrame, text: DataFrame) -> DataFrame:
     """Similar pairs of nodes of large buckets, (band, node, comp, n): every two tiles of a bucket meet in one task.
 
-    A tile has about ``TILE`` nodes whatever the bucket's size; only similar pairs leave a task.
+    A tile has about ``TILE`` nodes whatever the bucket's size; fewer links than nodes leave a task.
     """
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     own = F.pmod(F.xxhash64("node"), tiles).cast("int")
