@@ -279,3 +279,100 @@ def splice(text: Column, segments: Column) -> Column:
         return F.struct(F.when(ok, x["e"]).otherwise(acc["at"]).alias("at"), F.when(ok, F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), x["r"])).otherwise(acc["out"]).alias("out"))
 
     return F.aggregate(F.array_sort(segments), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
+def wordy(text: Column) -> Column:
+    """Has no ASCII letter, so it is words of another script or signs."""
+    return ~text.rlike("[A-Za-z]")
+
+
+def answers_agree(a: Column, b: Column) -> Column:
+    """Two answers agree, differ, or cannot be told apart (null), whichever is taken as the reference."""
+    return F.coalesce(judge(a, b), judge(b, a))
+
+
+def flat_hits(text: Column, flat: str = r"[a-z]\d|\d[a-z]", but: str = r"(?:sin|cos|tan|log|ln)\s*\d*[a-z]?") -> Column:
+    """Matches of flattened formulas, those that are a function and its argument left out."""
+    return F.regexp_count(F.regexp_replace(text, but, " "), F.lit(flat))
+
+
+def width(text: Column, size: Column) -> Column:
+    """An estimate of a text's width: ideographs one size, others half of it."""
+    wide = F.length(cjk_only(text))
+    return (wide + (F.length(text) - wide) * 0.5) * size
+
+
+def x_overlap(a0: Column, a1: Column, x0: Column, x1: Column, need: float = 0.6) -> Column:
+    """Whether [x0, x1] covers so much of [a0, a1]."""
+    return F.greatest(F.least(a1, x1) - F.greatest(a0, x0), F.lit(0.0)) >= need * (a1 - a0)
+
+
+def near(y: Column, rule: Column, body: Column, k: float = 3.0) -> Column:
+    """Within so many body sizes of a rule."""
+    return F.abs(y - rule) <= k * body
+
+
+def restore_backslashes(text: Column) -> Column:
+    """Commands whose backslash and first letter were read as an escape: tab, line feed, form feed, bell and return."""
+    for lost, kept in (("\t", r"\t"), ("\f", r"\f"), ("\b", r"\b"), ("\r", r"\r"), ("\x07", r"\a")):
+        text = F.replace(text, F.lit(lost), F.lit(kept))
+    return text
+
+
+def question_text(stem: Column, options: Column) -> Column:
+    """The stem and its options on lines of their own, lettered."""
+    lettered = F.transform(options, lambda o, i: F.concat(F.char(i + 65), F.lit(". "), o))
+    return F.concat_ws("\n", stem, F.array_join(lettered, "\n"))
+
+
+def any_question_number(text: Column) -> Column:
+    """As :func:`question_number`, with any number of digits before the part."""
+    t = F.translate(F.trim(text), "（）", "()")
+    main, part = (F.regexp_extract(t, r"^(\d+)(?:\((\d+)\))?$", k) for k in (1, 2))
+    return F.when(main != "", F.when(part != "", main.try_cast("long") * 100 + part.try_cast("long")).otherwise(main.try_cast("long")))
+
+
+def answer_zone(text: Column, heading: str, marker: str) -> Column:
+    """The numbered answers of the zone under a heading; null without one."""
+    start = zone_start(text, heading)
+    return F.when(start >= 0, split_answers(F.substring(text, start + 1, F.length(text)), marker))
+
+
+def norm_email(text: Column) -> Column:
+    """An address for comparison."""
+    return F.lower(F.trim(text))
+
+
+def type_words(text: Column, words: list[str]) -> Column:
+    """How often type words head something, not those in a list, which follow a comma within three characters."""
+    pattern = "|".join(words)
+    pieces = F.split(text, pattern, -1)
+    before = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+    return F.size(F.filter(before, lambda x: ~x.rlike(r"[,、，]\s{0,2}$")))
+
+
+def label_prefix(text: Column, most: int = 6) -> Column:
+    """A label's beginning, up to punctuation and a length."""
+    return F.left(F.regexp_extract(text, r"^([^,.;:(（，。；：]*)", 1), F.lit(most))
+
+
+def qualify(expression: Column, keys: list[str], cases: list[str], prefix: str = "s.") -> Column:
+    """Known keys of an expression with a prefix, unless they are case names or have one."""
+    for k in sorted(set(keys) - set(cases)):
+        expression = F.regexp_replace(expression, rf"(?<![\w.]){k}(?!\w)", prefix + k)
+    return expression
+
+
+def valid_name(text: Column) -> Column:
+    """A name that is safe in a path."""
+    return text.rlike(r"^[\w一-鿿][\w一-鿿 .()-]{0,79}$") & ~F.contains(text, F.lit(".."))
+
+
+def cut_reason(share: Column, contrast: Column) -> Column:
+    """Why a page is not cut at its bright band: too narrow, too faint or nearly all of it; null if it is."""
+    return F.when(share < 0.10, "narrow").when(contrast < 60, "faint").when(share >= 0.60, "wide")
+
+
+def valid_answer(value: Column, domain: list[str]) -> Column:
+    """A value of a domain, or nothing; anything else raises an error when it is read."""
+    return F.when(value.isNull() | value.isin(domain), value).otherwise(F.raise_error(F.concat(F.lit("not in the domain: "), value)))

@@ -103,3 +103,19 @@ def partial_update(old: DataFrame, new: DataFrame, key: str, fields: Sequence[st
 def claim_orphans(rows: DataFrame, owner: str, taker: Column) -> DataFrame:
     """Rows that nobody owns get an owner."""
     return rows.withColumn(owner, F.coalesce(owner, taker))
+
+
+def replace_children(old: DataFrame, new: DataFrame, parent: str) -> DataFrame:
+    """A parent that the update names has the new children alone, be there none of them; others keep theirs.
+
+    ``new`` has a row with null fields for a parent that is to have none.
+    """
+    kept = old.join(new.select(parent).distinct(), parent, "left_anti")
+    filled = F.greatest(*[F.col(c).isNotNull() for c in new.columns if c != parent], F.lit(False))
+    return kept.unionByName(new.where(filled))
+
+
+def stamp(rows: DataFrame, keys: DataFrame, key: str, column: str, as_of: Column) -> DataFrame:
+    """The rows of some keys get a time."""
+    marked = keys.select(key).distinct().withColumn("_m", F.lit(True))
+    return rows.join(marked, key, "left").withColumn(column, F.when(F.col("_m"), as_of).otherwise(F.col(column))).drop("_m")

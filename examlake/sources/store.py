@@ -84,3 +84,26 @@ def publish(spark: SparkSession, path: str, new: DataFrame, key: str, content: S
     to = f"{path}/version={found[-1] + 1 if found else 1}"
     merged.write.parquet(to)
     return spark.read.parquet(to)
+
+
+def stash(rows: DataFrame, path: str, kind: str = "kind") -> None:
+    """Write rows by kind; a kind that is written again replaces what it had, others stay."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(kind).parquet(path)
+
+
+#: schema of a verification log: one JSON object a line
+LOG_SCHEMA = "round int, ts string, scene string, verdict string, n_fail int, fails array<struct<layer:string,code:string,msg:string>>, sha_fig string, sha_js string, bytes_js long"
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of verification logs; a broken line is a row of nulls."""
+    return spark.read.schema(LOG_SCHEMA).json(path)
+
+
+def migrated(rows: DataFrame, schema: str) -> DataFrame:
+    """Rows with the columns of a schema: missing ones null, others cast, unknown ones dropped."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    want = _parse_datatype_string(schema)
+    there = {c.lower() for c in rows.columns}
+    return rows.select(*[(F.col(f.name).cast(f.dataType) if f.name.lower() in there else F.lit(None).cast(f.dataType)).alias(f.name) for f in want.fields])

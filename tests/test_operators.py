@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from examlake.functions import text as T
-from examlake.operators import joins, layout, merge, rollup, series, state, windows
+from examlake.operators import joins, layout, lookups, merge, rollup, series, state, windows
 from examlake.sources import store
 from examlake.streaming import quota as stream
 
@@ -111,3 +111,59 @@ def test_streamed_quota_is_the_batch_quota(spark, tmp_path):
         query.stop()
     want = state.quota(events, "user_id", F.unix_timestamp("ts"), "event_id", 43200, 2)
     assert values(spark.table("quota_out"), "event_id", "allowed") == values(want, "event_id", "allowed")
+
+
+def test_more_text_functions(spark):
+    assert one(spark, T.flat_hits(F.lit("x2 and y3, sin2x"))) == 2
+    assert one(spark, T.answers_agree(F.lit("3 m"), F.lit("3.0"))) is True
+    assert one(spark, T.width(F.lit("人ab"), F.lit(10.0))) == 20.0
+    assert one(spark, T.restore_backslashes(F.lit("a\tan"))) == r"a\tan"
+    assert one(spark, T.question_text(F.lit("s"), F.array(F.lit("x"), F.lit("y")))) == "s\nA. x\nB. y"
+    assert one(spark, T.any_question_number(F.lit("1234(5)"))) == 123405
+    assert one(spark, T.answer_zone(F.lit("1. no\nAnswers\n1. a 2. b"), "(?m)^Answers$", r"(\d+)\. ")) == [(1, "a"), (2, "b")]
+    assert one(spark, T.answer_zone(F.lit("nothing"), "(?m)^Answers$", r"(\d+)\. ")) is None
+    assert one(spark, T.type_words(F.lit("Choice one. kinds: blank, Choice"), ["Choice"])) == 1
+    assert one(spark, T.qualify(F.lit("v + u.v + vx"), ["v", "u"], ["u"])) == "s.v + u.v + vx"
+    assert one(spark, T.valid_name(F.lit("paper 1"))) and not one(spark, T.valid_name(F.lit("../x")))
+    assert [one(spark, T.cut_reason(F.lit(a), F.lit(b))) for a, b in ((0.05, 99), (0.3, 10), (0.7, 99), (0.3, 99))] == ["narrow", "faint", "wide", None]
+    with pytest.raises(Exception, match="domain"):
+        one(spark, T.valid_answer(F.lit("zzz"), ["a"]))
+
+
+def test_lookups(spark):
+    papers = spark.createDataFrame([(1, "p", None), (2, "q", 7)], "paper_id int, name string, owner_id int")
+    assert values(lookups.owner_of(papers, "p"), "found", "owner_id") == [(True, None)] and values(lookups.owner_of(papers, "x"), "found") == [(False,)]
+    rows = spark.createDataFrame([(1, 1, True), (1, 2, None), (2, 3, True)], "paper_id int, n int, worth boolean")
+    assert values(lookups.by_paper(rows, papers, "p", ["n"], F.col("worth")), "n") == [(1,)]
+    assert values(lookups.child_count(papers, rows.where("paper_id = 1"), "paper_id"), "paper_id", "n_children") == [(1, 2), (2, 0)]
+    modes = spark.createDataFrame([("pdf", "paper"), ("answers", "sheet")], "kind string, mode string")
+    kinds = spark.createDataFrame([(1, None), (2, "answers"), (3, "odd")], "k int, kind string")
+    assert values(lookups.mode_of(kinds, modes, "kind", "pdf"), "k", "mode") == [(1, "paper"), (2, "sheet"), (3, "pdf")]
+    commands = spark.createDataFrame([("run --paper p --only 3,1",), ("run --paper p --only 1",), ("run --paper q",)], "cmd string")
+    assert values(lookups.running_commands(commands, "cmd", "p"), "questions", "whole") == [(["1", "3"], False)]
+    marks = spark.createDataFrame([("a", "M 5,5 L 50 50"), ("b", "M 90,90")], "id string, d string")
+    assert values(lookups.intruders(marks, "d", 40, 60, 40, 60), "id") == [("a",)]
+    spec = spark.createDataFrame([(1, "a", "all(diff(x) > 0)", "r"), (1, "a", "x[-1]", None)], "spec int, id string, expr string, report string")
+    assert {("no comparison"), ("duplicate id"), ("only against 0"), ("no report")} <= {r.fault for r in lookups.lint(spec, "spec").collect()}
+    runs = spark.createDataFrame([(1, 10.0, 100.0, "b"), (1, 0.0, 101.0, "a"), (1, 0.0, 80.0, "c")], "page int, x double, y double, t string")
+    assert [r.t for r in lookups.reading_order(runs, "page").orderBy("order").collect()] == ["a", "b", "c"]
+    doc = lookups.paper_document(papers, rows, spark.createDataFrame([(1, 9, "x")], "paper_id int, sheet_id int, s string"), spark.createDataFrame([(1, 5)], "paper_id int, done int"))
+    assert {r.paper_id: len(r.questions or []) for r in doc.collect()} == {1: 2, 2: 1}
+    codes = spark.createDataFrame([(1, "stem", ["k2", "zz", "k1"])], "question_id int, stem string, codes array<string>")
+    names = spark.createDataFrame([("k1", "one"), ("k2", "two")], "code string, name string")
+    detail = lookups.sheet_detail(spark.createDataFrame([(1, 1), (2, None)], "n int, question_id int"), codes, names, "codes")
+    assert values(detail, "n", "topics") == [(1, ["two", "one"]), (2, [])]
+
+
+def test_children_stamps_and_stores(spark, tmp_path):
+    old, new = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "p int, c string"), spark.createDataFrame([(1, "x"), (1, "y"), (2, None)], "p int, c string")
+    assert values(merge.replace_children(old, new, "p"), "p", "c") == [(1, "x"), (1, "y"), (3, "c")]
+    rows = spark.createDataFrame([(1, "old"), (2, "old")], "k int, at string")
+    assert values(merge.stamp(rows, rows.where("k = 1"), "k", "at", F.lit("now")), "k", "at") == [(1, "now"), (2, "old")]
+    path = f"file://{tmp_path}/stash"
+    store.stash(spark.createDataFrame([("a", 1), ("b", 2)], "kind string, v int"), path)
+    store.stash(spark.createDataFrame([("a", 9)], "kind string, v int"), path)
+    assert values(spark.read.parquet(path), "kind", "v") == [("a", 9), ("b", 2)]
+    (tmp_path / "log.jsonl").write_text('{"round": 1, "scene": "s", "verdict": "pass", "fails": []}\nbroken\n')
+    assert values(store.read_log(spark, f"file://{tmp_path}/log.jsonl"), "scene") == [("s",), (None,)]
+    assert store.migrated(rows, "k long, label string").dtypes == [("k", "bigint"), ("label", "string")]
