@@ -103,3 +103,9 @@ def last_substantial(rows: DataFrame, key: str, order: str, text: str, hollow: C
     """Per key the last row counts; if what it says is hollow, the key has nothing."""
     last = rows.withColumn("_h", hollow).groupBy(key).agg(F.max(F.struct(order, "_h", text)).alias("m"))
     return last.where("NOT m._h").select(key, F.col(f"m.{text}").alias(text))
+
+
+def approve(specs: DataFrame, outcomes: DataFrame, key: str) -> DataFrame:
+    """A specification is approved if all its assertions hold, rejected if any does not, left alone without any."""
+    per = outcomes.groupBy(key).agg(F.bool_and(F.col("outcome") == "true").alias("_all"))
+    return specs.join(per, key, "left").withColumn("status", F.when(F.col("_all"), "approved").when(~F.col("_all"), "rejected").otherwise(F.col("status"))).drop("_all")

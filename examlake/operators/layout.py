@@ -149,3 +149,35 @@ def scenes_of(papers: DataFrame, stored: DataFrame, files: DataFrame, files_firs
     both = named.withColumn("_file", F.when(fits, F.col("_file"))).join(stored.select("paper", "n", F.col("scene").alias("_db")), ["paper", "n"], "left")
     order = ("_file", "_db") if files_first else ("_db", "_file")
     return both.select("paper", "n", F.coalesce(*order).alias("scene")).where("scene is not null")
+
+
+def place_labels(labels: DataFrame, scene: str, step: float = 4.0, most: int = 12) -> DataFrame:
+    """Labels in order, each moved up until it covers none placed before, at most so often; else it is reported.
+
+    A scene has a handful of labels (label, seq, x, y, w, h), which meet in one task.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        placed: list[tuple[float, float, float, float]] = []
+        out = []
+        for r in pdf.sort_values("seq").itertuples():
+            y, free = r.y, False
+            for _ in range(most + 1):
+                free = all(r.x + r.w <= x or x + w <= r.x or y + r.h <= b or b + h <= y for x, b, w, h in placed)
+                if free:
+                    break
+                y += step
+            if free:
+                placed.append((r.x, y, r.w, r.h))
+            out.append((getattr(r, scene), r.label, y if free else None, free))
+        return pd.DataFrame(out, columns=[scene, "label", "y", "placed"])
+
+    kinds = dict(labels.dtypes)
+    return labels.groupBy(scene).applyInPandas(run, f"{scene} {kinds[scene]}, label {kinds['label']}, y double, placed boolean")
+
+
+def radical_lines(signs: DataFrame, rules: DataFrame, page: str, slack: float = 3.0) -> DataFrame:
+    """The rule that is a radical sign's line: the topmost that begins at the sign's right edge and not below it."""
+    near = signs.join(rules.select(page, "rule", F.col("x0").alias("_x0"), F.col("y").alias("_y")), page).where((F.abs(F.col("_x0") - F.col("x1")) <= slack) & (F.col("_y") >= F.col("y")))
+    best = near.groupBy(page, "sign").agg(F.max(F.struct(F.col("_y"), (-F.col("rule")).alias("_r"))).alias("b"))
+    return best.select(page, "sign", (-F.col("b._r")).alias("rule"))

@@ -93,7 +93,7 @@ def pick_capped(candidates: DataFrame, by: str, score: str, n: str, need: Column
 
 
 def natural_key(name: Column) -> Column:
-    """K2: a sort key in which runs of digits count as numbers."""
+    """K2 and K3: a sort key in which runs of digits count as numbers."""
     parts = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(1))
     return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d+$"), F.lpad(x, 12, "0")).otherwise(x)), "")
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from examlake.functions import text as T
-from examlake.operators import joins, layout, lookups, merge, rollup, series, state, windows
+from examlake.operators import audit, joins, layout, lookups, merge, rollup, series, state, windows
 from examlake.sources import store
 from examlake.streaming import quota as stream
 
@@ -167,3 +167,15 @@ def test_children_stamps_and_stores(spark, tmp_path):
     (tmp_path / "log.jsonl").write_text('{"round": 1, "scene": "s", "verdict": "pass", "fails": []}\nbroken\n')
     assert values(store.read_log(spark, f"file://{tmp_path}/log.jsonl"), "scene") == [("s",), (None,)]
     assert store.migrated(rows, "k long, label string").dtypes == [("k", "bigint"), ("label", "string")]
+
+
+def test_labels_lines_and_approval(spark):
+    labels = spark.createDataFrame([(1, f"l{i}", i, 0.0, 0.0, 10.0, 6.0) for i in range(9)], "scene int, label string, seq int, x double, y double, w double, h double")
+    got = {r.label: (r.y, r.placed) for r in layout.place_labels(labels, "scene").collect()}
+    assert got["l0"] == (0.0, True) and got["l1"] == (8.0, True) and got["l8"] == (None, False)
+    signs = spark.createDataFrame([(1, 1, 10.0, 5.0)], "page int, sign int, x1 double, y double")
+    rules = spark.createDataFrame([(1, 1, 11.0, 6.0), (1, 2, 11.0, 9.0), (1, 3, 40.0, 20.0)], "page int, rule int, x0 double, y double")
+    assert values(layout.radical_lines(signs, rules, "page"), "rule") == [(2,)]
+    specs = spark.createDataFrame([(1, "draft"), (2, "draft"), (3, "draft")], "k int, status string")
+    out = spark.createDataFrame([(1, "true"), (1, "true"), (2, "true"), (2, "error")], "k int, outcome string")
+    assert values(audit.approve(specs, out, "k"), "k", "status") == [(1, "approved"), (2, "rejected"), (3, "draft")]
