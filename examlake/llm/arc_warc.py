@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, scratch
+from .common import bounded_batches, released, scratch
 
 RECORDS = 1024
 _V1 = "URL IP-address Archive-date Content-type Archive-length"
@@ -126,7 +126,7 @@ def _archives(spark: SparkSession, path: str) -> DataFrame:
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
     """Rows of all ARC archives below ``path``."""
-    return _archives(spark, path).mapInArrow(_arc_rows, _ARC_SCHEMA)
+    return _archives(spark, path).mapInArrow(released(_arc_rows), _ARC_SCHEMA)
 
 
 def _record_id(url: Column, date: Column, digest: Column, page: Column) -> Column:
@@ -201,7 +201,7 @@ def _warc_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, url, record_id) of all archives below ``path``."""
-    return _archives(spark, path).mapInArrow(_warc_rows, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string")
+    return _archives(spark, path).mapInArrow(released(_warc_rows), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string")
 
 
 def convert(spark: SparkSession, arc_paths: list[str], warc_path: str) -> None:

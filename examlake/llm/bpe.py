@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches, texts
+from .common import bounded_batches, released, texts
 
 #: White_Space of Unicode, which is what \s means in the pattern; Python's own \s has four more.
 _WHITE = r"\t-\r \x85\xa0  -     　"
@@ -229,6 +229,13 @@ def _codec(ranks: dict[bytes, int], pattern: str, key: bytes) -> Codec:
     return _CODECS[key]
 
 
+def _forget() -> None:
+    """Drop what codecs remember between texts."""
+    for codec in _CODECS.values():
+        codec.parts.clear()
+        codec.pieces.clear()
+
+
 def _coder(docs: DataFrame, path: str, pattern: str):
     ranks = read_ranks(path)
     key = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).digest()
@@ -264,7 +271,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 flat = pa.array(np.concatenate(made) if made else np.zeros(0, np.int32), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["doc_id", "ids"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return texts(docs).mapInArrow(released(run, _forget), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -278,7 +285,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             out = [codec.decode(np.array(x or [], "<u4").tobytes()) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(released(run, _forget), "doc_id long, decoded binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -301,4 +308,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return texts(docs).mapInArrow(released(run, _forget), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

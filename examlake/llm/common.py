@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +45,33 @@ def bounded_batches(spark: SparkSession, rows: int = 1024, size: int = 8 << 20)
             spark.conf.set(key, str(most))
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 384) -> Iterator[pa.RecordBatch]:
+    """Batches cut smaller, for work that takes tens of bytes for each character."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def released(run: Callable, forget: Callable[[], None] | None = None) -> Callable:
+    """``run`` over a task's batches, after which the Python worker hands back what it no longer needs.
+
+    Workers are kept for later tasks, of other stages too; what one leaves would count against them.
+    """
+
+    def wrapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            if forget:
+                forget()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text) of every row; null text is empty; other columns, whatever their names, are left out."""
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored, texts
+from .common import bounded_batches, released, stored, texts
 from .graph import components
 from .words import mix, seeded, shingle_hashes, unit, word_hashes
 
@@ -145,7 +145,7 @@ def _with_node(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, node, signature, bands, has_words): ``node`` is the hash of the shingle multiset."""
     bounded_batches(docs.sparkSession)
-    return texts(docs).mapInArrow(_sketch, "doc_id long, node long, signature binary, bands array<long>, has_words boolean")
+    return texts(docs).mapInArrow(released(_sketch), "doc_id long, node long, signature binary, bands array<long>, has_words boolean")
 
 
 def _agreement(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,10 +187,10 @@ def _shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _linked(pairs: DataFrame, reps: DataFrame, text: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes that are similar: first by signature, then by text."""
     side = lambda s: reps.select(F.col("node").alias(s), F.col("signature").alias(f"sig_{s}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_agreement, "a long, b long")
+    near = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(released(_agreement), "a long, b long")
     one = lambda s: text.select(F.col("node").alias(s), F.col("text").alias(f"text_{s}"))
     joined = stored(near, "near").join(one("a"), "a").join(one("b"), "b")
-    return stored(joined.select("a", "b", "text_a", "text_b").mapInArrow(_exact, "a long, b long"), "linked").distinct()
+    return stored(joined.select("a", "b", "text_a", "text_b").mapInArrow(released(_exact), "a long, b long"), "linked").distinct()
 
 
 def _split_buckets(members: DataFrame, label: DataFrame) -> DataFrame:
@@ -207,7 +207,7 @@ def _can_link(members: DataFrame, text: DataFrame) -> DataFrame:
     as its overlap with any other is at most the rest. Without it, shingles of others become unique in turn.
     """
     nodes = members.select("node").distinct()
-    shingles = stored(text.join(nodes, "node", "left_semi").mapInArrow(_shingles, "node long, shingle long, w long"), "shingles")
+    shingles = stored(text.join(nodes, "node", "left_semi").mapInArrow(released(_shingles), "node long, shingle long, w long"), "shingles")
     for _ in range(PRUNING_ROUNDS):
         single = shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.sum("w").alias("own")).where("n = 1")
         own = single.groupBy("node").agg(F.sum("own").alias("own"))
@@ -285,7 +285,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = stored(bands.join(shared, "band"), "members")
     # ids may repeat or be null: a text counts for the node that its own shingles have; a merge join at every size
     wanted = reps.join(members.select("node").distinct(), "node", "left_semi").select(F.col("doc_id").alias("id")).distinct()
-    text = texts(docs).join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").mapInArrow(_with_node, "node long, text string")
+    text = texts(docs).join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").mapInArrow(released(_with_node), "node long, text string")
     text = stored(text, "candidate-texts")
     star = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     links = _linked(star, reps, text)

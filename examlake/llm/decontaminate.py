@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored, texts
+from .common import bounded_batches, released, stored, texts
 
 RATE = 0.07
 BLOCK_BYTES = 4 << 20
@@ -164,7 +164,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-        return texts(docs).mapInArrow(run, _SCHEMA)
+        return texts(docs).mapInArrow(released(run), _SCHEMA)
 
     blocks = _blocks(benchmark)
     out, following = over(next(blocks)), next(blocks, None)
@@ -194,7 +194,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
             for b in batches:
                 yield b.filter(pa.array([x is None or next(find(words_only(x)), None) is None for x in b.column("text").cast(pa.binary()).to_pylist()], pa.bool_()))
 
-        return some.mapInArrow(run, schema)
+        return some.mapInArrow(released(run), schema)
 
     blocks = _blocks(benchmark)
     out, following = without(docs, next(blocks)), next(blocks, None)

@@ -19,20 +19,24 @@ import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, bounded_batches, texts
+from .common import ASCII_SPACE, bounded_batches, released, texts
 
 TRIE_BYTES = 96 << 20
+#: bytes of rows that a task holds before it settles them
+HELD_BYTES = 24 << 20
+_SPACES = ASCII_SPACE.encode()
 _NO_ID = 1 << 63
 
-#: owner of a text: (minus code points of the original, doc_id), the smallest wins; and the number of rows.
-Owner = tuple[int, int, int]
+#: owner of a text: (minus code points of the original, doc_id, place), the smallest wins; and the number of rows.
+Owner = tuple[int, int, int, int]
 
 
 def _better(a: Owner, b: Owner) -> Owner:
-    return (*min(a[:2], b[:2]), a[2] + b[2])
+    return (*min(a[:3], b[:3]), a[3] + b[3])
 
 
 class _Node:
@@ -151,7 +155,7 @@ def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[bytes, Owner]]:
         text = b.column("norm").cast(pa.binary()).to_pylist()
         n, ids, rows = (b.column(c).to_pylist() for c in ("n_points", "doc_id", "n_rows"))
         for t, k, i, r in zip(text, n, ids, rows, strict=True):
-            yield t, (-k, _NO_ID if i is None else i, r)
+            yield t, (-k, _NO_ID if i is None else i, 0, r)
 
 
 def _owners(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[bytes, Owner]]:
@@ -168,7 +172,7 @@ def _flush(rows: list, names: list[str], types: list) -> pa.RecordBatch:
 def _combine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names, types = ["norm", "n_points", "doc_id", "n_rows"], [pa.binary(), pa.int64(), pa.int64(), pa.int64()]
     rows, held = [], 0
-    for key, (n, i, r) in _owners(batches):
+    for key, (n, i, _, r) in _owners(batches):
         rows.append((key, -n, None if i == _NO_ID else i, r))
         held += len(key)
         if held > 8 << 20 or len(rows) >= 1024:
@@ -183,7 +187,7 @@ def _settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     names, types = ["text_sha256", "keep_id", "group_size"], [pa.string(), pa.int64(), pa.int64()]
     rows = []
-    for key, (_, i, r) in _owners(batches):
+    for key, (_, i, _, r) in _owners(batches):
         rows.append((hashlib.sha256(key).hexdigest(), None if i == _NO_ID else i, r))
         if len(rows) >= 8192:
             yield _flush(rows, names, types)
@@ -196,9 +200,9 @@ def owners(docs: DataFrame) -> DataFrame:
     """(text_sha256, keep_id, group_size): one row per distinct normalised text."""
     bounded_batches(docs.sparkSession)
     norm = texts(docs).select(F.translate("text", ASCII_SPACE, "").alias("norm"), F.char_length("text").cast("long").alias("n_points"), "doc_id", F.lit(1).cast("long").alias("n_rows"))
-    combined = norm.mapInArrow(_combine, "norm binary, n_points long, doc_id long, n_rows long")
+    combined = norm.mapInArrow(released(_combine), "norm binary, n_points long, doc_id long, n_rows long")
     dealt = combined.repartition(F.octet_length("norm"), F.xxhash64("norm"))
-    return dealt.mapInArrow(_settle, "text_sha256 string, keep_id long, group_size long")
+    return dealt.mapInArrow(released(_settle), "text_sha256 string, keep_id long, group_size long")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -212,7 +216,65 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     return each.join(found, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
+def _rows_of_owners(batches: list[pa.RecordBatch]) -> tuple[pa.Table, list[bytes]]:
+    """Of some rows, those that own their text among them, and the normalised texts."""
+    rows, trie, place = pa.Table.from_batches(batches), PatriciaTrie(), 0
+    for b in batches:
+        text = b.column("text").fill_null("")
+        points, ids = pc.utf8_length(text).to_pylist(), b.column("doc_id").to_pylist()
+        for t, n, i in zip(text.cast(pa.binary()).to_pylist(), points, ids, strict=True):
+            trie.insert(t.translate(None, _SPACES), (-n, _NO_ID if i is None else i, place, 1))
+            place += 1
+    found = [(owner[2], key) for key, owner in trie.items()]
+    return rows.take(pa.array([at for at, _ in found], pa.int64())), [key for _, key in found]
+
+
+def _keep_here(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Drop rows that another row of the task beats, and add length and content hash; large tasks are taken in parts."""
+    import hashlib
+
+    def part(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, keys = _rows_of_owners(held)
+        hashes = pa.array([int.from_bytes(hashlib.blake2b(k, digest_size=8).digest(), "little", signed=True) for k in keys], pa.int64())
+        yield from rows.append_column("_length", pa.array([len(k) for k in keys], pa.int64())).append_column("_hash", hashes).to_batches(max_chunksize=512)
+
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size > HELD_BYTES:
+            yield from part(held)
+            held, size = [], 0
+    if held:
+        yield from part(held)
+
+
+def _keep_each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Owners among rows that come in order of length and hash; what is held is settled where a new hash begins."""
+    held, size, last = [], 0, None
+    for b in batches:
+        if size > HELD_BYTES:
+            h = b.column("_hash").to_numpy()
+            begins = 0 if h[0] != last else int((h != last).argmax()) or (len(h) if (h == last).all() else 0)
+            if begins < b.num_rows:
+                if begins:
+                    held.append(b.slice(0, begins))
+                yield from _rows_of_owners(held)[0].drop_columns(["_length", "_hash"]).to_batches(max_chunksize=512)
+                held, size, b = [], 0, b.slice(begins)
+        held.append(b)
+        size += b.nbytes
+        last = b.column("_hash")[b.num_rows - 1].as_py()
+    if held:
+        yield from _rows_of_owners(held)[0].drop_columns(["_length", "_hash"]).to_batches(max_chunksize=512)
+
+
 def keep_owners(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text they own."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_own"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_own"]), "left_semi")
+    """The rows of ``docs``, all columns, that own their text; of rows repeated whole, one.
+
+    Rows that lose within their task go at once; the others are dealt, whole, by length and content hash, once.
+    """
+    bounded_batches(docs.sparkSession)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    here = docs.mapInArrow(released(_keep_here), f"{schema}, _length long, _hash long")
+    dealt = here.repartition("_length", "_hash").sortWithinPartitions("_length", "_hash")
+    return dealt.mapInArrow(released(_keep_each), docs.schema)

@@ -7,6 +7,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def hashed_sample(rows: DataFrame, key: list[str], count: int, most: int) -> DataFrame:
+    """At most ``most`` rows of ``count``, those with the smallest hashes of their key.
+
+    A threshold lets through about half as many again as are wanted, so the task that puts them in order gets no more,
+    however many partitions there are.
+    """
+    share = min(1.0, (1.5 * most + 50) / max(count, 1))
+    h = F.xxhash64(*key)
+    return rows.where(F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30)) + 1).orderBy(F.pmod(h, F.lit(1 << 30)), h, *key).limit(most)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held: Column, per_class: int) -> tuple[DataFrame, dict[int, int]]:
     """(doc_id, text, lang, y) of at most ``per_class`` documents of each label, by hash of the id; and all labels' counts.
 
@@ -16,7 +27,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held: Column
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label].cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held)
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
-    some = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
+    some = [hashed_sample(known.where(F.col("y") == y), ["doc_id"], counts.get(y, 0), per_class) for y in (0, 1)]
     chosen = some[0].union(some[1])
     lang = docs["lang"] if "lang" in docs.columns else F.lit(None).cast("string")
     text = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"), lang.alias("lang"))

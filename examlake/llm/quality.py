@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, texts
+from .common import bounded_batches, released, slices, texts
 from .labelled import class_weights, labelled_sample, sigmoid, temperature
 from .words import seeded, shape_hashes, word_spans
 
@@ -50,7 +50,7 @@ def _contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = BUCKETS + SHAPES
     place, sign = index_vectors()
     total, seen = np.zeros(n * DIMS), np.zeros(n)
-    for b in batches:
+    for b in slices(batches):
         word, shape, offsets = units(b.column("text"))
         if not len(word):
             continue
@@ -79,7 +79,7 @@ def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(vectors, weights): unit vectors by random indexing over all ``docs``, and the weights of units in a mean."""
     bounded_batches(docs.sparkSession)
     schema = "block int, sums binary"
-    parts = texts(docs).select("text").mapInArrow(_contexts, schema)
+    parts = texts(docs).select("text").mapInArrow(released(_contexts), schema)
     # a task's sums of a block meet in groups first, then the groups, so no task reads the sums of all tasks
     groups = parts.withColumn("g", F.spark_partition_id() % 64)
     first = groups.groupBy("block", "g").applyInArrow(_add, schema)
@@ -159,11 +159,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str, held: Column) -> tuple
     sent = docs.sparkSession.sparkContext.broadcast((vectors, weights))
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             x = pooled(b.column("text"), *sent.value).astype(np.float64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    rows = sorted(sample.select("doc_id", "y", "text").mapInArrow(features, "doc_id long, y int, x array<double>").collect(), key=lambda r: (r.doc_id, r.y))
+    rows = sorted(sample.select("doc_id", "y", "text").mapInArrow(released(features), "doc_id long, y int, x array<double>").collect(), key=lambda r: (r.doc_id, r.y))
     y = np.array([r.y for r in rows])
     if not len({*y.tolist()}) > 1 or len(y) < 10:
         total = sum(counts.values())
@@ -180,8 +180,8 @@ def score(docs: DataFrame, labels: DataFrame, label: str, held: Column) -> DataF
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network, vectors, weights = sent.value
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(network.score(pooled(b.column("text"), vectors, weights)))], names=["doc_id", "score"])
 
-    made = texts(docs).mapInArrow(run, "doc_id long, score double")
+    made = texts(docs).mapInArrow(released(run), "doc_id long, score double")
     return made.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

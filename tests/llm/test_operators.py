@@ -55,7 +55,7 @@ def labels(spark, rows):
     return spark.createDataFrame([(r[0], i % 2, i % 2) for i, r in enumerate(rows)] + [(None, 1, 1), (3, None, None), (99999, 1, 1)], "doc_id long, quality int, toxic int")
 
 
-def test_exact_dedup(docs, rows, none):
+def test_exact_dedup(docs, rows, none, monkeypatch):
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
     groups = {}
     for r in rows:
@@ -63,8 +63,13 @@ def test_exact_dedup(docs, rows, none):
     want = Counter((r[0], min(g := groups[norm(r[1])])[2], len(g), r[0] == min(g)[2], hashlib.sha256(norm(r[1]).encode()).hexdigest()) for r in rows)
     assert Counter(map(tuple, exact_dedup.exact_dedup(docs).collect())) == want
     assert exact_dedup.exact_dedup(none).count() == 0
-    kept = exact_dedup.keep_owners(docs)
-    assert kept.columns == docs.columns and {norm(r.text) for r in kept.collect()} == set(groups)
+    for held in (exact_dedup.HELD_BYTES, 1000):
+        monkeypatch.setattr(exact_dedup, "HELD_BYTES", held)
+        kept = exact_dedup.keep_owners(docs)
+        assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+        got = kept.collect()
+        assert Counter(norm(r.text) for r in got) == Counter(set(groups)) and all(r.doc_id == min(groups[norm(r.text)])[2] for r in got)
+    assert exact_dedup.keep_owners(none).count() == 0
 
 
 def test_near_duplicates(docs, rows, none):

@@ -61,10 +61,10 @@ def test_trie_counts_and_owners_with_and_without_spill():
     for limit in (1 << 30, 4000):
         trie, want = PatriciaTrie(limit), {}
         for i, k in enumerate(keys):
-            owner = (-rng.randint(0, 3), i, 1)
+            owner = (-rng.randint(0, 3), i, i, 1)
             trie.insert(k, owner)
             old = want.get(k)
-            want[k] = owner if old is None else (*min(old[:2], owner[:2]), old[2] + 1)
+            want[k] = owner if old is None else (*min(old[:3], owner[:3]), old[3] + 1)
         assert dict(trie.items()) == want
         rng.seed(1)
 
@@ -177,3 +177,22 @@ def test_license_rules_compile_and_are_many():
 
     found = license_scan.rules()
     assert len(found) > 200 and all(r.priority in license_scan.WEIGHTS and re.compile(r.pattern) for r in found)
+
+
+def test_owners_are_settled_in_parts(monkeypatch):
+    from examlake.llm import exact_dedup
+
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["a b", "ab", "c", "", None, "c  ", "d" * 50]), "x") for i in range(200)]
+    table = pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows], "lang": [r[2] for r in rows]})
+    for held in (1, 2000, 1 << 20):
+        monkeypatch.setattr(exact_dedup, "HELD_BYTES", held)
+        here = pa.Table.from_batches(exact_dedup._keep_here(iter(table.to_batches(max_chunksize=9))))
+        dealt = here.sort_by([("_length", "ascending"), ("_hash", "ascending")])
+        for size in (1, 4, 1000):
+            got = pa.Table.from_batches(exact_dedup._keep_each(iter(dealt.to_batches(max_chunksize=size)))).to_pydict()
+            want = {}
+            for i, t, _ in rows:
+                key = (t or "").replace(" ", "")
+                want[key] = min(want.get(key, (0, 1 << 60)), (-len(t or ""), i))
+            assert sorted(got["doc_id"]) == sorted(i for _, i in want.values()) and set(got) == {"doc_id", "text", "lang"}
