@@ -252,6 +252,30 @@ def test_language_id(docs, rows, none):
     assert {r.lang_pred for r in language_id.identify(docs, F.lit(True)).collect()} == {"und"}
 
 
+def test_language_id_in_parts_is_the_same(docs, rows, monkeypatch):
+    held = held_out(F.col("doc_id"), 4, 2)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0)
+    want = sorted(language_id.identify(docs, held).collect(), key=key)
+    monkeypatch.setattr(language_id, "BLOCK", 1000)
+    monkeypatch.setattr(language_id, "LOT", 5000)
+    got = sorted(language_id.identify(docs, held).collect(), key=key)
+    assert len(got) == len(rows)
+    for a, b in zip(got, want, strict=True):
+        assert (a.doc_id, a.lang_pred, a.rejected) == (b.doc_id, b.lang_pred, b.rejected)
+        assert a.score == pytest.approx(b.score, abs=1e-6) and a.entropy == pytest.approx(b.entropy, abs=1e-6)
+
+
+def test_language_id_keeps_rare_languages_and_many_letters(spark, monkeypatch):
+    rng = random.Random(12)
+    hanzi = [chr(0x4E00 + i) for i in range(60)]
+    rows = [(i, words_of(rng, 60, EN), "en") for i in range(200)] + [(1000 + i, "".join(rng.choice(hanzi) for _ in range(200)), "zh") for i in range(40)]
+    rows += [(2000 + i, words_of(rng, 30, DE), "de") for i in range(6)]
+    monkeypatch.setattr(language_id, "BLOCK", 3000)
+    monkeypatch.setattr(language_id, "CELLS", 3000, raising=False)
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), F.col("doc_id") % 5 == 0).collect()
+    assert {(r.doc_id, r.lang_pred) for r in got} == {(i, lang) for i, _, lang in rows}
+
+
 @pytest.mark.parametrize("module", [quality, toxicity])
 def test_classifiers_on_odd_tables(docs, rows, none, labels, module):
     held = held_out(F.col("doc_id"), 5, 0)
