@@ -64,7 +64,9 @@ def keep_better(ledger: DataFrame, keys: Sequence[str], rows: str, order: str) -
 
 def login_codes(tries: DataFrame, key: str, order: str, seconds: Column, right: Column, expires: int, most: int = 5) -> DataFrame:
     """ST3: a key's code is accepted once, before it expires and within so many tries: (key, accepted id, tries)."""
-    events = tries.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(seconds.alias("t"), F.col(order).cast("long").alias("id"), right.alias("ok")))).alias("events"))
+    # a try beyond the first ``most`` is never open
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(seconds, F.col(order).cast("long"), right))
+    events = tries.withColumn("_nth", nth).where(F.col("_nth") <= most).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(seconds.alias("t"), F.col(order).cast("long").alias("id"), right.alias("ok")))).alias("events"))
     start = F.element_at("events", 1)["t"]
 
     def step(acc: Column, x: Column) -> Column:

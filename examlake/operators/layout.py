@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import with_upper_median
+
 
 def merge_runs(chars: DataFrame, page: str) -> DataFrame:
     """Characters to runs: same baseline and size, and close to the one before; (page, run, text, x, x1, y)."""
@@ -82,7 +84,7 @@ def typography(lines: DataFrame, by: str, order: Sequence[str], y: str, left: st
     """Candidate headings: lines after a gap of 1.6 times the upper median, by left margin; the largest groups."""
     line = Window.partitionBy(by).orderBy(*order)
     gaps = lines.withColumn("gap", F.abs(F.col(y) - F.lag(y).over(line))).where("gap is not null")
-    middle = gaps.groupBy(by).agg(F.array_sort(F.collect_list("gap")).alias("_g")).select(by, F.element_at("_g", (F.floor(F.size("_g") / 2) + 1).cast("int")).alias("median"))
+    middle = with_upper_median(gaps, by, F.col("gap"), "_m").groupBy(by).agg(F.max("_m").alias("median"))
     kept = gaps.join(middle, by).where(F.col("gap") >= 1.6 * F.col("median")).groupBy(by, (F.floor(F.col(left) / 6) * 6).alias("margin")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), "margin"))
     return kept.withColumn("rank", rank).where(F.col("rank") <= top)

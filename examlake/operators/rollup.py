@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import with_upper_median
+
 
 def final_answers(answers: DataFrame) -> DataFrame:
     """What counts is the teacher's verdict and score where there is one, else the system's."""
@@ -72,19 +74,13 @@ def boilerplate(boxes: DataFrame, page: str, box: Sequence[str], within: Sequenc
     return per.join(pages, list(within)).where(F.col("n_on") * 2 > F.col("n_pages"))
 
 
-def upper_median(values: Column) -> Column:
-    """The upper middle element of a group's values, which is not interpolated."""
-    kept = F.array_sort(F.collect_list(values))
-    return F.element_at(kept, (F.floor(F.size(kept) / 2) + 1).cast("int"))
-
-
 def anchor_score(segments: DataFrame, key: str, length: str, declared: str, text_length: str) -> DataFrame:
     """How well a cut into segments fits its document, and a verdict on it.
 
     Count against what was declared, the middle length, tiny segments, evenness and coverage each add or take points.
     """
     size = F.col(length)
-    per = segments.groupBy(key).agg(F.count("*").alias("n"), F.max(declared).alias("declared"), F.max(text_length).alias("total"), upper_median(size).alias("median"), F.count_if(size < 20).alias("tiny"), F.sum(size).alias("covered"), F.coalesce(F.stddev_pop(size) / F.nullif(F.avg(size), F.lit(0.0)), F.lit(0.0)).alias("cv"))
+    per = with_upper_median(segments, key, size, "_m").groupBy(key).agg(F.count("*").alias("n"), F.max(declared).alias("declared"), F.max(text_length).alias("total"), F.max("_m").alias("median"), F.count_if(size < 20).alias("tiny"), F.sum(size).alias("covered"), F.coalesce(F.stddev_pop(size) / F.nullif(F.avg(size), F.lit(0.0)), F.lit(0.0)).alias("cv"))
     coverage = F.col("covered") / F.greatest("total", F.lit(1))
     n = F.col("n")
     score = (

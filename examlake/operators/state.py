@@ -6,27 +6,28 @@ as many times as the quota allows, not all.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _events(events: DataFrame, key: str, seconds: Column, order: str) -> DataFrame:
-    return events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(seconds.alias("t"), F.col(order).alias("id")))).alias("events"))
+from .folds import streamed
 
 
 def quota(events: DataFrame, key: str, seconds: Column, order: str, window: int, most: int) -> DataFrame:
     """ST1: allow an event if fewer than ``most`` were allowed in the ``window`` seconds before it: (key, id, allowed)."""
 
-    def step(acc: Column, x: Column) -> Column:
-        recent = F.filter(acc["recent"], lambda t: t > x["t"] - window)
-        ok = F.size(recent) < most
-        return F.struct(F.when(ok, F.concat(recent, F.array(x["t"]))).otherwise(recent).alias("recent"), F.concat(acc["out"], F.array(F.struct(x["id"].alias("id"), ok.alias("allowed")))).alias("out"))
-
-    zero = F.struct(F.expr("cast(array() as array<bigint>)").alias("recent"), F.expr("cast(array() as array<struct<id:bigint,allowed:boolean>>)").alias("out"))
-    folded = F.aggregate("events", zero, step, lambda acc: acc["out"])
-    return _events(events, key, seconds, order).select(key, F.explode(folded).alias("e")).select(key, F.col("e.id").alias(order), F.col("e.allowed").alias("allowed"))
+    def each(own: Iterator[tuple]) -> Iterator[tuple]:
+        recent: list[int] = []
+        for t, i in own:
+            recent = [x for x in recent if t is not None and x > t - window]
+            ok = len(recent) < most
+            if ok and t is not None:
+                recent.append(t)
+            yield i, ok
+
+    some = events.select(key, seconds.cast("long").alias("_t"), F.col(order).cast("long").alias(order))
+    return streamed(some, key, ["_t", order], ["_t", order], each, f"`{order}` long, allowed boolean")
 
 
 def throttle(events: DataFrame, key: str, seconds: Column, order: str, wait: int) -> DataFrame:

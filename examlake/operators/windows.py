@@ -1,16 +1,19 @@
 """Ordered operators: running offsets, islands, chains, folds over ordered arrays, capped picks.
 
 Each works within a key; orders are total. Where the next step depends on earlier decisions, not rows, the key's rows
-are folded as one ordered array, so a key's rows must be few enough for one row's array.
+are streamed in order through a fold (:mod:`folds`).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import streamed
+
 
 def flow_offsets(spans: DataFrame, by: str, order: Sequence[str], text: str) -> DataFrame:
     """Where each span begins in the text of all spans of its key."""
@@ -40,40 +43,52 @@ def spans_until_next(anchors: DataFrame, by: str, at: str, end: Column) -> DataF
     return anchors.withColumn("until", F.coalesce(F.lead(at).over(Window.partitionBy(by).orderBy(at)), end))
 
 
-def _ordered(rows: DataFrame, by: str, order: Sequence[str], value: Column) -> DataFrame:
-    item = F.struct(*order, value.alias("_v"))
-    return rows.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["_v"]).alias("values"))
-
-
 def number_chain(rows: DataFrame, by: str, order: Sequence[str], number: str, least: int = 4) -> DataFrame:
     """How far 1, 2, 3, ... can be followed in order; none below ``least``. The first 1 reaches as far as any."""
-    chain = F.aggregate("values", F.lit(0).cast("long"), lambda acc, x: F.when(x == acc + 1, x).otherwise(acc))
-    return _ordered(rows, by, order, F.col(number).cast("long")).select(by, chain.alias("chain")).withColumn("accepted", F.col("chain") >= least)
+
+    def each(own: Iterator[tuple]) -> Iterator[tuple]:
+        chain = 0
+        for (x,) in own:
+            chain += x == chain + 1
+        yield (chain,)
+
+    some = rows.select(by, *order, F.col(number).cast("long").alias("_v"))
+    return streamed(some, by, [*order, "_v"], ["_v"], each, "chain long").withColumn("accepted", F.col("chain") >= least)
 
 
 def increasing(rows: DataFrame, by: str, order: Sequence[str], value: str) -> DataFrame:
     """Length of the longest strictly increasing subsequence, and whether it is enough of the rows to trust."""
 
-    def step(acc: Column, x: Column) -> Column:
-        best = F.array_max(F.transform(F.filter(acc, lambda a: a["v"] < x), lambda a: a["n"]))
-        return F.concat(acc, F.array(F.struct(x.alias("v"), (F.coalesce(best, F.lit(0)) + 1).alias("n"))))
-
-    folded = F.aggregate("values", F.expr("cast(array() as array<struct<v:double,n:int>>)"), step, lambda acc: F.array_max(F.transform(acc, lambda a: a["n"])))
-    out = _ordered(rows, by, order, F.col(value).cast("double")).select(by, F.size("values").alias("n"), folded.alias("kept"))
+    def each(own: Iterator[tuple]) -> Iterator[tuple]:
+        # the smallest last value of each length; NaN is above all, null below and above none
+        ends: list[tuple] = []
+        n = 0
+        for n, (x,) in enumerate(own, 1):  # noqa: B007
+            if x is not None:
+                end = (True, 0.0) if x != x else (False, x)
+                ends[(at := bisect_left(ends, end)) : at + 1] = [end]
+        yield n, max(len(ends), 1)
+
+    some = rows.select(by, *order, F.col(value).cast("double").alias("_v"))
+    out = streamed(some, by, [*order, "_v"], ["_v"], each, "n int, kept int")
     return out.withColumn("usable", F.col("kept") >= F.greatest(F.lit(3), F.ceil(F.col("n") * 0.6)))
 
 
 def rows_by_top(figures: DataFrame, by: str, order: Sequence[str], top: str, tolerance: float) -> DataFrame:
     """Rows of figures: one joins a row if its top is near that of the row's first figure. (by, n_rows, sizes)."""
 
-    def step(acc: Column, x: Column) -> Column:
-        same = F.abs(x - acc["anchor"]) <= tolerance
-        grown = F.concat(F.slice(acc["sizes"], F.lit(1), F.size(acc["sizes"]) - 1), F.array(F.element_at(acc["sizes"], -1) + 1))
-        return F.when(same, F.struct(acc["anchor"].alias("anchor"), grown.alias("sizes"))).otherwise(F.struct(x.alias("anchor"), F.concat(acc["sizes"], F.array(F.lit(1))).alias("sizes")))
-
-    zero = F.struct(F.lit(None).cast("double").alias("anchor"), F.expr("cast(array() as array<int>)").alias("sizes"))
-    sizes = F.aggregate("values", zero, step, lambda acc: acc["sizes"])
-    return _ordered(figures, by, order, F.col(top).cast("double")).select(by, F.size(sizes).alias("n_rows"), F.array_join(F.transform(sizes, lambda x: x.cast("string")), ",").alias("sizes"))
+    def each(own: Iterator[tuple]) -> Iterator[tuple]:
+        anchor, sizes = None, []
+        for (x,) in own:
+            if anchor is not None and x is not None and abs(x - anchor) <= tolerance:
+                sizes[-1] += 1
+            else:
+                anchor = x
+                sizes.append(1)
+        yield len(sizes), ",".join(map(str, sizes))
+
+    some = figures.select(by, *order, F.col(top).cast("double").alias("_v"))
+    return streamed(some, by, [*order, "_v"], ["_v"], each, "n_rows int, sizes string")
 
 
 def monotonic_slices(marks: DataFrame, by: str, n: str, y: str, height: Column) -> DataFrame:

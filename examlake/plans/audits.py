@@ -48,8 +48,7 @@ SELECT lang, name, n, CAST(row_number() OVER (PARTITION BY lang ORDER BY n DESC,
 
 def a19_fail_digest(spark: SparkSession, d: str) -> DataFrame:
     line = F.concat(F.when(F.col("event_type") == "error", "FAIL").otherwise("ok"), F.lit(" L"), (F.col("event_id") % 5).cast("string"), F.lit(" x"))
-    logs = table(spark, d, "events").groupBy("user_id").agg(F.array_join(F.collect_list(line), "\n").alias("log"))
-    return audit.fail_digest(logs, "user_id", "log")
+    return audit.fail_digest(table(spark, d, "events").select("user_id", line.alias("log")), "user_id", "log")
 
 
 A19 = "SELECT user_id, 'L' || event_id % 5 AS layer, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1, 2"

@@ -1,5 +1,8 @@
 """Operators on small tables with nulls, ties and no rows, and streams against batches."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +70,45 @@ def test_folds(spark):
     assert values(windows.increasing(tops, "k", ["i"], "y"), "n", "kept", "usable") == [(5, 5, True)]
 
 
+def test_folds_hold_no_key_whole(spark):
+    rng = random.Random(5)
+    # one key has most rows
+    rows = [(1 if i % 10 else i % 7 + 2, i, rng.randint(0, 4000), float(rng.randint(0, 300))) for i in range(3000)] + [(None, 9001, 5, None), (None, 9002, 6, math.nan), (None, 9003, 7, 1.0)]
+    e = spark.createDataFrame(rows, "u int, id long, t long, y double").repartition(4)
+    by = {}
+    for r in sorted(rows, key=lambda r: (r[2], r[1])):
+        by.setdefault(r[0], []).append(r)
+    allowed, kept, medians = {}, [], {}
+    for k, own in by.items():
+        recent, best = [], []
+        for _, i, t, y in own:
+            recent = [x for x in recent if x > t - 60]
+            allowed[i] = len(recent) < 2
+            recent += [t] * allowed[i]
+            rank = None if y is None else (y != y, 0 if y != y else y)
+            best.append((rank, 1 + max((n for v, n in best if None not in (v, rank) and v < rank), default=0)))
+        kept.append((k, len(own), max(n for _, n in best)))
+        medians[k] = sorted(x[2] for x in own)[len(own) // 2]
+    quota = state.quota(e, "u", F.col("t"), "id", 60, 2)
+    assert {r.id: r.allowed for r in quota.collect()} == allowed
+    rising = windows.increasing(e, "u", ["t", "id"], "y")
+    assert sorted(((r.u, r.n, r.kept) for r in rising.collect()), key=str) == sorted(kept, key=str)
+    chain, tops = windows.number_chain(e, "u", ["t", "id"], "t"), windows.rows_by_top(e, "u", ["t", "id"], "y", 20.0)
+    assert {r.u: sum(map(int, r.sizes.split(","))) for r in tops.collect()} == {k: len(own) for k, own in by.items()}
+    score = rollup.anchor_score(e.withColumn("d", F.lit(3)).withColumn("x", F.lit(9)), "u", "t", "d", "x")
+    assert {r.u: r.median for r in score.collect()} == medians
+    headings = layout.typography(e, "u", ["t", "id"], "t", "y")
+    for df in (quota, rising, chain, tops, score, headings):
+        assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_login_codes_hold_a_few_tries(spark):
+    tries = spark.range(4000).select(F.lit(1).alias("u"), "id", (F.col("id") == 6).alias("ok")).union(spark.createDataFrame([(2, 1, False), (2, 2, True), (2, 3, True)], "u int, id long, ok boolean"))
+    got = audit.login_codes(tries, "u", "id", F.col("id"), F.col("ok"), 600)
+    assert values(got, "u", "accepted", "tries") == [(1, None, 5), (2, 2, 2)]
+    assert "row_number" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_option_figures(spark):
     grid = [(1, f"g{i}", 1, 10.0 + 50 * (i % 2), 500.0 - 60 * (i // 2), 40.0, 50.0) for i in range(4)]
     rows = [(1, "stem", 1, 10.0, 700.0, 200.0, 100.0), *grid, (2, "alone", 1, 0.0, 0.0, 1.0, 1.0)]
