@@ -135,7 +135,7 @@ def option_figures(figures: DataFrame, question: str, options: int) -> DataFrame
 
 
 def connected_intervals(rules: DataFrame, by: str, low: str, high: str, overlap: float = 4.0) -> DataFrame:
-    """Groups of intervals that overlap their group by more than ``overlap``: (by, group, low, high, n)."""
+    """T64 in part: groups of intervals that overlap their group by more than ``overlap``: (by, group, low, high, n)."""
     line = Window.partitionBy(by).orderBy(low, high)
     reach = F.max(high).over(line.rowsBetween(Window.unboundedPreceding, -1))
     begun = rules.withColumn("_new", F.when(F.col(low) + overlap < reach, 0).otherwise(1))

@@ -57,7 +57,7 @@ def number_chain(rows: DataFrame, by: str, order: Sequence[str], number: str, le
 
 
 def increasing(rows: DataFrame, by: str, order: Sequence[str], value: str) -> DataFrame:
-    """Length of the longest strictly increasing subsequence, and whether it is enough of the rows to trust."""
+    """W10 in part: length of the longest strictly increasing subsequence, and whether it is enough of the rows to trust."""
 
     def each(own: Iterator[tuple]) -> Iterator[tuple]:
         # the smallest last value of each length; NaN is above all, null below and above none

@@ -107,7 +107,7 @@ SELECT sheet_id, CAST(got AS DOUBLE) AS got, CAST(total AS DOUBLE) AS total, CAS
 
 
 def a9_section_warnings(spark: SparkSession, d: str) -> DataFrame:
-    """Sections (customers) whose declared number of parts differs from what was cut, and objects given twice."""
+    """A9 in part: sections (customers) whose declared number of parts differs from what was cut."""
     cut = sheets(spark, d).groupBy("paper_id").agg(F.count("*").alias("n_cut"))
     declared = papers(spark, d).select("paper_id", (F.col("owner_id") % 12).cast("long").alias("declared"))
     both = declared.join(cut, "paper_id", "left").withColumn("n_cut", F.coalesce("n_cut", F.lit(0)))
