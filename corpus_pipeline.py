@@ -2,6 +2,12 @@
 passages go; what is left is encoded, and decoded again.
 
 Each stage takes all that its predecessor kept, as Parquet in the shared folder.
+
+Defined cases, for every stage: a null text is the empty text; all empty texts are exact copies of each other, of which
+one stays; rows repeated whole are copies; null ids are kept as they are; extra columns, whatever their names, are carried
+along to the last stage; without labels of both kinds no document is toxic; without benchmark items none holds one; an
+empty table gives an empty result. The result has one row for each document that is left: doc_id, n_tokens, ids_sha256,
+decoded_sha256 and the ids themselves.
 """
 
 from __future__ import annotations
@@ -34,10 +40,10 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of the ids of each document and of what they decode to."""
+    """The ids of each document, and digests of them and of what they decode to."""
     import public_tokenizers
 
-    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 
 STAGES = [

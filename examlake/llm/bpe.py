@@ -5,8 +5,10 @@ byte ``i`` forms with the next live token; the root is the leftmost smallest one
 updates three leaves: the merged token's, its neighbour's to the left, and the removed one's. Pieces of up to 64
 bytes are merged many at a time, one tree per row of a numpy array; longer ones each have a tree of their own.
 
-Texts are cut at single spaces that follow other characters. No match of the pattern crosses such a place, so a part's
-ids depend on the part alone and are remembered between documents, in a cache of bounded size.
+Texts are cut at single spaces that follow other characters. No match of a pattern like those of the public
+tokenizers, in which a space begins a match or stands in a run of white space, crosses such a place, so a part's ids
+depend on the part alone and are remembered between documents, in a cache of bounded size. Patterns for which that
+does not hold on probes (``cuts_at_spaces``) are applied to whole texts.
 
 Defined cases: null text is the empty text, with no ids; an empty table gives an empty result; columns other than
 ``doc_id`` and ``text`` are not looked at. The vocabulary file is a parameter; it is read on the driver and sent to
@@ -36,6 +38,13 @@ CACHE = 300_000
 _LONG_PART = 200
 
 
+def cuts_at_spaces(find) -> bool:
+    """Whether a pattern's matches stay the same when probes are cut before single spaces that follow other characters."""
+    words = ["a", "Ab", "12", "1234", "don't", ",", "...", "x\n", "é", "漢字", "_", "'s", "-1", "a.b", "$5"]
+    probes = [f"{x} {y} {z}" for x in words for y in words for z in ("b", "7", "!")]
+    return all([m for p in ((first, *(" " + x for x in rest)),) for part in p for m in find(part)] == find(t) for t in probes for first, *rest in [t.split(" ")] if not _MIXED.search(t))
+
+
 class Codec:
     """Ranks of byte strings, and what is derived from them."""
 
@@ -43,6 +52,7 @@ class Codec:
         import regex
 
         self.ranks, self.find = ranks, regex.compile(pattern).findall
+        self.cuts = cuts_at_spaces(self.find)
         self.table = {i: b for b, i in ranks.items()}
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         # every way to cut a known string into two known ones, as a sorted array of left * 2^20 + right
@@ -179,7 +189,9 @@ class Codec:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = []
         for text in batch:
-            if _MIXED.search(text) or text[:1] == " ":
+            if not self.cuts:
+                split.append([text] if text else [])
+            elif _MIXED.search(text) or text[:1] == " ":
                 # after a match of white space and other characters, the next match starts at white space again
                 split.append(_PARTS.findall(text))
             elif not text:
@@ -257,6 +269,12 @@ def _by_size(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[tuple[list[
         yield ids, rows
 
 
+def _lists(made: list[bytes]) -> pa.ListArray:
+    """Ids as little-endian bytes to lists of integers."""
+    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in made])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(made), "<i4"), pa.int32()))
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids): ids of every whole text, as array<int>; no shuffle."""
     bounded_batches(docs.sparkSession)
@@ -266,10 +284,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         codec = coder()
         for b in batches:
             for ids, rows in _by_size(b):
-                made = [np.frombuffer(x, "<i4") for x in codec.encode_batch(rows)]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in made])]).astype(np.int32)
-                flat = pa.array(np.concatenate(made) if made else np.zeros(0, np.int32), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(codec.encode_batch(rows))], names=["doc_id", "ids"])
 
     return texts(docs).mapInArrow(released(run, _forget), "doc_id long, ids array<int>")
 
@@ -288,24 +303,23 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(released(run, _forget), "doc_id long, decoded binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of the ids and of the bytes decoded from them."""
+def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of the ids and of the bytes decoded from them; and the ids."""
     bounded_batches(docs.sparkSession)
     coder = _coder(docs, path, pattern)
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = coder()
         for b in batches:
             for ids, rows in _by_size(b):
                 made = codec.encode_batch(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids, pa.int64()),
-                        pa.array([len(x) // 4 for x in made], pa.int64()),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in made]),
-                        pa.array([hashlib.sha256(codec.decode(x)).hexdigest() for x in made]),
-                    ],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
-
-    return texts(docs).mapInArrow(released(run, _forget), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                columns = [
+                    pa.array(ids, pa.int64()),
+                    pa.array([len(x) // 4 for x in made], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in made]),
+                    pa.array([hashlib.sha256(codec.decode(x)).hexdigest() for x in made]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns + [_lists(made)] * with_ids, names=names)
+
+    return texts(docs).mapInArrow(released(run, _forget), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +17,11 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor and the driver see; a temporary one only where the cluster names none."""
+    """Folder that every executor and the driver see; a temporary one only on a single machine that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="examlake-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -72,6 +75,52 @@ def released(run: Callable, forget: Callable[[], None] | None = None) -> Callabl
     return wrapped
 
 
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers, their bytes by significance, compressed."""
+    out = []
+    for a in arrays:
+        a = np.ascontiguousarray(a)
+        out += [a.dtype.str.encode().ljust(4), len(a).to_bytes(8, "little"), a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b""]
+    data = b"".join(out)
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    """What :func:`packed` was given."""
+    data, at, out = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), 0, []
+    while at < len(data):
+        kind, n = np.dtype(data[at : at + 4].decode().strip()), int.from_bytes(data[at + 4 : at + 12], "little")
+        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, n * kind.itemsize, at + 12).reshape(kind.itemsize, n).T).view(kind).ravel())
+        at += 12 + n * kind.itemsize
+    return out
+
+
+def narrow(a: np.ndarray) -> np.ndarray:
+    """Whole numbers in the narrowest type that holds all, unsigned if none is negative."""
+    low, high = int(a.min(initial=0)), int(a.max(initial=0))
+    for kind in ("u1", "u2", "u4", "u8") if low >= 0 else ("i1", "i2", "i4", "i8"):
+        if np.iinfo(kind).min <= low and high <= np.iinfo(kind).max:
+            return a.astype("<" + kind if kind[1] != "1" else "|" + kind)
+    return a
+
+
+#: partial sums of one key that meet in one group
+FAN = 64
+
+
+def added_up(parts: DataFrame, key: str, add: Callable[[pa.Table], pa.Table], schema: str, name: str) -> DataFrame:
+    """One row per ``key`` (and ``source``, 0): partial sums are added at most :data:`FAN` at a time, level by level.
+
+    ``parts`` has one row per key and ``source``, a number from 0 of what made it; ``add`` adds the rows of a group, and
+    so bears a fixed number of rows however many tasks there are. Each level is written.
+    """
+    while True:
+        parts = parts.withColumn("source", F.floor(F.col("source") / FAN).cast("int"))
+        parts = stored(parts.groupBy(key, "source").applyInArrow(add, schema), name)
+        if not parts.where("source > 0").limit(1).count():
+            return parts
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text) of every row; null text is empty; other columns, whatever their names, are left out."""
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))

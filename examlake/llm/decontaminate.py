@@ -1,13 +1,14 @@
 """Benchmark passages in documents, by pigeonhole pieces and bit-parallel edit distance.
 
 Texts and items are reduced to their words: A-Z lower-cased, every run of other ASCII than digits and letters one
-space. An item of m bytes may differ by ``rate`` times m edits. It is cut into one piece more than that, so a passage
-within the budget holds one piece at least unchanged. All pieces of all items go into one Aho-Corasick automaton,
-which each task runs over its documents; where a piece is found, Myers' bit-parallel algorithm gives the smallest
-edit distance between the item and any stretch of the text around.
+space, and a space before and after, so that an item is not found within longer words. An item of m bytes may differ
+by ``rate`` times m edits. It is cut into one piece more than that, so a passage within the budget holds one piece at
+least unchanged. All pieces of all items go into one Aho-Corasick automaton, which each task runs over its documents.
+Where an item stands unchanged, that is a place; the other finds of its pieces are put together to regions, and Myers'
+bit-parallel algorithm gives the nearest stretch of a region, then those before and after it.
 
 Items are sent to the tasks in blocks of bounded size, one pass over the documents for each block, so nothing that
-is broadcast grows with either table.
+is broadcast grows with either table. A benchmark below ``BLOCK_BYTES`` takes one pass without a shuffle.
 
 Defined cases: null or wordless items match nothing; null text has no matches; an item that stands in a document
 several times gives one row, with the number of places; repeated items or documents give repeated rows only if both
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -78,7 +80,7 @@ class Matcher:
     def __init__(self, items: list[Item], rate: float) -> None:
         import ahocorasick
 
-        self.items = [(i, p, int(len(p) * rate)) for i, p in items]
+        self.items = [(i, b" " + p + b" ", int(len(p) * rate)) for i, p in items]
         pieces: dict[str, list[tuple[int, int]]] = {}
         for n, (_, p, budget) in enumerate(self.items):
             cuts = [len(p) * j // (budget + 1) for j in range(budget + 2)]
@@ -91,34 +93,71 @@ class Matcher:
             self.automaton.make_automaton()
 
     def find(self, text: bytes) -> Iterator[tuple[int | None, int, int, int, int, int]]:
-        """(item, distance, budget, places, start, end) of each item in a normal form."""
+        """(item, distance, budget, places, start, end) of each item in a normal form; the nearest place, then the first."""
         if not self.items or not text:
             return
+        spaced = b" " + text + b" "
         tried: dict[int, set[int]] = {}
-        for last, places in self.automaton.iter(text.decode("latin-1")):
+        for last, places in self.automaton.iter(spaced.decode("latin-1")):
             for n, piece_end in places:
                 tried.setdefault(n, set()).add(last + 1 - piece_end)
         for n, starts in tried.items():
             item, pattern, budget = self.items[n]
-            m, found, past = len(pattern), [], -1
-            for start in sorted(starts):
-                if start + m // 2 < past:  # within a passage that is already found
-                    continue
-                if start >= 0 and text.startswith(pattern, start):
-                    found.append((0, start, start + m))
-                    past = start + m
-                    continue
-                low = max(0, start - budget)
-                window = text[low : start + m + budget]
-                hit = edit_search(pattern, window, budget)
-                if hit:
-                    distance, end = hit
-                    back = edit_search(pattern[::-1], window[max(0, end - m - budget) : end][::-1], distance, anchored=True)
-                    found.append((distance, low + end - back[1], low + end))
-                    past = low + end
+            found = self._places(pattern, budget, spaced, sorted(starts))
             if found:
                 distance, start, end = min(found)
-                yield item, distance, budget, len(found), start, end
+                # back to the text without the added spaces, and to the stretch without those at its ends
+                start += spaced[start : start + 1] == b" "
+                end -= spaced[end - 1 : end] == b" "
+                yield item, distance, budget, len(found), start - 1, max(end, start) - 1
+
+    @staticmethod
+    def _places(pattern: bytes, budget: int, text: bytes, starts: list[int]) -> list[tuple[int, int, int]]:
+        """(distance, start, end) of all places that do not overlap, the unchanged ones first."""
+        m, found, past = len(pattern), [], 0
+        for start in starts:
+            if start >= past and text.startswith(pattern, start):
+                # the space at the end may be that at the beginning of the next place
+                found.append((0, start, start + m))
+                past = start + m - 1
+        taken, regions = found[:], []
+        for start in starts:
+            low, high = max(0, start - budget), min(len(text), start + m + budget)
+            if regions and low <= regions[-1][1]:
+                regions[-1][1] = high
+            else:
+                regions.append([low, high])
+        at = 0
+        for low, high in regions:
+            # what unchanged places leave of the region
+            while at < len(taken) and taken[at][2] <= low:
+                at += 1
+            k = at
+            while k < len(taken) and taken[k][1] < high:
+                found += _nearest(pattern, budget, text, low, taken[k][1] + 1)
+                low = taken[k][2] - 1
+                k += 1
+            found += _nearest(pattern, budget, text, low, high)
+        return found
+
+
+def _nearest(pattern: bytes, budget: int, text: bytes, low: int, high: int) -> list[tuple[int, int, int]]:
+    """The nearest stretch within ``text[low:high]`` and those on both sides of it, as far as they are within the budget."""
+    out, open_ = [], [(low, high)]
+    while open_:
+        low, high = open_.pop()
+        if high - low < len(pattern) - budget:
+            continue
+        window = text[low:high]
+        hit = edit_search(pattern, window, budget)
+        if hit:
+            distance, end = hit
+            begin = max(0, end - len(pattern) - budget)
+            back = edit_search(pattern[::-1], window[begin:end][::-1], distance, anchored=True)
+            start = end - back[1]
+            out.append((distance, low + start, low + end))
+            open_ += [(low, low + start + 1), (low + end - 1, high)] if start and end < high - low else [(low, low + start + 1)] if start else [(low + end - 1, high)] if end < high - low else []
+    return out
 
 
 _MATCHERS: dict[tuple, Matcher] = {}
@@ -167,10 +206,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
 
     blocks = _blocks(benchmark)
     out, following = over(next(blocks)), next(blocks, None)
+    if following is None:
+        return out
+    # each block's matches are written once, and put together at the end
+    parts = [stored(out, "matches")]
     while following is not None:
-        out = stored(out, "matches").union(stored(over(following), "matches"))
+        parts.append(stored(over(following), "matches"))
         following = next(blocks, None)
-    return out
+    return reduce(DataFrame.union, parts)
 
 
 def _shared(docs: DataFrame, block: list[Item], rate: float):

@@ -17,6 +17,7 @@ from __future__ import annotations
 import pickle
 import tempfile
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -138,8 +139,8 @@ class PatriciaTrie:
         for out, prefix in self.spills:
             with out:
                 out.seek(0)
-                # a subtree that is itself too large gets a larger allowance at each level, so this ends
-                below = PatriciaTrie(self.limit * 2)
+                # keys lose the prefix that they share, a byte at least, so a subtree that is itself too large ends, too
+                below = PatriciaTrie(self.limit)
                 try:
                     while True:
                         below.insert(*pickle.load(out))
@@ -229,14 +230,14 @@ def _rows_of_owners(batches: list[pa.RecordBatch]) -> tuple[pa.Table, list[bytes
     return rows.take(pa.array([at for at, _ in found], pa.int64())), [key for _, key in found]
 
 
-def _keep_here(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keep_here(batches: Iterable[pa.RecordBatch], added: tuple[str, str] = ("_length", "_hash")) -> Iterator[pa.RecordBatch]:
     """Drop rows that another row of the task beats, and add length and content hash; large tasks are taken in parts."""
     import hashlib
 
     def part(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, keys = _rows_of_owners(held)
         hashes = pa.array([int.from_bytes(hashlib.blake2b(k, digest_size=8).digest(), "little", signed=True) for k in keys], pa.int64())
-        yield from rows.append_column("_length", pa.array([len(k) for k in keys], pa.int64())).append_column("_hash", hashes).to_batches(max_chunksize=512)
+        yield from rows.append_column(added[0], pa.array([len(k) for k in keys], pa.int64())).append_column(added[1], hashes).to_batches(max_chunksize=512)
 
     held, size = [], 0
     for b in batches:
@@ -249,23 +250,23 @@ def _keep_here(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from part(held)
 
 
-def _keep_each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keep_each(batches: Iterable[pa.RecordBatch], added: tuple[str, str] = ("_length", "_hash")) -> Iterator[pa.RecordBatch]:
     """Owners among rows that come in order of length and hash; what is held is settled where a new hash begins."""
     held, size, last = [], 0, None
     for b in batches:
         if size > HELD_BYTES:
-            h = b.column("_hash").to_numpy()
+            h = b.column(added[1]).to_numpy()
             begins = 0 if h[0] != last else int((h != last).argmax()) or (len(h) if (h == last).all() else 0)
             if begins < b.num_rows:
                 if begins:
                     held.append(b.slice(0, begins))
-                yield from _rows_of_owners(held)[0].drop_columns(["_length", "_hash"]).to_batches(max_chunksize=512)
+                yield from _rows_of_owners(held)[0].drop_columns([*added]).to_batches(max_chunksize=512)
                 held, size, b = [], 0, b.slice(begins)
         held.append(b)
         size += b.nbytes
-        last = b.column("_hash")[b.num_rows - 1].as_py()
+        last = b.column(added[1])[b.num_rows - 1].as_py()
     if held:
-        yield from _rows_of_owners(held)[0].drop_columns(["_length", "_hash"]).to_batches(max_chunksize=512)
+        yield from _rows_of_owners(held)[0].drop_columns([*added]).to_batches(max_chunksize=512)
 
 
 def keep_owners(docs: DataFrame) -> DataFrame:
@@ -275,6 +276,8 @@ def keep_owners(docs: DataFrame) -> DataFrame:
     """
     bounded_batches(docs.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    here = docs.mapInArrow(released(_keep_here), f"{schema}, _length long, _hash long")
-    dealt = here.repartition("_length", "_hash").sortWithinPartitions("_length", "_hash")
-    return dealt.mapInArrow(released(_keep_each), docs.schema)
+    there = {c.lower() for c in docs.columns}
+    added = tuple(next(n for n in (f"_{name}{k or ''}" for k in range(len(there) + 1)) if n not in there) for name in ("length", "hash"))
+    here = docs.mapInArrow(released(partial(_keep_here, added=added)), f"{schema}, {added[0]} long, {added[1]} long")
+    dealt = here.repartition(*added).sortWithinPartitions(*added)
+    return dealt.mapInArrow(released(partial(_keep_each, added=added)), docs.schema)

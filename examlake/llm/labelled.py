@@ -34,6 +34,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held: Column
     return text.join(F.broadcast(chosen), "doc_id"), counts
 
 
+def fifths(y: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(calibrate, train): a fifth of each label's rows calibrates; where a label has under five, all rows do both."""
+    own = [rng.permutation(np.flatnonzero(y == k)) for k in (0, 1)]
+    if min(map(len, own)) < 5:
+        return np.arange(len(y)), rng.permutation(len(y))
+    return np.sort(np.concatenate([x[: len(x) // 5] for x in own])), rng.permutation(np.concatenate([x[len(x) // 5 :] for x in own]))
+
+
 def class_weights(y: np.ndarray, counts: dict[int, int]) -> np.ndarray:
     """Weights that give a sample the class shares of all labels."""
     out = np.ones(len(y))

@@ -71,6 +71,8 @@ def _gnu() -> list[Rule]:
             major, minor = version.split(".")
             number = f"{major} {minor}" if minor != "0" else f"{major}(?: 0)?"
             for later, suffix in (("-or-later", r" (?:or (?:at your option )?(?:any )?(?:later|newer)|and later)"), ("-only", " only"), ("", "")):
+                # the version may join the short name: gplv2, lgplv2.1, gpl3
+                made.append(Rule(1, f"{name}-{version}{later}", f" {short}", f" (?:gnu )?{short}v?{number}{suffix} "))
                 made.append(Rule(1, f"{name}-{version}{later}", "general public", f" (?:gnu )?{long} licen[sc]e{_V}{number}(?: of the licen[sc]e)?{suffix} "))
                 made.append(Rule(1, f"{name}-{version}{later}", short, f" (?:gnu )?{short}{_V}{number}{suffix} "))
         made.append(Rule(2, name, "general public", f" (?:gnu )?{long} licen[sc]e "))
@@ -83,7 +85,8 @@ def _gnu() -> list[Rule]:
 def _versioned() -> list[Rule]:
     """Families whose licences differ by version: label, keyword, pattern of the name, versions."""
     families = [
-        ("apache", "apache", f" apache(?: software)?{_LICENSE}|asl", ("1.0", "1.1", "2.0")),
+        ("apache", "apache", f" apache(?: software)?{_LICENSE}", ("1.0", "1.1", "2.0")),
+        ("apache", "asl", " asl", ("1.0", "1.1", "2.0")),
         ("mpl", "mozilla", f" mozilla{_LICENSE}", ("1.0", "1.1", "2.0")),
         ("mpl", "mpl", " mpl", ("1.0", "1.1", "2.0")),
         ("epl", "eclipse", f" eclipse{_LICENSE}", ("1.0", "2.0")),
@@ -114,7 +117,10 @@ def _versioned() -> list[Rule]:
         for version in versions:
             number = version.replace(".0", "(?: 0)?").replace(".", " ")
             made.append(Rule(1, f"{label}-{version}", keyword, f"(?:{name}){_V}{number} "))
-        made.append(Rule(2, label, keyword, f"(?:{name}) "))
+            if name == f" {keyword}":
+                made.append(Rule(1, f"{label}-{version}", f" {keyword}", f"{name}v?{number} "))
+        if keyword != "asl":  # three letters that stand for much else
+            made.append(Rule(2, label, keyword, f"(?:{name}) "))
     return made
 
 
@@ -163,8 +169,8 @@ def words(text: Column) -> Column:
 
 
 def _needle(keyword: str) -> str:
-    """A short keyword is a whole word; a longer one may stand anywhere, which is the quicker test."""
-    return f" {keyword} " if len(keyword) < 5 else keyword
+    """A short keyword is a whole word, or the beginning of one if it has a space before it; a longer one may stand anywhere."""
+    return keyword if keyword.startswith(" ") or len(keyword) >= 5 else f" {keyword} "
 
 
 def _count(spaced: Column) -> Column:
