@@ -212,31 +212,128 @@ def test_pitman_yor_without_anything_to_learn_from(docs):
     assert len(got) == 20 and all(r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) for r in got)
 
 
-def test_pitman_yor_probabilities_sum_to_one():
+def in_one_process(texts, learn, bits=2):
+    """The model's parts without Spark: (layout, counts, probabilities) of all texts' pairs."""
     import numpy as np
     import pyarrow as pa
 
-    seats = pitman_yor.token_keys(pa.array(["a b a c", "b b a", "c"]))[0]
-    keys, count = np.unique(seats, return_counts=True)
-    totals = np.bincount((seats & np.uint64(255)).astype(int), minlength=pitman_yor.CONTEXTS).astype(float)
-    words = np.unique(seats >> np.uint64(8))
-    every = np.unique((words[:, None] << np.uint64(8) | np.unique(seats & np.uint64(255))[None, :]).ravel())
-    full = np.zeros(len(every), np.int64)
-    full[np.searchsorted(every, keys)] = count
-    s = pitman_yor.Seating(every, full, totals, float(len(words)), 1)
-    for _ in range(4):
-        s.sweep()
+    py = pitman_yor
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(learn), pa.array([0] * len(texts)), pa.array([0] * len(texts))], names=["text", "learn", "range", "block"])
+    words = [r for b in py._counts(iter([batch])) for r in b.to_pylist() if r["kind"] == 0]
+    n, v = sum(r["n"] for r in words), len(words)
+    hot = sorted((r["a"], r["n"]) for r in words if r["n"] * py.HOT >= max(n, 1))
+    deal, hot_counts = py.Deal(bits, np.array([w for w, _ in hot], np.uint64)), np.array([c for _, c in hot], float)
+    customers = np.zeros(1 << py.context_bits())
+    for r in words:
+        customers[r["b"]] += r["n"]
+    asked = pa.Table.from_batches(list(py._requests(deal)(iter([batch]))))
+    replies = []
+    for bucket in sorted(set(asked["bucket"].to_pylist())):
+        own = asked.filter(pa.compute.equal(asked["bucket"], bucket))
+        replies += py._sample(deal, hot_counts, customers, v)(own).to_pylist()
+    sums, tables = np.zeros(py.SAMPLES * (py._PER + 2 * len(hot))), np.zeros((py.SAMPLES, len(customers)))
+    for r in replies:
+        if r["keys"] is not None:
+            np.add.at(sums, r["keys"], r["sums"])
+        if r["range"] is not None:
+            tables[:, r["range"] << py.RANGE_BITS : (r["range"] + 1) << py.RANGE_BITS] += py._dense(r["data"])
+    got, _, contexts, _ = py.tokens(pa.array(texts))
+    own = py.Layout(got, contexts, deal)
+    totals = py.Totals(n, v, deal, hot_counts, customers, tables, sums)
+    count, p = totals.probabilities(own, [py.unpacked(r["data"]) for r in replies if r["block"] is not None])
+    return totals, own, count, p
+
+
+@pytest.mark.parametrize("hot", [2048, 4])
+def test_pitman_yor_probabilities_sum_to_one(monkeypatch, hot):
+    import numpy as np
+
+    monkeypatch.setattr(pitman_yor, "HOT", hot)
+    words = "ab bc ca dd e".split()
+    learned = ["ab bc ca ab bc", "bc bc ab", "ca dd ab ab", "", "ab ab ab e"]
+    every = [f"{a} {b}" for a in words for b in words] + [""]
+    totals, own, _, p = in_one_process(learned + every, [True] * len(learned) + [False] * len(every))
     d, b = pitman_yor.DISCOUNT, pitman_yor.STRENGTH
-    t_ctx, t_par = np.bincount(s.ctx, s.t, 256), np.bincount(s.parent, s.pt, pitman_yor.PARENTS)
-    c_par = np.bincount(s.parent, s.pc, pitman_yor.PARENTS)
-    root = (s.rc - d * s.rt + (b + d * s.rt.sum()) / (len(words) + 1)) / (b + s.rc.sum())
-    middle = (s.pc - d * s.pt + (b + d * t_par)[s.parent] * root[s.parent_word]) / (b + c_par)[s.parent]
-    p = (s.count - d * s.t + (b + d * t_ctx)[s.ctx] * middle[s.parent_of]) / (b + totals)[s.ctx]
-    unknown = (b + d * s.rt.sum()) / (len(words) + 1) / (b + s.rc.sum())
-    for c in np.unique(s.ctx):
-        k = c % pitman_yor.PARENTS
-        rest = (b + d * t_ctx[c]) / (b + totals[c]) * (b + d * t_par[k]) / (b + c_par[k]) * unknown
-        assert math.isclose(p[s.ctx == c].sum() + rest, 1, rel_tol=1e-9)
+    for k in np.unique(own.context):
+        here = own.context == k
+        assert here.sum() == len(words) + 1
+        rest = 0
+        for s in range(pitman_yor.SAMPLES):
+            t_par, t_root = totals.sums[s * pitman_yor._PER : (s + 1) * pitman_yor._PER - 1], totals.sums[(s + 1) * pitman_yor._PER - 1]
+            root = (b + d * t_root) / (totals.vocabulary + 1) / (b + t_par.sum())
+            above = (b + d * t_par[k >> pitman_yor.WORD_BITS]) / (b + totals.parents[s][k >> pitman_yor.WORD_BITS]) * root
+            rest += (b + d * totals.tables[s][k]) / (b + totals.customers[k]) * above / pitman_yor.SAMPLES
+        assert math.isclose(p[here].sum() + rest, 1, rel_tol=1e-6)
+
+
+def plain_pitman_yor(texts, sweeps, burn):
+    """Mean probabilities of the texts' tokens under the same model, one customer at a time, in plain Python."""
+    import pyarrow as pa
+
+    d, b = pitman_yor.DISCOUNT, pitman_yor.STRENGTH
+    words, _, contexts, _ = pitman_yor.tokens(pa.array(texts))
+    seats = list(zip(words.tolist(), contexts.tolist(), strict=True))
+    v, rng = len(set(words.tolist())), random.Random(3)
+    above = lambda r: None if r == () else () if isinstance(r, str) else str(r >> pitman_yor.WORD_BITS)
+    tables, customers, n_tables = {}, Counter(), Counter()
+
+    def probability(r, w):
+        if r is None:
+            return 1 / (v + 1)
+        own = tables.get((r, w), [])
+        return (sum(own) - d * len(own) + (b + d * n_tables[r]) * probability(above(r), w)) / (b + customers[r])
+
+    def add(r, w):
+        if r is None:
+            return
+        own = tables.setdefault((r, w), [])
+        weights = [x - d for x in own] + [(b + d * n_tables[r]) * probability(above(r), w)]
+        k = rng.choices(range(len(weights)), weights)[0]
+        customers[r] += 1
+        if k == len(own):
+            own.append(1)
+            n_tables[r] += 1
+            add(above(r), w)
+        else:
+            own[k] += 1
+
+    def remove(r, w):
+        if r is None:
+            return
+        own = tables[r, w]
+        k = rng.choices(range(len(own)), own)[0]
+        own[k] -= 1
+        customers[r] -= 1
+        if not own[k]:
+            own.pop(k)
+            n_tables[r] -= 1
+            remove(above(r), w)
+
+    for w, c in seats:
+        add(c, w)
+    total = Counter()
+    for sweep in range(sweeps):
+        for w, c in seats:
+            remove(c, w)
+            add(c, w)
+        if sweep >= burn:
+            for w, c in set(seats):
+                total[w, c] += probability(c, w) / (sweeps - burn)
+    return [total[x] for x in seats]
+
+
+def test_pitman_yor_against_a_plain_sampler(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(17)
+    stems = [a + b for a in "abcdef" for b in "xyz"]
+    texts = [" ".join(stems[min(int(rng.expovariate(0.25)), 17)] for _ in range(25)) for _ in range(30)]
+    want = np.array(plain_pitman_yor(texts, 40, 10))
+    monkeypatch.setattr(pitman_yor, "SAMPLES", 20)
+    _, own, count, p = in_one_process(texts, [True] * len(texts), bits=1)
+    got = p[own.place]
+    assert abs(np.log10(got).mean() - np.log10(want).mean()) < 0.02
+    assert np.abs(np.log10(got) - np.log10(want)).mean() < 0.08
 
 
 def test_language_id(docs, rows, none):

@@ -99,7 +99,22 @@ def test_matcher_finds_all_within_the_budget():
             text[rng.randrange(len(text))] = ord("z")
         hits = list(matcher.find(b"some words " + bytes(text) + b" more"))
         assert len(hits) == 1 and hits[0][0] == 7 and hits[0][1] <= edits
+    # insertions, deletions and substitutions up to the whole budget
+    for trial in range(30):
+        text = bytearray(item)
+        for _ in range(budget):
+            at, kind = rng.randrange(1, len(text) - 1), rng.randrange(3)
+            text[at : at + (kind > 0)] = b"" if kind == 1 else b"z"
+        hits = list(matcher.find(b"some words " + bytes(text) + b" more"))
+        assert len(hits) == 1 and hits[0][1] <= budget and hits[0][3] == 1, trial
     assert not list(matcher.find(b"nothing of the kind " * 20))
+    # two places, the nearer one given; words of other words are none
+    near = bytearray(item)
+    near[5] = ord("z")
+    ((_, distance_, _, places, start, end),) = matcher.find(bytes(near) + b" and " + item)
+    assert (distance_, places) == (0, 2) and (bytes(near) + b" and " + item)[start:end] == item
+    short = decontaminate.Matcher([(1, b"art")], 0.07)
+    assert not list(short.find(b"the party starts")) and [h[3:] for h in short.find(b"art and art")] == [(2, 0, 3)]
     assert not list(decontaminate.Matcher([], 0.08).find(b"x"))
 
 
@@ -154,13 +169,23 @@ def test_tiles_join_what_pairs_join():
     assert links <= want and len(links) < 25 and parts(links) == parts(want)
 
 
-def test_seating_keeps_its_bounds_and_the_predictions_sum_to_one():
+def test_seating_keeps_its_bounds():
     rng = np.random.default_rng(0)
     customers = rng.integers(0, 500, 400)
-    tables = pitman_yor.seat(customers, np.full(400, 0.3), rng)
+    tables = pitman_yor.seat(customers, np.full(400, 30.0), np.full(400, 0.01), rng)
     assert (tables <= customers).all() and ((tables > 0) == (customers > 0)).all()
 
 
+def test_seating_in_groups_is_near_seating_one_by_one():
+    for others, dish in ((10.0, 0.3), (1000.0, 0.01), (1e5, 1e-4)):
+        grouped = pitman_yor.seat(np.full(2000, 4000), np.full(2000, others), np.full(2000, dish), np.random.default_rng(1))
+        tables, rng = np.ones(2000), np.random.default_rng(2)
+        for i in range(1, 4000):
+            fresh = (pitman_yor.STRENGTH + pitman_yor.DISCOUNT * (others + tables)) * dish
+            tables += rng.random(2000) < fresh / (i - pitman_yor.DISCOUNT * tables + fresh)
+        assert abs(grouped.mean() / tables.mean() - 1) < 0.01 and abs(grouped.std() / tables.std() - 1) < 0.1
+
+
 def test_arc_versions_and_bodies_that_look_like_headers():
     body = b"HTTP/1.1 200 OK\r\nX-Page-Id: 3\r\n\r\nfiledesc://x 0.0.0.0 1 text/plain 99\nWARC/1.1\r\n"
     for version, extra in ((1, ""), (2, " 200 - - 0 f.arc")):
