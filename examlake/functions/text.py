@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,115 +18,67 @@ def _fold_table() -> tuple[str, str]:
 
 
 _FROM, _TO = _fold_table()
-_CONTROL = "".join(map(chr, [*range(0, 9), 11, 12, *range(14, 32), 127]))
-
-#: marks that don't count when answers are compared
-PUNCTUATION = ",.;:!?，。；：！？、"
-#: units that may follow a number
-UNITS = ["m", "cm", "mm", "km", "s", "ms", "kg", "g", "N", "J", "W", "V", "A", "Hz", "m/s", "m/s^2", "km/h", "rad/s", "C", "T", "Pa", "K"]
+_CONTROL = "".join(map(chr, [*range(9), *range(11, 32)]))
 
 
 def normalize(text: Column) -> Column:
-    """Fold compatibility ideographs and the wide space, drop control characters other than tab and line ends."""
+    """Fold compatibility ideographs and the wide space, drop control characters other than tab and line feed."""
     return F.translate(F.translate(text, _FROM, _TO), _CONTROL, "")
 
 
-def norm_text(text: Column) -> Column:
-    """Trimmed, upper case, without punctuation, wide letters and digits narrow."""
-    wide = "".join(map(chr, range(0xFF01, 0xFF5F)))
-    narrow = "".join(map(chr, range(0x21, 0x7F)))
-    return F.translate(F.upper(F.trim(F.translate(text, wide, narrow))), PUNCTUATION, "")
-
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.transform(F.array(value), use)[0]
 
-def as_choice(text: Column) -> Column:
-    """T4: the distinct letters A to D in order, if there is nothing else."""
-    t = F.regexp_replace(norm_text(text), r"\s+", "")
-    letters = F.array_join(F.array_sort(F.array_distinct(F.split(t, ""))), "")
-    return F.when(t.rlike("^[ABCD]+$"), letters)
 
+def find_all(text: Column, pattern: str) -> Column:
+    """array<struct<at, hit>>: every match of a pattern and where it begins, from 0. U+0001 must not stand in the text."""
+    parts = F.split(F.regexp_replace(text, pattern, "\u0001$0\u0001"), "\u0001", -1)
+    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.lit([]).cast("array<struct<at:int,hit:string>>").alias("out"))
 
-_NUMBER = r"^\s*([+-]?\d+(?:\.\d+)?)"
+    def step(acc: Column, x: Column) -> Column:
+        out = F.when(acc["inside"], F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), x.alias("hit"))))).otherwise(acc["out"])
+        return F.struct((acc["at"] + F.length(x)).alias("at"), (~acc["inside"]).alias("inside"), out.alias("out"))
 
+    return F.aggregate(parts, zero, step, lambda acc: acc["out"])
 
-def lead_number(text: Column) -> Column:
-    """The number that a text begins with: powers of ten, fractions and decimals; null for a zero below."""
-    base = F.regexp_extract(text, _NUMBER, 1).try_cast("double")
-    power = F.regexp_extract(text, _NUMBER + r"\s*(?:×|\*|x)\s*10\^\{?([+-]?\d+)\}?", 2)
-    exponent = F.regexp_extract(text, _NUMBER + r"[eE]([+-]?\d+)", 2)
-    below = F.regexp_extract(text, r"^\s*[+-]?\d+\s*/\s*(\d+)", 1)
-    return (
-        F.when(power != "", base * F.pow(F.lit(10.0), power.try_cast("double")))
-        .when(exponent != "", base * F.pow(F.lit(10.0), exponent.try_cast("double")))
-        .when(below != "", F.try_divide(base, below.try_cast("double")))
-        .otherwise(base)
-    )
 
+_BETWEEN_CJK = r"(?<=[\u4e00-\u9fff])[ \u3000]+(?=[\u4e00-\u9fff])"
 
-def unit(text: Column) -> Column:
-    """What follows the number, case kept, if it is a known unit; empty without one; null if unknown."""
-    tail = F.trim(F.regexp_replace(text, _NUMBER + r"(?:\s*(?:×|\*|x)\s*10\^\{?[+-]?\d+\}?|[eE][+-]?\d+|\s*/\s*\d+)?", ""))
-    return F.when((tail == "") | tail.isin(UNITS), tail)
 
+def _strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
-def same_value(a: Column, b: Column) -> Column:
-    """Equal within a millionth of the larger."""
-    return F.abs(a - b) <= 1e-6 * F.greatest(F.abs(a), F.abs(b), F.lit(1e-12))
 
+def clean_stem(text: Column) -> Column:
+    """Blanks and empty lines collapsed, no slash that stands on a line of its own, at the beginning or at the end, no
+    space between ideographs; line ends stay."""
+    t = F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n{2,}", "\n")
+    t = F.regexp_replace(F.regexp_replace(t, r"(?md)^\s*/\s*$", ""), _BETWEEN_CJK, "")
+    return _strip(F.regexp_replace(F.regexp_replace(t, r"\s*/\s*$", ""), r"^\s*/\s*", ""))
 
-def norm_expr(text: Column) -> Column:
-    """A formula in one spelling: no dollar signs or spaces, text commands unwrapped, short exponents without braces."""
-    t = F.regexp_replace(text, r"\\(?:text|mathrm|mathbf|operatorname)\{([^{}]*)\}", "$1")
-    t = F.regexp_replace(F.regexp_replace(t, r"\\[dt]frac", r"\\frac"), r"\^\{(\w)\}", r"^$1")
-    return F.regexp_replace(F.translate(t, "$", ""), r"\s+", "")
 
+# fixed values: what flattened formulas look like, and the functions whose arguments look alike
+FLAT = r"[A-Za-zΩωπρμ]\s?[0-9]{2,}|\][0-9]+|[0-9]+[A-Za-z]{1,2}[0-9]+"
+_TRIG = r"^(sin|cos|tan|cot|sec|csc)\s?[0-9]"
 
-def blanks(text: Column) -> Column:
-    """The parts of an answer to several blanks."""
-    return F.filter(F.transform(F.split(text, "/"), F.trim), lambda x: x != "")
 
+def text_quality(stem: Column, options: Column) -> Column:
+    """struct<grade, reason>: whether a question's text can be used. ``options`` is array<struct<text, figure boolean>>.
 
-def _single(student: Column, ref: Column) -> Column:
-    """One blank: choice letters, then numbers with units, then formulas or words; null where it cannot be told."""
-    a, b = as_choice(student), as_choice(ref)
-    x, y, u, v = lead_number(student), lead_number(ref), unit(student), unit(ref)
-    numbers = x.isNotNull() & y.isNotNull() & u.isNotNull() & v.isNotNull()
-    p, q = norm_text(norm_expr(student)), norm_text(norm_expr(ref))
-    long = (F.length(q) > 20) | (F.length(p) > 3 * F.length(q))
-    return (
-        F.when(b.isNotNull(), F.when(a.isNotNull(), a == b))
-        .when(numbers, F.when(~same_value(x, y), F.lit(False)).when((u == v) | (u == "") | (v == ""), F.lit(True)).otherwise(F.lit(None).cast("boolean")))
-        .when(p == q, F.lit(True))
-        .when(long | ~q.rlike("[A-Z]"), F.lit(None).cast("boolean"))
-        .otherwise(F.lit(False))
+    Options that are all figures are fine; four flattened formulas, or options without text, are ``degraded``; one flattened
+    formula is ``suspect``.
+    """
+    texts = F.transform(options, lambda o: o["text"])
+    empty = F.size(F.filter(texts, lambda t: F.trim(t) == ""))
+    some, nearly = F.size(options) > 0, empty >= F.size(options) - 1
+    grade = lambda g, why: F.struct(F.lit(g).alias("grade"), F.lit(why).alias("reason"))
+    return let(
+        F.regexp_count(F.concat(stem, F.lit(" "), F.array_join(texts, " ")), F.lit(FLAT)),
+        lambda hits: F.when(some & F.forall(options, lambda o: F.coalesce(o["figure"], F.lit(False))) & nearly, grade("ok", "figures")).when(hits >= 4, grade("degraded", "flattened")).when(some & nearly, grade("degraded", "no option text")).when(hits > 0, grade("suspect", "indices lost")).otherwise(grade("ok", "")),
     )
 
 
-def judge(student: Column, ref: Column) -> Column:
-    """Right, wrong, or null where it cannot be told; blanks are judged one by one, all right or any wrong."""
-    xs, ys = blanks(student), blanks(ref)
-    several = (F.size(ys) > 1) & ~ref.rlike(r"^\s*[+-]?\d+\s*/\s*\d+")
-    each = F.zip_with(xs, ys, _single)
-    all_of = F.when(F.exists(each, lambda x: x == F.lit(False)), F.lit(False)).when(F.forall(each, lambda x: F.coalesce(x, F.lit(False))), F.lit(True))
-    empty = (F.trim(F.coalesce(student, F.lit(""))) == "") | (F.trim(F.coalesce(ref, F.lit(""))) == "")
-    return F.when(empty, F.lit(None).cast("boolean")).when(several, F.when(F.size(xs) == F.size(ys), all_of)).otherwise(_single(student, ref))
-
-
-def verdict_of_score(got: Column, full: Column) -> Column:
-    """Right, partial or wrong by points; null without a positive full score."""
-    return F.when(got.isNull() | full.isNull() | (full <= 0), None).when(got >= full, "right").when(got <= 0, "wrong").otherwise("partial")
-
-
-def clean_stem(text: Column) -> Column:
-    """Single spaces, no page marks such as 3/12 on lines of their own."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?m)^\s*\d+\s*/\s*\d+\s*$", " "), r"\s+", " "))
-
-
-def text_quality(text: Column, flat: str, missing: Column) -> Column:
-    """Ok, suspect or degraded by how often a pattern of flattened formulas is found."""
-    hits = F.regexp_count(text, F.lit(flat))
-    return F.when((hits >= 4) | missing, "degraded").when(hits >= 1, "suspect").otherwise("ok")
-
-
 def balanced(text: Column) -> Column:
     """Round brackets, narrow or wide, never close before they open, and all close."""
     marks = F.split(F.regexp_replace(F.translate(text, "（）", "()"), r"[^()]", ""), "")
@@ -196,32 +149,50 @@ def split_answers(zone: Column, marker: str) -> Column:
     return F.when(rising, pairs)
 
 
-def decide(got: Column, full: Column, mark: Column, answer_verdict: Column, answer: Column, readable: Column) -> Column:
-    """Points beat marks, marks beat the answer; without any, blank or, where it could not be read, unsure."""
-    scored = verdict_of_score(got, full)
-    marked = F.when(mark == "tick", "right").when(mark == "cross", "wrong").when(mark == "half", "partial")
-    judged = F.when(answer_verdict, "right").when(~answer_verdict, "wrong")
-    blank = F.trim(F.coalesce(answer, F.lit(""))) == ""
-    return F.coalesce(scored, marked, judged, F.when(blank & F.coalesce(readable, F.lit(False)), "blank").otherwise("unsure"))
+# fixed values: how options are marked, the surest first
+_OPTION_MARKS = (r"(?:^|[\s\u3000\u00a0])([ABCD])\s*[.．]\s*", r"([ABCD])\s*[.．]\s*", r"(?:^|[\s\u3000\u00a0])([ABCD])\s*[、]\s*", r"([ABCD])\s*[.．、]\s*")
+
+
+def _four_marks(stem: Column, marker: str) -> Column:
+    """array<struct<at, end, key>> of the first four marks in a row that are A to D in any order; null without them."""
+    marks = F.transform(find_all(stem, marker), lambda h: F.struct(h["at"].alias("at"), (h["at"] + F.length(h["hit"])).alias("end"), F.regexp_extract(h["hit"], marker, 1).alias("key")))
+
+    def four(m: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(m) - 3, F.lit(1))), lambda i: F.array_join(F.array_sort(F.transform(F.slice(m, i, F.lit(4)), lambda x: x["key"])), "") == "ABCD")
+        return F.when(F.size(starts) > 0, F.slice(m, F.get(starts, F.lit(0)), F.lit(4)))
+
+    return let(marks, four)
+
+
+def split_options(stem: Column) -> Column:
+    """struct<body, options> with the texts of options A to D in order, whatever order they stand in; the stem alone, as
+    it is, where four marks in a row cannot be found."""
+
+    def cut(text: Column, four: Column) -> Column:
+        bounds = F.transform(four, lambda m, i: F.struct(m["key"].alias("key"), m["end"].alias("from"), F.coalesce(F.get(four, i + 1)["at"], F.length(text)).alias("to")))
+        clean = lambda t: F.regexp_replace(_strip(F.regexp_replace(_strip(t), r"\s*/\s*$", "")), _BETWEEN_CJK, "")
+        texts = F.transform(F.array_sort(bounds), lambda b: clean(F.substring(text, b["from"] + 1, b["to"] - b["from"])))
+        return F.struct(_strip(F.substring(text, F.lit(1), F.get(four, F.lit(0))["at"])).alias("body"), texts.alias("options"))
 
+    def chosen(text: Column) -> Column:
+        four = F.coalesce(*[_four_marks(text, m) for m in _OPTION_MARKS])
+        whole = F.struct(text.alias("body"), F.lit([]).cast("array<string>").alias("options"))
+        return let(four, lambda f: F.when(f.isNotNull(), cut(text, f)).otherwise(whole))
 
-def split_options(stem: Column, marker: str = r"(?:^|\s)([A-D])[.．、]\s*") -> Column:
-    """struct<body, options> where the first four markers in a row are A, B, C and D; else the stem alone."""
-    keys = F.regexp_extract_all(stem, F.lit(marker), F.lit(1))
-    parts = F.split(stem, marker, -1)
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(keys) - 3, F.lit(1))), lambda i: F.array_join(F.slice(keys, i, F.lit(4)), "") == "ABCD")
-    first = F.element_at(starts, 1).cast("int")
-    body = F.trim(F.array_join(F.slice(parts, F.lit(1), first), " "))
-    options = F.transform(F.slice(parts, first + 1, F.lit(4)), lambda x: F.trim(x))
-    found = (F.size(keys) >= 4) & (F.size(starts) > 0)
-    return F.when(found, F.struct(body.alias("body"), options.alias("options"))).otherwise(F.struct(F.trim(stem).alias("body"), F.array().cast("array<string>").alias("options")))
+    return let(stem, chosen)
 
 
-def coverage_note(source: Column, read: Column) -> Column:
-    """What a reading lacks of its source: length, or different characters; null if it will do."""
-    a, b = F.array_distinct(F.split(source, "")), F.array_distinct(F.split(read, ""))
-    share = F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.lit(1))
-    return F.when(F.length(read) < 0.85 * F.length(source), "short").when(share < 0.75, "different")
+def coverage_note(source: Column, read: Column, blocks: Column | None = None) -> Column:
+    """What a reading lacks of its source, by ideographs alone: ``blocks`` if one of its blocks has under 80 % of its source's
+    length, ``short`` under 85 % in all, ``different`` under 75 % of the source's different ideographs; null if it will do.
+
+    ``blocks`` is array<struct<source int, read int>> of lengths.
+    """
+    a, b = cjk_only(source), cjk_only(read)
+    some, those = F.array_distinct(F.filter(F.split(a, ""), lambda c: c != "")), F.split(b, "")
+    share = F.size(F.array_intersect(some, those)) / F.greatest(F.size(some), F.lit(1))
+    lacking = F.lit(False) if blocks is None else F.coalesce(F.exists(blocks, lambda x: (x["source"] > 0) & (x["read"] < 0.8 * x["source"])), F.lit(False))
+    return F.when(lacking, "blocks").when(F.length(b) < 0.85 * F.greatest(F.length(a), F.lit(1)), "short").when(share < 0.75, "different")
 
 
 def first_object(text: Column, schema: str) -> Column:
@@ -232,7 +203,7 @@ def first_object(text: Column, schema: str) -> Column:
 
 def norm_tex(text: Column) -> Column:
     """Bracketed formulas as dollar signs."""
-    return F.regexp_replace(text, r"\\\(|\\\)|\\\[|\\\]", r"\\$")
+    return F.regexp_replace(text, r"\\[()\[\]]", r"\$")
 
 
 def tex_spans(text: Column) -> Column:
@@ -281,19 +252,10 @@ def splice(text: Column, segments: Column) -> Column:
     return F.aggregate(F.array_sort(segments), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
-def wordy(text: Column) -> Column:
-    """Has no ASCII letter, so it is words of another script or signs."""
-    return ~text.rlike("[A-Za-z]")
-
-
-def answers_agree(a: Column, b: Column) -> Column:
-    """Two answers agree, differ, or cannot be told apart (null), whichever is taken as the reference."""
-    return F.coalesce(judge(a, b), judge(b, a))
-
-
-def flat_hits(text: Column, flat: str = r"[a-z]\d|\d[a-z]", but: str = r"(?:sin|cos|tan|log|ln)\s*\d*[a-z]?") -> Column:
-    """Matches of flattened formulas, those that are a function and its argument left out."""
-    return F.regexp_count(F.regexp_replace(text, but, " "), F.lit(flat))
+def flat_hits(text: Column) -> Column:
+    """How many flattened formulas a text has, those left out that are a function and its argument."""
+    trig = lambda h: F.substring(text, F.greatest(h["at"] - 1, F.lit(1)), F.lit(6)).rlike(_TRIG)
+    return F.size(F.filter(find_all(text, FLAT), lambda h: ~trig(h)))
 
 
 def width(text: Column, size: Column) -> Column:
@@ -376,3 +338,9 @@ def cut_reason(share: Column, contrast: Column) -> Column:
 def valid_answer(value: Column, domain: list[str]) -> Column:
     """A value of a domain, or nothing; anything else raises an error when it is read."""
     return F.when(value.isNull() | value.isin(domain), value).otherwise(F.raise_error(F.concat(F.lit("not in the domain: "), value)))
+
+
+def page_path(path: Column, name: Column, n: Column) -> Column:
+    """Whether a path is that of page ``n`` of a name, leading zeros allowed, with any ending of letters."""
+    found = lambda k: F.regexp_extract(path, r"^(.*)/p-0*([0-9]+)\.[a-z]+$", k)
+    return (found(1) == name) & (found(2).try_cast("long") == n)

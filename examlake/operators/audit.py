@@ -21,26 +21,6 @@ def audit(found: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return per.join(total, how="cross").select("kind", "n_findings", "n_flagged", F.round(F.col("n_flagged") * 100.0 / F.col("total"), 4).alias("percent"))
 
 
-def detect(candidates: DataFrame, by: str, score: str, order: str) -> DataFrame:
-    """The candidate with the best score, the first in order at a tie."""
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc_nulls_last(score), order))
-    return candidates.withColumn("_k", rank).where("_k = 1").drop("_k")
-
-
-def readouts(texts: DataFrame, by: str, text: Column, pattern: str, top: int = 4) -> DataFrame:
-    """The names that texts mention most, by name at a tie."""
-    named = texts.select(by, F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("name"))
-    per = named.groupBy(by, "name").agg(F.count("*").alias("n"))
-    return per.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), "name"))).where(F.col("rank") <= top)
-
-
-def fail_digest(logs: DataFrame, by: str, text: str) -> DataFrame:
-    """Failures by layer among the lines of a log."""
-    lines = logs.select(by, F.explode(F.split(text, "\n")).alias("line"))
-    layer = F.regexp_extract("line", r"^FAIL (L\d)", 1)
-    return lines.select(by, layer.alias("layer")).where("layer <> ''").groupBy(by, "layer").agg(F.count("*").alias("n"))
-
-
 def changed_characters(texts: DataFrame, before: Column, after: Column) -> DataFrame:
     """Each character that a translation changes, what to, and how often it stands."""
     chars = texts.select(F.explode(F.arrays_zip(F.split(before, "").alias("a"), F.split(after, "").alias("b"))).alias("c"))

@@ -20,31 +20,6 @@ def latest_nonempty(parents: DataFrame, sheets: DataFrame, answers: DataFrame) -
     return parents.join(found, "paper_id", "left").select("paper_id", "latest_sheet")
 
 
-def bind(sheet: DataFrame, reference: DataFrame, key: str, n: str) -> DataFrame:
-    """A sheet's numbers against the reference's, compared as sets per key."""
-    per = lambda d, name: d.groupBy(key).agg(F.array_sort(F.collect_set(n)).alias(name))
-    both = per(sheet, "have").join(per(reference, "want"), key, "left")
-    extra, missing = F.size(F.array_except("have", "want")), F.size(F.array_except("want", "have"))
-    state = F.when(F.col("want").isNull(), "unknown").when((extra == 0) & (missing == 0), "bound").when(extra == 0, "partial").otherwise("mismatch")
-    return both.select(key, F.size("have").alias("n_have"), state.alias("state"), F.when(F.col("want").isNotNull(), missing).alias("n_missing"))
-
-
-def spread(values: DataFrame, known: DataFrame, value: str) -> DataFrame:
-    """A value for a number itself wins; else that of its main number goes to all its parts (n >= 100: n div 100)."""
-    main = F.when(F.col("n") >= 100, (F.col("n") / 100).cast("long")).otherwise(F.col("n"))
-    own = values.select(F.col("n"), F.col(value).alias("_own"))
-    whole = values.where("n < 100").select(F.col("n").alias("_main"), F.col(value).alias("_whole"))
-    return known.withColumn("_main", main).join(own, "n", "left").join(whole, "_main", "left").select("n", F.coalesce("_own", "_whole").alias(value))
-
-
-def merge_reads(a: DataFrame, b: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """Two readings of the same rows, field by field: what is not blank, the first where both are; conflicts named."""
-    x, y = a.select(*keys, *[F.col(f).alias(f"a_{f}") for f in fields]), b.select(*keys, *[F.col(f).alias(f"b_{f}") for f in fields])
-    both = x.join(y, list(keys), "full")
-    clash = F.array_join(F.array_compact(F.array(*[F.when(F.col(f"a_{f}") != F.col(f"b_{f}"), F.lit(f)) for f in fields])), ",")
-    return both.select(*keys, *[F.coalesce(f"a_{f}", f"b_{f}").alias(f) for f in fields], clash.alias("conflicts"))
-
-
 def as_of(rows: DataFrame, marks: DataFrame, by: Sequence[str], at: str, value: str) -> DataFrame:
     """The nearest mark at or before each row, by one ordered pass over both.
 

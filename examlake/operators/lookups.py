@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,13 +35,6 @@ def child_count(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
     return parents.join(children.groupBy(key).agg(F.count("*").alias("_n")), key, "left").withColumn("n_children", F.coalesce("_n", F.lit(0))).drop("_n")
 
 
-def mode_of(rows: DataFrame, modes: DataFrame, kind: str, default: str) -> DataFrame:
-    """the mode of each row's kind; a row without a kind, or with an unknown one, has the default's."""
-    known = modes.select(F.col(kind).alias("_kind"), "mode")
-    other = rows.join(known, F.coalesce(F.col(kind), F.lit(default)) == F.col("_kind"), "left").drop("_kind")
-    return other.withColumn("mode", F.coalesce("mode", F.lit(default)))
-
-
 def sheet_detail(answers: DataFrame, questions: DataFrame, vocabulary: DataFrame, codes: str) -> DataFrame:
     """Answers with their question and the names of its codes, known ones alone, in the question's order."""
     named = questions.select("question_id", F.posexplode_outer(codes).alias("_i", "code")).join(vocabulary, "code", "left").where("name IS NOT NULL")
@@ -78,26 +72,81 @@ def intruders(elements: DataFrame, text: str, x0: float, x1: float, y0: float, y
     return elements.where(F.exists(pairs, lambda p: point(p, 1).between(x0, x1) & point(p, 2).between(y0, y1)))
 
 
-def lint(assertions: DataFrame, spec: str) -> DataFrame:
-    """What is wrong with a set of assertions, one row for each fault: (spec, id, fault)."""
-    e = F.col("expr")
-    faults = F.array_compact(F.array(
-        F.when(F.coalesce(F.col("report"), F.lit("")) == "", "no report"),
-        F.when(~e.rlike("[<>]|==|!="), "no comparison"),
-        F.when(e.rlike(r"(==|!=|[<>]=?)\s*0(?![.\d])") & ~e.rlike(r"(==|!=|[<>]=?+)\s*+(?!0(?![.\d]))"), "only against 0"),
-        F.when(~e.rlike(r"diff|std"), "no diff or std"),
-        F.when(~F.contains(e, F.lit("[-1]")), "end not tested"),
-    ))
-    own = assertions.select(spec, "id", F.explode(faults).alias("fault"))
-    twice = assertions.groupBy(spec, "id").agg(F.count("*").alias("n")).where("n > 1").select(spec, "id", F.lit("duplicate id").alias("fault"))
-    return own.unionByName(twice)
-
-
 def reading_order(runs: DataFrame, page: str, tolerance: float = 3.0) -> DataFrame:
     """W4, for pages of plain lines: lines are islands of runs whose baselines are near each other, read left to right."""
-    from pyspark.sql import Window
-
     line = Window.partitionBy(page).orderBy(F.desc("y"), "x")
     begun = runs.withColumn("_new", F.when(F.coalesce(F.lag("y").over(line) - F.col("y") <= tolerance, F.lit(False)), 0).otherwise(1))
     rows = begun.withColumn("line", F.sum("_new").over(line)).drop("_new")
     return rows.withColumn("order", F.row_number().over(Window.partitionBy(page).orderBy("line", "x", F.desc("y"))))
+
+
+def list_papers(papers: DataFrame, children: Mapping[str, DataFrame], key: str, updated: Sequence[Column]) -> DataFrame:
+    """Papers with the number of rows of each child table, 0 without any, and the latest of some times.
+
+    ``updated`` are aggregates over the first child table. Each child is counted before it is joined.
+    """
+    out = papers
+    for i, (name, child) in enumerate(children.items()):
+        per = child.groupBy(key).agg(F.count("*").alias(name), *([F.greatest(*updated, updated[0]).alias("updated_at")] if i == 0 and updated else []))
+        out = out.join(per, key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out
+
+
+def stat(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """A4: the number of rows of each table."""
+    each = [t.agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows") for n, t in tables.items()]
+    return reduce(DataFrame.unionAll, each)
+
+
+def freshness(assembled: Column, *parts: Column) -> Column:
+    """struct<changed, fresh>: the latest change of any part, nulls passed over, and whether it is not after assembly."""
+    changed = F.greatest(*parts)
+    return F.struct(changed.alias("changed"), (assembled >= changed).alias("fresh"))
+
+
+def section_stats(rows: DataFrame, section: Column, kind: Column, points: str) -> DataFrame:
+    """Questions, points and minutes (three quarters of the points, rounded) by section, or by type where there is none."""
+    return rows.groupBy(F.coalesce(section, kind, F.lit("...")).alias("section")).agg(F.count("*").alias("n"), F.sum(points).alias("points"), F.round(F.sum(points) * 0.75).cast("long").alias("minutes"))
+
+
+def chapters(chapters: DataFrame, entries: DataFrame, chapter: str, entry: str, order: Sequence[str]) -> DataFrame:
+    """Entries per chapter with the chapter's place in a given order, 0 for others; chapters without entries count 0."""
+    at = F.array_position(F.array(*map(F.lit, order)), F.col(chapter))
+    return chapters.join(entries.groupBy(chapter).agg(F.count(entry).alias("_n")), chapter, "left").select(chapter, F.coalesce("_n", F.lit(0)).alias("n"), at.alias("position"))
+
+
+def seam(rows: DataFrame, by: str, order: str, value: str, drop: float = 40.0) -> DataFrame:
+    """The lowest value of the middle third, the first at a tie, and whether it is a seam: so far below the median."""
+    whole = Window.partitionBy(by)
+    k, n = F.row_number().over(whole.orderBy(order)), F.count("*").over(whole)
+    third = rows.withColumn("_in", (k * 3 > n) & (k * 3 <= 2 * n))
+    per = third.groupBy(by).agg(F.min(F.when(F.col("_in"), F.struct(value, order))).alias("_m"), F.median(value).alias("median"))
+    return per.select(by, F.col(f"_m.{order}").alias("at"), "median", (F.col("median") - F.col(f"_m.{value}") >= drop).alias("seam"))
+
+
+def band_contrast(rows: DataFrame, by: str, inside: Column, value: str) -> DataFrame:
+    """Mean inside a band less mean outside, 0 where nothing is outside."""
+    mean = lambda c: F.avg(F.when(c, F.col(value)))
+    return rows.groupBy(by).agg(F.coalesce(mean(inside) - mean(~inside), F.lit(0.0)).alias("contrast"))
+
+
+def with_latest(parents: DataFrame, satellites: DataFrame, key: str, order: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """Each parent with fields of its latest satellite, null without one."""
+    last = satellites.groupBy(key).agg(F.max(F.struct(*order, *[f for f in fields if f not in order])).alias("_s"))
+    return parents.join(last, key, "left").select(*parents.columns, *[F.col(f"_s.{f}").alias(f) for f in fields])
+
+
+def fresh_rows(wanted: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Wanted rows that are stored under the same keys and digests."""
+    return wanted.join(stored.select(*keys), list(keys), "left_semi")
+
+
+def filter_counts(rows: DataFrame, by: str, filters: Mapping[str, Column]) -> DataFrame:
+    """How many rows each named filter lets through, all in one pass."""
+    return rows.groupBy(by).agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in filters.items()])
+
+
+def landing(sheets: DataFrame, answers: DataFrame, by: str, key: str, order: Sequence[Column]) -> DataFrame:
+    """K5: each parent's first sheet with an answer, in a given order."""
+    some = sheets.join(answers.select(key).distinct(), key, "left_semi")
+    return some.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where("_k = 1").select(by, key)

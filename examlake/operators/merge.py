@@ -49,18 +49,6 @@ def exclusive(solutions: DataFrame, failures: DataFrame, key: str, order: str) -
     return both.groupBy(key).agg(F.max(F.struct(order, "_s")).alias("m")).select(key, F.when(F.col("m._s") == 1, "solution").otherwise("failure").alias("kind"), F.col(f"m.{order}").alias(order))
 
 
-def teacher_override(answers: DataFrame, verdict: Column, given: Column) -> DataFrame:
-    """A teacher's verdict sets the score: right the full one, wrong none, partial what is given; null takes it back."""
-    score = F.when(verdict == "right", F.col("score_full")).when(verdict == "wrong", F.lit(0)).when(verdict == "partial", given)
-    return answers.withColumn("teacher_verdict", verdict).withColumn("teacher_score_got", score.cast("decimal(18,4)"))
-
-
-def first_answer_all_solutions(rows: DataFrame, key: str, order: str, answer: str, solution: str) -> DataFrame:
-    """Of repeated numbers the first answer counts; solutions are put one after another."""
-    kept = F.array_sort(F.collect_list(F.struct(F.col(order), F.col(answer), F.col(solution))))
-    return rows.groupBy(key).agg(kept.alias("k")).select(key, F.col("k")[0][answer].alias(answer), F.array_join(F.transform("k", lambda x: x[solution]), " ").alias(solution))
-
-
 def resolved(rows: DataFrame, vocabulary: DataFrame, key: str, order: str, alias: str, why: str, most: int = 3) -> DataFrame:
     """Codes that the vocabulary knows, with a reason, once each, at most ``most`` by order; why is cut to 80."""
     known = rows.where(F.trim(why) != "").join(vocabulary, alias).select(key, order, "code", F.left(F.trim(F.col(why)), F.lit(80)).alias(why))

@@ -43,24 +43,6 @@ def progress(parents: DataFrame, children: DataFrame, key: str, counts: dict[str
     return parents.join(per, key, "left").select(key, *[F.coalesce(n, F.lit(0)).alias(n) for n in counts], last.alias("last_change"), idle.alias("idle_seconds"), (idle < 180).alias("busy"))
 
 
-def stage(progress: DataFrame, key: str) -> DataFrame:
-    """the first stage that is not finished, tested in order."""
-    n, solved, failed, labels, picked, specs, drafts, tried = (F.col(c) for c in ("questions", "solved", "failed", "labels", "picked", "specs", "drafts", "tried"))
-    tests = [("solve", solved + failed < n, solved + failed, n), ("outline", labels < solved, labels, solved), ("pick", picked < solved, picked, solved), ("spec", specs < picked, specs, picked), ("review", drafts > 0, specs - drafts, specs), ("scene", tried < specs, tried, specs)]
-    code, done, total = F.lit("done"), n, n
-    for name, open_, a, b in reversed(tests):
-        code, done, total = F.when(open_, name).otherwise(code), F.when(open_, a).otherwise(done), F.when(open_, b).otherwise(total)
-    return progress.select(key, code.alias("stage"), done.alias("done"), total.alias("total"))
-
-
-def checksum(answers: DataFrame, totals: DataFrame, key: str, tolerance: float = 0.01) -> DataFrame:
-    """Sum of points against the printed total: ok, off, or unknown where a point or the total is missing."""
-    per = answers.groupBy(key).agg(F.sum("score_got").alias("got"), F.count_if(F.col("score_got").isNull()).alias("unscored"))
-    off = F.abs(F.col("got") - F.col("total"))
-    state = F.when(F.col("total").isNull() | F.col("got").isNull() | (F.col("unscored") > 0), "unknown").when(off <= tolerance, "ok").otherwise("off")
-    return totals.join(per, key, "left").select(key, F.col("got").cast("double").alias("got"), F.col("total").cast("double").alias("total"), state.alias("state"))
-
-
 def full_score(answers: DataFrame, key: str) -> DataFrame:
     """Sum of full scores, only if none is missing and the sum is positive."""
     total = F.when((F.count_if(F.col("score_full").isNull()) == 0) & (F.sum("score_full") > 0), F.sum("score_full"))
@@ -74,23 +56,6 @@ def boilerplate(boxes: DataFrame, page: str, box: Sequence[str], within: Sequenc
     return per.join(pages, list(within)).where(F.col("n_on") * 2 > F.col("n_pages"))
 
 
-def anchor_score(segments: DataFrame, key: str, length: str, declared: str, text_length: str) -> DataFrame:
-    """How well a cut into segments fits its document, and a verdict on it.
-
-    Count against what was declared, the middle length, tiny segments, evenness and coverage each add or take points.
-    """
-    size = F.col(length)
-    per = with_upper_median(segments, key, size, "_m").groupBy(key).agg(F.count("*").alias("n"), F.max(declared).alias("declared"), F.max(text_length).alias("total"), F.max("_m").alias("median"), F.count_if(size < 20).alias("tiny"), F.sum(size).alias("covered"), F.coalesce(F.stddev_pop(size) / F.nullif(F.avg(size), F.lit(0.0)), F.lit(0.0)).alias("cv"))
-    coverage = F.col("covered") / F.greatest("total", F.lit(1))
-    n = F.col("n")
-    score = (
-        -12 * F.abs(n - F.col("declared")) + F.least("median", F.lit(300)) / 150 - 8 * F.col("tiny") - F.abs(n - F.col("total") / 300) * F.when(F.col("declared").isNotNull(), 0.15).otherwise(0.8)
-        - 2 * F.least("cv", F.lit(3.0)) + coverage * 6 - F.when(coverage < 0.4, 15).otherwise(0) - F.when(n.between(4, 60), 0).otherwise(25)
-    )
-    level = F.when(F.col("tiny") * 3 > n, "fragments").when(coverage < 0.6, "coverage").when(n != F.col("declared"), "count").when(~n.between(4, 60), "range").otherwise("good")
-    return per.select(key, "n", "median", F.round(score, 6).alias("score"), level.alias("confidence"))
-
-
 def constant_keys(samples: DataFrame, case: str, key: str, value: str) -> DataFrame:
     """Keys whose value never changes within any case."""
     per = samples.groupBy(case, key).agg((F.max(value) == F.min(value)).alias("flat"))
@@ -101,14 +66,3 @@ def run_report(log: DataFrame, key: str, order: str, verdict: str) -> DataFrame:
     """Rounds, first and final verdict of each key of a verification log."""
     by = F.struct(order, verdict)
     return log.groupBy(key).agg(F.count("*").alias("rounds"), F.min(by)[verdict].alias("first_verdict"), F.max(by)[verdict].alias("final_verdict"))
-
-
-def longest_run(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
-    """The longest consecutive run of rows whose value is above the middle between smallest and largest."""
-    whole = Window.partitionBy(by)
-    bright = rows.withColumn("on", F.col(value) > (F.max(value).over(whole) + F.min(value).over(whole)) / 2)
-    line = Window.partitionBy(by).orderBy(order)
-    run = F.row_number().over(line) - F.row_number().over(Window.partitionBy(by, "on").orderBy(order))
-    runs = bright.withColumn("run", run).where("on").groupBy(by, "run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("length"))
-    best = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("length"), "first"))
-    return runs.withColumn("k", best).where("k = 1").select(by, "first", "last", "length")

@@ -8,14 +8,20 @@ language can be reached. A failure, an error and a missing case are three differ
 from __future__ import annotations
 
 import ast
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import lru_cache
+from types import CodeType
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FUNCTIONS = {"abs": np.abs, "diff": np.diff, "max": np.max, "min": np.min, "mean": np.mean, "std": np.std, "argmax": np.argmax, "argmin": np.argmin, "interp": np.interp, "sqrt": np.sqrt, "sin": np.sin, "cos": np.cos, "tan": np.tan, "sign": np.sign, "all": np.all, "any": np.any, "len": len}
+# fixed values: the functions and the constant that assertions may use
+FUNCTIONS = {
+    "abs": np.abs, "min": np.min, "max": np.max, "argmin": np.argmin, "argmax": np.argmax, "sqrt": np.sqrt, "sin": np.sin, "cos": np.cos, "tan": np.tan, "arctan": np.arctan, "exp": np.exp, "log": np.log, "pi": np.pi, "diff": np.diff,
+    "where": np.where, "all": np.all, "any": np.any, "sum": np.sum, "mean": np.mean, "std": np.std, "isfinite": np.isfinite, "sign": np.sign, "interp": np.interp, "len": len, "clip": np.clip, "sort": np.sort, "cumsum": np.cumsum, "nonzero": np.nonzero,
+}
 _NODES = (ast.Expression, ast.Call, ast.Name, ast.Load, ast.Constant, ast.BinOp, ast.UnaryOp, ast.Compare, ast.BoolOp, ast.Subscript, ast.Slice, ast.operator, ast.unaryop, ast.cmpop, ast.boolop)
 
 
@@ -25,7 +31,7 @@ def checked(expression: str) -> ast.Expression:
     for node in ast.walk(tree):
         if not isinstance(node, _NODES):
             raise ValueError(f"{type(node).__name__} is not allowed")
-        if isinstance(node, ast.Call) and not (isinstance(node.func, ast.Name) and node.func.id in FUNCTIONS and not node.keywords):
+        if isinstance(node, ast.Call) and not (isinstance(node.func, ast.Name) and callable(FUNCTIONS.get(node.func.id)) and not node.keywords):
             raise ValueError("only known functions can be called")
         if isinstance(node, ast.Constant) and not isinstance(node.value, int | float):
             raise ValueError("only numbers can be constants")
@@ -39,31 +45,56 @@ def names_in(expression: str) -> list[str]:
     return sorted({n.id for n in ast.walk(checked(expression)) if isinstance(n, ast.Name) and n.id not in FUNCTIONS})
 
 
-def check(samples: DataFrame, case: str, order: str, keys: Sequence[str], assertions: Sequence[tuple[str, str]]) -> DataFrame:
-    """(case, id, outcome) with outcome true, false, ``unknown name`` or ``error``.
+@lru_cache(maxsize=4096)
+def _compiled(expression: str) -> tuple[CodeType | None, tuple[str, ...]]:
+    """The code and the names of an expression, worked out once in a worker; no code if it is not allowed."""
+    try:
+        return compile(checked(expression), "assertion", "eval"), tuple(names_in(expression))
+    except (SyntaxError, ValueError):
+        return None, ()
 
-    A case's samples meet in one task; a case is one curve of some hundred points.
+
+def check(samples: DataFrame, case: str, order: str, keys: Sequence[str], assertions: Sequence[tuple[str, ...]], constants: Mapping[str, float] | None = None) -> DataFrame:
+    """(case, id, outcome, report) with outcome true, false, ``unknown name`` or ``error``, one for each assertion.
+
+    An assertion is (id, expression) or (id, expression, report), the latter an expression whose value, to four places, is
+    given where the assertion does not hold. ``constants`` are names with values. Nulls are not a number. An expression
+    that cannot be read is an error of its own and stops no other. A case's samples meet in one task; a case is one curve
+    of some hundred points.
     """
-    trees = [(i, e, names_in(e)) for i, e in assertions]
+    fixed = {**FUNCTIONS, **(constants or {})}
+
+    def value(expression: str, data: dict) -> object:
+        code, names = _compiled(expression)
+        if code is None:
+            raise ValueError(expression)
+        if any(n not in data for n in names):
+            raise NameError(expression)
+        with np.errstate(all="ignore"):
+            return eval(code, {"__builtins__": {}}, data)  # noqa: S307
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        data = {k: pdf[k].to_numpy() for k in keys}
+        data = {**fixed, **{k: pdf[k].to_numpy(dtype=float, na_value=np.nan) for k in keys}}
         out = []
-        for i, expression, names in trees:
-            if any(n not in data for n in names):
+        for i, expression, *report in assertions:
+            said = None
+            try:
+                outcome = str(bool(np.all(value(expression, data)))).lower()
+            except NameError:
                 outcome = "unknown name"
-            else:
+            except (ArithmeticError, IndexError, TypeError, ValueError):
+                outcome = "error"
+            if outcome == "false" and report:
                 try:
-                    with np.errstate(all="ignore"):
-                        outcome = str(bool(np.all(eval(compile(checked(expression), "assertion", "eval"), {"__builtins__": {}}, {**FUNCTIONS, **data})))).lower()  # noqa: S307
-                except (ArithmeticError, IndexError, TypeError, ValueError):
-                    outcome = "error"
-            out.append((pdf[case].iloc[0], i, outcome))
-        return pd.DataFrame(out, columns=[case, "id", "outcome"])
+                    said = str(np.round(np.asarray(value(report[0], data), dtype=float), 4))
+                except (ArithmeticError, IndexError, NameError, TypeError, ValueError):
+                    said = "error"
+            out.append((pdf[case].iloc[0], i, outcome, said))
+        return pd.DataFrame(out, columns=[case, "id", "outcome", "report"])
 
     kind = dict(samples.dtypes)[case]
-    return samples.select(case, order, *keys).groupBy(case).applyInPandas(run, f"{case} {kind}, id string, outcome string")
+    return samples.select(case, order, *keys).groupBy(case).applyInPandas(run, f"{case} {kind}, id string, outcome string, report string")
 
 
 def finiteness(samples: DataFrame, case: str, value: str) -> DataFrame:

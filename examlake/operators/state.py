@@ -61,23 +61,6 @@ def drift(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
     return left.join(other, key).where(F.col(value) != F.col("_other")).select(key, mask(F.col(value)).alias("left"), mask(F.col("_other")).alias("right"))
 
 
-def sheet_state(status: Column, note: Column, seconds: Column, answers: Column, limit: int = 600) -> Column:
-    """F8: running (unless for too long), failed, done or empty."""
-    return F.when((status == "running") & (seconds < limit), "running").when((status == "error") | (status == "running") | note.isNotNull(), "failed").when(answers > 0, "done").otherwise("empty")
-
-
-def cell_states(items: DataFrame, stages: DataFrame, now: Column, failed: Column) -> DataFrame:
-    """each item against each stage of a small stage table: fail, done, now or todo by position."""
-    position = F.col("position")
-    state = F.when(failed.isNotNull() & (position == failed), "fail").when(position < now, "done").when(position == now, "now").otherwise("todo")
-    return items.join(stages, how="cross").withColumn("cell", state)
-
-
-def sheet_stage(pages: Column, read: Column, graded: Column, answers: Column) -> Column:
-    """the two-stage chain of a sheet: reading its pages, then grading its answers."""
-    return F.when(read < pages, "read").when(graded < answers, "grade").otherwise("done")
-
-
 def sessions(rows: DataFrame, as_of: Column, expires: str, owner: str) -> DataFrame:
     """ST4: sessions that hold at a time, by owner."""
     return rows.where(F.col(expires) > as_of).groupBy(owner).agg(F.count("*").alias("n_live"), F.max(expires).alias("until"))
@@ -92,8 +75,3 @@ def sweep(status: Column, started: Column, as_of: Column, seconds: int) -> Colum
 def log_line(text: Column, most: int = 400) -> Column:
     """ST7: a log line without control characters, cut to a length."""
     return F.left(F.regexp_replace(text, r"[\x00-\x1F\x7F]", ""), F.lit(most))
-
-
-def messages(parts: Sequence[tuple[Column, Column]]) -> Column:
-    """those lines of a report whose condition holds, in order."""
-    return F.array_compact(F.array(*[F.when(condition, line) for condition, line in parts]))

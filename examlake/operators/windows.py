@@ -6,7 +6,7 @@ are streamed in order through a fold (:mod:`folds`).
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -56,22 +56,60 @@ def number_chain(rows: DataFrame, by: str, order: Sequence[str], number: str, le
     return streamed(some, by, [*order, "_v"], ["_v"], each, "chain long").withColumn("accepted", F.col("chain") >= least)
 
 
-def increasing(rows: DataFrame, by: str, order: Sequence[str], value: str) -> DataFrame:
-    """W10 in part: length of the longest strictly increasing subsequence, and whether it is enough of the rows to trust."""
+def strips(marks: DataFrame, by: str, order: Sequence[str], n: str, y: str, height: int, most: int = 8, tall: int = 260, thin: int = 24, pad: float = 0.05, least: int = 3, share: float = 0.6) -> DataFrame:
+    """(by, strips, dropped): a page's numbered marks to strips of at most ``most`` marks or about ``tall`` pixels.
+
+    Marks with ``y`` outside 0 to 1 are passed over. In order of number, the longest strictly rising subsequence of ``y`` is
+    kept and the others are ``dropped``; if there are any, and fewer are kept than ``least`` or a ``share``, none is cut and
+    all are dropped. A strip below ``thin`` pixels does not end. ``strips`` is array<struct<numbers, top, bottom>>. A page
+    has some dozens of marks; a fold keeps those of one page.
+    """
 
     def each(own: Iterator[tuple]) -> Iterator[tuple]:
-        # the smallest last value of each length; NaN is above all, null below and above none
-        ends: list[tuple] = []
-        n = 0
-        for n, (x,) in enumerate(own, 1):  # noqa: B007
-            if x is not None:
-                end = (True, 0.0) if x != x else (False, x)
-                ends[(at := bisect_left(ends, end)) : at + 1] = [end]
-        yield n, max(len(ends), 1)
+        rows = [(k, v) for k, v in own if k is not None and v is not None and 0 <= v <= 1]
+        if not rows:
+            yield [], []
+            return
+        # by length of the rising subsequence that ends there: ys of a level never rise, so the first fitting one is searched
+        levels: list[list[tuple[float, int]]] = []
+        before: list[int | None] = []
+        for i, (_, v) in enumerate(rows):
+            depth = _depth(levels, v)
+            before.append(None if depth == 0 else _first_below(levels[depth - 1], v))
+            if depth == len(levels):
+                levels.append([])
+            levels[depth].append((v, i))
+        kept, at = [], levels[-1][0][1]
+        while at is not None:
+            kept.append(at)
+            at = before[at]
+        kept.reverse()
+        if len(kept) < len(rows) and len(kept) < max(least, share * len(rows)):
+            yield [], [k for k, _ in rows]
+            return
+        there = set(kept)
+        groups: list[list[tuple[int, float]]] = []
+        for k, v in (rows[i] for i in kept):
+            deep = (v - groups[-1][0][1]) * height if groups else 0
+            if not groups or ((len(groups[-1]) >= most or deep >= tall) and deep >= thin):
+                groups.append([(k, v)])
+            else:
+                groups[-1].append((k, v))
+        ends = [*(int(g[0][1] * height) for g in groups[1:]), height]
+        yield [([k for k, _ in g], max(0, int((g[0][1] - pad) * height)), e) for g, e in zip(groups, ends, strict=True)], [k for i, (k, _) in enumerate(rows) if i not in there]
+
+    some = marks.select(by, *order, F.col(n).cast("long").alias("_n"), F.col(y).cast("double").alias("_y"))
+    return streamed(some, by, ["_n", *order], ["_n", "_y"], each, "strips array<struct<numbers:array<bigint>,top:int,bottom:int>>, dropped array<bigint>")
+
+
+def _depth(levels: list[list[tuple[float, int]]], v: float) -> int:
+    """How many levels end below ``v``: the last, smallest y of a level is what counts."""
+    return bisect_left(levels, v, key=lambda own: own[-1][0])
 
-    some = rows.select(by, *order, F.col(value).cast("double").alias("_v"))
-    out = streamed(some, by, [*order, "_v"], ["_v"], each, "n int, kept int")
-    return out.withColumn("usable", F.col("kept") >= F.greatest(F.lit(3), F.ceil(F.col("n") * 0.6)))
+
+def _first_below(level: list[tuple[float, int]], v: float) -> int:
+    """The earliest mark of a level, whose ys never rise, that is below ``v``."""
+    return level[bisect_right(level, -v, key=lambda x: -x[0])][1]
 
 
 def rows_by_top(figures: DataFrame, by: str, order: Sequence[str], top: str, tolerance: float) -> DataFrame:
@@ -108,9 +146,17 @@ def pick_capped(candidates: DataFrame, by: str, score: str, n: str, need: Column
 
 
 def natural_key(name: Column) -> Column:
-    """K2 and K3: a sort key in which runs of digits count as numbers."""
-    parts = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d+$"), F.lpad(x, 12, "0")).otherwise(x)), "")
+    """K2 and K3: a sort key of a path's last part, whatever its case, in which runs of digits count as numbers of any length.
+
+    A number is the count of its digits and the digits; other text comes before numbers above 0, as if it were 0.
+    """
+    parts = F.regexp_extract_all(F.regexp_extract(name, r"([^/]*)$", 1), F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
+
+    def key(x: Column) -> Column:
+        digits = F.ltrim(x, F.lit("0"))
+        return F.when(x.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 4, "0"), digits)).otherwise(F.concat(F.lit("0000"), F.lower(x)))
+
+    return F.array_join(F.transform(parts, key), "\u0001")
 
 
 def nearest_full_size(atoms: DataFrame, by: str, order: Sequence[str], full: Column, value: str, back: int = 3) -> DataFrame:

@@ -6,53 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import audit
+from ..operators import audit, lookups
 from ..operators.rollup import final_answers
 from ..sources.tables import FINAL_SQL, PAPERS_SQL, SHEETS_SQL, answers, papers, sheets, table
 
-_RULES = [("structure", "short"), ("structure", "one line"), ("table", "cells"), ("formula", "digits in words")]
-
-
-def t23_check_questions(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("text")
-    tests = [F.col("n_chars") < 60, ~F.contains(t, F.lit("\n")), F.contains(t, F.lit(" | ")), t.rlike("[a-z][0-9]")]
-    return audit.findings(table(spark, d, "documents"), "doc_id", [(k, m, c) for (k, m), c in zip(_RULES, tests, strict=True)])
-
-
-T23 = """SELECT doc_id, 'structure' AS kind, 'short' AS message FROM documents WHERE n_chars < 60 UNION ALL SELECT doc_id, 'structure', 'one line' FROM documents WHERE NOT contains(text, chr(10))
-UNION ALL SELECT doc_id, 'table', 'cells' FROM documents WHERE contains(text, ' | ') UNION ALL SELECT doc_id, 'formula', 'digits in words' FROM documents WHERE regexp_matches(text, '[a-z][0-9]')"""
-
-
-def a16_audit(spark: SparkSession, d: str) -> DataFrame:
-    return audit.audit(t23_check_questions(spark, d), table(spark, d, "documents"), "doc_id")
-
-
-A16 = f"WITH f AS ({T23}) SELECT kind, count(*) AS n_findings, count(DISTINCT doc_id) AS n_flagged, round(count(DISTINCT doc_id) * 100.0 / (SELECT count(*) FROM documents), 4)::DOUBLE AS percent FROM f GROUP BY 1"
-
-
-def a11_detect(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "events").groupBy("user_id", "event_type").agg((F.count("*") * 3 - F.count_if(F.col("value") < 20)).alias("score"))
-    return audit.detect(c, "user_id", "score", "event_type")
-
-
-A11 = "WITH c AS (SELECT user_id, event_type, count(*) * 3 - count(*) FILTER (value < 20) AS score FROM events GROUP BY 1, 2) SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_type) = 1"
-
-
-def a18_readouts(spark: SparkSession, d: str) -> DataFrame:
-    return audit.readouts(table(spark, d, "documents").where("lang = 'en'"), "lang", F.col("text"), r"[a-z]{4,6}")
-
-
-A18 = """WITH w AS (SELECT lang, unnest(regexp_extract_all(text, '[a-z]{4,6}')) AS name FROM documents WHERE lang = 'en'), g AS (SELECT lang, name, count(*) AS n FROM w GROUP BY 1, 2)
-SELECT lang, name, n, CAST(row_number() OVER (PARTITION BY lang ORDER BY n DESC, name) AS INT) AS rank FROM g QUALIFY rank <= 4"""
-
-
-def a19_fail_digest(spark: SparkSession, d: str) -> DataFrame:
-    line = F.concat(F.when(F.col("event_type") == "error", "FAIL").otherwise("ok"), F.lit(" L"), (F.col("event_id") % 5).cast("string"), F.lit(" x"))
-    return audit.fail_digest(table(spark, d, "events").select("user_id", line.alias("log")), "user_id", "log")
-
-
-A19 = "SELECT user_id, 'L' || event_id % 5 AS layer, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1, 2"
-
 
 def a31_changed(spark: SparkSession, d: str) -> DataFrame:
     return audit.changed_characters(table(spark, d, "part"), F.col("p_name"), F.translate("p_name", "aeiou", "AEIOU"))
@@ -144,10 +101,8 @@ J3 = f"WITH {PAPERS_SQL}, {SHEETS_SQL}, {FINAL_SQL} SELECT paper_id, sheet_id, C
 
 
 def k5_landing(spark: SparkSession, d: str) -> DataFrame:
-    """K4 and K5: each paper's first sheet with answers, by status ascending and total descending."""
-    s = sheets(spark, d).join(answers(spark, d).select("sheet_id").distinct(), "sheet_id", "left_semi")
-    k = F.row_number().over(Window.partitionBy("paper_id").orderBy("status", F.desc_nulls_last("total"), "sheet_id"))
-    return s.withColumn("k", k).where("k = 1").select("paper_id", "sheet_id")
+    """Each paper's first sheet with answers, by status ascending and total descending."""
+    return lookups.landing(sheets(spark, d), answers(spark, d), "paper_id", "sheet_id", [F.col("status"), F.desc_nulls_last("total"), F.col("sheet_id")])
 
 
 K5 = f"WITH {SHEETS_SQL} SELECT paper_id, sheet_id FROM sheets WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = sheet_id) QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY status, total DESC NULLS LAST, sheet_id) = 1"
@@ -161,7 +116,7 @@ def t49_hollow(spark: SparkSession, d: str) -> DataFrame:
 T49 = "SELECT event_type, event_type <> 'click' AS hollow, count(*) AS n FROM events GROUP BY 1"
 
 QUERIES = {
-    "t23_check_questions": (t23_check_questions, T23), "a16_audit": (a16_audit, A16), "a11_detect": (a11_detect, A11), "a18_readouts": (a18_readouts, A18), "a19_fail_digest": (a19_fail_digest, A19), "a31_changed": (a31_changed, A31),
+    "a31_changed": (a31_changed, A31),
     "st3_login_codes": (st3_login_codes, ST3), "st10_attempts": (st10_attempts, ST10), "st11_keep_better": (st11_keep_better, ST11), "t52_numbering": (t52_numbering, T52), "p22_can_codegen": (p22_can_codegen, P22),
     "p16_needs_advice": (p16_needs_advice, P16), "p19_invalid": (p19_invalid, P19), "e6_coverage": (e6_coverage, E6), "m25_advice": (m25_advice, M25), "j3_failures": (j3_failures, J3), "k5_landing": (k5_landing, K5), "t49_hollow": (t49_hollow, T49),
 }

@@ -121,34 +121,39 @@ g AS (SELECT *, sum(b) OVER (PARTITION BY l_orderkey ORDER BY y0, y1 ROWS UNBOUN
 SELECT l_orderkey, CAST(k AS BIGINT) AS "group", min(y0) AS y0, max(y1) AS y1, count(*) AS n FROM g GROUP BY 1, 2"""
 
 
-def t16_decide(spark: SparkSession, d: str) -> DataFrame:
-    mark = F.when(F.col("l_linenumber") == 2, "tick").when(F.col("l_linenumber") == 3, "cross")
-    got = F.when(F.col("l_linenumber") == 1, F.col("l_tax") * 100 - 2)
-    verdict = T.decide(got, F.lit(5.0), mark, F.when(F.col("l_linenumber") == 4, F.col("l_returnflag") == "R"), F.when(F.col("l_linenumber") == 5, ""), F.col("l_quantity") > 20)
-    return table(spark, d, "lineitem").groupBy("l_linenumber", verdict.alias("verdict")).agg(F.count("*").alias("n"))
-
-
-T16 = """SELECT l_linenumber, CASE WHEN l_linenumber = 1 THEN CASE WHEN l_tax * 100 - 2 >= 5 THEN 'right' WHEN l_tax * 100 - 2 <= 0 THEN 'wrong' ELSE 'partial' END WHEN l_linenumber = 2 THEN 'right' WHEN l_linenumber = 3 THEN 'wrong'
- WHEN l_linenumber = 4 THEN CASE WHEN l_returnflag = 'R' THEN 'right' ELSE 'wrong' END WHEN l_quantity > 20 THEN 'blank' ELSE 'unsure' END AS verdict, count(*) AS n FROM lineitem GROUP BY 1, 2"""
+def t19_split_options(spark: SparkSession, d: str) -> DataFrame:
+    """Options in order, by columns, marked in another way, and not all there."""
+    p, k = F.col("p_name"), F.col("p_partkey") % 5
+    stem = (
+        F.when(k == 0, p)
+        .when(k == 1, F.concat(p, F.lit(" A. one B. two C. three D. "), F.col("p_brand"), F.lit(" /")))
+        .when(k == 2, F.concat(p, F.lit(" A. one C. three B. two D. four")))
+        .when(k == 3, F.concat(p, F.lit(" A、one B、two C、three D、four")))
+        .otherwise(F.concat(p, F.lit(" B. x A. one B. two C. three D. four")))
+    )
+    return table(spark, d, "part").select("p_partkey", T.split_options(stem).alias("o")).select("p_partkey", "o.body", F.array_join("o.options", "|").alias("options"))
 
 
-def t19_split_options(spark: SparkSession, d: str) -> DataFrame:
-    p = F.col("p_name")
-    stem = F.when(F.col("p_partkey") % 3 == 0, p).when(F.col("p_partkey") % 3 == 1, F.concat(p, F.lit(" A. one B. two C. three D. "), F.col("p_brand"))).otherwise(F.concat(p, F.lit(" B. x A. one B. two C. three D. four")))
-    o = T.split_options(stem)
-    return table(spark, d, "part").select("p_partkey", o["body"].alias("body"), F.array_join(o["options"], "|").alias("options"))
+T19 = """SELECT p_partkey, CASE p_partkey % 5 WHEN 4 THEN p_name || ' B. x' ELSE p_name END AS body, CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'one|two|three|' || p_brand ELSE 'one|two|three|four' END AS options FROM part"""
 
 
-T19 = "SELECT p_partkey, CASE p_partkey % 3 WHEN 2 THEN p_name || ' x' ELSE p_name END AS body, CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'one|two|three|' || p_brand ELSE 'one|two|three|four' END AS options FROM part"
+_LATIN, _HAN = "abcdefghijklmnopqrstuvwxyz", "一丁七万三上下不与专且世丘业丛东丝丢两严丧个中丰临"
 
 
 def t35_coverage(spark: SparkSession, d: str) -> DataFrame:
-    read = F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 100)).when(F.col("doc_id") % 3 == 1, F.translate("text", "aeiourstn", "000000000")).otherwise(F.col("text"))
-    return table(spark, d, "documents").groupBy(T.coverage_note(F.substring("text", 1, 150), F.substring(read, 1, 150)).alias("note")).agg(F.count("*").alias("n"))
+    """Documents with letters made ideographs, against readings that lack an end, have other characters, or lack a block."""
+    text, n = F.translate("text", _LATIN, _HAN + "丸"), F.length("text")
+    k = F.col("doc_id") % 4
+    read = F.when(k == 0, F.left(text, F.floor(n * 0.7).cast("int"))).when(k == 1, F.translate(text, _HAN[:8], "丹" * 8)).otherwise(text)
+    blocks = F.array(F.struct(n.alias("source"), F.when(k == 2, F.floor(n / 2)).otherwise(n).cast("int").alias("read")))
+    return table(spark, d, "documents").select("doc_id", T.coverage_note(text, read, blocks).alias("note"))
 
 
-T35 = """WITH r AS (SELECT substr(text, 1, 150) AS a, substr(CASE doc_id % 3 WHEN 0 THEN substr(text, 1, 100) WHEN 1 THEN translate(text, 'aeiourstn', '000000000') ELSE text END, 1, 150) AS b FROM documents)
-SELECT CASE WHEN length(b) < 0.85 * length(a) THEN 'short' WHEN len(list_intersect(list_distinct(string_split(a, '')), list_distinct(string_split(b, '')))) / greatest(len(list_distinct(string_split(a, ''))), 1) < 0.75 THEN 'different' END AS note, count(*) AS n FROM r GROUP BY 1"""
+T35 = f"""WITH t AS (SELECT doc_id, translate(text, '{_LATIN}', '{_HAN}丸') AS t, length(text) AS n FROM documents),
+r AS (SELECT doc_id, n, t AS a, CASE doc_id % 4 WHEN 0 THEN left(t, CAST(floor(n * 0.7) AS INT)) WHEN 1 THEN translate(t, '{_HAN[:8]}', '{"丹" * 8}') ELSE t END AS b FROM t),
+c AS (SELECT doc_id, n, regexp_replace(a, '[^一-鿿]', '', 'g') AS a, regexp_replace(b, '[^一-鿿]', '', 'g') AS b FROM r)
+SELECT doc_id, CASE WHEN doc_id % 4 = 2 AND n > 0 AND n // 2 < 0.8 * n THEN 'blocks' WHEN length(b) < 0.85 * greatest(length(a), 1) THEN 'short'
+ WHEN len(list_intersect(list_distinct(string_split(a, '')), list_distinct(string_split(b, '')))) / greatest(len(list_filter(list_distinct(string_split(a, '')), lambda x: x <> '')), 1) < 0.75 THEN 'different' END AS note FROM c"""
 
 
 def t36_first_object(spark: SparkSession, d: str) -> DataFrame:
@@ -190,6 +195,6 @@ WHERE NOT EXISTS (SELECT 1 FROM part q WHERE q.p_brand = b.p_brand AND q.p_size
 
 QUERIES = {
     "s1_merge_runs": (s1_merge_runs, S1), "a13_body_size": (a13_body_size, A13), "j15_carry": (j15_carry, J15), "j16_scenes": (j16_scenes, J16), "j17_link_tables": (j17_link_tables, J17), "j18_place_figures": (j18_place_figures, J18),
-    "j19_fold_tables": (j19_fold_tables, J19), "j25_overlaps": (j25_overlaps, J25), "w2_typography": (w2_typography, W2), "w14_y_bounds": (w14_y_bounds, W14), "t64_intervals": (t64_intervals, T64), "t16_decide": (t16_decide, T16),
+    "j19_fold_tables": (j19_fold_tables, J19), "j25_overlaps": (j25_overlaps, J25), "w2_typography": (w2_typography, W2), "w14_y_bounds": (w14_y_bounds, W14), "t64_intervals": (t64_intervals, T64), 
     "t19_split_options": (t19_split_options, T19), "t35_coverage": (t35_coverage, T35), "t36_first_object": (t36_first_object, T36), "t61_progress": (t61_progress, T61), "t66_payload": (t66_payload, T66), "p6_free_name": (p6_free_name, P6),
 }

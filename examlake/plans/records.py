@@ -37,23 +37,6 @@ def m21_claim(spark: SparkSession, d: str) -> DataFrame:
 M21 = f"WITH {PAPERS_SQL} SELECT CASE WHEN owner_id > 5 THEN owner_id ELSE 99 END AS owner_id, count(*) AS n FROM papers GROUP BY 1"
 
 
-def f2_sheet_stage(spark: SparkSession, d: str) -> DataFrame:
-    per = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("sheet_id")).agg(F.count("*").alias("n"), F.count_if(F.col("l_linestatus") == "F").alias("graded"), F.max("l_linenumber").alias("pages"), F.count_distinct("l_linenumber").alias("read"))
-    return per.select("sheet_id", state.sheet_stage(F.col("pages"), F.col("read"), F.col("graded"), F.col("n")).alias("stage"))
-
-
-F2 = "SELECT l_orderkey AS sheet_id, CASE WHEN count(DISTINCT l_linenumber) < max(l_linenumber) THEN 'read' WHEN count(*) FILTER (l_linestatus = 'F') < count(*) THEN 'grade' ELSE 'done' END AS stage FROM lineitem GROUP BY 1"
-
-
-def f12_lines(spark: SparkSession, d: str) -> DataFrame:
-    s = sheets(spark, d)
-    lines = state.messages([(F.col("status") == "O", F.lit("open")), (F.col("total") > 200000, F.lit("large")), (F.col("sheet_id") % 7 == 0, F.concat(F.lit("no. "), F.col("sheet_id").cast("string")))])
-    return s.select("sheet_id", F.array_join(lines, "; ").alias("report"))
-
-
-F12 = f"WITH {SHEETS_SQL} SELECT sheet_id, concat_ws('; ', CASE WHEN status = 'O' THEN 'open' END, CASE WHEN total > 200000 THEN 'large' END, CASE WHEN sheet_id % 7 = 0 THEN 'no. ' || sheet_id END) AS report FROM sheets"
-
-
 def st4_sessions(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select("user_id", (F.col("ts") + F.expr("interval 2 days")).alias("expires_at"))
     return state.sessions(rows, F.lit(AS_OF).cast("timestamp"), "expires_at", "user_id")
@@ -112,6 +95,6 @@ def t62_option_block(spark: SparkSession, d: str) -> DataFrame:
 T62 = "SELECT l_orderkey, min(l_quantity) AS y_min, max(l_quantity) AS y_max, count(*) AS n, min(l_linenumber) AS x_min, max(l_linenumber) AS x_max FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1 HAVING count(*) >= 4"
 
 QUERIES = {
-    "m12_put_spec": (m12_put_spec, M12), "m15_put_outline": (m15_put_outline, M15), "m21_claim": (m21_claim, M21), "f2_sheet_stage": (f2_sheet_stage, F2), "f12_lines": (f12_lines, F12), "st4_sessions": (st4_sessions, ST4),
+    "m12_put_spec": (m12_put_spec, M12), "m15_put_outline": (m15_put_outline, M15), "m21_claim": (m21_claim, M21), "st4_sessions": (st4_sessions, ST4),
     "st6_sweep": (st6_sweep, ST6), "st7_log_lines": (st7_log_lines, ST7), "k6_interleave": (k6_interleave, K6), "w12_scripts": (w12_scripts, W12), "w17_grid": (w17_grid, W17), "t62_option_block": (t62_option_block, T62),
 }

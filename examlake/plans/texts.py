@@ -6,76 +6,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import series
+from ..operators import lookups, series
 from ..operators.rollup import final_answers
 from ..sources.tables import FINAL_SQL, SHEETS_SQL, answers, sheets, table
 
-#: student's answer, reference, and the verdict that a reader of both would give
-CASES = [
-    (1, "a c", "AC", True), (2, "AB", "AC", False), (3, "3.0 m/s", "3 m/s", True), (4, "1.5e3", "1500", True), (5, "2/4", "0.5", True), (6, "4 kg", "4 g", None), (7, "", "A", None),
-    (8, "x^{2}+1", "x^2 + 1", True), (9, "1 / 2 m / A", "1 / 2 m / A", True), (10, "ohm", "volt", False), (11, "5", "6", False), (12, "2×10^3 J", "2000 J", True), (13, None, "B", None), (14, "D", "D", True),
-]
-
-
-def t13_grade(spark: SparkSession, d: str) -> DataFrame:
-    """The table of cases against the verdicts expected; both are in the SQL as literals."""
-    cases = spark.createDataFrame(CASES, "id long, student string, ref string, expected boolean")
-    return cases.select("id", T.judge(F.col("student"), F.col("ref")).alias("verdict"))
-
-
-T13 = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {'NULL' if v is None else str(v).lower()})" for i, _, _, v in CASES) + ") t(id, verdict)"
-
-
-def t4_choice(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.concat(F.translate(F.col("p_size").cast("string"), "0123456789", "ABCDDCBAEb"), F.when(F.col("p_partkey") % 3 == 0, F.lit(" c")).otherwise(F.lit("")))
-    return table(spark, d, "part").select("p_partkey", T.as_choice(raw).alias("choice"))
-
-
-T4 = """WITH r AS (SELECT p_partkey, upper(translate(CAST(p_size AS VARCHAR), '0123456789', 'ABCDDCBAEb') || CASE WHEN p_partkey % 3 = 0 THEN 'C' ELSE '' END) AS t FROM part)
-SELECT p_partkey, CASE WHEN regexp_full_match(t, '[ABCD]+') THEN array_to_string(list_sort(list_distinct(string_split(t, ''))), '') END AS choice FROM r"""
-
-
-def t5_numbers(spark: SparkSession, d: str) -> DataFrame:
-    """Numbers in three spellings with a unit, read back."""
-    n = F.col("p_size").cast("string")
-    raw = F.when(F.col("p_partkey") % 3 == 0, F.concat(n, F.lit("e2 m"))).when(F.col("p_partkey") % 3 == 1, F.concat(n, F.lit("/4"))).otherwise(F.concat(n, F.lit(".5 kg")))
-    return table(spark, d, "part").select("p_partkey", F.round(T.lead_number(raw), 6).alias("number"), T.unit(raw).alias("unit"))
-
-
-T5 = "SELECT p_partkey, round(CASE p_partkey % 3 WHEN 0 THEN p_size * 100.0 WHEN 1 THEN p_size / 4.0 ELSE p_size + 0.5 END, 6)::DOUBLE AS number, CASE p_partkey % 3 WHEN 0 THEN 'm' WHEN 1 THEN '' ELSE 'kg' END AS unit FROM part"
-
-
-def t15_of_score(spark: SparkSession, d: str) -> DataFrame:
-    return final_answers(answers(spark, d)).groupBy(T.verdict_of_score(F.col("score_got"), F.col("score_full")).alias("by_score"), "verdict").agg(F.count("*").alias("n"))
-
-
-T15 = f"WITH {FINAL_SQL} SELECT CASE WHEN score_full <= 0 THEN NULL WHEN score_got >= score_full THEN 'right' WHEN score_got <= 0 THEN 'wrong' ELSE 'partial' END AS by_score, verdict, count(*) AS n FROM final GROUP BY 1, 2"
-
 
 def t18_clean_stem(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").select("conv_id", "turn", "role", F.md5(T.clean_stem(F.col("text"))).alias("stem_md5"))
-
-
-T18 = r"SELECT conv_id, turn, role, md5(trim(regexp_replace(regexp_replace(text, '(?m)^\s*\d+\s*/\s*\d+\s*$', ' ', 'g'), '\s+', ' ', 'g'))) AS stem_md5 FROM conversations"
-
-_FLAT = "[a-z][0-9]|[0-9][a-z]"
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", F.md5(T.clean_stem(F.concat(F.lit("\n / \n"), F.col("text"), F.lit(" /")))).alias("stem_md5"))
 
 
-def t20_text_quality(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.text_quality(F.col("text"), _FLAT, F.col("n_chars") < 20).alias("quality"), T.balanced(F.col("text")).alias("balanced"))
-
-
-T20 = f"""WITH h AS (SELECT doc_id, len(regexp_extract_all(text, '{_FLAT}')) AS k, n_chars, string_split(regexp_replace(text, '[^()]', '', 'g'), '') AS m FROM documents)
-SELECT doc_id, CASE WHEN k >= 4 OR n_chars < 20 THEN 'degraded' WHEN k >= 1 THEN 'suspect' ELSE 'ok' END AS quality, list_reduce(list_prepend(0, list_transform(m, lambda c: CASE c WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END)), lambda a, b: CASE WHEN a < 0 THEN a ELSE a + b END) = 0 AS balanced FROM h"""
-
-
-def t17_crosscheck(spark: SparkSession, d: str) -> DataFrame:
-    """Quality as labelled against quality as computed: how often each pair stands."""
-    got = t20_text_quality(spark, d)
-    return table(spark, d, "labels").select("doc_id", F.col("quality").alias("label")).join(got, "doc_id").groupBy("label", "quality").agg(F.count("*").alias("n"))
-
-
-T17 = f"WITH q AS ({T20}) SELECT l.quality AS label, q.quality AS quality, count(*) AS n FROM labels l JOIN q USING (doc_id) GROUP BY 1, 2"
+T18 = r"""WITH a AS (SELECT conv_id, turn, role, regexp_replace(regexp_replace(chr(10) || ' / ' || chr(10) || text || ' /', '[ \t]+', ' ', 'g'), '\n{2,}', chr(10), 'g') AS t FROM conversations)
+SELECT conv_id, turn, role, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?m)^\s*/\s*$', '', 'g'), '\s*/\s*$', ''), '^\s*/\s*', ''), '^\s+|\s+$', '', 'g')) AS stem_md5 FROM a"""
 
 
 def t43_source_hash(spark: SparkSession, d: str) -> DataFrame:
@@ -88,10 +29,9 @@ T43 = "SELECT sha256(lang || chr(1) || text) AS digest, count(*) AS n, min(doc_i
 
 
 def p8_fresh(spark: SparkSession, d: str) -> DataFrame:
-    """Rows whose key and digest are both as stored."""
     docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
     stored = table(spark, d, "documents").select("doc_id", F.sha2(F.when(F.col("doc_id") % 5 == 0, F.lit("old")).otherwise(F.col("text")), 256).alias("digest"))
-    return docs.join(stored, ["doc_id", "digest"], "left_semi")
+    return lookups.fresh_rows(docs, stored, ["doc_id", "digest"])
 
 
 P8 = "SELECT doc_id, sha256(text) AS digest FROM documents WHERE doc_id % 5 <> 0"
@@ -133,45 +73,21 @@ W16 = "SELECT l_orderkey, l_linenumber AS n, l_returnflag AS answer FROM lineite
 
 
 def p3_find_page(spark: SparkSession, d: str) -> DataFrame:
-    """Pages whose address has a number with leading zeros allowed, under a prefix."""
-    return table(spark, d, "pages").where(F.col("url").startswith("https://") & F.col("url").rlike(r"/(en|de)/0*[1-9][0-9]{1,2}([?#]|$)")).select("page_id", "url")
-
-
-P3 = r"SELECT page_id, url FROM pages WHERE starts_with(url, 'https://') AND regexp_matches(url, '/(en|de)/0*[1-9][0-9]{1,2}([?#]|$)')"
-
-
-def p15_plan(spark: SparkSession, d: str) -> DataFrame:
-    """The first reason against each sheet, in order; none means it is to be done."""
-    n = answers(spark, d).groupBy("sheet_id").agg(F.count("*").alias("n"), F.max("score_full").alias("best"))
-    s = sheets(spark, d).join(n, "sheet_id", "left")
-    why = F.when(F.col("sheet_id") % 17 == 0, "done").when(F.col("n").isNull(), "no spec").when(F.col("n") < 2, "not animatable").when(F.col("status") == "O", "not approved").when(F.col("best") < 30000, "not worth it").when(F.col("sheet_id") % 5 == 0, "unjudged")
-    return s.select("sheet_id", why.alias("why"))
+    """Paths made of page ids, with zeros and other endings, and the one that each is asked for."""
+    i = F.col("page_id")
+    path = F.concat(F.lit("paper/p-"), F.repeat(F.lit("0"), (i % 4).cast("int")), i.cast("string"), F.when(i % 5 == 0, ".PNG").when(i % 5 == 1, "").otherwise(".png"))
+    return table(spark, d, "pages").where(T.page_path(path, F.when(i % 7 == 0, "other").otherwise("paper"), i + F.when(i % 3 == 0, 1).otherwise(0))).select("page_id", "url")
 
 
-P15 = f"""WITH {SHEETS_SQL}, n AS (SELECT l_orderkey AS sheet_id, count(*) AS n, max(CAST(l_extendedprice AS DECIMAL(18,2))) AS best FROM lineitem GROUP BY 1)
-SELECT sheet_id, CASE WHEN sheet_id % 17 = 0 THEN 'done' WHEN n IS NULL THEN 'no spec' WHEN n < 2 THEN 'not animatable' WHEN status = 'O' THEN 'not approved' WHEN best < 30000 THEN 'not worth it' WHEN sheet_id % 5 = 0 THEN 'unjudged' END AS why FROM sheets LEFT JOIN n USING (sheet_id)"""
+P3 = "SELECT page_id, url FROM pages WHERE page_id % 5 > 1 AND page_id % 7 > 0 AND page_id % 3 > 0"
 
 
 def p18_filters(spark: SparkSession, d: str) -> DataFrame:
-    """How many answers each named filter has, in one pass per sheet."""
-    a = final_answers(answers(spark, d))
-    return a.groupBy("sheet_id").agg(F.count("*").alias("all_"), *[F.count_if(F.col("verdict") == v).alias(v) for v in ("right", "wrong", "partial")])
+    return lookups.filter_counts(final_answers(answers(spark, d)), "sheet_id", {"all_": F.lit(True), **{v: F.col("verdict") == v for v in ("right", "wrong", "partial")}})
 
 
 P18 = f"WITH {FINAL_SQL} SELECT sheet_id, count(*) AS all_, count(*) FILTER (verdict = 'right') AS \"right\", count(*) FILTER (verdict = 'wrong') AS wrong, count(*) FILTER (verdict = 'partial') AS \"partial\" FROM final GROUP BY 1"
 
-ASSERTIONS = [("rising", "all(diff(t) > 0)"), ("bounded", "max(v) < 400"), ("swings", "max(abs(diff(v))) > 100"), ("ends", "v[-1] >= v[0]"), ("middle", "mean(v) > 80"), ("unknown", "max(q) > 0")]
-
-
-def e1_assertions(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").select("user_id", "event_id", F.col("event_id").cast("double").alias("t"), F.col("value").alias("v"))
-    return series.check(rows, "user_id", "event_id", ["t", "v"], ASSERTIONS)
-
-
-E1 = """WITH s AS (SELECT user_id, value AS v, value - lag(value) OVER w AS dv, event_id - lag(event_id) OVER w AS dt, event_id FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
-g AS (SELECT user_id, bool_and(coalesce(dt > 0, true)) AS rising, max(v) < 400 AS bounded, max(abs(dv)) > 100 AS swings, arg_max(v, event_id) >= arg_min(v, event_id) AS ends, avg(v) > 80 AS middle FROM s GROUP BY 1)
-SELECT user_id, unnest(['rising', 'bounded', 'swings', 'ends', 'middle', 'unknown']) AS id, unnest([CAST(rising AS VARCHAR), CAST(bounded AS VARCHAR), CAST(swings AS VARCHAR), CAST(ends AS VARCHAR), CAST(middle AS VARCHAR), 'unknown name']) AS outcome FROM g"""
-
 
 def e4_finiteness(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").withColumn("x", F.try_divide(F.col("value"), F.col("user_id") % 3 - 1))
@@ -181,16 +97,6 @@ def e4_finiteness(spark: SparkSession, d: str) -> DataFrame:
 E4 = "SELECT user_id, count(*) AS n, count(*) FILTER (user_id % 3 = 1) AS n_bad FROM events GROUP BY 1"
 
 
-def e7_markup_rules(spark: SparkSession, d: str) -> DataFrame:
-    """Scripts, dirty tokens, and tags that are opened and not closed as often, in each page."""
-    html = F.lower("html")
-    count = lambda p: F.regexp_count(html, F.lit(p)).cast("long")
-    return table(spark, d, "pages").select("page_id", count("<script").alias("n_scripts"), count(r"\b(nan|undefined|infinity)\b").alias("n_dirty"), (count(r"<p[ >]") - count("</p>")).alias("p_open"), (count("<li[ >]") - count("</li>")).alias("li_open"))
-
-
-E7 = r"""SELECT page_id, len(regexp_extract_all(lower(html), '<script')) AS n_scripts, len(regexp_extract_all(lower(html), '\b(nan|undefined|infinity)\b')) AS n_dirty, len(regexp_extract_all(lower(html), '<p[ >]')) - len(regexp_extract_all(lower(html), '</p>')) AS p_open, len(regexp_extract_all(lower(html), '<li[ >]')) - len(regexp_extract_all(lower(html), '</li>')) AS li_open FROM pages"""
-
-
 def e8_interpolate(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select("user_id", F.col("event_id").cast("double").alias("u"), "value")
     at = (F.min("u").over(Window.partitionBy("user_id")) + F.max("u").over(Window.partitionBy("user_id"))) / 2
@@ -201,8 +107,8 @@ E8 = """WITH s AS (SELECT user_id, CAST(event_id AS DOUBLE) AS u, value, lead(CA
 SELECT user_id, round(value + (v1 - value) * (mid - u) / (u1 - u), 6) AS value FROM s WHERE u <= mid AND mid < u1"""
 
 QUERIES = {
-    "t4_choice": (t4_choice, T4), "t5_numbers": (t5_numbers, T5), "t13_grade": (t13_grade, T13), "t15_of_score": (t15_of_score, T15), "t17_crosscheck": (t17_crosscheck, T17), "t18_clean_stem": (t18_clean_stem, T18),
-    "t20_text_quality": (t20_text_quality, T20), "t43_source_hash": (t43_source_hash, T43), "t46_question_numbers": (t46_question_numbers, T46), "t65_duration": (t65_duration, T65), "t72_safe_name": (t72_safe_name, T72),
-    "w16_split_answers": (w16_split_answers, W16), "p3_find_page": (p3_find_page, P3), "p8_fresh": (p8_fresh, P8), "p15_plan": (p15_plan, P15), "p18_filters": (p18_filters, P18),
-    "e1_assertions": (e1_assertions, E1), "e4_finiteness": (e4_finiteness, E4), "e7_markup_rules": (e7_markup_rules, E7), "e8_interpolate": (e8_interpolate, E8),
+    "t18_clean_stem": (t18_clean_stem, T18),
+    "t43_source_hash": (t43_source_hash, T43), "t46_question_numbers": (t46_question_numbers, T46), "t65_duration": (t65_duration, T65), "t72_safe_name": (t72_safe_name, T72),
+    "w16_split_answers": (w16_split_answers, W16), "p3_find_page": (p3_find_page, P3), "p8_fresh": (p8_fresh, P8), "p18_filters": (p18_filters, P18),
+    "e4_finiteness": (e4_finiteness, E4), "e8_interpolate": (e8_interpolate, E8),
 }

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,12 +57,16 @@ def cache_put(cache: DataFrame, new: DataFrame, key: str = "sha256") -> DataFram
 
 
 def versions(spark: SparkSession, path: str) -> list[int]:
-    """The published versions below a path, none if there is nothing; files of a write that has not ended are hidden."""
-    try:
-        rows = spark.read.parquet(path).select("version").distinct().collect()
-    except AnalysisException:
+    """The published versions below a path, none if the path is not there; a version counts once its write has ended.
+
+    Only folder names are looked at, so no data is read.
+    """
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
         return []
-    return sorted(r.version for r in rows)
+    ended = [x.getPath() for x in fs.listStatus(folder) if x.isDirectory() and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))]
+    return sorted(int(x.getName().removeprefix("version=")) for x in ended if x.getName().startswith("version="))
 
 
 def latest(spark: SparkSession, path: str) -> DataFrame | None:
@@ -73,7 +76,10 @@ def latest(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def publish(spark: SparkSession, path: str, new: DataFrame, key: str, content: Sequence[str], kept: Sequence[str]) -> DataFrame:
-    """Merge new content into the newest snapshot, keep what was learned about rows, and write the next version."""
+    """Merge new content into the newest snapshot, keep what was learned about rows, and write the next version.
+
+    Two writers of one version: the second fails, as its folder is there.
+    """
     found = versions(spark, path)
     if found:
         old = spark.read.parquet(f"{path}/version={found[-1]}")
