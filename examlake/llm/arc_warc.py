@@ -2,8 +2,9 @@
 
 Pages are written as ARC archives, whose records are a header line, laid out by the version that the archive's first
 block names, and a body of declared length. The converter reads whole archives, follows the declared lengths, and
-synthesises for each record what WARC wants: an identifier (from address, date and payload digest), a timestamp in
-ISO form, a type, and block and payload digests. Of records with equal payloads the one with the smallest
+synthesises for each record what WARC wants: an identifier (from its archive and place, address, date and payload
+digest, so that rows repeated whole have identifiers of their own), a timestamp in ISO form, a type, and block and
+payload digests. Of records with equal payloads the one with the smallest
 ``page_id`` is a response, and the others are revisits that name it. Archives are text files written and read by
 Spark itself, in the shared folder; each begins anew after ``RECORDS`` records, so none grows with the data.
 
@@ -56,8 +57,8 @@ def write_arc(pages: DataFrame, path: str, version: int) -> None:
     page.withColumn("body", body).withColumn("first", first).select(F.concat(F.when(F.col("first"), _version_block(version)).otherwise(""), record).alias("value")).write.options(**_WRITE).text(path)
 
 
-def parse_arc(data: bytes) -> Iterator[tuple[str, str, str, bytes]]:
-    """(url, date, content type, body) of each record of an archive of either version.
+def parse_arc(data: bytes) -> Iterator[tuple[str, str, str, bytes, int]]:
+    """(url, date, content type, body, place) of each record of an archive of either version.
 
     The version is the first line of the first block's body; its second line names the fields of the header lines.
     Body lengths are as declared, so a body may hold anything, header lines included.
@@ -76,7 +77,7 @@ def parse_arc(data: bytes) -> Iterator[tuple[str, str, str, bytes]]:
         body = data[end + 1 : end + 1 + length]
         if len(body) < length:
             raise ValueError("an ARC body is shorter than declared")
-        at = end + 1 + length
+        place, at = at, end + 1 + length
         if line.startswith("filedesc://"):
             version, layout = body.decode().split("\n")[:2]
             if version.split(" ")[0] not in ("1", "2"):
@@ -86,7 +87,7 @@ def parse_arc(data: bytes) -> Iterator[tuple[str, str, str, bytes]]:
         if names is None or len(fields) != len(names):
             raise ValueError("an ARC header line does not fit the version block")
         row = dict(zip(names, fields, strict=True))
-        yield row["URL"], row["Archive-date"], row["Content-type"], body
+        yield row["URL"], row["Archive-date"], row["Content-type"], body, place
 
 
 def _headers(block: bytes) -> tuple[dict[bytes, bytes], bytes]:
@@ -102,26 +103,26 @@ def _plain(content: bytes) -> bytes:
     return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
 
 
-_ARC_SCHEMA = "page_id long, url string, date string, type string, block binary, header_bytes int, payload_digest string, block_digest string"
+_ARC_SCHEMA = "page_id long, url string, date string, type string, block binary, header_bytes int, payload_digest string, block_digest string, place string"
 
 
 def _arc_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split(" ")[0] for x in _ARC_SCHEMA.split(", ")]
-    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.int32(), pa.string(), pa.string()]
+    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.int32(), pa.string(), pa.string(), pa.string()]
     for b in batches:
-        for content in b.column("content"):
+        for file, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
             rows = []
-            for url, date, kind, body in parse_arc(_plain(content.as_py())):
+            for url, date, kind, body, at in parse_arc(_plain(content.as_py())):
                 headers, payload = _headers(body)
                 page = headers.get(_PAGE)
-                rows.append((int(page) if page else None, url, date, kind, body, len(body) - len(payload), _sha1(payload), _sha1(body)))
+                rows.append((int(page) if page else None, url, date, kind, body, len(body) - len(payload), _sha1(payload), _sha1(body), f"{file.rsplit('/', 1)[-1]}:{at}"))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
 def _archives(spark: SparkSession, path: str) -> DataFrame:
     bounded_batches(spark)
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
@@ -129,9 +130,9 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
     return _archives(spark, path).mapInArrow(released(_arc_rows), _ARC_SCHEMA)
 
 
-def _record_id(url: Column, date: Column, digest: Column, page: Column) -> Column:
-    """A name-based identifier: the same record always gets the same one."""
-    h = F.sha1(F.concat_ws("|", url, date, digest, page.cast("string")))
+def _record_id(*parts: Column) -> Column:
+    """A name-based identifier: the same record of the same archive always gets the same one."""
+    h = F.sha1(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
     return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-a"), F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12), F.lit(">"))
 
 
@@ -141,7 +142,7 @@ def write_warc(records: DataFrame, path: str) -> None:
     The first record of each digest is found from the digests alone, with a partial aggregate before the shuffle;
     only records that revisit another are then joined to by identifier, and adaptive execution splits a hot key.
     """
-    records = records.withColumn("record_id", _record_id(F.col("url"), F.col("date"), F.col("payload_digest"), F.col("page_id")))
+    records = records.withColumn("record_id", _record_id(F.col("place"), F.col("url"), F.col("date"), F.col("payload_digest"), F.col("page_id")))
     slim = records.select("payload_digest", "page_id", "record_id")
     first = slim.groupBy("payload_digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "record_id")).alias("o"), F.count("*").alias("n")).where("n > 1")
     original = first.select("payload_digest", F.col("o.page_id").alias("first_page"), F.col("o.record_id").alias("first_id"))

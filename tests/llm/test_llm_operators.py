@@ -70,6 +70,8 @@ def test_exact_dedup(docs, rows, none, monkeypatch):
         got = kept.collect()
         assert Counter(norm(r.text) for r in got) == Counter(set(groups)) and all(r.doc_id == min(groups[norm(r.text)])[2] for r in got)
     assert exact_dedup.keep_owners(none).count() == 0
+    clash = docs.withColumn("_length", F.lit("x")).withColumn("_HASH", F.lit(1))
+    assert exact_dedup.keep_owners(clash).columns == clash.columns and exact_dedup.keep_owners(clash).count() == len(groups)
 
 
 def test_near_duplicates(docs, rows, none):
@@ -125,6 +127,8 @@ def test_decontamination(spark, docs, rows, none):
     some = docs.select("doc_id", "text").unionByName(extra)
     got = {(r.doc_id, r.item_id, r.distance) for r in decontaminate.matches(some, items).collect()}
     assert {(1, 1, 0), (2, 1, 0), (3, 1, 0), (500, 1, 0), (501, 1, 1)} <= got and {x[0] for x in got} <= {1, 2, 3, 4, 500, 501}
+    clash = items.withColumn("doc_id", F.lit(3)).withColumn("places", F.lit("x"))
+    assert {(r.doc_id, r.item_id, r.distance) for r in decontaminate.matches(some.withColumn("item_id", F.lit(9)), clash).collect()} == got
     assert decontaminate.matches(none, items).count() == 0 and decontaminate.matches(docs, items.limit(0)).count() == 0
     clean = decontaminate.clean(docs, items)
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {r[0] for r in rows} - {x[0] for x in got}
@@ -153,13 +157,13 @@ def test_bpe(docs, rows, none):
 
 
 def test_arc_to_warc(spark):
-    html = ["<p>a</p>", "<p>a</p>", None, "", "x\r\n\r\nWARC/1.1\r\n", "é" * 2000, "<p>a</p>"]
+    html = ["<p>a</p>", "<p>a</p>", None, "", "x\r\n\r\nWARC/1.1\r\n", "é" * 2_000_000, "<p>a</p>"]
     pages = spark.createDataFrame([(i + 1, f"http://h/{i} b" if i != 2 else None, h, "x") for i, h in enumerate(html)] + [(2, "http://h/1 b", "<p>a</p>", "x")], "page_id long, url string, html string, date string")
     first = {}
     for i, h in enumerate(html):
         first.setdefault(h or "", i + 1)
     got = arc_warc.round_trip(pages).collect()
-    assert len(got) == 8
+    assert len(got) == 8 and len({r.record_id for r in got}) == 8
     for r in got:
         h = html[r.page_id - 1] or ""
         import base64
@@ -167,6 +171,9 @@ def test_arc_to_warc(spark):
         assert (r.payload_bytes, r.payload_digest) == (len(h.encode()), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode())
         assert (r.record_type, r.refers_to) == (("response", None) if first[h] == r.page_id else ("revisit", first[h]))
     assert arc_warc.round_trip(pages.limit(0)).count() == 0
+    # null ids: an original only if all equal payloads lack one
+    none = spark.createDataFrame([(None, "u", "p"), (4, "u", "p"), (None, "u", "q")], "page_id long, url string, html string")
+    assert sorted(((r.page_id or 0, r.record_type, r.refers_to) for r in arc_warc.round_trip(none).collect())) == [(0, "response", None), (0, "revisit", 4), (4, "response", None)]
 
 
 def test_license_scan(spark, docs, rows, none):
@@ -185,6 +192,9 @@ def test_license_scan(spark, docs, rows, none):
         assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(",")))
     assert {"cc-by-4.0", "gpl-2.0-or-later"} <= set(got[1].labels.split(",")) and "gpl-2.0" not in got[1].labels.split(",")
     assert {"apache-2.0", "mit"} <= set(got[6].labels.split(",")) and got[2].labels == "" and got[2].score == 0
+    names = {"under GPLv2 or later": "gpl-2.0-or-later", "GPLv3 only": "gpl-3.0-only", "LGPLv2.1": "lgpl-2.1", "MPLv2": "mpl-2.0", "the ASL 2.0": "apache-2.0", "gpl3": "gpl-3.0", "EUPL v1.2": "eupl-1.2"}
+    spelled = license_scan.license_scan(spark.createDataFrame(list(enumerate(names)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.labels for r in spelled] == list(names.values())
     assert license_scan.license_scan(none).count() == 0 and license_scan.license_scan(docs).count() == len(rows)
 
 
@@ -381,6 +391,22 @@ def test_classifiers_on_odd_tables(docs, rows, none, labels, module):
         assert len(got) == n and all(0 <= r.score <= 1 and r.predicted in (0, 1) for r in got)
 
 
+def test_few_labels_and_long_labelled_texts_are_learned_from(spark):
+    rng = random.Random(4)
+    for n, size in ((60, 4200), (9, 30)):
+        rows = [(i, words_of(rng, size, EN) + (" you idiot clown" * 3 if i % 2 else " you there"), "en") for i in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+        labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(n)], "doc_id long, toxic int, quality int")
+        got = {r.doc_id: r for r in toxicity.score(docs, labels, "toxic", F.lit(False)).collect()}
+        assert sum(got[i].predicted == i % 2 for i in range(n)) >= 0.85 * n
+        kept = {r.doc_id for r in toxicity.accept(docs, labels, "toxic", F.lit(False)).collect()}
+        assert kept == {i for i in range(n) if not got[i].predicted}
+        good = quality.score(docs, labels, "quality", F.lit(False)).collect()
+        assert sum((r.score >= 0.5) == r.doc_id % 2 for r in good) >= 0.85 * n
+    # labels of one kind tell nothing apart
+    assert toxicity.accept(docs, labels.where("toxic = 1"), "toxic", F.lit(False)).count() == 9
+
+
 def test_classifiers_learn_what_marks_a_label(spark):
     rng = random.Random(11)
     bad = [i % 3 == 0 for i in range(600)]

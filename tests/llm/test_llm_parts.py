@@ -190,7 +190,7 @@ def test_arc_versions_and_bodies_that_look_like_headers():
     body = b"HTTP/1.1 200 OK\r\nX-Page-Id: 3\r\n\r\nfiledesc://x 0.0.0.0 1 text/plain 99\nWARC/1.1\r\n"
     for version, extra in ((1, ""), (2, " 200 - - 0 f.arc")):
         data = arc_warc._version_block(version).encode() + f"http://a/ 1.2.3.4 20240102030405 text/html{extra} {len(body)}\n".encode() + body + b"\n"
-        assert list(arc_warc.parse_arc(data)) == [("http://a/", "20240102030405", "text/html", body)]
+        assert [r[:4] for r in arc_warc.parse_arc(data)] == [("http://a/", "20240102030405", "text/html", body)]
         with pytest.raises(ValueError, match="shorter"):
             list(arc_warc.parse_arc(data[:-10]))
     with pytest.raises(ValueError, match="version"):
