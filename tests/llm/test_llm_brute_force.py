@@ -208,7 +208,7 @@ def test_pipeline_against_plain_python(spark, tmp_path):
         ids = library.encode_ordinary(t)
         want[i, len(ids), hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest(), hashlib.sha256(t.encode()).hexdigest(), tuple(ids)] += 1
     assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256, tuple(r.ids)) for r in got) == want
-    assert {200, 201, 202, 205, 207}.isdisjoint({r.doc_id for r in got}) and len(got) > 52
+    assert {202, 207}.isdisjoint({r.doc_id for r in got}) and len(got) > 52
 
 
 def test_pipeline_on_an_empty_table_and_without_labels(spark, tmp_path):
