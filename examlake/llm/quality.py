@@ -33,8 +33,8 @@ BLOCK = 256
 STRETCH = 1 << 16
 #: distinct words that a task holds before it passes their counts on
 HELD = 500_000
-PER_CLASS = 3000
-HIDDEN = 32
+PER_CLASS = 6000
+HIDDEN, DECAY = 32, 1e-3
 THRESHOLD = 0.7
 
 
@@ -209,7 +209,7 @@ class Network:
                 hidden = np.maximum(z[i] @ p[0] + p[1], 0)
                 error = (sigmoid(hidden @ p[2] + p[3]) - y[i]) * weight[i] / len(i)
                 back = np.outer(error, p[2]) * (hidden > 0)
-                grads = [z[i].T @ back + 1e-4 * p[0], back.sum(0), hidden.T @ error + 1e-4 * p[2], np.array([error.sum()])]
+                grads = [z[i].T @ back + DECAY * p[0], back.sum(0), hidden.T @ error + DECAY * p[2], np.array([error.sum()])]
                 step += 1
                 for k, g in enumerate(grads):
                     m[k] = 0.9 * m[k] + 0.1 * g
@@ -233,16 +233,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str, held: Column) -> tuple
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            x = pooled(b.column("text"), *sent.value).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
+            x = pooled(b.column("text"), *sent.value)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "y", "x"])
 
-    rows = sorted(sample.select("doc_id", "y", "text").mapInArrow(released(features), "doc_id long, y int, x array<double>").collect(), key=lambda r: (r.doc_id, r.y))
+    rows = sorted(sample.select("doc_id", "y", "text").mapInArrow(released(features), "doc_id long, y int, x binary").collect(), key=lambda r: (r.doc_id, r.y))
     y = np.array([r.y for r in rows])
     if not len({*y.tolist()}) > 1:
         total = sum(counts.values())
         return Network(counts.get(1, 0) / total if total else 0.5), *vectors
     network = Network()
-    network.fit(np.array([r.x for r in rows]), y, class_weights(y, counts))
+    network.fit(np.frombuffer(b"".join(bytes(r.x) for r in rows), np.float32).reshape(len(rows), -1).astype(np.float64), y, class_weights(y, counts))
     return network, *vectors
 
 
