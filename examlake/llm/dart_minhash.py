@@ -39,6 +39,8 @@ SIMILARITY = 0.8
 PRUNING_ROUNDS = 2
 #: buckets up to this size are compared by joined pairs, larger ones by tiles of about so many nodes
 PAIRED, TILE = 8, 512
+#: parts of a band's members in joins by band
+SALTS = 8
 #: a signature of 192 agrees below this share with probability under 1e-6 at similarity 0.8
 _LOWEST_AGREEMENT = 0.66
 
@@ -193,11 +195,18 @@ def _linked(pairs: DataFrame, reps: DataFrame, text: DataFrame) -> DataFrame:
     return stored(joined.select("a", "b", "text_a", "text_b").mapInArrow(released(_exact), "a long, b long"), "linked").distinct()
 
 
+def _by_band(left: DataFrame, bands: DataFrame, how: str = "inner") -> DataFrame:
+    """``left`` (band, node, ...) joined with one row per band, which is there once for each of ``SALTS`` parts of the nodes, so
+    that the members of a hot band are dealt to as many tasks."""
+    spread = bands.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(spread, ["band", "salt"], how).drop("salt")
+
+
 def _split_buckets(members: DataFrame, label: DataFrame) -> DataFrame:
     """(band, node, pivot, comp) of the buckets whose members are in several components."""
     member = members.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     split = member.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band")
-    return member.join(split, "band", "left_semi").select("band", "node", "pivot", "comp")
+    return _by_band(member, split, "left_semi").select("band", "node", "pivot", "comp")
 
 
 def _can_link(members: DataFrame, text: DataFrame) -> DataFrame:
@@ -282,7 +291,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = stored(made.where("has_words").groupBy("node").agg(F.min_by(F.struct("doc_id", "signature", "bands"), F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("r")).select("node", "r.*"), "representatives")
     bands = reps.select("node", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = stored(bands.join(shared, "band"), "members")
+    members = stored(_by_band(bands, shared), "members")
     # ids may repeat or be null: a text counts for the node that its own shingles have; a merge join at every size
     wanted = reps.join(members.select("node").distinct(), "node", "left_semi").select(F.col("doc_id").alias("id")).distinct()
     text = texts(docs).join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").mapInArrow(released(_with_node), "node long, text string")
@@ -292,7 +301,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # what shares a bucket but no component yet
     left = stored(_split_buckets(members, components(links)), "unlinked")
     left = stored(_can_link(left, text), "unlinked")
-    sized = stored(left.join(left.groupBy("band").agg(F.count("*").alias("n")), "band"), "unlinked")
+    sized = stored(_by_band(left, left.groupBy("band").agg(F.count("*").alias("n"))), "unlinked")
     few = sized.where(F.col("n") <= PAIRED)
     x, y = few.select("band", F.col("node").alias("a"), F.col("comp").alias("ca"), "pivot"), few.select("band", F.col("node").alias("b"), F.col("comp").alias("cb"))
     across = x.join(y, "band").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & (F.col("a") != F.col("pivot"))).select("a", "b").distinct()
