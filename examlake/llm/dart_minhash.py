@@ -39,7 +39,7 @@ SIMILARITY = 0.8
 PRUNING_ROUNDS = 2
 #: buckets up to this size are compared by joined pairs, larger ones by tiles of about so many nodes
 PAIRED, TILE = 8, 512
-#: parts of a band's members in joins by band
+#: parts of a band's or class's members in joins
 SALTS = 8
 #: a signature of 192 agrees below this share with probability under 1e-6 at similarity 0.8
 _LOWEST_AGREEMENT = 0.66
@@ -307,8 +307,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     across = x.join(y, "band").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & (F.col("a") != F.col("pivot"))).select("a", "b").distinct()
     label = components(links.union(_linked(across, reps, text)).union(_linked_in_tiles(sized.where(F.col("n") > PAIRED), text)).distinct())
     node = made.select("doc_id", "node").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    classes = node.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return node.join(classes, "comp").select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    # only classes of several rows are joined back, salted; a document alone is its own class
+    classes = node.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")).where("class_size > 1")
+    classes = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    both = node.withColumn("salt", F.pmod(F.xxhash64("doc_id", "node"), F.lit(SALTS)).cast("int")).join(classes, ["comp", "salt"], "left")
+    alone = F.col("class_size").isNull()
+    both = both.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+    return both.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
