@@ -32,12 +32,27 @@ def as_of(rows: DataFrame, marks: DataFrame, by: Sequence[str], at: str, value:
 
 
 def inside(points: DataFrame, boxes: DataFrame, by: Sequence[str], at: str, low: str, high: str, width: int) -> DataFrame:
-    """Points in half-open intervals. Intervals are cut into cells of ``width``, so the join has an equality."""
+    """Points in half-open intervals. Intervals are cut into cells of ``width``, so the join has an equality."""
     cell = lambda c: F.floor(c / width).cast("long")
     cells = boxes.where(F.col(high) > F.col(low)).withColumn("_cell", F.explode(F.sequence(cell(F.col(low)), cell(F.col(high) - 1))))
     return points.withColumn("_cell", cell(F.col(at))).join(cells, [*by, "_cell"]).where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("_cell")
 
 
+def locate(flow: DataFrame, points: DataFrame, by: Sequence[str], start: str, ok: str, fields: Sequence[str]) -> DataFrame:
+    """Each offset with fields of the block it falls into, or beyond the last block, of that one.
+
+    Blocks stand end to end, by where they begin; empty ones hold no offset. One that is not ``ok`` gives way to the next
+    that is, then to the one before, and stands for itself where none is.
+    """
+    line = Window.partitionBy(*by).orderBy(start)
+    own = F.struct(*fields)
+    good = F.when(F.col(ok), own)
+    after = F.first(good, ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing))
+    before = F.last(good, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))
+    found = as_of(points, flow.select(*by, start, F.coalesce(after, before, own).alias("_block")), by, start, "_block")
+    return found.select(*points.columns, *[F.col(f"_block.{f}").alias(f) for f in fields])
+
+
 def alias_dimension(vocabulary: DataFrame, code: str, name: str, aliases: Column) -> DataFrame:
     """(alias, code): a code, its name and its other names, all exact."""
     return vocabulary.select(F.col(code), F.explode(F.array_distinct(F.concat(F.array(F.col(code).cast("string"), F.col(name)), aliases))).alias("alias"))

@@ -29,12 +29,18 @@ def carry_over(rows: DataFrame, by: str, order: Sequence[str], number: str) -> D
 
 
 def mode_first(rows: DataFrame, by: str, value: str, order: str, default: Column) -> DataFrame:
-    """The most frequent value, the one seen first at a tie."""
+    """The most frequent value, the one seen first at a tie."""
     per = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_n"), F.min(order).alias("_first"))
     best = per.groupBy(by).agg(F.max(F.struct("_n", (-F.col("_first")).alias("_f"), value)).alias("b"))
     return rows.select(by).distinct().join(best, by, "left").select(by, F.coalesce(f"b.{value}", default).alias(value))
 
 
+def baseline(atoms: DataFrame, by: str, value: str, order: str, full: Column) -> DataFrame:
+    """The most frequent value of the atoms of full size, of all atoms where none is; the one seen first at a tie."""
+    large = mode_first(atoms.withColumn(value, F.when(full, F.col(value))), by, value, order, F.lit(None)).withColumnRenamed(value, "_large")
+    return large.join(mode_first(atoms, by, value, order, F.lit(None)), by).select(by, F.coalesce("_large", value).alias(value))
+
+
 def link_continuations(tables: DataFrame, body: DataFrame, tolerance: float = 4.0) -> DataFrame:
     """A table's root: the lowest table of the page before, if edges agree and no body text stands between.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def snapshot(old: DataFrame, new: DataFrame, key: str, content: Sequence[str], kept: Sequence[str]) -> DataFrame:
-    """M1 and M2: rows of ``new``; ``kept`` columns come from the old row of the key, if there is one; other keys go."""
+    """M2: rows of ``new``; ``kept`` columns come from the old row of the key, if there is one; other keys go."""
     before = old.select(key, *[F.col(c).alias(f"_old_{c}") for c in kept], F.lit(True).alias("_was"))
     return new.select(key, *content).join(before, key, "left").select(key, *content, *[F.col(f"_old_{c}").alias(c) for c in kept], F.when(F.col("_was"), "updated").otherwise("inserted").alias("action"))
 
@@ -44,7 +44,7 @@ def conditional(old: DataFrame, new: DataFrame, key: str, same: Sequence[str], f
 
 
 def exclusive(solutions: DataFrame, failures: DataFrame, key: str, order: str) -> DataFrame:
-    """A key has a solution or a failure, whichever came last; a solution at a tie."""
+    """M8: a key has a solution or a failure, whichever came last; a solution at a tie."""
     both = solutions.select(key, order, F.lit(1).alias("_s")).unionByName(failures.select(key, order, F.lit(0).alias("_s")))
     return both.groupBy(key).agg(F.max(F.struct(order, "_s")).alias("m")).select(key, F.when(F.col("m._s") == 1, "solution").otherwise("failure").alias("kind"), F.col(f"m.{order}").alias(order))
 
@@ -83,7 +83,7 @@ def reset_on_change(old: DataFrame, new: DataFrame, key: str, content: Sequence[
 
 
 def partial_update(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """What the update gives replaces what is there, field by field; the rest stays."""
+    """What the update gives replaces what is there, field by field; the rest stays."""
     other = new.select(key, *[F.col(f).alias(f"_n_{f}") for f in fields])
     return old.join(other, key, "left").select(key, *[F.coalesce(f"_n_{f}", f).alias(f) for f in fields], F.greatest(*[F.col(f"_n_{f}").isNotNull() for f in fields], F.lit(False)).alias("touched"))
 
@@ -107,3 +107,46 @@ def stamp(rows: DataFrame, keys: DataFrame, key: str, column: str, as_of: Column
     """The rows of some keys get a time."""
     marked = keys.select(key).distinct().withColumn("_m", F.lit(True))
     return rows.join(marked, key, "left").withColumn(column, F.when(F.col("_m"), as_of).otherwise(F.col(column))).drop("_m")
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str, content: Sequence[str], kept: Sequence[str]) -> DataFrame:
+    """M1: all keys of both; ``content`` is the new row's where there is one, ``kept`` the old row's unless it is null."""
+    a = old.select(key, *[F.col(c).alias(f"_o_{c}") for c in (*content, *kept)])
+    b = new.select(key, *[F.col(c).alias(f"_n_{c}") for c in (*content, *kept)], F.lit(True).alias("_given"))
+    fresh = [F.when(F.col("_given"), F.col(f"_n_{c}")).otherwise(F.col(f"_o_{c}")).alias(c) for c in content]
+    return a.join(b, key, "full").select(key, *fresh, *[F.coalesce(f"_o_{c}", f"_n_{c}").alias(c) for c in kept])
+
+
+def put_failures(solutions: DataFrame, failures: DataFrame, new: DataFrame, key: str, reason: str) -> tuple[DataFrame, DataFrame]:
+    """M9: new failures, reasons cut to 240, replace the old failure and the solution of their keys: (solutions, failures)."""
+    given = new.withColumn(reason, F.left(reason, F.lit(240)))
+    keys = new.select(key)
+    return solutions.join(keys, key, "left_anti"), failures.join(keys, key, "left_anti").unionByName(given)
+
+
+def clear_failures(failures: DataFrame, cleared: DataFrame, key: str, parent: str) -> tuple[DataFrame, DataFrame]:
+    """The failures that stay, and the parents of those that went, whose time of change moves on."""
+    keys = cleared.select(key)
+    return failures.join(keys, key, "left_anti"), failures.join(keys, key, "left_semi").select(parent).distinct()
+
+
+def update_or_report(old: DataFrame, new: DataFrame, key: str, field: str) -> DataFrame:
+    """(key, field, action): the field of known keys is ``updated``; keys that are not there are ``missing``."""
+    known = old.select(key).distinct().withColumn("_known", F.lit(True))
+    there = F.coalesce(F.col("_known"), F.lit(False))
+    return new.select(key, field).join(known, key, "left").select(key, F.when(there, F.col(field)).alias(field), F.when(there, "updated").otherwise("missing").alias("action"))
+
+
+def approve(rows: DataFrame, said: DataFrame, key: str, ok: str, status: str) -> DataFrame:
+    """What a person said sets the status, approved or rejected; the others keep theirs."""
+    both = rows.join(said.select(key, F.col(ok).alias("_ok")), key, "left")
+    return both.withColumn(status, F.when(F.col("_ok"), "approved").when(~F.col("_ok"), "rejected").otherwise(F.col(status))).drop("_ok")
+
+
+def merge_warnings(tables: DataFrame, by: str, table: str, parent: str, widths: str) -> DataFrame:
+    """(by, table, parent, why) of continuations that cannot be joined to their table: ``empty`` if either has no rows,
+    ``width`` if their rows are not all as wide. ``widths`` is an array with one width per row."""
+    above = tables.select(by, F.col(table).alias(parent), F.col(widths).alias("_above"))
+    both = tables.join(above, [by, parent]).select(by, table, parent, F.coalesce(widths, F.array().cast("array<int>")).alias("_own"), F.coalesce("_above", F.array().cast("array<int>")).alias("_above"))
+    why = F.when((F.size("_own") == 0) | (F.size("_above") == 0), "empty").when(F.size(F.array_union("_own", "_above")) > 1, "width")
+    return both.select(by, table, parent, why.alias("why")).where("why IS NOT NULL")

@@ -36,7 +36,7 @@ def weak_spots(answers: DataFrame, topic: str, by: Sequence[str], top: int = 3)
 
 
 def progress(parents: DataFrame, children: DataFrame, key: str, counts: dict[str, Column], changed: str, as_of: Column) -> DataFrame:
-    """A1 and ST5: all counts of a parent's children in one pass, the last change of either, and how long that is ago."""
+    """A1: all counts of a parent's children in one pass, the last change of either, and how long that is ago."""
     per = children.groupBy(key).agg(*[F.count_if(c).alias(n) for n, c in counts.items()], F.max(changed).alias("_last"))
     last = F.greatest("_last", "created_at")
     idle = F.unix_timestamp(as_of) - F.unix_timestamp(last)

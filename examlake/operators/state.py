@@ -72,6 +72,14 @@ def sweep(status: Column, started: Column, as_of: Column, seconds: int) -> Colum
     return F.when((status == "running") & late, "error").otherwise(status)
 
 
+def timing(changed: Column, started: Column, assembled: Column, as_of: Column, busy: int = 180) -> Column:
+    """ST5: struct<idle, busy, elapsed> in seconds: since the last change, whether that is short, and from the start to the
+    assembly, or to ``as_of`` before there is one; elapsed is null without a start."""
+    idle = F.unix_timestamp(as_of) - F.unix_timestamp(changed)
+    elapsed = F.unix_timestamp(F.coalesce(assembled, as_of)) - F.unix_timestamp(started)
+    return F.struct(idle.alias("idle"), (idle < busy).alias("busy"), elapsed.alias("elapsed"))
+
+
 def log_line(text: Column, most: int = 400) -> Column:
     """ST7: a log line without control characters, cut to a length."""
     return F.left(F.regexp_replace(text, r"[\x00-\x1F\x7F]", ""), F.lit(most))

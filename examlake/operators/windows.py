@@ -159,6 +159,11 @@ def natural_key(name: Column) -> Column:
     return F.array_join(F.transform(parts, key), "\u0001")
 
 
+def reading(page: str, y: str) -> list[Column]:
+    """K4: what reading order sorts by: pages upward, and y downward within a page."""
+    return [F.asc(page), F.desc(y)]
+
+
 def nearest_full_size(atoms: DataFrame, by: str, order: Sequence[str], full: Column, value: str, back: int = 3) -> DataFrame:
     """The value of the nearest of the few atoms before that has full size; null if none of them has."""
     line = Window.partitionBy(by).orderBy(*order).rowsBetween(-back, -1)
