@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from examlake.functions import grading as G
 from examlake.functions import text as T
-from examlake.operators import audit, checks, cuts, layout, lookups, merge, rollup, series, sheets, state, windows
+from examlake.operators import audit, checks, cuts, joins, layout, lookups, merge, rollup, series, sheets, state, windows
 from examlake.sources import store
 from examlake.streaming import quota as stream
 
@@ -284,3 +284,38 @@ def test_labels_lines_and_approval(spark):
     specs = spark.createDataFrame([(1, "draft"), (2, "draft"), (3, "draft")], "k int, status string")
     out = spark.createDataFrame([(1, "true"), (1, "true"), (2, "true"), (2, "error")], "k int, outcome string")
     assert values(audit.approve(specs, out, "k"), "k", "status") == [(1, "approved"), (2, "rejected"), (3, "draft")]
+
+
+def test_located_offsets_with_blocks_that_have_no_coordinates(spark):
+    flow = spark.createDataFrame([("a", 0, False, 1), ("a", 5, True, 2), ("a", 9, False, 3), ("b", 0, False, 7), ("b", 4, False, 8)], "doc string, at int, ok boolean, page int")
+    points = spark.createDataFrame([("a", 0), ("a", 6), ("a", 99), ("b", 2), ("b", 4), ("c", 1)], "doc string, at int")
+    got = joins.locate(flow, points, ["doc"], "at", "ok", ["page"])
+    assert values(got, "doc", "at", "page") == [("a", 0, 2), ("a", 6, 2), ("a", 99, 2), ("b", 2, 7), ("b", 4, 8), ("c", 1, None)]
+    assert joins.locate(flow.limit(0), points.limit(0), ["doc"], "at", "ok", ["page"]).count() == 0
+
+
+def test_upsert_keeps_owners_and_old_rows(spark):
+    old = spark.createDataFrame([(1, "a", "me"), (2, "b", None), (3, "c", "us")], "k int, name string, owner string")
+    new = spark.createDataFrame([(1, None, "you"), (2, "B", "you"), (4, "D", None)], "k int, name string, owner string")
+    assert values(merge.upsert(old, new, "k", ["name"], ["owner"]), "k", "name", "owner") == [(1, None, "me"), (2, "B", "you"), (3, "c", "us"), (4, "D", None)]
+
+
+def test_failures_replace_and_are_cleared(spark):
+    solved = spark.createDataFrame([(1,), (2,)], "k int")
+    failed = spark.createDataFrame([(3, "p", "old"), (4, "p", "old"), (5, "q", "old")], "k int, paper string, reason string")
+    stay, now = merge.put_failures(solved, failed, spark.createDataFrame([(2, "p", "x" * 300), (3, "p", None)], "k int, paper string, reason string"), "k", "reason")
+    assert values(stay, "k") == [(1,)]
+    assert values(now, "k", "reason") == [(2, "x" * 240), (3, None), (4, "old"), (5, "old")]
+    left, papers = merge.clear_failures(failed, spark.createDataFrame([(4,), (9,)], "k int"), "k", "paper")
+    assert values(left, "k") == [(3,), (5,)] and values(papers, "paper") == [("p",)]
+
+
+def test_merge_warnings_name_the_reason(spark):
+    rows = [("d", 1, None, [2, 2]), ("d", 2, 1, [2]), ("d", 3, 1, [2, 3]), ("d", 4, 1, None), ("d", 5, 4, [2]), ("d", 6, 77, [])]
+    tables = spark.createDataFrame(rows, "doc string, t int, parent int, widths array<int>")
+    assert values(merge.merge_warnings(tables, "doc", "t", "parent", "widths"), "t", "parent", "why") == [(3, 1, "width"), (4, 1, "empty"), (5, 4, "empty")]
+
+
+def test_baseline_falls_back_to_all_atoms(spark):
+    atoms = spark.createDataFrame([("a", 1, 5, False), ("a", 2, 5, False), ("a", 3, 7, True), ("b", 1, 4, False), ("b", 2, 9, False), ("c", 1, None, True)], "doc string, n int, y int, full boolean")
+    assert values(layout.baseline(atoms, "doc", "y", "n", F.col("full")), "doc", "y") == [("a", 7), ("b", 4), ("c", None)]
