@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc_warc, bpe, dart_minhash, decontaminate, exact_dedup, language_id, license_scan, pitman_yor, quality, toxicity
+from . import arc_warc, bpe, dart_minhash, decontaminate, exact_dedup, filter_audit, language_id, lexical_search, license_scan, pitman_yor, quality, toxicity, url_filter
 from .common import documents, held_out
 
 
@@ -59,12 +59,29 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+#: the rules that op12's contract states
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_pitman_yor, op3_arc_to_warc, op4_dart_minhash, op5_edit_decontamination, op6_language_id, op7_license_scan, op8_toxicity, op9_byte_bpe, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_quality, op2_pitman_yor, op3_arc_to_warc, op4_dart_minhash, op5_edit_decontamination, op6_language_id, op7_license_scan, op8_toxicity, op9_byte_bpe, op10_exact_dedup, op11_filter_audit, op12_url_filter, op13_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_arc_to_warc": ARC_SQL, "op10_exact_dedup": EXACT_DEDUP_SQL}
+    return {"op3_arc_to_warc": ARC_SQL, "op10_exact_dedup": EXACT_DEDUP_SQL, "op11_filter_audit": FILTER_AUDIT_SQL, "op12_url_filter": URL_FILTER_SQL, "op13_lexical_search": LEXICAL_SEARCH_SQL}
 
 
 EXACT_DEDUP_SQL = r"""
@@ -82,3 +99,44 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id = original THEN NULL ELSE original END AS refers_to
 FROM d
 """
+
+FILTER_AUDIT_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (SELECT d.doc_id, part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b, 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text) AS c,
+  regexp_matches(text, '[#$%&*|]') AS d, coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY text), false) AS e, coalesce(q.good, false) AS good, coalesce(q.toxic, false) AS toxic
+  FROM d LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id) q ON d.doc_id = q.doc_id),
+g AS (SELECT part, (CASE WHEN a THEN 'A' ELSE '' END) || (CASE WHEN b THEN 'B' ELSE '' END) || (CASE WHEN c THEN 'C' ELSE '' END) || (CASE WHEN d THEN 'D' ELSE '' END) || (CASE WHEN e THEN 'E' ELSE '' END) AS fails, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM l p, l q, l r, l s, l t
+  WHERE p.x NOT IN (q.x, r.x, s.x, t.x) AND q.x NOT IN (r.x, s.x, t.x) AND r.x NOT IN (s.x, t.x) AND s.x <> t.x),
+st AS (SELECT filter_order, CAST(step AS INT) AS step, substr(filter_order, step, 1) AS f, substr(filter_order, 1, step - 1) AS before FROM o, range(1, 6) z(step)),
+j AS (SELECT part, filter_order, step, f, good, toxic, n, contains(fails, f) AS here, fails = f AS alone,
+  before <> '' AND (contains(fails, substr(before, 1, 1)) OR (length(before) > 1 AND contains(fails, substr(before, 2, 1))) OR (length(before) > 2 AND contains(fails, substr(before, 3, 1))) OR (length(before) > 3 AND contains(fails, substr(before, 4, 1)))) AS gone FROM st, g),
+s AS (SELECT part, filter_order, step, f, CAST(sum(CASE WHEN NOT gone AND NOT here THEN n ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN NOT gone AND here THEN n ELSE 0 END) AS BIGINT) AS removed,
+  CAST(sum(CASE WHEN gone AND here THEN n ELSE 0 END) AS BIGINT) AS redundant, CAST(sum(CASE WHEN alone THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+  CAST(sum(CASE WHEN NOT gone AND here AND good THEN n ELSE 0 END) AS BIGINT) AS good_lost, CAST(sum(CASE WHEN NOT gone AND here AND toxic THEN n ELSE 0 END) AS BIGINT) AS toxic_lost FROM j GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM s
+"""
+
+URL_FILTER_SQL = r"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+v AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u),
+r(host, path, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+m AS (SELECT v.page_id, v.host, v.path, r.host || r.path AS rule, r.verdict FROM v LEFT JOIN r ON (v.host = r.host OR ends_with(v.host, '.' || r.host)) AND starts_with(v.path, r.path)),
+k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST) AS n FROM m)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM k WHERE n = 1
+"""
+
+LEXICAL_SEARCH_SQL = r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+dl AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM p GROUP BY doc_id),
+g AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM dl),
+df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+m AS (SELECT doc_id, 100 - 75 + (75 * n * docs) // terms AS m FROM dl, g),
+i AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+q AS (SELECT item_id, i.term, count(*) AS times, CAST(floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * any_value(df) + 1)::DOUBLE)) AS BIGINT) AS w FROM i JOIN df ON i.term = df.term, g GROUP BY ALL),
+s AS (SELECT item_id, p.doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN p ON q.term = p.term JOIN m ON m.doc_id = p.doc_id GROUP BY ALL),
+k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM k WHERE rank <= 10
+"""
