@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 
 def hashed_sample(rows: DataFrame, key: list[str], count: int, most: int) -> DataFrame:
     """At most ``most`` rows of ``count``, those with the smallest hashes of their key.
@@ -18,20 +20,30 @@ def hashed_sample(rows: DataFrame, key: list[str], count: int, most: int) -> Dat
     return rows.where(F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30)) + 1).orderBy(F.pmod(h, F.lit(1 << 30)), h, *key).limit(most)
 
 
+#: bytes of text that a sample holds at most
+SAMPLE_BYTES = 96 << 20
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held: Column, per_class: int) -> tuple[DataFrame, dict[int, int]]:
     """(doc_id, text, lang, y) of at most ``per_class`` documents of each label, by hash of the id; and all labels' counts.
 
     ``held`` is a condition on ``doc_id``; documents that meet it are never in the sample. The ids, at most twice
-    ``per_class``, are broadcast.
+    ``per_class``, are broadcast. However many rows have an id, one of them is taken, by hash of the text; and, in order of the ids' hashes, as many rows
+    as :data:`SAMPLE_BYTES` of whole texts hold.
     """
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label].cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held)
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     some = [hashed_sample(known.where(F.col("y") == y), ["doc_id"], counts.get(y, 0), per_class) for y in (0, 1)]
     chosen = some[0].union(some[1])
-    lang = docs["lang"] if "lang" in docs.columns else F.lit(None).cast("string")
+    lang = docs["lang"].cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     text = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"), lang.alias("lang"))
-    return text.join(F.broadcast(chosen), "doc_id"), counts
+    rows = text.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text", "lang").alias("hash"), "text", "lang")).alias("row"))
+    rows = stored(rows.select("doc_id", "y", "row.text", "row.lang"), "labelled")
+    h = F.xxhash64("doc_id")
+    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(F.pmod(h, F.lit(1 << 30)), h, "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    fits = rows.select("doc_id", so_far.alias("bytes")).where(F.col("bytes") <= SAMPLE_BYTES).select("doc_id")
+    return rows.join(F.broadcast(fits), "doc_id").select("doc_id", "text", "lang", "y"), counts
 
 
 def fifths(y: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import mmap
 import tempfile
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
@@ -188,9 +188,9 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
 
 def _judge_dealt(urls: DataFrame, rules: DataFrame, size: int, labels: int) -> DataFrame:
     """The same for rules beyond one file: distinct keys meet the rules by range of digest."""
-    above: Callable[[Column], Column] = lambda h: F.transform(F.sequence(F.lit(1), F.least(F.size(F.split(h, r"\.")), F.lit(labels))), lambda k: F.substring_index(h, F.lit("."), -k))
+    above = F.expr(f"transform(sequence(1, least(size(split(host, '[.]')), {labels})), k -> substring_index(host, '.', -k))")
     lengths = rules.groupBy(F.col("host").alias("domain")).agg(F.collect_set(F.char_length("path")).alias("lengths"))
-    fits = urls.select("host", "path").distinct().withColumn("domain", F.explode(above(F.col("host")))).join(lengths, "domain")
+    fits = urls.select("host", "path").distinct().withColumn("domain", F.explode(above)).join(lengths, "domain")
     fits = fits.withColumn("length", F.explode("lengths")).where(F.col("length") <= F.char_length("path"))
     fits = fits.select("host", "path", F.char_length("domain").alias("n_host"), F.concat("domain", F.substring("path", F.lit(1), F.col("length"))).alias("key"))
     keys = stored(fits.select("key").distinct(), "url-keys")
