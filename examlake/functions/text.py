@@ -32,15 +32,17 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def find_all(text: Column, pattern: str) -> Column:
-    """array<struct<at, hit>>: every match of a pattern and where it begins, from 0. U+0001 must not stand in the text."""
-    parts = F.split(F.regexp_replace(text, pattern, "\u0001$0\u0001"), "\u0001", -1)
-    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.lit([]).cast("array<struct<at:int,hit:string>>").alias("out"))
+    """array<struct<at, hit>>: every match of a pattern, which must not match nothing, and where it begins, from 0."""
+    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    zero = F.struct(F.lit(0).alias("at"), F.lit([]).cast("array<struct<at:int,hit:string>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        out = F.when(acc["inside"], F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), x.alias("hit"))))).otherwise(acc["out"])
-        return F.struct((acc["at"] + F.length(x)).alias("at"), (~acc["inside"]).alias("inside"), out.alias("out"))
+        at = acc["at"] + F.length(x["gap"])
+        return F.struct((at + F.length(x["hit"])).alias("at"), F.concat(acc["out"], F.array(F.struct(at.alias("at"), x["hit"].alias("hit")))).alias("out"))
 
-    return F.aggregate(parts, zero, step, lambda acc: acc["out"])
+    # what lies before each match, and the match
+    both = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+    return F.aggregate(both, zero, step, lambda acc: acc["out"])
 
 
 _BETWEEN_CJK = r"(?<=[\u4e00-\u9fff])[ \u3000]+(?=[\u4e00-\u9fff])"
@@ -211,19 +213,37 @@ def tex_spans(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\$[^$]+\$"), F.lit(0))
 
 
-def hollow(text: Column, blame: str = r"(?i)careless|attention|try harder|be careful") -> Column:
-    """Advice that is empty, blames, or names nothing concrete (a number, a formula or a term in quotes)."""
-    return (F.trim(F.coalesce(text, F.lit(""))) == "") | text.rlike(blame) | ~text.rlike(r"[0-9=$\"']")
+# fixed values: what names something concrete, and words that only blame
+CONCRETE = (
+    r"[A-Da-d](?![a-z])|\d|[=＝×÷/^_√∝Δ]"
+    r"|定律|定理|公式|方程|守恒|左手|右手|安培|洛伦兹|动能|动量|电动势"
+    r"|磁通|磁感|折射|干涉|衍射|半衰期|能级|谐振|欧姆|焦耳|楞次|法拉第"
+    r"|正负|方向|单位|量级|符号|下标|分母|分子|矢量|标量|受力|分解"
+)
+BLAME = "粗心|马虎|不认真|没审题|审题不清"
+PAGES, PAGE = r"共\s*(\d+)\s*页", r"第\s*(\d+)\s*页\s*(?:读到|✗)"
+
+
+def hollow(text: Column) -> Column:
+    """Advice that is empty, blames, or names nothing concrete: an option, a number, a formula, a term."""
+    said = F.coalesce(text, F.lit(""))
+    return (F.regexp_replace(said, r"(?U)\s+", "") == "") | said.rlike(BLAME) | ~said.rlike(CONCRETE)
+
+
+def page_progress(line: Column) -> Column:
+    """struct<done, total> of a log line: the page it says was read, and of how many; null where it says neither."""
+    number = lambda p: F.regexp_extract(line, p, 1).try_cast("int")
+    return F.struct(number(PAGE).alias("done"), number(PAGES).alias("total"))
 
 
 def progress_of(line: Column) -> Column:
-    """struct<done, total> of a log line such as ``page 3/12``."""
+    """struct<done, total> of a log line such as ``page 3/12``."""
     part = lambda k: F.regexp_extract(line, r"(\d+)\s*/\s*(\d+)", k).try_cast("int")
     return F.when(part(2).isNotNull(), F.struct(part(1).alias("done"), part(2).alias("total")))
 
 
 def payload(parts: list[tuple[Column, int]]) -> Column:
-    """Parts, each cut to a length, on lines of their own; empty ones are left out."""
+    """Parts, each cut to a length, on lines of their own; empty ones are left out."""
     return F.concat_ws("\n", *[F.nullif(F.left(F.coalesce(c, F.lit("")), F.lit(n)), F.lit("")) for c, n in parts])
 
 

@@ -73,6 +73,24 @@ def merged_tables(tables: DataFrame, root: str, order: str, width: str, cells: s
     return per.select(root, "n_parts", ((F.col("narrow") == F.col("wide")) & (F.col("least") > 0)).alias("merged"), "cells")
 
 
+def united_tables(tables: DataFrame, key: str) -> DataFrame:
+    """(key, id, caption, rows, images, n_parts): tables with the rows of their continuations, and the images of all parts.
+
+    ``tables`` has (id, cont_of, ord, caption, image, rows array<array<string>>); ``cont_of`` names a table that itself continues none. A continuation joins it if both have rows
+    and all of them are as wide; else it stays a table of its own. Parts come in order of ``ord``.
+    """
+    cells = F.coalesce("rows", F.array().cast("array<array<string>>"))
+    each = tables.select(key, "id", "cont_of", "ord", "caption", "image", cells.alias("rows"))
+    head = each.select(key, F.col("id").alias("cont_of"), F.col("rows").alias("_head"))
+    wide = F.array_distinct(F.transform(F.concat("_head", "rows"), lambda r: F.size(r)))
+    fits = (F.size("_head") > 0) & (F.size("rows") > 0) & (F.size(wide) == 1)
+    marked = each.join(head, [key, "cont_of"], "left").withColumn("_to", F.when(fits, F.col("cont_of")))
+    parts = marked.select(key, F.coalesce("_to", "id").alias("id"), F.struct(F.col("_to").isNotNull().alias("later"), "ord", F.col("id").alias("part"), "image", "rows", "caption").alias("p"))
+    both = parts.groupBy(key, "id").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    images = F.filter(F.transform("p", lambda p: p["image"]), lambda i: F.coalesce(i, F.lit("")) != "")
+    return both.select(key, "id", F.element_at("p", 1)["caption"].alias("caption"), F.flatten(F.transform("p", lambda p: p["rows"])).alias("rows"), images.alias("images"), F.size("p").alias("n_parts"))
+
+
 def reset_on_change(old: DataFrame, new: DataFrame, key: str, content: Sequence[str], status: str, first: str = "draft") -> DataFrame:
     """New content; its status is the old one's only if no part of the content has changed."""
     before = old.select(key, *[F.col(c).alias(f"_o_{c}") for c in content], F.col(status).alias("_status"))

@@ -66,6 +66,27 @@ def sessions(rows: DataFrame, as_of: Column, expires: str, owner: str) -> DataFr
     return rows.where(F.col(expires) > as_of).groupBy(owner).agg(F.count("*").alias("n_live"), F.max(expires).alias("until"))
 
 
+def session_users(asked: DataFrame, sessions: DataFrame, users: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """ST4: whose sessions some tokens are: (token, outcome, user_id) and the sessions after that.
+
+    ``live`` sessions are touched, ``expired`` ones that were asked for go; tokens that are null or empty, or have no session of a user that there is, are ``unknown``.
+    ``sessions`` has (token, user_id, expires_at, last_seen_at), one row for each token.
+    """
+    some = asked.select("token").distinct()
+    found = some.join(sessions.join(users.select("user_id"), "user_id", "left_semi").where("token <> ''"), "token", "left")
+    outcome = F.when(F.col("user_id").isNull(), "unknown").when(F.col("expires_at") < as_of, "expired").otherwise("live")
+    told = found.select("token", outcome.alias("outcome"), F.when(outcome == "live", F.col("user_id")).alias("user_id"))
+    after = sessions.join(told.select("token", F.col("outcome").alias("_outcome")), "token", "left").where(~F.col("_outcome").eqNullSafe(F.lit("expired")))
+    seen = F.when(F.col("_outcome") == "live", as_of).otherwise(F.col("last_seen_at"))
+    return told, after.withColumn("last_seen_at", seen).select(*sessions.columns)
+
+
+def read_progress(lines: DataFrame, key: str, order: str, read: Column) -> DataFrame:
+    """(key, done, total) after all of a log's lines: the furthest page and the last total; ``read`` is struct<done, total> of a line."""
+    some = lines.withColumn("_p", read)
+    return some.groupBy(key).agg(F.max("_p.done").alias("done"), F.max_by("_p.total", F.when(F.col("_p.total").isNotNull(), F.col(order))).alias("total"))
+
+
 def sweep(status: Column, started: Column, as_of: Column, seconds: int) -> Column:
     """ST6: what still runs after so long has been orphaned and counts as an error."""
     late = F.unix_timestamp(as_of) - F.unix_timestamp(started) >= seconds

@@ -108,12 +108,16 @@ def k5_landing(spark: SparkSession, d: str) -> DataFrame:
 K5 = f"WITH {SHEETS_SQL} SELECT paper_id, sheet_id FROM sheets WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = sheet_id) QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY status, total DESC NULLS LAST, sheet_id) = 1"
 
 
+#: a word of each document, with something before it that blames, names a term, or says nothing
+_SAID = "concat(CASE doc_id % 7 WHEN 0 THEN '粗心 ' WHEN 1 THEN '动能 ' WHEN 2 THEN '对知识点理解不到位 ' WHEN 3 THEN '= ' ELSE '' END, CASE WHEN doc_id % 11 > 0 THEN split_part(replace(text, chr(10), ' '), ' ', CAST(1 + doc_id % 5 AS INT)) ELSE ' ' END)"
+
+
 def t49_hollow(spark: SparkSession, d: str) -> DataFrame:
-    said = F.when(F.col("event_type") == "error", "be careful 3").when(F.col("event_type") == "click", F.concat(F.lit("use v = "), F.col("event_id").cast("string"))).when(F.col("event_type") == "view", "").otherwise("think")
-    return table(spark, d, "events").groupBy("event_type", T.hollow(said).alias("hollow")).agg(F.count("*").alias("n"))
+    return table(spark, d, "documents").select("doc_id", T.hollow(F.expr(_SAID)).alias("hollow"))
 
 
-T49 = "SELECT event_type, event_type <> 'click' AS hollow, count(*) AS n FROM events GROUP BY 1"
+T49 = f"""WITH s AS (SELECT doc_id, {_SAID} AS said FROM documents)
+SELECT doc_id, trim(said) = '' OR regexp_matches(said, '{T.BLAME}') OR NOT regexp_matches(said, '{T.CONCRETE.replace("(?![a-z])", "(?:[^a-z]|$)")}') AS hollow FROM s"""
 
 QUERIES = {
     "a31_changed": (a31_changed, A31),
