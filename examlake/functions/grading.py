@@ -6,49 +6,36 @@ and answers that are long or unlike in length are left to a reader.
 
 from __future__ import annotations
 
-import json
-import unicodedata
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import let
+from .unicode import normal_form
 
 # fixed values: what does not count in words, and the units that may follow a number
 PUNCTUATION = r"[\s。，、；：．,;:!？?（）()【】\[\]]+"
 _ATOM = "(?:mol|MeV|keV|min|rad|kg|cm|mm|km|nm|ms|Hz|Pa|eV|°C|Ω|μm|μs|m|s|g|h|N|J|W|V|A|C|T|K|L|°|%)"
-UNIT = rf"^{_ATOM}(?:\^?-?[0-9])?(?:[/·*]{_ATOM}(?:\^?-?[0-9])?)*$"
-_DECIMAL = r"[0-9]+(?:\.[0-9]+)?"
+UNIT = rf"^{_ATOM}(?:\^?-?\d)?(?:[/·*]{_ATOM}(?:\^?-?\d)?)*$"
+_DECIMAL = r"\d+(?:\.\d+)?"
 #: sign, then mantissa and power of ten, mantissa and exponent, fraction, or decimal, then the tail
-_NUMBER = rf"(?s)^\s*([-+])?\s*(?:({_DECIMAL})\s*[×xX*]\s*10\s*\^?\s*([-+]?[0-9]+)|({_DECIMAL})\s*[eE]\s*([-+]?[0-9]+)|({_DECIMAL})\s*/\s*({_DECIMAL})|({_DECIMAL}))\s*(.*)$"
+_NUMBER = rf"(?s)^\s*([-+])?\s*(?:({_DECIMAL})\s*[×xX*]\s*10\s*\^?\s*([-+]?\d+)|({_DECIMAL})\s*[eE]\s*([-+]?\d+)|({_DECIMAL})\s*/\s*({_DECIMAL})|({_DECIMAL}))\s*(.*)$"
 #: answers longer than this, or so many times as long as the other, are not called wrong
 LONG, RATIO = 40, 3
 
 
-def _one_to_one(form: str) -> tuple[str, str]:
-    """Characters of the basic plane that a normal form replaces by one other, and those others."""
-    pairs = [(chr(c), n) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000 and len(n := unicodedata.normalize(form, chr(c))) == 1 and n != chr(c)]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
-
-
-_NFKC, _NFC = _one_to_one("NFKC"), _one_to_one("NFC")
-_EXPANDED = {chr(c): n for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000 and len(n := unicodedata.normalize("NFKC", chr(c))) > 1}
-
-
 def compatible(text: Column) -> Column:
-    """Compatibility forms replaced, as NFKC does for single characters: wide letters, powers, ligatures, unit signs.
-
-    Combining marks are not put together with the letter before them.
-    """
-    plain = F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, *_NFKC)).otherwise(text)
-    spelled = F.from_json(F.lit(json.dumps(_EXPANDED)), "map<string,string>")
-    each = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(F.try_element_at(spelled, c), c)), "")
-    return F.when(plain.rlike(r"[^\x00-\x7F]") & plain.rlike("[" + "".join(_EXPANDED) + "]"), each).otherwise(plain)
+    """The form NFKC: wide letters, powers, ligatures and unit signs replaced, marks put together with their letters."""
+    return normal_form(text, "NFKC")
 
 
 def norm_text(text: Column) -> Column:
     """Compatibility forms replaced, upper case, without punctuation and white space; null is empty."""
-    return F.regexp_replace(F.upper(F.trim(compatible(F.coalesce(text, F.lit(""))))), PUNCTUATION, "")
+    return _words(compatible(text))
+
+
+def _words(t: Column) -> Column:
+    """:func:`norm_text` of a text in the form NFKC."""
+    return F.regexp_replace(F.upper(F.trim(F.coalesce(t, F.lit("")))), PUNCTUATION, "")
 
 
 def as_choice(text: Column) -> Column:
@@ -75,26 +62,39 @@ def _lead(t: Column) -> Column:
     return F.when(size.isNotNull(), F.struct(F.when(part(1) == "-", -size).otherwise(size).alias("value"), F.trim(part(9)).alias("tail")))
 
 
+def _unit(tail: Column) -> Column:
+    """:func:`unit_of` of a tail in the form NFKC."""
+    return F.regexp_replace(F.trim(F.coalesce(tail, F.lit(""))), PUNCTUATION, "")
+
+
+def _known_unit(unit: Column) -> Column:
+    return (unit == "") | unit.rlike(UNIT)
+
+
 def unit_of(tail: Column) -> Column:
     """A tail without punctuation and spaces, case kept."""
-    return F.regexp_replace(F.trim(compatible(F.coalesce(tail, F.lit("")))), PUNCTUATION, "")
+    return _unit(compatible(tail))
 
 
 def unit_ok(tail: Column) -> Column:
     """Whether a tail is a known unit, or nothing."""
-    u = unit_of(tail)
-    return (u == "") | u.rlike(UNIT)
+    return _known_unit(unit_of(tail))
 
 
 def as_number(text: Column) -> Column:
     """struct<value, unit> of a number with a known unit or none; null for anything else."""
-    return let(lead_number(text), lambda n: F.when(n.isNotNull() & unit_ok(n["tail"]), F.struct(n["value"].alias("value"), unit_of(n["tail"]).alias("unit"))))
+    return let(lead_number(text), lambda n: F.when(n.isNotNull() & _known_unit(_unit(n["tail"])), F.struct(n["value"].alias("value"), _unit(n["tail"]).alias("unit"))))
 
 
 def norm_expr(text: Column) -> Column:
     """A formula in one spelling, case kept: no dollar signs or spaces, text commands unwrapped, one way to write
     fractions, dots, crosses, powers and indices."""
-    t = F.translate(F.coalesce(text, F.lit("")), *_NFC)
+    return _expression(normal_form(text, "NFC"))
+
+
+def _expression(t: Column) -> Column:
+    """:func:`norm_expr` of a text in the form NFC."""
+    t = F.coalesce(t, F.lit(""))
     # fixed values: digits below and above the line
     for k in range(10):
         t = F.replace(F.replace(t, F.lit("₀₁₂₃₄₅₆₇₈₉"[k]), F.lit(f"_{k}")), F.lit("⁰¹²³⁴⁵⁶⁷⁸⁹"[k]), F.lit(f"^{k}"))
@@ -124,25 +124,22 @@ def _verdict(verdict: str | None, why: str) -> Column:
     return F.struct(F.lit(verdict).cast("string").alias("verdict"), F.lit(why).alias("why"))
 
 
-def _read(text: Column) -> Column:
-    """Everything that two answers are compared by, worked out once for each."""
-    words, number = norm_text(text), lead_number(text)
-    return let(
-        F.struct(words.alias("words"), number.alias("number")),
-        lambda r: F.struct(
-            r["words"].alias("words"),
-            F.when(r["words"].rlike("^[ABCD]+$"), F.array_join(F.array_sort(F.array_distinct(F.split(r["words"], ""))), "")).alias("choice"),
-            r["number"]["value"].alias("value"),
-            unit_of(r["number"]["tail"]).alias("unit"),
-            norm_expr(text).alias("expr"),
-            wordy(text).alias("wordy"),
-        ),
+def _read(forms: Column) -> Column:
+    """Everything that two answers are compared by, of struct<text, k, c>: a text and its forms NFKC and NFC."""
+    words, number = _words(forms["k"]), _lead(F.trim(forms["k"]))
+    return F.struct(
+        words.alias("words"),
+        F.when(words.rlike("^[ABCD]+$"), F.array_join(F.array_sort(F.array_distinct(F.split(words, ""))), "")).alias("choice"),
+        number["value"].alias("value"),
+        _unit(number["tail"]).alias("unit"),
+        _expression(forms["c"]).alias("expr"),
+        wordy(forms["text"]).alias("wordy"),
     )
 
 
 def _compare(a: Column, b: Column, otherwise: Column | None = None) -> Column:
     """One blank: choice letters, then numbers with units, then ``otherwise``, then formulas or words."""
-    known = lambda x: (x["unit"] == "") | x["unit"].rlike(UNIT)
+    known = lambda x: _known_unit(x["unit"])
     out = F.when(a["choice"].isNotNull() & b["choice"].isNotNull(), F.when(a["choice"] == b["choice"], _verdict("right", "same letters")).otherwise(_verdict("wrong", "other letters")))
     out = out.when(
         a["value"].isNotNull() & b["value"].isNotNull() & (known(a) | known(b)),
@@ -166,16 +163,21 @@ def judge(student: Column, ref: Column) -> Column:
     Blanks are judged one by one; the first that is not right decides. A fraction of two numbers is a number, not two blanks.
     """
     none = F.lit(None).cast("struct<verdict:string,why:string>")
+    # both answers, then the blanks of each; every one is read once
+    pieces = F.concat(F.array(student, ref), blanks(student), blanks(ref))
+    forms = F.transform(pieces, lambda t: F.struct(t.alias("text"), compatible(t).alias("k"), normal_form(t, "NFC").alias("c")))
+    n, m = F.size(blanks(student)), F.size(blanks(ref))
+
+    def by_blank(reads: Column) -> Column:
+        pairs = F.arrays_zip(F.slice(reads, F.lit(3), n).alias("x"), F.slice(reads, n + 3, m).alias("y"))
+        each = F.transform(pairs, lambda p, i: F.struct((i + 1).alias("i"), _compare(p["x"], p["y"]).alias("v")))
+        first = F.get(F.filter(each, lambda e: ~e["v"]["verdict"].eqNullSafe(F.lit("right"))), F.lit(0))
+        told = F.when(first.isNotNull(), F.struct(first["v"]["verdict"].alias("verdict"), F.concat(F.lit("blank "), first["i"].cast("string"), F.lit(": "), first["v"]["why"]).alias("why")))
+        return F.when((n < 2) & (m < 2), none).when(n != m, _verdict(None, "other number of blanks")).otherwise(F.coalesce(told, _verdict("right", "all blanks")))
 
-    def by_blank(xs: Column, ys: Column) -> Column:
-        each = F.transform(F.arrays_zip(xs.alias("x"), ys.alias("y")), lambda p, i: F.struct((i + 1).alias("i"), let(_read(p["x"]), lambda a: let(_read(p["y"]), lambda b: _compare(a, b))).alias("v")))
-        off = F.filter(each, lambda e: ~e["v"]["verdict"].eqNullSafe(F.lit("right")))
-        first = let(F.get(off, F.lit(0)), lambda e: F.when(e.isNotNull(), F.struct(e["v"]["verdict"].alias("verdict"), F.concat(F.lit("blank "), e["i"].cast("string"), F.lit(": "), e["v"]["why"]).alias("why"))))
-        return F.when((F.size(xs) < 2) & (F.size(ys) < 2), none).when(F.size(xs) != F.size(ys), _verdict(None, "other number of blanks")).otherwise(F.coalesce(first, _verdict("right", "all blanks")))
-
-    parts = let(blanks(student), lambda xs: let(blanks(ref), lambda ys: by_blank(xs, ys)))
     empty = (F.trim(F.coalesce(student, F.lit(""))) == "") | (F.trim(F.coalesce(ref, F.lit(""))) == "")
-    return F.when(empty, _verdict(None, "nothing on one side")).otherwise(let(_read(student), lambda a: let(_read(ref), lambda b: _compare(a, b, parts))))
+    judged = let(F.transform(forms, _read), lambda reads: _compare(reads[0], reads[1], by_blank(reads)))
+    return F.when(empty, _verdict(None, "nothing on one side")).otherwise(judged)
 
 
 def answers_agree(a: Column, b: Column) -> Column:

@@ -32,17 +32,19 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def find_all(text: Column, pattern: str) -> Column:
-    """array<struct<at, hit>>: every match of a pattern, which must not match nothing, and where it begins, from 0."""
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.lit([]).cast("array<struct<at:int,hit:string>>").alias("out"))
+    """array<struct<at, hit, tail>>: every match of a pattern, which must not match nothing, where it begins, from 0, and what stands between it and the next."""
+    none = F.lit([]).cast("array<struct<at:int,hit:string,tail:string>>")
 
     def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.length(x["gap"])
-        return F.struct((at + F.length(x["hit"])).alias("at"), F.concat(acc["out"], F.array(F.struct(at.alias("at"), x["hit"].alias("hit")))).alias("out"))
+        found = F.array(F.struct(acc["at"].alias("at"), x["hit"].alias("hit"), x["tail"].alias("tail")))
+        return F.struct((acc["at"] + F.length(x["hit"]) + F.length(x["tail"])).alias("at"), F.concat(acc["out"], found).alias("out"))
 
-    # what lies before each match, and the match
-    both = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.aggregate(both, zero, step, lambda acc: acc["out"])
+    def places(r: Column) -> Column:
+        both = F.zip_with(r["hits"], F.slice(r["gaps"], 2, F.size(r["hits"])), lambda h, g: F.struct(h.alias("hit"), g.alias("tail")))
+        begun = F.struct(F.length(r["gaps"][0]).alias("at"), none.alias("out"))
+        return F.aggregate(both, begun, step, lambda acc: acc["out"])
+
+    return let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps")), places)
 
 
 _BETWEEN_CJK = r"(?<=[\u4e00-\u9fff])[ \u3000]+(?=[\u4e00-\u9fff])"
@@ -61,8 +63,8 @@ def clean_stem(text: Column) -> Column:
 
 
 # fixed values: what flattened formulas look like, and the functions whose arguments look alike
-FLAT = r"[A-Za-zΩωπρμ]\s?[0-9]{2,}|\][0-9]+|[0-9]+[A-Za-z]{1,2}[0-9]+"
-_TRIG = r"^(sin|cos|tan|cot|sec|csc)\s?[0-9]"
+FLAT = r"[A-Za-zΩωπρμ]\s?\d{2,}|\]\d+|\d+[A-Za-z]{1,2}\d+"
+_TRIG = r"^(sin|cos|tan|cot|sec|csc)\s?\d"
 
 
 def text_quality(stem: Column, options: Column) -> Column:
@@ -362,5 +364,5 @@ def valid_answer(value: Column, domain: list[str]) -> Column:
 
 def page_path(path: Column, name: Column, n: Column) -> Column:
     """Whether a path is that of page ``n`` of a name, leading zeros allowed, with any ending of letters."""
-    found = lambda k: F.regexp_extract(path, r"^(.*)/p-0*([0-9]+)\.[a-z]+$", k)
+    found = lambda k: F.regexp_extract(path, r"^(.*)/p-0*(\d+)\.[a-z]+$", k)
     return (found(1) == name) & (found(2).try_cast("long") == n)

@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _END = "\x00"
+#: letters and signs that no form changes and that join nothing: ASCII, and the common ideographs
+_PLAIN = r"\x00-\x7F\x{4E00}-\x{9FFF}"
 # fixed values: where Hangul syllables and their parts begin, and how many of each there are
 _SYLLABLES, _LEADS, _VOWELS, _TAILS, _N_LEADS, _N_VOWELS, _N_TAILS = 0xAC00, 0x1100, 0x1161, 0x11A7, 19, 21, 28
 
@@ -72,7 +74,9 @@ def _let(value: Column, use) -> Column:
 
 
 def _combining(ch: Column, table: _Form) -> Column:
-    return _let(F.instr(F.lit(table.classes), F.concat(F.lit(_END), ch)), lambda at: F.when(at > 0, F.ascii(F.substring(F.lit(table.classes), at + 2, F.lit(1))) - 0x100).otherwise(0))
+    listed = F.lit(table.classes)
+    at = F.instr(listed, F.concat(F.lit(_END), ch))
+    return F.when(at > 0, F.ascii(F.substring(listed, at + 2, F.lit(1))) - 0x100).otherwise(0)
 
 
 def _pair(first: Column, second: Column, table: _Form) -> Column:
@@ -81,13 +85,15 @@ def _pair(first: Column, second: Column, table: _Form) -> Column:
     lead, vowel, tail = a - _LEADS, b - _VOWELS, b - _TAILS
     syllable = F.when(lead.between(0, _N_LEADS - 1) & vowel.between(0, _N_VOWELS - 1), _char(_SYLLABLES + (lead * _N_VOWELS + vowel) * _N_TAILS))
     closed = F.when((a - _SYLLABLES).between(0, _N_LEADS * _N_VOWELS * _N_TAILS - 1) & ((a - _SYLLABLES) % _N_TAILS == 0) & tail.between(1, _N_TAILS - 1), _char(a + tail))
-    listed = _let(F.instr(F.lit(table.pairs), F.concat(F.lit(_END), first, second)), lambda at: F.when(at > 0, F.substring(F.lit(table.pairs), at + 3, F.lit(1))).otherwise(""))
-    return F.coalesce(syllable, closed, listed)
+    listed = F.lit(table.pairs)
+    at = F.instr(listed, F.concat(F.lit(_END), first, second))
+    return F.coalesce(syllable, closed, F.when(at > 0, F.substring(listed, at + 3, F.lit(1))).otherwise(""))
 
 
 def _decompose(ch: Column, table: _Form) -> Column:
-    found = F.instr(F.lit(table.decomposed), F.concat(F.lit(_END), ch))
-    return _let(found, lambda at: F.when(at > 0, F.substring_index(F.substring(F.lit(table.decomposed), at + 2, F.lit(64)), _END, 1)).otherwise(ch))
+    listed = F.lit(table.decomposed)
+    at = F.instr(listed, F.concat(F.lit(_END), ch))
+    return F.when(at > 0, F.substring_index(F.substring(listed, at + 2, F.lit(64)), _END, 1)).otherwise(ch)
 
 
 def _compose(stretch: Column, table: _Form) -> Column:
@@ -120,7 +126,8 @@ def normal_form(text: Column, form: str = "NFKC") -> Column:
     if form not in ("NFC", "NFKC"):
         raise ValueError(form)
     table = _form(form)
-    ordinary, special = f"[^{table.changed}]", f"[{table.changed}]"
+    # most characters are plain ones, for which the long class need not be gone through
+    ordinary, special = f"[{_PLAIN}[^{table.changed}]]", f"[[^{_PLAIN}]&&[{table.changed}]]"
     stretches = F.regexp_extract_all(text, F.lit(f"(?s)({ordinary}+(?![{table.after}])|[^{table.after}]?[{table.after}]+|.)"), F.lit(1))
     # an ordinary character before a mark is in a stretch with it, so a stretch that has nothing special in it stays
     each = F.array_join(F.transform(stretches, lambda s: F.when(s.rlike(special), _compose(s, table)).otherwise(s)), "")

@@ -71,6 +71,12 @@ def provides_all(cases: DataFrame, case: str, key: str, wanted: Sequence[str]) -
     return per.select(case, F.array_join(lacking, ",").alias("lacking"), (F.size(lacking) == 0).alias("usable"))
 
 
+def needs_advice(answers: DataFrame, references: DataFrame, key: str) -> DataFrame:
+    """Answers that lost points, wrong or in part, to questions that have a reference."""
+    lost = answers.where(F.col("verdict").isin("wrong", "partial") & (F.col("score_got") < F.col("score_full")))
+    return lost.join(references.select(key).distinct(), key, "left_semi")
+
+
 def coverage(frames: DataFrame, key: str, inside: Column, snapshot: str) -> DataFrame:
     """Whether each element is inside in some frame, and changes at all."""
     return frames.groupBy(key).agg(F.bool_or(inside).alias("drawn"), (F.count_distinct(snapshot) > 1).alias("changes"))

@@ -11,41 +11,49 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import find_all
+from ..functions.text import find_all, let
 from .folds import with_upper_median
 
 # fixed values: words for the type of a question
 TYPE_WORDS = ("单选题", "多选题", "填空题", "实验题", "计算题", "解答题", "作图题", "论述题", "简答题", "综合题")
 _TYPES = "|".join(TYPE_WORDS)
-_POINTS = rf"({_TYPES})\s*[（(]([0-9]+)分[)）]"
-_ARABIC = r"(?:^|[\s　 ])([0-9]{1,2})\s*[.．、]"
-
-
-def type_word_anchors(docs: DataFrame, key: str) -> DataFrame:
-    """Two schemes, type words with points and type words alone; none that follows a comma within three characters, which
-    heads a section. (key, scheme, pos, end, type, points)"""
-    out = None
-    for scheme, pattern in (("type words with points", _POINTS), ("type words", f"({_TYPES})")):
-        hits = docs.select(key, "text", F.explode(find_all(F.col("text"), pattern)).alias("h"))
-        before = F.substring("text", F.greatest(F.col("h.at") - 2, F.lit(1)), F.least(F.col("h.at"), F.lit(3)))
-        some = hits.where(~before.rlike("[、，]"))
-        points = F.regexp_extract("h.hit", _POINTS, 2).try_cast("int") if scheme.endswith("points") else F.lit(None).cast("int")
-        one = some.select(key, F.lit(scheme).alias("scheme"), F.col("h.at").alias("pos"), (F.col("h.at") + F.length("h.hit")).alias("end"), F.regexp_extract("h.hit", f"({_TYPES})", 1).alias("type"), points.alias("points"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def arabic_anchors(docs: DataFrame, key: str, least: int = 4) -> DataFrame:
-    """Numbers at the beginning of lines or words as far as they run 1, 2, 3, ... in order."""
-    hits = F.transform(find_all(F.col("text"), _ARABIC), lambda h: F.struct(F.regexp_extract(h["hit"], _ARABIC, 1).cast("int").alias("n"), (h["at"] + F.length(F.regexp_extract(h["hit"], r"^[^0-9]*", 0))).alias("pos"), (h["at"] + F.length(h["hit"])).alias("end")))
+_POINTS = r"^\s*[（(](\d+)分[)）]"
+# no word begins with an ASCII character
+_WORDS = rf"(?=[^\x00-\x7F])({_TYPES})"
+_ARABIC = r"(?:^|[\s　 ])(\d{1,2})\s*[.．、]"
+
+
+_ANCHOR = "array<struct<scheme:string,pos:int,end:int,type:string,points:int>>"
+
+
+def _type_words(text: Column) -> Column:
+    """Anchors of two schemes, type words with points and type words alone; none that follows a comma within three characters, which heads a section."""
+    hits = F.filter(find_all(text, _WORDS), lambda h: ~F.substring(text, F.greatest(h["at"] - 2, F.lit(1)), F.least(h["at"], F.lit(3))).rlike("[、，]"))
+    anchor = lambda h, scheme, more, points: F.struct(F.lit(scheme).alias("scheme"), h["at"].alias("pos"), (h["at"] + F.length(h["hit"]) + more).alias("end"), h["hit"].alias("type"), points.alias("points"))
+    after = lambda h: F.regexp_extract(h["tail"], _POINTS, 0)
+    pointed = lambda h: anchor(h, "type words with points", F.length(after(h)), F.regexp_extract(after(h), _POINTS, 1).try_cast("int"))
+    plain = lambda h: anchor(h, "type words", F.lit(0), F.lit(None).cast("int"))
+    return let(hits, lambda all_: F.concat(F.transform(F.filter(all_, lambda h: after(h) != ""), pointed), F.transform(all_, plain)).cast(_ANCHOR))
+
+
+def _numbers(text: Column, least: int) -> Column:
+    """Anchors at numbers that begin lines or words, as far as they run 1, 2, 3, ... in order; none if they are fewer than ``least``."""
+    hits = F.transform(find_all(text, _ARABIC), lambda h: F.struct(F.regexp_extract(h["hit"], _ARABIC, 1).cast("int").alias("n"), (h["at"] + F.length(F.regexp_extract(h["hit"], r"^[^0-9]*", 0))).alias("pos"), (h["at"] + F.length(h["hit"])).alias("end")))
     zero = F.struct(F.lit(1).alias("want"), F.lit([]).cast("array<struct<n:int,pos:int,end:int>>").alias("kept"))
 
     def step(acc: Column, x: Column) -> Column:
         fits = x["n"] == acc["want"]
         return F.struct((acc["want"] + fits.cast("int")).alias("want"), F.when(fits, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"))
 
-    chain = docs.select(key, F.aggregate(hits, zero, step, lambda acc: acc["kept"]).alias("c")).where(F.size("c") >= least).select(key, F.explode("c").alias("a"))
-    return chain.select(key, F.lit("arabic numbers").alias("scheme"), "a.pos", "a.end", F.lit(None).cast("string").alias("type"), F.lit(None).cast("int").alias("points"))
+    named = lambda x: F.struct(F.lit("arabic numbers").alias("scheme"), x["pos"].alias("pos"), x["end"].alias("end"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("int").alias("points"))
+    return F.aggregate(hits, zero, step, lambda acc: F.when(F.size(acc["kept"]) >= least, F.transform(acc["kept"], named)).otherwise(F.array().cast(_ANCHOR)))
+
+
+def text_anchors(docs: DataFrame, key: str, least: int = 4) -> DataFrame:
+    """The anchors of all schemes that go by the text, in one pass over it: (key, scheme, pos, end, type, points, length, declared)."""
+    text = F.col("text")
+    every = F.concat(_type_words(text), _numbers(text, least))
+    return docs.select(key, "length", "declared", F.explode(every).alias("a")).select(key, "a.*", "length", "declared")
 
 
 def typography_anchors(flow: DataFrame, key: str, least: int = 5, most: int = 3) -> DataFrame:
@@ -72,13 +80,17 @@ def anchor_score(anchors: DataFrame, docs: DataFrame, keys: Sequence[str]) -> Da
     25 outside 4 to 60 questions; a little for types and points, 4 where types are lacking. ``why`` is the first thing
     that makes the cut unsafe: ``fragments``, ``coverage``, ``declared`` or ``length``. ``docs`` has the first of ``keys``.
     """
-    at = anchors.join(docs.select(keys[0], "length", "declared"), keys[0])
+    return _scored(anchors.join(docs.select(keys[0], "length", "declared"), keys[0]), keys)
+
+
+def _scored(at: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """:func:`anchor_score` of anchors that have ``length`` and ``declared``; rows are put in order once."""
     line = Window.partitionBy(*keys).orderBy("pos")
     seg = F.greatest(F.lit(0), F.coalesce(F.lead("pos").over(line), F.col("length")) - F.col("end"))
-    sized = with_upper_median(at.withColumn("_seg", seg), list(keys), F.col("_seg"), "_m")
     cv = F.coalesce(F.try_divide(F.stddev_pop("_seg"), F.avg("_seg")), F.lit(0.0))
-    per = sized.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.max("_m").alias("median"), F.count_if(F.col("_seg") < 25).alias("tiny"), cv.alias("_cv"), ((F.max("pos") - F.min("pos")) / F.greatest(F.max("length"), F.lit(1))).alias("coverage"),
+    median = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY _seg DESC)").cast("int")
+    per = at.withColumn("_seg", seg).groupBy(*keys).agg(
+        F.count("*").alias("n"), median.alias("median"), F.count_if(F.col("_seg") < 25).alias("tiny"), cv.alias("_cv"), ((F.max("pos") - F.min("pos")) / F.greatest(F.max("length"), F.lit(1))).alias("coverage"),
         F.max("length").alias("_length"), F.max("declared").alias("_declared"), F.bool_and(F.coalesce(F.col("type"), F.lit("")) != "").alias("_typed"), F.bool_and(F.col("points").isNotNull()).alias("_pointed"),
     )
     n, declared, expected = F.col("n"), F.coalesce("_declared", F.lit(0)), F.col("_length") / 300.0
@@ -95,10 +107,10 @@ def anchor_score(anchors: DataFrame, docs: DataFrame, keys: Sequence[str]) -> Da
 def detect(docs: DataFrame, flow: DataFrame | None, key: str) -> DataFrame:
     """(key, scheme, n, score, confident, why) of the scheme of anchors that fits best, by the order of detectors at a tie:
     type words, numbers, typography."""
-    found = type_word_anchors(docs, key).unionByName(arabic_anchors(docs, key))
+    found = text_anchors(docs, key)
     if flow is not None:
-        found = found.unionByName(typography_anchors(flow, key))
-    scored = anchor_score(found, docs, [key, "scheme"])
+        found = found.unionByName(typography_anchors(flow, key).join(docs.select(key, "length", "declared"), key))
+    scored = _scored(found, [key, "scheme"])
     rank = F.when(F.col("scheme") == "type words with points", 0).when(F.col("scheme") == "type words", 1).when(F.col("scheme") == "arabic numbers", 2).otherwise(3)
     best = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), rank, "scheme"))
     return scored.withColumn("_k", best).where("_k = 1").select(key, "scheme", "n", "score", "confident", "why")

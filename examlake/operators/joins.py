@@ -20,6 +20,12 @@ def latest_nonempty(parents: DataFrame, sheets: DataFrame, answers: DataFrame) -
     return parents.join(found, "paper_id", "left").select("paper_id", "latest_sheet")
 
 
+def failures(answers: DataFrame, sheets: DataFrame, papers: DataFrame, same: str) -> DataFrame:
+    """Answers with the paper that their sheet belongs to, of the papers given, and ``n_same``, how many of them hang on the same thing."""
+    own = answers.join(sheets.select("sheet_id", "paper_id"), "sheet_id").join(papers, "paper_id")
+    return own.join(own.groupBy(same).agg(F.count("*").alias("n_same")), same)
+
+
 def as_of(rows: DataFrame, marks: DataFrame, by: Sequence[str], at: str, value: str) -> DataFrame:
     """The nearest mark at or before each row, by one ordered pass over both.
 

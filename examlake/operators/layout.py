@@ -149,6 +149,11 @@ def connected_intervals(rules: DataFrame, by: str, low: str, high: str, overlap:
     return grouped.groupBy(by, "group").agg(F.min(low).alias(low), F.max(high).alias(high), F.count("*").alias("n"))
 
 
+def block_box(spans: DataFrame, keys: Sequence[str], x: str, y: str, least: int = 4) -> DataFrame:
+    """The box around the spans of a block, as (keys, y_min, y_max, n, x_min, x_max), where there are at least so many."""
+    return spans.groupBy(*keys).agg(F.min(y).alias("y_min"), F.max(y).alias("y_max"), F.count("*").alias("n"), F.min(x).alias("x_min"), F.max(x).alias("x_max")).where(F.col("n") >= least)
+
+
 def scenes_of(papers: DataFrame, stored: DataFrame, files: DataFrame, files_first: bool = False) -> DataFrame:
     """A question's scene from the store or from a file whose excerpt its stem contains; which comes first is a choice."""
     squeezed = papers.withColumn("_stem", F.regexp_replace("stem", r"\s+", ""))

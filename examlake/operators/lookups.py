@@ -72,6 +72,15 @@ def intruders(elements: DataFrame, text: str, x0: float, x1: float, y0: float, y
     return elements.where(F.exists(pairs, lambda p: point(p, 1).between(x0, x1) & point(p, 2).between(y0, y1)))
 
 
+def free_names(bases: DataFrame, taken: DataFrame, base: str, number: str) -> DataFrame:
+    """For each base the smallest number from 2 that is not taken: (base, number). The first gap among its own numbers, so none is tried."""
+    own = taken.where(F.col(number) >= 2).select(base, number).distinct()
+    line = Window.partitionBy(base).orderBy(number)
+    # without a gap the k-th number is k + 1
+    gap = own.withColumn("_k", F.row_number().over(line) + 1).groupBy(base).agg(F.min(F.when(F.col(number) > F.col("_k"), F.col("_k"))).alias("_gap"), (F.count("*") + 2).alias("_end"))
+    return bases.select(base).distinct().join(gap, base, "left").select(base, F.coalesce("_gap", "_end", F.lit(2)).cast("int").alias(number))
+
+
 def reading_order(runs: DataFrame, page: str, tolerance: float = 3.0) -> DataFrame:
     """W4, for pages of plain lines: lines are islands of runs whose baselines are near each other, read left to right."""
     line = Window.partitionBy(page).orderBy(F.desc("y"), "x")

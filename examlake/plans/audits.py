@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import audit, lookups
+from ..operators import audit, joins, lookups
 from ..operators.rollup import final_answers
 from ..sources.tables import FINAL_SQL, PAPERS_SQL, SHEETS_SQL, answers, papers, sheets, table
 
@@ -61,9 +61,8 @@ P22 = "SELECT user_id, array_to_string(list_filter(['click', 'error', 'purchase'
 
 def p16_needs_advice(spark: SparkSession, d: str) -> DataFrame:
     """Final verdict wrong or partial, with a reference (a part of a known brand) and points to gain."""
-    a = final_answers(answers(spark, d)).where(F.col("verdict").isin("wrong", "partial") & (F.col("score_got") < F.col("score_full")))
     known = table(spark, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("part_id"))
-    return a.join(known, "part_id", "left_semi").select("sheet_id", "n", "verdict")
+    return audit.needs_advice(final_answers(answers(spark, d)), known, "part_id").select("sheet_id", "n", "verdict")
 
 
 P16 = f"WITH {FINAL_SQL} SELECT sheet_id, CAST(n AS INT) AS n, verdict FROM final WHERE verdict IN ('wrong', 'partial') AND score_got < score_full AND part_id IN (SELECT p_partkey FROM part WHERE p_size > 25)"
@@ -92,9 +91,9 @@ M25 = "WITH g AS (SELECT conv_id, turn, min(text) AS text FROM conversations GRO
 
 
 def j3_failures(spark: SparkSession, d: str) -> DataFrame:
-    """Failed answers of papers of one kind, with the number of others that hang on the same part."""
-    a = answers(spark, d).where("verdict = 'wrong'").join(sheets(spark, d).select("sheet_id", "paper_id"), "sheet_id").join(papers(spark, d).where("kind = 'MACHINERY'"), "paper_id")
-    return a.select("paper_id", "sheet_id", "n", F.count("*").over(Window.partitionBy("part_id")).alias("n_same"))
+    """Failed answers of papers of one kind, with the number of others that hang on the same part."""
+    wrong = answers(spark, d).where("verdict = 'wrong'")
+    return joins.failures(wrong, sheets(spark, d), papers(spark, d).where("kind = 'MACHINERY'"), "part_id").select("paper_id", "sheet_id", "n", "n_same")
 
 
 J3 = f"WITH {PAPERS_SQL}, {SHEETS_SQL}, {FINAL_SQL} SELECT paper_id, sheet_id, CAST(a.n AS INT) AS n, count(*) OVER (PARTITION BY a.part_id) AS n_same FROM answers a JOIN sheets USING (sheet_id) JOIN papers USING (paper_id) WHERE a.verdict = 'wrong' AND kind = 'MACHINERY'"

@@ -9,34 +9,24 @@ from ..functions import grading as G
 from ..operators.rollup import final_answers
 from ..sources.tables import FINAL_SQL, answers, table
 
-#: student's answer, reference, verdict and reason
-CASES = [
-    ("a c", "AC", "right", "same letters"), ("AB", "AC", "wrong", "other letters"), ("db", "BD", "right", "same letters"), ("B、D", "bd", "right", "same letters"), ("BBD", "DB", "right", "same letters"),
-    ("3.0 m/s", "3 m/s", "right", "same number and unit"), ("1.5e3", "1500", "right", "same number and unit"), ("2/4", "0.5", "right", "same number and unit"), ("4 kg", "4 g", None, "same number, other unit"),
-    ("３．５ m", "3.5m", "right", "same number and unit"), ("3", "3 m", None, "same number, other unit"), ("3 foo", "3 m", None, "same number, other unit"), ("4 foo", "3 m", "wrong", "other number"),
-    ("1.6×10^-19 C", "1.6e-19 C", "right", "same number and unit"), ("-2.5 m", "2.5 m", "wrong", "other number"), ("2×10^3 J", "2000 J", "right", "same number and unit"), ("9 °C", "9℃", "right", "same number and unit"),
-    ("1.5 m/s", "1.5 米每秒", None, "same number, other unit"), ("", "A", None, "nothing on one side"), ("B", None, None, "nothing on one side"), ("  ", " ", None, "nothing on one side"),
-    ("x^{2}+1", "x^2 + 1", "right", "same formula"), ("x²", "x^{2}", "right", "same formula"), ("v₀", "v_{0}", "right", "same formula"), (r"\dfrac{1}{2}mv^2", r"\frac{1}{2} m v^{2}", "right", "same formula"),
-    (r"$h=5\ \text{cm}$", r"h = 5\,cm", "right", "same formula"), ("a·b", r"a\cdot b", "right", "same formula"), ("mgh", "mgH", "wrong", "other formula or words"), ("2mv", "2Mv", "wrong", "other formula or words"),
-    ("Mm", "mm", "wrong", "other formula or words"), ("向左", "向右", "wrong", "other formula or words"), ("向左。", "向 左", "right", "same words"), ("x+1", "A", "wrong", "other formula or words"),
-    ("ohm", "volt", "wrong", "other formula or words"), ("1 / 2 m / A", "1 / 2 m / A", "right", "same number and unit"), ("小于/等于/小于", "小于 / 等于 / 小于", "right", "all blanks"),
-    ("小于/大于/小于", "小于 / 等于 / 小于", "wrong", "blank 2: other formula or words"), ("92 / 57", "92/56", "wrong", "other number"), ("小于/等于", "小于/等于/小于", None, "other number of blanks"),
-    ("左 / 3", "左 / 3 m", None, "blank 2: same number, other unit"), ("the force points along the slope and grows with the angle", "it grows", None, "too unlike in form"), ("abcdefghijklmnopqrstuvwx", "abcdefghijklmnopqrstuvwy", "wrong", "other formula or words"),
-    ("3/0", "3", None, "other number of blanks"),
-]
-
-
-def _text(x: str | None) -> str:
-    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+def _of_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Answers made of parts: sizes with and without units, in other spellings, sizes of another part, and letters of its brand."""
+    student = "CASE p_partkey % 6 WHEN 0 THEN p_size || ' kg' WHEN 1 THEN p_size || '.0 m/s' WHEN 2 THEN p_size || 'e1' WHEN 3 THEN translate(right(p_brand, 1), '12345', 'ABCDA') || ' C' WHEN 4 THEN p_name ELSE '' END"
+    ref = "CASE p_partkey % 6 WHEN 0 THEN (p_size + p_partkey % 2) || 'kg' WHEN 1 THEN p_size || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE ' m/s' END WHEN 2 THEN (p_size * 10 + p_partkey % 4 % 2) || '' WHEN 3 THEN 'AC' WHEN 4 THEN CASE WHEN p_partkey % 4 = 0 THEN p_name ELSE upper(p_name) || '!' END ELSE 'A' END"
+    return table(spark, d, "part").select("p_partkey", F.expr(student).alias("student"), F.expr(ref).alias("ref"))
 
 
 def t13_grade(spark: SparkSession, d: str) -> DataFrame:
-    """The table of cases against the verdicts and reasons expected, which are in the SQL as literals."""
-    cases = spark.createDataFrame([(i, s, r) for i, (s, r, _, _) in enumerate(CASES)], "id long, student string, ref string")
-    return cases.select("id", G.judge(F.col("student"), F.col("ref")).alias("j")).select("id", "j.verdict", "j.why")
+    """Verdicts and reasons of answers made of parts."""
+    return _of_parts(spark, d).select("p_partkey", G.judge(F.col("student"), F.col("ref")).alias("j")).select("p_partkey", "j.verdict", "j.why")
 
 
-T13 = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {_text(v)}, {_text(w)})" for i, (_, _, v, w) in enumerate(CASES)) + ") t(id, verdict, why)"
+T13 = r"""WITH a AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_size || ' kg' WHEN 1 THEN p_size || '.0 m/s' WHEN 2 THEN p_size || 'e1' WHEN 3 THEN translate(right(p_brand, 1), '12345', 'ABCDA') || ' C' WHEN 4 THEN p_name ELSE '' END AS s,
+ CASE p_partkey % 6 WHEN 0 THEN (p_size + p_partkey % 2) || 'kg' WHEN 1 THEN p_size || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE ' m/s' END WHEN 2 THEN (p_size * 10 + p_partkey % 4 % 2) || '' WHEN 3 THEN 'AC' WHEN 4 THEN CASE WHEN p_partkey % 4 = 0 THEN p_name ELSE upper(p_name) || '!' END ELSE 'A' END AS r FROM part),
+n AS (SELECT *, TRY_CAST(regexp_extract(s, '^\d+(\.\d+)?(e\d+)?') AS DOUBLE) AS sv, TRY_CAST(regexp_extract(r, '^\d+(\.\d+)?(e\d+)?') AS DOUBLE) AS rv, regexp_replace(regexp_replace(s, '^\d+(\.\d+)?(e\d+)?', ''), '\s', '', 'g') AS su, regexp_replace(regexp_replace(r, '^\d+(\.\d+)?(e\d+)?', ''), '\s', '', 'g') AS ru,
+ regexp_replace(upper(s), '[\s!]', '', 'g') AS sw, regexp_replace(upper(r), '[\s!]', '', 'g') AS rw FROM a)
+SELECT p_partkey, CASE WHEN s = '' THEN NULL WHEN sv IS NOT NULL AND rv IS NOT NULL THEN CASE WHEN sv <> rv THEN 'wrong' WHEN su = ru THEN 'right' END WHEN regexp_full_match(sw, '[ABCD]+') THEN CASE WHEN list_sort(list_distinct(string_split(sw, ''))) = list_sort(list_distinct(string_split(rw, ''))) THEN 'right' ELSE 'wrong' END WHEN sw = rw THEN CASE WHEN s = r THEN 'right' ELSE 'wrong' END ELSE 'wrong' END AS verdict,
+ CASE WHEN s = '' THEN 'nothing on one side' WHEN sv IS NOT NULL AND rv IS NOT NULL THEN CASE WHEN sv <> rv THEN 'other number' WHEN su = ru THEN 'same number and unit' ELSE 'same number, other unit' END WHEN regexp_full_match(sw, '[ABCD]+') THEN CASE WHEN list_sort(list_distinct(string_split(sw, ''))) = list_sort(list_distinct(string_split(rw, ''))) THEN 'same letters' ELSE 'other letters' END WHEN s = r THEN 'same formula' ELSE 'other formula or words' END AS why FROM n"""
 
 
 def t14_answers_agree(spark: SparkSession, d: str) -> DataFrame:

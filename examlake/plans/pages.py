@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import layout
+from ..operators import layout, lookups
 from ..sources.tables import table
 
 
@@ -183,10 +183,8 @@ T66 = "SELECT doc_id, md5(concat_ws(chr(10), nullif(left(text, 260), ''), lang,
 
 def p6_free_name(spark: SparkSession, d: str) -> DataFrame:
     """For each brand, the smallest number from 2 that no part size of it has: ``brand (k)``; the bare name if free."""
-    p = table(spark, d, "part")
-    tried = p.select("p_brand").distinct().withColumn("k", F.explode(F.sequence(F.lit(2), F.lit(60))))
-    taken = p.select("p_brand", F.col("p_size").alias("k")).distinct()
-    free = tried.join(taken, ["p_brand", "k"], "left_anti").groupBy("p_brand").agg(F.min("k").alias("k"))
+    p = table(spark, d, "part").select("p_brand", F.col("p_size").alias("k"))
+    free = lookups.free_names(p, p, "p_brand", "k")
     return free.select("p_brand", F.format_string("%s (%d)", "p_brand", "k").alias("name"))
 
 

@@ -87,9 +87,7 @@ W17 = "SELECT n_nationkey, CAST(range AS INT) AS i, round(range / 400.0, 9)::DOU
 
 def t62_option_block(spark: SparkSession, d: str) -> DataFrame:
     """The box around a page's spans of a kind, if there are four."""
-    rows = table(spark, d, "lineitem").where("l_returnflag = 'N'")
-    box = layout.y_bounds(rows, ["l_orderkey"], "l_quantity").join(rows.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.min("l_linenumber").alias("x_min"), F.max("l_linenumber").alias("x_max")), "l_orderkey")
-    return box.where("n >= 4")
+    return layout.block_box(table(spark, d, "lineitem").where("l_returnflag = 'N'"), ["l_orderkey"], "l_linenumber", "l_quantity")
 
 
 T62 = "SELECT l_orderkey, min(l_quantity) AS y_min, max(l_quantity) AS y_max, count(*) AS n, min(l_linenumber) AS x_min, max(l_linenumber) AS x_max FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1 HAVING count(*) >= 4"

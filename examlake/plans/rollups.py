@@ -198,7 +198,8 @@ J14 = "SELECT a.user_id, a.event_id, (SELECT max(b.event_id) FROM events b WHERE
 def j20_figures_of(spark: SparkSession, d: str) -> DataFrame:
     """Points are orders at their price, intervals ten-thousand wide steps of every third price level."""
     points = sheets(spark, d).select("sheet_id", F.col("status").alias("page"), F.floor("total").alias("at"))
-    steps = spark.range(0, 60).selectExpr("id * 9000 AS low", "id * 9000 + 4000 AS high", "id AS box").crossJoin(sheets(spark, d).select(F.col("status").alias("page")).distinct())
+    steps = points.select("page").distinct().select("page", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(59).cast("long"))).alias("box"))
+    steps = steps.select("page", "box", (F.col("box") * 9000).alias("low"), (F.col("box") * 9000 + 4000).alias("high"))
     return joins.inside(points, steps, ["page"], "at", "low", "high", 5000).select("sheet_id", "box")
 
 
