@@ -17,7 +17,7 @@ Relation = tuple[str, Sequence[str], str, Sequence[str], str]
 
 def dependants(children: DataFrame, fk: Sequence[str], doomed: DataFrame, key: Sequence[str]) -> DataFrame:
     """The rows of ``children`` that hang on ``doomed`` keys, each once however often a key is named."""
-    return children.join(_keys(doomed, key, fk), list(fk), "left_semi")
+    return children.join(_keys(doomed, key, fk), list(fk), "left_semi").select(*children.columns)
 
 
 def _keys(doomed: DataFrame, key: Sequence[str], fk: Sequence[str]) -> DataFrame:
@@ -34,7 +34,7 @@ def delete_rows(tables: Mapping[str, DataFrame], relations: Sequence[Relation],
     while waiting:
         parent, gone, own = waiting.pop(0)
         changes[parent, "delete"] = changes[parent, "delete"].unionByName(gone).distinct() if (parent, "delete") in changes else gone
-        after[parent] = after[parent].join(_keys(gone, own, own), list(own), "left_anti")
+        after[parent] = after[parent].join(_keys(gone, own, own), list(own), "left_anti").select(*after[parent].columns)
         for child, fk, of, pk, action in relations:
             if of != parent:
                 continue
