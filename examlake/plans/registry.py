@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audits, checking, cutting, extras, geometry, grading, ordered, pages, records, rollups, satellites, sheetwork, texts, upkeep
+from . import audits, checking, cutting, extras, geometry, grading, ordered, pages, papers, records, rollups, satellites, sheetwork, texts, upkeep
 
-_ALL = {**rollups.QUERIES, **ordered.QUERIES, **texts.QUERIES, **pages.QUERIES, **audits.QUERIES, **records.QUERIES, **grading.QUERIES, **sheetwork.QUERIES, **cutting.QUERIES, **checking.QUERIES, **extras.QUERIES, **satellites.QUERIES, **geometry.QUERIES, **upkeep.QUERIES}
+_ALL = {**rollups.QUERIES, **ordered.QUERIES, **texts.QUERIES, **pages.QUERIES, **audits.QUERIES, **records.QUERIES, **grading.QUERIES, **sheetwork.QUERIES, **cutting.QUERIES, **checking.QUERIES, **extras.QUERIES, **satellites.QUERIES, **geometry.QUERIES, **upkeep.QUERIES, **papers.QUERIES}
 FLAGSHIP = "a2_list_sheets"
 
 
