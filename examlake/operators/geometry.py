@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
@@ -185,35 +186,31 @@ def glued_lines(runs: DataFrame, rules: DataFrame, page: str) -> DataFrame:
     """
     body = body_size(runs, page, 10.5)
     start = streamed(runs.join(body, page), page, [F.desc("y"), "x", "seq"], ["seq", "y", "bs"], _first_lines, "seq long, line int")
-    now = cut(runs.join(body, page).join(start, [page, "seq"]).select(page, "seq", "text", "x", "x1", "y", "yt", "size", "bs", "line"))
+    whole = cut(runs.join(body, page).select(page, "seq", "text", "x", "x1", "y", "yt", "size", "bs"))
     bars = rules.select(page, "rule", F.col("x").alias("left"), (F.col("x") + F.col("w")).alias("right"), F.col("y").alias("height"))
     lies = F.least("x1", "right") - F.greatest("x", "left") >= 0.6 * F.greatest(F.lit(1e-6), F.col("x1") - F.col("x"))
     sign = F.col("text").rlike(RADICAL) & (F.col("left") - F.col("x1")).between(-2, 8)
-    touches = now.join(bars, page).select(page, "rule", "height", "seq", lies.alias("lies"), sign.alias("sign")).where("lies OR sign")
-    touches = cut(touches)
-    tall = now.where(F.col("yt") - F.col("y") > F.col("bs") * 1.4).select(page, "seq", F.col("y").alias("low"), F.col("yt").alias("top"))
-    ended = None
+    touches = cut(whole.join(bars, page).select(page, "rule", "height", "seq", lies.alias("lies"), sign.alias("sign")).where("lies OR sign"))
+    now = cut(start.join(whole, [page, "seq"]).select(page, "seq", "line", "y", "yt", "bs"))
+    ended = []
+    order, of_page = Window.partitionBy(page).orderBy("line"), Window.partitionBy(page)
     while True:
         lines = now.groupBy(page, "line").agg(F.min("y").alias("bottom"), F.max("y").alias("head"), F.first("bs").alias("bs"))
-        order = Window.partitionBy(page).orderBy("line")
         pairs = lines.select(page, F.col("line").alias("upper"), F.lead("line").over(order).alias("lower"), "bottom", F.lead("head").over(order).alias("head"), "bs").where(F.col("bottom") - F.col("head") <= F.col("bs") * 2.6)
-        where = now.select(page, "seq", "line")
-        on = touches.join(where, [page, "seq"]).groupBy(page, "rule", "height", "line").agg(F.bool_or("lies").alias("lies"), F.bool_or("sign").alias("sign"))
+        on = touches.join(now.select(page, "seq", "line"), [page, "seq"]).groupBy(page, "rule", "height", "line").agg(F.bool_or("lies").alias("lies"), F.bool_or("sign").alias("sign"))
         above, below = on.select(page, "rule", "height", F.col("line").alias("upper")), on.where("lies").select(page, "rule", F.col("line").alias("lower"))
         by_bar = pairs.join(above, [page, "upper"]).where(F.col("height").between(F.col("head") - 1, F.col("bottom") + 1)).join(below, [page, "lower", "rule"]).select(page, "lower")
-        reach = (F.col("top") >= F.col("bottom") - 1) & (F.col("low") <= F.col("head") + 1)
-        high = tall.join(where, [page, "seq"])
-        by_glyph = pairs.join(high, page).where(F.col("line").isin(F.col("upper"), F.col("lower")) & reach).select(page, "lower")
-        glued = cut(by_bar.union(by_glyph).distinct())
-        if not glued.limit(1).count():
-            return now if ended is None else ended.unionByName(now)
-        moved = glued.select(page).distinct()
-        rest = now.join(moved, page, "left_anti")
-        ended = cut(rest if ended is None else ended.unionByName(rest))
-        fresh = F.when(F.col("glued"), 0).otherwise(1)
-        number = lines.join(moved, page, "left_semi").join(glued.select(page, F.col("lower").alias("line"), F.lit(True).alias("glued")), [page, "line"], "left")
-        number = number.select(page, "line", F.sum(fresh).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int").alias("to"))
-        now = cut(now.join(number, [page, "line"]).withColumn("line", F.col("to")).drop("to"))
+        tall = now.where(F.col("yt") - F.col("y") > F.col("bs") * 1.4).select(page, "line", "y", "yt")
+        reach = (F.col("yt") >= F.col("bottom") - 1) & (F.col("y") <= F.col("head") + 1)
+        by_glyph = pairs.join(tall, page).where(F.col("line").isin(F.col("upper"), F.col("lower")) & reach).select(page, "lower")
+        glued = by_bar.union(by_glyph).distinct().select(page, F.col("lower").alias("line"), F.lit(1).alias("glued"))
+        fresh = F.when(F.col("glued").isNotNull(), 0).otherwise(1)
+        number = lines.select(page, "line").join(glued, [page, "line"], "left").select(page, "line", (F.sum(fresh).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int").alias("to"), F.max("glued").over(of_page).isNotNull().alias("moved"))
+        after = cut(now.join(number, [page, "line"]).withColumn("line", F.col("to")).drop("to"))
+        ended.append(after.where("NOT moved"))
+        now = after.where("moved").drop("moved")
+        if not now.limit(1).count():
+            return reduce(DataFrame.unionByName, ended).select(page, "seq", "line").join(whole, [page, "seq"])
 
 
 def _columns(row: list[tuple], bs: float) -> list[list[tuple]]:
