@@ -56,6 +56,16 @@ def text_anchors(docs: DataFrame, key: str, least: int = 4) -> DataFrame:
     return docs.select(key, "length", "declared", F.explode(every).alias("a")).select(key, "a.*", "length", "declared")
 
 
+def type_word_anchors(docs: DataFrame, key: str) -> DataFrame:
+    """The anchors at type words alone, with and without points."""
+    return text_anchors(docs, key).where(F.col("scheme").startswith("type words")).drop("length", "declared")
+
+
+def arabic_anchors(docs: DataFrame, key: str, least: int = 4) -> DataFrame:
+    """The anchors at numbers alone."""
+    return text_anchors(docs, key, least).where("scheme = 'arabic numbers'").drop("length", "declared")
+
+
 def typography_anchors(flow: DataFrame, key: str, least: int = 5, most: int = 3) -> DataFrame:
     """Lines after a gap of 1.6 times the upper median, by size and left margin; the largest groups, the first at a tie.
 

@@ -55,7 +55,8 @@ def _compiled(expression: str) -> tuple[CodeType | None, tuple[str, ...]]:
 
 
 def check(samples: DataFrame, case: str, order: str, keys: Sequence[str], assertions: Sequence[tuple[str, ...]], constants: Mapping[str, float] | None = None) -> DataFrame:
-    """(case, id, outcome, report) with outcome true, false, ``unknown name`` or ``error``, one for each assertion.
+    """(case, id, outcome, report) with outcome true, false, ``unknown name`` or ``error``, every assertion on every case; those that
+    name their case are checked by :mod:`assertions` (E1, E2).
 
     An assertion is (id, expression) or (id, expression, report), the latter an expression whose value, to four places, is
     given where the assertion does not hold. ``constants`` are names with values. Nulls are not a number. An expression
@@ -87,14 +88,16 @@ def check(samples: DataFrame, case: str, order: str, keys: Sequence[str], assert
                 outcome = "error"
             if outcome == "false" and report:
                 try:
-                    said = str(np.round(np.asarray(value(report[0], data), dtype=float), 4))
+                    said = np.atleast_1d(np.asarray(value(report[0], data), dtype=float)).ravel().tolist()
                 except (ArithmeticError, IndexError, NameError, TypeError, ValueError):
-                    said = "error"
+                    said = []
             out.append((pdf[case].iloc[0], i, outcome, said))
         return pd.DataFrame(out, columns=[case, "id", "outcome", "report"])
 
     kind = dict(samples.dtypes)[case]
-    return samples.select(case, order, *keys).groupBy(case).applyInPandas(run, f"{case} {kind}, id string, outcome string, report string")
+    found = samples.select(case, order, *keys).groupBy(case).applyInPandas(run, f"{case} {kind}, id string, outcome string, report array<double>")
+    text = F.array_join(F.transform("report", lambda x: F.round(x, 4).cast("string")), " ")
+    return found.withColumn("report", F.when(F.size("report") == 0, "error").otherwise(text))
 
 
 def finiteness(samples: DataFrame, case: str, value: str) -> DataFrame:

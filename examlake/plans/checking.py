@@ -88,12 +88,14 @@ def t58_spec_faults(spark: SparkSession, d: str) -> DataFrame:
     return per.select("l_orderkey", F.explode(faults).alias("fault")).groupBy("l_orderkey", "fault").agg(F.count("*").alias("n"))
 
 
-T58 = """WITH l AS (SELECT l_orderkey AS o, 'L' || l_linenumber AS id, CASE l_partkey % 3 WHEN 0 THEN 'c1' WHEN 1 THEN 'c9' ELSE '' END AS c, l_suppkey % 6 AS k, CASE WHEN l_tax > 0.06 THEN '' ELSE 'w' END AS why, l_orderkey % 13 = 0 AS bare, l_orderkey % 13 <> 0 AND l_orderkey % 2 = 0 AS rate FROM lineitem),
-f AS (SELECT o, 'no keys' AS f FROM l WHERE bare GROUP BY o UNION ALL SELECT o, 'id twice: ' || id FROM (SELECT o, id, row_number() OVER (PARTITION BY o, id) AS r FROM l) WHERE r > 1
- UNION ALL SELECT o, 'no case: ' || id FROM l WHERE c = '' UNION ALL SELECT o, 'no expr: ' || id FROM l WHERE k = 4 UNION ALL SELECT o, 'no why: ' || id FROM l WHERE why = '' UNION ALL SELECT o, 'unknown case: ' || id FROM l WHERE c = 'c9'
- UNION ALL SELECT o, 'unknown names: ' || id || ' ' || array_to_string(list_filter(CASE k WHEN 3 THEN ['q', 'v'] WHEN 4 THEN [] WHEN 5 THEN ['a', 'v'] ELSE ['v'] END, lambda x: x = 'q' OR bare OR (x = 'a' AND NOT rate)), ',') FROM l WHERE (bare AND k <> 4) OR k = 3 OR (k = 5 AND NOT rate)
- UNION ALL SELECT o, 'no comparison: ' || id FROM l WHERE k IN (3, 4) UNION ALL SELECT o, 'only against 0: ' || id FROM l WHERE k = 2 UNION ALL SELECT o, 'no test of change' FROM l GROUP BY o HAVING NOT bool_or(k = 0) UNION ALL SELECT o, 'no test of an end' FROM l GROUP BY o HAVING NOT bool_or(k = 1)
- UNION ALL SELECT o, 'untied: v a' FROM l GROUP BY o HAVING bool_and(rate) AND NOT bool_or(k = 5))
+T58 = rf"""WITH l AS (SELECT l_orderkey AS o, 'L' || l_linenumber AS id, CASE l_partkey % 3 WHEN 0 THEN 'c1' WHEN 1 THEN 'c9' ELSE '' END AS c, coalesce([{", ".join("NULL" if e is None else "'" + e.replace("'", "''") + "'" for e in _EXPRS)}][l_suppkey % 6 + 1], '') AS e, CASE WHEN l_tax > 0.06 THEN '' ELSE 'w' END AS why,
+ CASE WHEN l_orderkey % 13 = 0 THEN [] WHEN l_orderkey % 2 = 0 THEN ['v', 'a'] ELSE ['v'] END AS keys FROM lineitem),
+n AS (SELECT *, list_filter(list_sort(list_distinct(regexp_extract_all(regexp_replace(e, '\b\d+\.?\d*([eE][+-]?\d+)?\b', ' ', 'g'), '[A-Za-z_][A-Za-z_0-9]*'))), lambda x: NOT list_contains(['{"', '".join([*checks.FUNCTION_NAMES, *checks.KEYWORDS, "g"])}'], x) AND NOT list_contains(keys, x)) AS names FROM l),
+f AS (SELECT o, 'no keys' AS f FROM l WHERE len(keys) = 0 GROUP BY o UNION ALL SELECT o, 'id twice: ' || id FROM (SELECT o, id, row_number() OVER (PARTITION BY o, id) AS r FROM l) WHERE r > 1
+ UNION ALL SELECT o, 'no case: ' || id FROM l WHERE c = '' UNION ALL SELECT o, 'no expr: ' || id FROM l WHERE e = '' UNION ALL SELECT o, 'no why: ' || id FROM l WHERE why = '' UNION ALL SELECT o, 'unknown case: ' || id FROM l WHERE c NOT IN ('', 'c1', 'c2')
+ UNION ALL SELECT o, 'unknown names: ' || id || ' ' || array_to_string(names, ',') FROM n WHERE len(names) > 0 UNION ALL SELECT o, 'no comparison: ' || id FROM l WHERE NOT regexp_matches(e, '[<>=]') UNION ALL SELECT o, 'only against 0: ' || id FROM l WHERE regexp_full_match(trim(e), '[\w\[\]\-.]+\s*[<>]=?\s*0(\.0*)?')
+ UNION ALL SELECT o, 'no test of change' FROM l GROUP BY o HAVING NOT bool_or(contains(e, 'diff(') OR contains(e, 'std(')) UNION ALL SELECT o, 'no test of an end' FROM l GROUP BY o HAVING NOT bool_or(contains(e, '[-1]'))
+ UNION ALL SELECT o, 'untied: v a' FROM l GROUP BY o HAVING bool_and(len(keys) = 2) AND NOT bool_or(contains(e, 'a') AND (contains(e, 'argmin(v)') OR contains(e, 'argmax(v)'))))
 SELECT o AS l_orderkey, f AS fault, count(*) AS n FROM f GROUP BY 1, 2"""
 
 

@@ -267,7 +267,9 @@ def st12_commands(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.array_join("questions", ",").alias("questions"), "whole")
 
 
-ST12 = "WITH c AS (SELECT o_orderkey % 4 = 0 AS whole, CAST(o_orderkey % 7 AS VARCHAR) AS q FROM orders WHERE o_orderkey % 3 = 0) SELECT (SELECT array_to_string(list_sort(list_distinct(list_append(list(q), '9'))), ',') FROM c WHERE NOT whole) AS questions, bool_or(whole) AS whole FROM c"
+ST12 = r"""WITH c AS (SELECT 'run --paper ' || CASE WHEN o_orderkey % 3 = 0 THEN 'one' ELSE 'two' END || CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE ' --only ' || o_orderkey % 7 || ',9' END AS command FROM orders),
+o AS (SELECT regexp_extract(command, '--only (\d+(?:,\d+)*)', 1) AS named FROM c WHERE contains(command, '--paper one')), q AS (SELECT DISTINCT unnest(string_split(named, ',')) AS q FROM o WHERE named <> '')
+SELECT (SELECT string_agg(q, ',' ORDER BY q) FROM q) AS questions, bool_or(named = '') AS whole FROM o"""
 
 
 def e9_intruders(spark: SparkSession, d: str) -> DataFrame:

@@ -37,7 +37,9 @@ def t14_answers_agree(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", G.answers_agree(a, b).alias("agree"))
 
 
-T14 = "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN false WHEN p_partkey % 5 = 0 THEN NULL ELSE true END AS agree FROM part"
+T14 = r"""WITH t AS (SELECT p_partkey, p_size || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE ' kg' END AS a, (p_size + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END) || '.0kg' AS b FROM part),
+n AS (SELECT p_partkey, CAST(regexp_extract(a, '^[\d.]+') AS DOUBLE) AS av, CAST(regexp_extract(b, '^[\d.]+') AS DOUBLE) AS bv, trim(regexp_replace(a, '^[\d.]+', '')) AS au, trim(regexp_replace(b, '^[\d.]+', '')) AS bu FROM t)
+SELECT p_partkey, CASE WHEN av <> bv THEN false WHEN au = bu THEN true END AS agree FROM n"""
 
 
 def t3_norm_text(spark: SparkSession, d: str) -> DataFrame:

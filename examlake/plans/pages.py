@@ -171,7 +171,8 @@ def t61_progress(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("user_id").agg(F.max(p["done"]).alias("done"), F.max(p["total"]).alias("total"))
 
 
-T61 = "SELECT user_id, CAST(max(event_id % 9) FILTER (event_id % 4 <> 0) AS INT) AS done, CAST(max(12) FILTER (event_id % 4 <> 0) AS INT) AS total FROM events GROUP BY 1"
+T61 = r"""WITH l AS (SELECT user_id, CASE WHEN event_id % 4 = 0 THEN 'no numbers' ELSE 'page ' || event_id % 9 || '/12' END AS line FROM events), r AS (SELECT user_id, regexp_extract(line, '(\d+)\s*/\s*(\d+)', 1) AS a, regexp_extract(line, '(\d+)\s*/\s*(\d+)', 2) AS b FROM l)
+SELECT user_id, max(TRY_CAST(a AS INT)) AS done, max(TRY_CAST(b AS INT)) AS total FROM r GROUP BY 1"""
 
 
 def t66_payload(spark: SparkSession, d: str) -> DataFrame:

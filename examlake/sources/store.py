@@ -6,7 +6,7 @@ Spark paths throughout.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -75,18 +75,20 @@ def latest(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(f"{path}/version={found[-1]}") if found else None
 
 
-def publish(spark: SparkSession, path: str, new: DataFrame, key: str, content: Sequence[str], kept: Sequence[str]) -> DataFrame:
+def publish(spark: SparkSession, path: str, new: DataFrame, key: str, content: Sequence[str], kept: Sequence[str] | Mapping[str, str]) -> DataFrame:
     """Merge new content into the newest snapshot, keep what was learned about rows, and write the next version.
 
-    Two writers of one version: the second fails, as its folder is there.
+    ``kept`` may give the types of its columns, which count where the first snapshot lacks them; without one they are strings. Two writers
+    of one version: the second fails, as its folder is there. Several tables at once: :mod:`commits`.
     """
+    kinds = dict(kept) if isinstance(kept, Mapping) else dict.fromkeys(kept, "string")
     found = versions(spark, path)
     if found:
         old = spark.read.parquet(f"{path}/version={found[-1]}")
-        merged = merge.snapshot(old, new, key, content, kept).drop("action")
+        merged = merge.snapshot(old, new, key, content, list(kinds)).drop("action")
     else:
         types = dict(new.dtypes)
-        merged = new.select(key, *content, *[(F.col(c) if c in types else F.lit(None).cast("string")).alias(c) for c in kept])
+        merged = new.select(key, *content, *[(F.col(c) if c in types else F.lit(None).cast(kinds[c])).alias(c) for c in kinds])
     to = f"{path}/version={found[-1] + 1 if found else 1}"
     merged.write.parquet(to)
     return spark.read.parquet(to)

@@ -207,6 +207,8 @@ def test_store(spark, tmp_path):
     first = store.publish(spark, path, spark.createDataFrame([(1, "a")], "k int, c string"), "k", ["c"], ["label"])
     assert values(first, "k", "c", "label") == [(1, "a", None)] and store.versions(spark, path) == [1]
     store.publish(spark, path, spark.createDataFrame([(1, "b"), (2, "c")], "k int, c string"), "k", ["c"], ["label"])
+    typed = store.publish(spark, f"{path}-typed", spark.createDataFrame([(1, "a")], "k int, c string"), "k", ["c"], {"score": "double"})
+    assert dict(typed.dtypes) == {"k": "int", "c": "string", "score": "double"}
     assert values(store.latest(spark, path), "k", "c") == [(1, "b"), (2, "c")] and store.latest(spark, f"file://{tmp_path}/none") is None
 
 
