@@ -26,8 +26,8 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
 
 def _documents(lines: DataFrame) -> DataFrame:
     """Texts; the number of questions is declared in every other one, and wrong in some of those."""
-    per = lines.groupBy("l_partkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "").alias("text"), F.count("*").alias("n"))
-    return per.select("l_partkey", "text", F.length("text").alias("length"), F.when(F.col("l_partkey") % 2 == 0, F.col("n") + F.when(F.col("l_partkey") % 10 == 0, 1).otherwise(0)).alias("declared"))
+    per = lines.groupBy("l_partkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "").alias("text"), F.count("*").alias("n"), F.sum(F.length("line")).cast("int").alias("length"))
+    return per.select("l_partkey", "text", "length", F.when(F.col("l_partkey") % 2 == 0, F.col("n") + F.when(F.col("l_partkey") % 10 == 0, 1).otherwise(0)).alias("declared"))
 
 
 _LINES = f"""o AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, {", ".join(LINE)}) AS i, CAST(floor(l_extendedprice / 1000) AS INT) * 10 + 1 AS long FROM lineitem),

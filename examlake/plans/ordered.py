@@ -57,9 +57,27 @@ SELECT user_id, CAST(run AS BIGINT) AS run, any_value(event_type) AS event_type,
 
 
 def w10_strips(spark: SparkSession, d: str) -> DataFrame:
-    """Lines are marks whose place is their quantity, a few out of range; tested against plain Python, not SQL."""
+    """Lines are marks whose place is their quantity, a few out of range; a strip is told as its numbers, top and bottom."""
     rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("sheet_id"), "l_linenumber", "l_partkey", "l_suppkey", ((F.col("l_quantity") - 2) / 47).alias("y"))
-    return windows.strips(rows, "sheet_id", ["l_partkey", "l_suppkey", "y"], "l_linenumber", "y", 2000)
+    cut = windows.strips(rows, "sheet_id", ["l_partkey", "l_suppkey", "y"], "l_linenumber", "y", 2000)
+    told = F.transform("strips", lambda x: F.concat(F.array_join(x["numbers"].cast("array<string>"), "+"), F.lit("@"), x["top"].cast("string"), F.lit("-"), x["bottom"].cast("string")))
+    return cut.select("sheet_id", F.array_join(told, ";").alias("strips"), F.array_join(F.col("dropped").cast("array<string>"), "+").alias("dropped"))
+
+
+W10 = """WITH RECURSIVE a AS (SELECT l_orderkey AS s, l_linenumber AS n, (l_quantity - 2) / 47 AS y, l_partkey, l_suppkey FROM lineitem),
+m AS (SELECT s, n, y, row_number() OVER (PARTITION BY s ORDER BY n, l_partkey, l_suppkey, y) AS i FROM a WHERE y BETWEEN 0 AND 1),
+d(s, i, b, v, ys, ns) AS (SELECT s, i, [CAST(1 AS BIGINT)], [CAST(0 AS BIGINT)], [y], [n] FROM m WHERE i = 1 UNION ALL
+ SELECT s, i, list_append(b, best), list_append(v, coalesce(list_position(list_transform(range(1, i), lambda j: ys[j] < y AND b[j] = best - 1), true), 0)), list_append(ys, y), list_append(ns, n)
+ FROM (SELECT d.s, m.i, d.b, d.v, d.ys, d.ns, m.y, m.n, CAST(1 + coalesce(list_max(list_transform(list_filter(range(1, m.i), lambda j: d.ys[j] < m.y), lambda j: d.b[j])), 0) AS BIGINT) AS best FROM d JOIN m ON m.s = d.s AND m.i = d.i + 1)),
+e AS (SELECT * FROM d QUALIFY i = max(i) OVER (PARTITION BY s)),
+k(s, tip, kept, v, ys, ns) AS (SELECT s, CAST(list_position(b, list_max(b)) AS BIGINT), [CAST(list_position(b, list_max(b)) AS BIGINT)], v, ys, ns FROM e UNION ALL SELECT s, v[tip], list_prepend(v[tip], kept), v, ys, ns FROM k WHERE v[tip] > 0),
+c AS (SELECT *, len(kept) < len(ns) AND len(kept) < greatest(3, 0.6 * len(ns)) AS none FROM k QUALIFY len(kept) = max(len(kept)) OVER (PARTITION BY s)),
+g(s, j, kept, ys, ns, gs) AS (SELECT s, CAST(1 AS BIGINT), kept, ys, ns, [{'f': ys[kept[1]], 'ns': [ns[kept[1]]]}] FROM c WHERE NOT none UNION ALL
+ SELECT s, j + 1, kept, ys, ns, CASE WHEN (len(gs[-1].ns) >= 8 OR deep >= 260) AND deep >= 24 THEN list_append(gs, {'f': ys[kept[j + 1]], 'ns': [ns[kept[j + 1]]]}) ELSE list_append(gs[:-2], {'f': gs[-1].f, 'ns': list_append(gs[-1].ns, ns[kept[j + 1]])}) END
+ FROM (SELECT *, (ys[kept[j + 1]] - gs[-1].f) * 2000 AS deep FROM g) WHERE j < len(kept)),
+f AS (SELECT s, gs FROM g WHERE j = len(kept))
+SELECT o.s AS sheet_id, coalesce(array_to_string(list_transform(range(1, len(gs) + 1), lambda i: array_to_string(gs[i].ns, '+') || '@' || greatest(0, CAST(trunc((gs[i].f - 0.05) * 2000) AS INT)) || '-' || CASE WHEN i < len(gs) THEN CAST(trunc(gs[i + 1].f * 2000) AS INT) ELSE 2000 END), ';'), '') AS strips,
+ coalesce(array_to_string(CASE WHEN none THEN c.ns ELSE list_transform(list_filter(range(1, len(c.ns) + 1), lambda i: NOT list_contains(c.kept, i)), lambda i: c.ns[i]) END, '+'), '') AS dropped FROM (SELECT DISTINCT s FROM a) o LEFT JOIN c ON c.s = o.s LEFT JOIN f ON f.s = o.s"""
 
 
 def w11_slices(spark: SparkSession, d: str) -> DataFrame:
@@ -228,7 +246,7 @@ M30 = "SELECT l_orderkey, count(*) AS n_parts, min(ceil(l_quantity / 17)) = max(
 
 QUERIES = {
     "w1_number_chain": (w1_number_chain, W1), "w3_separators": (w3_separators, W3), "w5_rows_by_top": (w5_rows_by_top, W5), "w8_flow_offsets": (w8_flow_offsets, W8), "w9_islands": (w9_islands, W9),
-    "w10_strips": (w10_strips, None), "w11_slices": (w11_slices, W11), "w13_spans": (w13_spans, W13), "k1_pick_cap": (k1_pick_cap, K1), "k2_natural_order": (k2_natural_order, K2),
+    "w10_strips": (w10_strips, W10), "w11_slices": (w11_slices, W11), "w13_spans": (w13_spans, W13), "k1_pick_cap": (k1_pick_cap, K1), "k2_natural_order": (k2_natural_order, K2),
     "st1_quota": (st1_quota, ST1), "st2_throttle": (st2_throttle, ST2), "st8_last_job": (st8_last_job, ST8), "st13_drift": (st13_drift, ST13), "st14_manifest": (st14_manifest, ST14),
     "m2_snapshot_merge": (m2_snapshot_merge, M2), "m4_put_scene": (m4_put_scene, M4), "m5_insert_absent": (m5_insert_absent, M5),
     "m7_conditional": (m7_conditional, M7), "m8_exclusive": (m8_exclusive, M8), "m24_resolved": (m24_resolved, M24),
