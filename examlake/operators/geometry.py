@@ -153,16 +153,18 @@ def formula_regions(atoms: DataFrame, rules: DataFrame, page: str, rounds: int =
     links = near.unionByName(signs)
     links = links.join(links.groupBy(page, "rule").agg(F.count("*").alias("n")).where("n >= 2"), [page, "rule"]).select(page, "rule", "seq")
     comp = components(links, page, "rule", "seq")
-    found = links.join(comp, [page, "rule"]).select(page, F.col("comp").alias("region"), "seq").distinct().join(atoms.select(page, "seq", "x1", "y"), [page, "seq"]).withColumn("grown", F.lit(0))
-    small = atoms.where(F.col("size") < F.col("bs") * 0.86).select(page, F.col("seq").alias("next"), F.col("x").alias("next_x"), F.col("x1").alias("next_x1"), F.col("y").alias("next_y"), "bs")
+    found = links.join(comp, [page, "rule"]).select(page, F.col("comp").alias("region"), "seq").distinct().join(atoms.select(page, "seq", "x1", "y", "bs"), [page, "seq"]).withColumn("grown", F.lit(0))
+    small = atoms.where(F.col("size") < F.col("bs") * 0.86).select(page, F.col("seq").alias("next"), F.col("x").alias("next_x"), F.col("x1").alias("next_x1"), F.col("y").alias("next_y"), F.floor(F.col("x") / F.col("bs")).alias("cell"))
     for k in range(1, rounds + 1):
-        edge = found.groupBy(page, "region").agg(F.max("x1").alias("edge"))
+        # an atom that follows begins in the stretch of the region's edge or in one beside it
+        edge = found.groupBy(page, "region").agg(F.max("x1").alias("edge"), F.first("bs").alias("bs"))
+        near = edge.withColumn("cell", F.explode(F.sequence(F.floor((F.col("edge") - 1.0) / F.col("bs")), F.floor((F.col("edge") + F.col("bs") * 0.6) / F.col("bs")))))
         follows = (F.col("next_x") - F.col("edge") >= -1.0) & (F.col("next_x") - F.col("edge") <= F.col("bs") * 0.6)
-        beside = edge.join(small, page).where(follows)
-        level = beside.join(found.select(page, "region", "y", "seq"), [page, "region"]).groupBy(page, "region", "next", "next_x1", "next_y").agg(
-            F.bool_or(F.abs(F.col("next_y") - F.col("y")) <= F.col("bs") * 0.9).alias("level"), F.bool_or(F.col("seq") == F.col("next")).alias("there")
+        beside = near.join(small, [page, "cell"]).where(follows).drop("bs")
+        level = beside.join(found.select(page, "region", "y", "seq", "bs"), [page, "region"]).groupBy(page, "region", "next", "next_x1", "next_y").agg(
+            F.bool_or(F.abs(F.col("next_y") - F.col("y")) <= F.col("bs") * 0.9).alias("level"), F.bool_or(F.col("seq") == F.col("next")).alias("there"), F.first("bs").alias("bs")
         )
-        added = level.where("level AND NOT there").select(page, F.col("next").alias("seq"), "region", F.col("next_x1").alias("x1"), F.col("next_y").alias("y"), F.lit(k).alias("grown"))
+        added = level.where("level AND NOT there").select(page, F.col("next").alias("seq"), "region", F.col("next_x1").alias("x1"), F.col("next_y").alias("y"), "bs", F.lit(k).alias("grown"))
         found = cut(found.unionByName(added))
     return found.select(page, "region", F.col("seq").alias("atom"), "grown")
 
