@@ -9,10 +9,14 @@ stops no other; of samples with the same place the order is that of their values
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from .series import FUNCTIONS, _compiled
 
@@ -39,35 +43,46 @@ def _outcome(expression: str | None, data: dict) -> tuple[str, str | None]:
         return "error", None
 
 
-def _of_case(key: tuple, asked: pd.DataFrame, samples: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    series = {str(n): own.sort_values(["at", "value"])["value"].to_numpy(dtype=float, na_value=np.nan) for n, own in samples.groupby("name")}
-    for r in asked.itertuples(index=False):
+def _answers(asked: list[dict], series: list[tuple[str, list]] | None) -> Iterator[tuple]:
+    """(id, outcome, name, found) of the assertions of one case; ``series`` has its names with their values in order."""
+    known = {str(n): np.array([np.nan if v is None else v for v in values], float) for n, values in series or []}
+    for r in asked:
         outcome, name, found = "missing", None, None
-        if series:
-            data = {**FUNCTIONS, **(dict(r.constants) if r.constants is not None else {}), **series}
-            outcome, name = _outcome(r.expression, data)
-            if outcome == "false" and r.report:
+        if known:
+            data = {**FUNCTIONS, **dict(r["constants"] or []), **known}
+            outcome, name = _outcome(r["expression"], data)
+            if outcome == "false" and r["report"]:
                 try:
-                    found = np.atleast_1d(np.asarray(_value(r.report, data), dtype=float)).ravel().tolist()
+                    found = np.atleast_1d(np.asarray(_value(r["report"], data), dtype=float)).ravel().tolist()
                 except (NameError, *_FAULTS):
                     found = []
-        out.append((*key, r.id, outcome, name, found))
-    return pd.DataFrame(out, columns=["spec", "case", "id", "outcome", "name", "found"])
+        yield r["id"], outcome, name, found
 
 
 def check(assertions: DataFrame, samples: DataFrame) -> DataFrame:
     """(spec, case, id, outcome, name, found): ``true``, ``false``, ``unknown name`` (which), ``error`` or ``missing`` for each
     assertion; ``found`` is what its report came to, to four places, and empty if that could not be told.
 
-    A case's samples and assertions meet in one task: one curve of some hundred points.
+    A case's samples are put into one row, in order, and meet its assertions there: one curve of some hundred points.
     """
-    kind = lambda c: dict(assertions.dtypes)[c]
-    asked = assertions.select(F.col("spec").alias("spec"), F.col("case").alias("case"), "id", "expression", "report", "constants")
     # new names, as both sides may come from one table
-    some = samples.select(F.col("spec").alias("spec"), F.col("case").alias("case"), "name", F.col("at").cast("double").alias("at"), F.col("value").cast("double").alias("value")).where("name IS NOT NULL AND case IS NOT NULL")
-    both = asked.groupBy("spec", "case").cogroup(some.groupBy("spec", "case")).applyInPandas(_of_case, f"spec {kind('spec')}, case {kind('case')}, id {kind('id')}, outcome string, name string, found array<double>")
-    return both.withColumn("found", F.transform("found", lambda x: F.round(x, 4)))
+    key = [F.col("spec").alias("spec"), F.col("case").alias("case")]
+    asked = assertions.select(*key, F.struct("id", "expression", "report", "constants").alias("a")).groupBy("spec", "case").agg(F.collect_list("a").alias("asked"))
+    some = samples.select(*key, "name", F.struct(F.col("at").cast("double").alias("at"), F.col("value").cast("double").alias("value")).alias("s")).where("name IS NOT NULL AND case IS NOT NULL")
+    curves = some.groupBy("spec", "case", "name").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["value"]).alias("values"))
+    series = curves.groupBy("spec", "case").agg(F.map_from_entries(F.collect_list(F.struct("name", "values"))).alias("series"))
+    both = asked.join(series, ["spec", "case"], "left")
+    kinds = {f.name: f.dataType for f in assertions.schema.fields}
+    schema = StructType([*[StructField(c, kinds[c]) for c in ("spec", "case", "id")], *StructType.fromDDL("outcome string, name string, found array<double>").fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(spec, case, *told) for spec, case, wanted, known in zip(*(b.column(c).to_pylist() for c in ("spec", "case", "asked", "series")), strict=True) for told in _answers(wanted, known)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True)], names=arrow.names)
+
+    return both.mapInArrow(run, schema).withColumn("found", F.transform("found", lambda x: F.round(x, 4)))
 
 
 def gate(assertions: DataFrame, samples: DataFrame) -> DataFrame:
