@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
+from itertools import accumulate, pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .folds import with_upper_median
+from .folds import streamed, with_upper_median
 
 
 def merge_runs(chars: DataFrame, page: str) -> DataFrame:
@@ -105,39 +107,46 @@ def option_figures(figures: DataFrame, question: str, options: int) -> DataFrame
     """Of a question's figures, the last run of whole rows that has as many as there are options and is a grid.
 
     Rows are those of :func:`windows.rows_by_top`; a grid has rows of equal length on one page, with columns that align
-    and boxes alike in size. A question has a handful of figures, which meet in one task.
+    and boxes alike in size. A question's figures are streamed in order, one question after another.
     """
 
-    def grid(rows: list[pd.DataFrame]) -> bool:
-        size = {len(r) for r in rows}
-        every = pd.concat(rows)
-        if len(size) != 1 or size.pop() < 2 or every["page"].nunique() > 1:
+    def known(boxes: list[tuple], at: int) -> list[float]:
+        return [b[at] for b in boxes if b[at] == b[at]]
+
+    def grid(rows: list[list[tuple]]) -> bool:
+        every = [b for r in rows for b in r]
+        if len({len(r) for r in rows}) != 1 or len(rows[0]) < 2 or len({b[1] for b in every} - {None}) > 1:
+            return False
+        w, h = known(every, 4), known(every, 5)
+        if not w or not all(known(r, 5) for r in rows):
             return False
-        alike = every["w"].max() - every["w"].min() <= 0.4 * every["w"].max() and every["h"].max() - every["h"].min() <= 0.3 * every["h"].max()
-        apart = all((r["x"].to_numpy()[1:] >= (r["x"] + r["w"]).to_numpy()[:-1]).all() for r in rows)
-        columns = all(abs(r["x"].to_numpy() - rows[0]["x"].to_numpy()).max() <= 3 for r in rows)
-        close = all(a["top"].iloc[0] - a["h"].max() - b["top"].iloc[0] <= every["h"].max() for a, b in zip(rows, rows[1:], strict=False))
+        alike = max(w) - min(w) <= 0.4 * max(w) and max(h) - min(h) <= 0.3 * max(h)
+        apart = all(b[2] >= a[2] + a[4] for r in rows for a, b in pairwise(r))
+        columns = all(abs(b[2] - a[2]) <= 3 for r in rows for a, b in zip(r, rows[0], strict=True))
+        close = all(a[0][3] - max(known(a, 5)) - b[0][3] <= max(h) for a, b in pairwise(rows))
         return alike and apart and columns and close
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["page", "top", "x", "figure"], ascending=[True, False, True, True])
-        rows: list[list[int]] = []
-        for i in range(len(pdf)):
-            if rows and pdf["page"].iloc[i] == pdf["page"].iloc[rows[-1][0]] and abs(pdf["top"].iloc[i] - pdf["top"].iloc[rows[-1][0]]) <= 3:
-                rows[-1].append(i)
+    def each(own: Iterator[tuple]) -> Iterator[tuple]:
+        rows: list[list[tuple]] = []
+        for figure, page, *box in own:
+            b = (figure, page, *(math.nan if v is None else v for v in box))
+            if rows and page is not None and page == rows[-1][0][1] and abs(b[3] - rows[-1][0][3]) <= 3:
+                rows[-1].append(b)
             else:
-                rows.append([i])
-        chosen: set[int] = set()
+                rows.append([b])
+        before = list(accumulate(map(len, rows), initial=0))
+        at = {n: k for k, n in enumerate(before)}
+        chosen = range(0)
         for end in range(len(rows), 0, -1):
-            for start in range(end - 1, -1, -1):
-                if sum(map(len, rows[start:end])) == options:
-                    parts = [pdf.iloc[r].sort_values(["x", "figure"]) for r in rows[start:end]]
-                    if not chosen and grid(parts):
-                        chosen = {i for r in rows[start:end] for i in r}
-        return pd.DataFrame({question: pdf[question], "figure": pdf["figure"], "is_option": [i in chosen for i in range(len(pdf))]})
-
-    kinds = dict(figures.dtypes)
-    return figures.groupBy(question).applyInPandas(run, f"{question} {kinds[question]}, figure {kinds['figure']}, is_option boolean")
+            start = at.get(before[end] - options)
+            if start is not None and grid([sorted(r, key=lambda b: (b[2] != b[2], b[2], b[0])) for r in rows[start:end]]):
+                chosen = range(start, end)
+                break
+        return ((b[0], k in chosen) for k, r in enumerate(rows) for b in r)
+
+    boxes = figures.select(question, "figure", "page", *[F.col(c).cast("double").alias(c) for c in ("x", "top", "w", "h")])
+    order = [F.col("page").asc_nulls_last(), F.col("top").desc_nulls_last(), F.col("x").asc_nulls_last(), "figure"]
+    return streamed(boxes, question, order, ["figure", "page", "x", "top", "w", "h"], each, f"figure {dict(figures.dtypes)['figure']}, is_option boolean")
 
 
 def connected_intervals(rules: DataFrame, by: str, low: str, high: str, overlap: float = 4.0) -> DataFrame:
