@@ -6,7 +6,6 @@ import math
 from collections.abc import Iterator, Sequence
 from itertools import accumulate, pairwise
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -176,26 +175,26 @@ def scenes_of(papers: DataFrame, stored: DataFrame, files: DataFrame, files_firs
 def place_labels(labels: DataFrame, scene: str, step: float = 4.0, most: int = 12) -> DataFrame:
     """Labels in order, each moved up until it covers none placed before, at most so often; else it is reported.
 
-    A scene has a handful of labels (label, seq, x, y, w, h), which meet in one task.
+    Labels (label, seq, x, y, w, h) are streamed in order, one scene after another.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def each(own: Iterator[tuple]) -> Iterator[tuple]:
         placed: list[tuple[float, float, float, float]] = []
-        out = []
-        for r in pdf.sort_values("seq").itertuples():
-            y, free = r.y, False
+        for label, *box in own:
+            x, y, w, h = (math.nan if v is None else v for v in box)
+            free = False
             for _ in range(most + 1):
-                free = all(r.x + r.w <= x or x + w <= r.x or y + r.h <= b or b + h <= y for x, b, w, h in placed)
+                free = all(x + w <= left or left + wide <= x or y + h <= low or low + high <= y for left, low, wide, high in placed)
                 if free:
                     break
                 y += step
             if free:
-                placed.append((r.x, y, r.w, r.h))
-            out.append((getattr(r, scene), r.label, y if free else None, free))
-        return pd.DataFrame(out, columns=[scene, "label", "y", "placed"])
+                placed.append((x, y, w, h))
+            yield label, y if free and y == y else None, free
 
-    kinds = dict(labels.dtypes)
-    return labels.groupBy(scene).applyInPandas(run, f"{scene} {kinds[scene]}, label {kinds['label']}, y double, placed boolean")
+    boxes = labels.select(scene, "label", "seq", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h")])
+    order = [F.col("seq").asc_nulls_last(), "label"]
+    return streamed(boxes, scene, order, ["label", "x", "y", "w", "h"], each, f"label {dict(labels.dtypes)['label']}, y double, placed boolean")
 
 
 def radical_lines(signs: DataFrame, rules: DataFrame, page: str, slack: float = 3.0) -> DataFrame:
