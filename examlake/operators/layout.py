@@ -150,10 +150,11 @@ def option_figures(figures: DataFrame, question: str, options: int) -> DataFrame
 
 def connected_intervals(rules: DataFrame, by: str, low: str, high: str, overlap: float = 4.0) -> DataFrame:
     """T64 in part: groups of intervals that overlap their group by more than ``overlap``: (by, group, low, high, n)."""
-    line = Window.partitionBy(by).orderBy(low, high)
+    line = Window.partitionBy(by).orderBy(F.col(low).asc_nulls_last(), F.col(high).asc_nulls_last())
     reach = F.max(high).over(line.rowsBetween(Window.unboundedPreceding, -1))
-    begun = rules.withColumn("_new", F.when(F.col(low) + overlap < reach, 0).otherwise(1))
-    grouped = begun.withColumn("group", F.sum("_new").over(line))
+    # rows alike in both ends keep one order, in which only the first can begin a group
+    begun = rules.withColumn("_at", F.row_number().over(line)).withColumn("_new", F.when(F.col(low) + overlap < reach, 0).otherwise(1))
+    grouped = begun.withColumn("group", F.sum("_new").over(Window.partitionBy(by).orderBy("_at")))
     return grouped.groupBy(by, "group").agg(F.min(low).alias(low), F.max(high).alias(high), F.count("*").alias("n"))
 
 
