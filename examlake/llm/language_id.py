@@ -9,9 +9,9 @@ and the weight that it leaves to shorter contexts. Every n-gram is kept. A model
 sent as parts of about that size, ranges of the hashes of one order's weights or shares, and a task goes through them
 one after another for each lot of words, with one part in memory at a time; probabilities are the same either way.
 
-The score is the posterior of the chosen language at a temperature fitted on a bounded sample (``SAMPLE`` documents)
-of those to learn from. The same sample sets, for each language, the cross-entropy above which a text is marked
-``rejected`` (the ``REJECT`` quantile).
+The score is the posterior of the chosen language at a temperature fitted on all documents to learn from. They also
+set, for each language, the cross-entropy above which a text is marked ``rejected`` (the ``REJECT`` quantile, in steps of
+1 / ``STEPS``). Every text is gone through once: its cross-entropies are kept, from which both are aggregates.
 
 Defined cases: null text, and text without a letter, is ``und`` with score 0; documents without ``lang`` are not
 learned from; with nothing to learn from, every text is ``und``; ties go to the first language by name; an empty
@@ -24,11 +24,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, released, slices, stored
-from .labelled import hashed_sample
 from .words import mix, word_spans
 
 ORDER = 4
@@ -38,8 +37,9 @@ BLOCK = 12_000_000
 LOT = 16_000_000
 #: bytes of text that go through the parts of a large model together
 TOGETHER = 8 << 20
-SAMPLE = 2000
 REJECT = 0.995
+#: steps of a cross-entropy of 1 by which documents are counted for :data:`REJECT`
+STEPS = 10_000
 #: distinct n-grams of a language and order that a task holds before it passes them on
 HELD = 200_000
 _STEP = 0x9E3779B97F4A7C15 | 1
@@ -319,66 +319,75 @@ def learn(docs: DataFrame) -> Model:
     return Model(langs, keys, share, rest, first)
 
 
-def calibrate(model: Model, docs: DataFrame) -> None:
-    """Fit temperature and rejection on a bounded sample of ``docs``, taken by hash."""
-    if not model.langs:
-        return
-    # hashes are put in order first; only the texts that they choose move, rows repeated whole once
-    named = docs.select(docs["text"].alias("text"), docs["lang"].alias("lang"), F.xxhash64(docs["doc_id"], docs["text"]).alias("row"))
-    chosen = hashed_sample(named.where(F.col("text").rlike(r"\p{L}")).select("row").distinct(), ["row"], docs.count(), SAMPLE)
-    some = named.join(F.broadcast(chosen), "row", "left_semi").groupBy("row").agg(F.min(F.struct("lang", "text")).alias("one")).select(letters(F.col("one.text")).alias("text"), F.col("one.lang").alias("lang"))
+def entropies(model: Model, docs: DataFrame) -> DataFrame:
+    """(doc_id, known, h, size): the cross-entropy of every document by language, and its characters, kept in the shared folder.
+
+    ``docs`` has (doc_id, text, known); ``known``, the language of those to learn from, is only passed on.
+    """
+    bounded_batches(docs.sparkSession)
     sent, parts, lot = docs.sparkSession.sparkContext.broadcast(model), model.parts, TOGETHER if model.parts else 0
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _lots(batches, lot):
             h, size = sent.value.entropies(b.column("text"), parts)
-            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(list(h), pa.list_(pa.float64())), pa.array(size)], names=["lang", "h", "size"])
+            each = pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1) * h.shape[1], pa.int32()), pa.array(h.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("known"), each, pa.array(size, pa.int64())], names=["doc_id", "known", "h", "size"])
 
-    rows = some.mapInArrow(released(run), "lang string, h array<double>, size long").collect()
-    number = {x: k for k, x in enumerate(model.langs)}
-    rows = [r for r in rows if r.lang in number and r["size"]]
-    if not rows:
+    words = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(letters(docs["text"]), F.lit("")).alias("text"), docs["known"].cast("string").alias("known"))
+    return stored(words.mapInArrow(released(run), "doc_id long, known string, h array<double>, size long"), "entropies")
+
+
+def calibrate(model: Model, measured: DataFrame) -> None:
+    """Fit temperature and rejection on all documents of :func:`entropies` that have a ``known`` language and letters.
+
+    Sums of losses by temperature, and documents by language and cross-entropy in steps of ``1 / STEPS``, are aggregates;
+    the steps of a language are some hundred thousand at most, however many documents there are.
+    """
+    if not model.langs:
         return
-    h, size, want = np.array([r.h for r in rows]), np.array([r["size"] for r in rows]), np.array([number[r.lang] for r in rows])
-    losses = []
-    grid = 2.0 ** np.arange(-4, 9)
-    for t in grid:
-        z = -(h - h.min(1, keepdims=True)) * np.sqrt(size)[:, None] / t
-        losses.append(np.mean(np.log(np.exp(z).sum(1)) - z[np.arange(len(z)), want]))
-    model.temperature = float(grid[int(np.argmin(losses))])
-    for k in range(len(model.langs)):
-        own = h[want == k, k]
-        if len(own) >= 20:
-            model.reject[k] = np.quantile(own, REJECT)
-
-
-def predict(model: Model, docs: DataFrame) -> DataFrame:
-    """(doc_id, lang_pred, score, rejected, entropy) of every document."""
-    bounded_batches(docs.sparkSession)
-    sent, parts, lot = docs.sparkSession.sparkContext.broadcast(model), model.parts, TOGETHER if model.parts else 0
+    number = F.create_map(*[x for k, lang in enumerate(model.langs) for x in (F.lit(lang), F.lit(k))])
+    own = measured.where("known IS NOT NULL AND size > 0").select("h", "size", number[F.col("known")].alias("k")).where("k IS NOT NULL").select("h", "size", "k", F.get("h", F.col("k")).alias("own"))
+    low = F.array_min("h")
+    grid = [2.0**k for k in range(-4, 9)]
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        names = np.array([*m.langs, "und"])
-        for b in _lots(batches, lot):
-            h, size = m.entropies(b.column("text"), parts)
-            known = (size > 0) & bool(m.langs)
-            best, score, entropy, rejected = np.full(len(h), len(m.langs)), np.zeros(len(h)), np.zeros(len(h)), np.ones(len(h), bool)
-            if m.langs:
-                at = h.argmin(1)
-                low = h[np.arange(len(h)), at]
-                z = np.exp(-(h - low[:, None]) * np.sqrt(size)[:, None] / m.temperature)
-                best[known], score[known], entropy[known] = at[known], (1 / z.sum(1))[known], low[known]
-                rejected = ~known | (low > m.reject[at])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(rejected), pa.array(entropy)], names=["doc_id", "lang_pred", "score", "rejected", "entropy"])
+    def loss(t: float) -> Column:
+        scaled = F.transform("h", lambda x: F.exp(-(x - low) * F.sqrt("size") / t))
+        return F.log(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x)) + (F.col("own") - low) * F.sqrt("size") / t
 
-    words = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(letters(docs["text"]), F.lit("")).alias("text"))
-    return words.mapInArrow(released(run), "doc_id long, lang_pred string, score double, rejected boolean, entropy double")
+    sums = own.agg(F.count("*").alias("n"), *[F.sum(loss(t)).alias(f"t{k}") for k, t in enumerate(grid)]).first()
+    if not sums.n:
+        return
+    model.temperature = grid[min(range(len(grid)), key=lambda k: sums[f"t{k}"])]
+    per = own.groupBy("k", F.ceil(F.col("own") * STEPS).alias("step")).agg(F.count("*").alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy("k").orderBy("step"))
+    ranked = per.select("k", "step", so_far.alias("so_far"), F.sum("n").over(Window.partitionBy("k")).alias("total"))
+    for r in ranked.where(F.col("so_far") >= F.col("total") * REJECT).groupBy("k").agg(F.min("step").alias("step"), F.first("total").alias("total")).collect():
+        if r.total >= 20:
+            model.reject[r.k] = r.step / STEPS
+
+
+def predict(model: Model, measured: DataFrame) -> DataFrame:
+    """(doc_id, lang_pred, score, rejected, entropy) of every document of :func:`entropies`."""
+    if not model.langs:
+        return measured.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"), F.lit(0.0).alias("entropy"))
+    low = F.array_min("h")
+    best = (F.array_position("h", low) - 1).cast("int")
+    total = F.aggregate(F.transform("h", lambda x: F.exp(-(x - low) * F.sqrt("size") / model.temperature)), F.lit(0.0), lambda a, x: a + x)
+    at = lambda values: F.get(F.array(*map(F.lit, values)), best)
+    known = F.col("size") > 0
+    return measured.select(
+        "doc_id",
+        F.when(known, at(model.langs)).otherwise("und").alias("lang_pred"),
+        F.when(known, 1 / total).otherwise(0.0).alias("score"),
+        (~known | (low > at([float(x) for x in model.reject]))).alias("rejected"),
+        F.when(known, low).otherwise(0.0).alias("entropy"),
+    )
 
 
 def identify(docs: DataFrame, held: Column) -> DataFrame:
-    """Learn from the documents for which ``held`` is false, predict all: (doc_id, held_out, lang_pred, score, ...)."""
-    from_these = docs.where(~held & docs["lang"].isNotNull() & docs["text"].isNotNull()).select("doc_id", "text", "lang")
-    model = learn(from_these)
-    calibrate(model, from_these)
-    return predict(model, docs)
+    """Learn from the documents for which ``held`` is false, predict all: (doc_id, lang_pred, score, rejected, entropy)."""
+    learned = ~held & docs["lang"].isNotNull() & docs["text"].isNotNull()
+    model = learn(docs.where(learned).select("doc_id", "text", "lang"))
+    measured = entropies(model, docs.select("doc_id", "text", F.when(learned, docs["lang"]).alias("known")))
+    calibrate(model, measured)
+    return predict(model, measured)
