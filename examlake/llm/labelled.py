@@ -20,6 +20,12 @@ def hashed_sample(rows: DataFrame, key: list[str], count: int, most: int) -> Dat
     return rows.where(F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30)) + 1).orderBy(F.pmod(h, F.lit(1 << 30)), h, *key).limit(most)
 
 
+def known_labels(labels: DataFrame, label: str, held: Column) -> DataFrame:
+    """(doc_id, y): the label, 0 or 1, of each id that is not ``held``; 1 where an id has both."""
+    known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label].cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held)
+    return known.groupBy("doc_id").agg(F.max("y").alias("y"))
+
+
 #: bytes of text that a sample holds at most
 SAMPLE_BYTES = 96 << 20
 
@@ -31,8 +37,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held: Column
     ``per_class``, are broadcast. However many rows have an id, one of them is taken, by hash of the text; and, in order of the ids' hashes, as many rows
     as :data:`SAMPLE_BYTES` of whole texts hold.
     """
-    known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label].cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held)
-    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
+    known = known_labels(labels, label, held)
     counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     some = [hashed_sample(known.where(F.col("y") == y), ["doc_id"], counts.get(y, 0), per_class) for y in (0, 1)]
     chosen = some[0].union(some[1])
