@@ -39,7 +39,7 @@ WIDTHS, FILTERS = (1, 2, 3), 16
 STRETCH = 1 << 16
 EPOCHS = 6
 #: documents, about, and words, at most but for one text, that a task trains on between two averages
-BLOCK, BLOCK_WORDS = 4096, 1 << 21
+BLOCK, BLOCK_WORDS = 4096, 1 << 19
 #: steps of logits that are counted alike, and of changes, to tables and to the rest, that are added up as whole numbers
 FINE, COARSE, UNIT = 1 << 12, 2.0**20, 2.0**36
 #: labelled ids, at most, that are broadcast to the documents; more are joined by a shuffle
