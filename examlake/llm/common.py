@@ -32,11 +32,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/examlake/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    A page holds a hundred rows at least, and codecs keep buffers of the largest page outside the heap; so wide rows that are
+    :func:`packed` should be ``uncompressed``.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

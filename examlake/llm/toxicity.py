@@ -129,6 +129,13 @@ def _gather(docs: list[np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate([np.zeros((0, PARTS), np.int32), *some]), np.concatenate([[0], np.cumsum([len(x) for x in some])])
 
 
+def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, which): the distinct rows of ``ids``, and for each row which of them it is."""
+    _, which = np.unique(ids[:, 0].astype(np.int64) * BUCKETS + ids[:, 1], return_inverse=True)
+    _, first, which = np.unique((which.astype(np.int64) * BUCKETS + ids[:, 2]) * BUCKETS + ids[:, 3], return_index=True, return_inverse=True)
+    return ids[first], which.astype(np.int32)
+
+
 def _blocks(docs: DataFrame, known: DataFrame, n: int) -> DataFrame:
     """(data, langs, t0, t1, c0, c1): the labelled documents in blocks, one row each, their number by fold and label; of an id's rows one is taken, by hash of the text."""
     lang = docs["lang"].cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
@@ -144,7 +151,8 @@ def _blocks(docs: DataFrame, known: DataFrame, n: int) -> DataFrame:
         def row() -> pa.RecordBatch:
             parts, y, fold, langs = zip(*own, strict=True)
             ids, y, fold = np.concatenate(parts), np.array(y, np.int32), np.array(fold, np.int32)
-            data = packed(np.array([len(x) for x in parts], np.int64), y, fold, *(ids[:, k] for k in range(PARTS)))
+            words, which = _distinct(ids)
+            data = packed(np.array([len(x) for x in parts], np.int64), y, fold, which, *(words[:, k] for k in range(PARTS)))
             counts = [pa.array([int(((fold == f) & (y == v)).sum())], pa.int64()) for f in (0, 1) for v in (0, 1)]
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary()), pa.array([list(langs)], pa.list_(pa.string())), *counts], names=["data", "langs", "t0", "t1", "c0", "c1"])
 
@@ -161,7 +169,7 @@ def _blocks(docs: DataFrame, known: DataFrame, n: int) -> DataFrame:
         if own:
             yield row()
 
-    return stored(rows.mapInArrow(released(run), "data binary, langs array<string>, t0 long, t1 long, c0 long, c1 long"), "labelled")
+    return stored(rows.mapInArrow(released(run), "data binary, langs array<string>, t0 long, t1 long, c0 long, c1 long"), "labelled", "uncompressed")
 
 
 def _over(blocks: DataFrame, each: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list], tuple[np.ndarray, ...]], columns: list[str]) -> pa.Table:
@@ -170,8 +178,8 @@ def _over(blocks: DataFrame, each: Callable[[np.ndarray, np.ndarray, np.ndarray,
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for data, langs in zip(b.column("data"), b.column("langs"), strict=True):
-                sizes, y, fold, *ids = unpacked(data.as_py())
-                made = each(np.stack(ids, axis=1), np.concatenate([[0], np.cumsum(sizes)]), y, fold, langs.as_py())
+                sizes, y, fold, which, *words = unpacked(data.as_py())
+                made = each(np.stack(words, axis=1)[which], np.concatenate([[0], np.cumsum(sizes)]), y, fold, langs.as_py())
                 for low in range(0, len(made[0]), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(a[low : low + (1 << 16)].astype(np.int64)) for a in made], names=["at", *columns])
 
