@@ -72,33 +72,40 @@ class ConvNet:
         self.lang_weights = np.zeros((BUCKETS, 0), np.float32)
 
     def embed(self, ids: np.ndarray) -> np.ndarray:
-        return np.concatenate([self.tables[k, ids[:, k]] for k in range(PARTS)], axis=1)
+        # an embedding of a part is as wide as a complex number, and such are taken faster than rows
+        out = np.empty((len(ids), PARTS), np.complex128)
+        for k in range(PARTS):
+            out[:, k] = self.tables[k].view(np.complex128)[ids[:, k], 0]
+        return out.view(np.float32)
 
     def maxima(self, ids: np.ndarray, offsets: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         """Largest value of each filter in each text, 0 at least; and, if asked, the word where it begins."""
-        n = len(offsets) - 1
-        top = np.zeros((n, len(WIDTHS) * FILTERS), np.float32)
+        n, size, most = len(offsets) - 1, PARTS * DIMS, len(WIDTHS) * FILTERS
+        top = np.zeros((n, most), np.float32)
         place = np.full(top.shape, -1, np.int64) if where else None
+        bias = np.concatenate(self.bias)
+        # one product for all filters: what is taken of the first word, of the second by the filters that have one, and so on
+        weights = np.concatenate([f[step * size : (step + 1) * size].T for step in range(max(WIDTHS)) for width, f in zip(WIDTHS, self.filters, strict=True) if step < width])
         for low in range(0, len(ids), STRETCH):
             high = min(len(ids), low + STRETCH)
-            x = self.embed(ids[low : high + max(WIDTHS) - 1])
+            made = weights @ self.embed(ids[low : high + max(WIDTHS) - 1]).T
             doc = np.searchsorted(offsets, np.arange(low, high), "right") - 1
             edges = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
             left = offsets[doc + 1] - np.arange(low, high)  # words of the text from here on
-            for k, width in enumerate(WIDTHS):
-                value = self.bias[k] + x[: high - low] @ self.filters[k][: PARTS * DIMS]
-                for step in range(1, width):
-                    y = x[step : high - low + step] * (left[: len(x) - step] > step)[: high - low, None]
-                    value[: len(y)] += y @ self.filters[k][step * PARTS * DIMS : (step + 1) * PARTS * DIMS]
-                part, whose = slice(k * FILTERS, (k + 1) * FILTERS), doc[edges]
-                best = np.maximum.reduceat(value, edges, axis=0)
-                if where:
-                    better = best > top[whose, part]
-                    stop = np.append(edges[1:], high - low)
-                    for e in np.flatnonzero(better.any(1)):
-                        at = low + edges[e] + value[edges[e] : stop[e]].argmax(0)
-                        place[whose[e], part] = np.where(better[e], at, place[whose[e], part])
-                top[whose, part] = np.maximum(top[whose, part], best)
+            value, at = made[:most, : high - low], most
+            for step in range(1, max(WIDTHS)):
+                skip = sum(width <= step for width in WIDTHS) * FILTERS
+                more = made[at : at + most - skip, step : high - low + step]
+                more[:, np.flatnonzero(left[: more.shape[1]] <= step)] = 0
+                value[skip:, : more.shape[1]] += more
+                at += most - skip
+            whose, best = doc[edges], np.maximum.reduceat(value, edges, axis=1).T + bias
+            if where:
+                better = best > top[whose]
+                stop = np.append(edges[1:], high - low)
+                for e in np.flatnonzero(better.any(1)):
+                    place[whose[e]] = np.where(better[e], low + edges[e] + value[:, edges[e] : stop[e]].argmax(1), place[whose[e]])
+            top[whose] = np.maximum(top[whose], best)
         return top, place
 
     def logits(self, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -322,7 +329,7 @@ def _descend(net: ConvNet, state: State, docs: list[np.ndarray], y: np.ndarray,
         ids, offsets = _gather(docs, rows)
         top, place = net.maxima(ids, offsets, where=True)
         error = (sigmoid(top @ net.out + net.out_bias) - y[rows]) * (0.5 / share[y[rows]]) / len(rows)
-        back = error[:, None] * net.out * (place >= 0)
+        back = (error[:, None] * net.out * (place >= 0)).astype(np.float32)
         grads = []
         for k, width in enumerate(WIDTHS):
             g = np.zeros_like(net.filters[k])
@@ -331,12 +338,14 @@ def _descend(net: ConvNet, state: State, docs: list[np.ndarray], y: np.ndarray,
             for s in range(width):
                 inside = first + s < offsets[r + 1]
                 word, own, flt = ids[first[inside] + s], pull[inside], f[inside]
-                np.add.at(g[s * size : (s + 1) * size].T, flt, own[:, None] * net.embed(word))
+                g[s * size : (s + 1) * size] = net.embed(word).T @ ((flt[:, None] == np.arange(FILTERS)) * own[:, None])
                 down = own[:, None] * net.filters[k][s * size : (s + 1) * size].T[flt]
                 for p in range(PARTS):
                     gp = down[:, p * DIMS : (p + 1) * DIMS]
-                    np.add.at(past[p], word[:, p], (gp**2).mean(1))
-                    np.add.at(net.tables[p], word[:, p], -0.05 * gp / np.sqrt(past[p, word[:, p]])[:, None])
+                    np.add.at(past[p], word[:, p], (gp**2).mean(1, dtype=np.float32))
+                    # flat and of one type, as numpy adds such fast
+                    places = word[:, p, None].astype(np.int64) * DIMS + np.arange(DIMS)
+                    np.add.at(net.tables[p].reshape(-1), places.ravel(), (-0.05 * gp / np.sqrt(past[p, word[:, p]])[:, None]).ravel())
             grads.append(g)
         grads += [back[:, k * FILTERS : (k + 1) * FILTERS].sum(0) for k in range(len(WIDTHS))] + [top.T @ error]
         state.step += 1
