@@ -73,22 +73,25 @@ def merged_tables(tables: DataFrame, root: str, order: str, width: str, cells: s
     return per.select(root, "n_parts", ((F.col("narrow") == F.col("wide")) & (F.col("least") > 0)).alias("merged"), "cells")
 
 
-def united_tables(tables: DataFrame, key: str) -> DataFrame:
+def united_tables(tables: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """(key, id, caption, rows, images, n_parts): tables with the rows of their continuations, and the images of all parts.
 
     ``tables`` has (id, cont_of, ord, caption, image, rows array<array<string>>); ``cont_of`` names a table that itself continues none. A continuation joins it if both have rows
     and all of them are as wide; else it stays a table of its own. Parts come in order of ``ord``.
     """
+    keys = [key] if isinstance(key, str) else [*key]
     cells = F.coalesce("rows", F.array().cast("array<array<string>>"))
-    each = tables.select(key, "id", "cont_of", "ord", "caption", "image", cells.alias("rows"))
-    head = each.select(key, F.col("id").alias("cont_of"), F.col("rows").alias("_head"))
-    wide = F.array_distinct(F.transform(F.concat("_head", "rows"), lambda r: F.size(r)))
-    fits = (F.size("_head") > 0) & (F.size("rows") > 0) & (F.size(wide) == 1)
-    marked = each.join(head, [key, "cont_of"], "left").withColumn("_to", F.when(fits, F.col("cont_of")))
-    parts = marked.select(key, F.coalesce("_to", "id").alias("id"), F.struct(F.col("_to").isNotNull().alias("later"), "ord", F.col("id").alias("part"), "image", "rows", "caption").alias("p"))
-    both = parts.groupBy(key, "id").agg(F.array_sort(F.collect_list("p")).alias("p"))
-    images = F.filter(F.transform("p", lambda p: p["image"]), lambda i: F.coalesce(i, F.lit("")) != "")
-    return both.select(key, "id", F.element_at("p", 1)["caption"].alias("caption"), F.flatten(F.transform("p", lambda p: p["rows"])).alias("rows"), images.alias("images"), F.size("p").alias("n_parts"))
+    # a table and what names it come together once: none is looked up, none is dealt out again
+    one = F.struct((F.col("id") != F.col("_root")).alias("later"), "ord", F.col("id").alias("part"), "image", cells.alias("rows"), "caption")
+    near = tables.withColumn("_root", F.coalesce("cont_of", "id")).groupBy(*keys, "_root").agg(F.array_sort(F.collect_list(one)).alias("_p"), F.max(F.when(F.col("id") == F.col("_root"), cells)).alias("_head"))
+    wide = lambda rows: F.array_distinct(F.transform(rows, lambda r: F.size(r)))
+    fits = lambda x: ~x["later"] | ((F.size("_head") > 0) & (F.size(x["rows"]) > 0) & (F.size(wide(F.concat("_head", x["rows"]))) == 1))
+    marked = F.transform("_p", lambda x: F.struct(x.alias("p"), F.coalesce(fits(x), F.lit(False)).alias("fits")))
+    told = near.select(*keys, F.transform(F.filter(marked, lambda x: x["fits"]), lambda x: x["p"]).alias("_its"), F.transform(F.filter(marked, lambda x: ~x["fits"]), lambda x: F.array(x["p"])).alias("_apart"))
+    both = told.select(*keys, F.explode(F.filter(F.concat(F.array("_its"), "_apart"), lambda g: F.size(g) > 0)).alias("_p"))
+    first = F.element_at("_p", 1)
+    images = F.filter(F.transform("_p", lambda p: p["image"]), lambda i: F.coalesce(i, F.lit("")) != "")
+    return both.select(*keys, first["part"].alias("id"), first["caption"].alias("caption"), F.flatten(F.transform("_p", lambda p: p["rows"])).alias("rows"), images.alias("images"), F.size("_p").alias("n_parts"))
 
 
 def reset_on_change(old: DataFrame, new: DataFrame, key: str, content: Sequence[str], status: str, first: str = "draft") -> DataFrame:

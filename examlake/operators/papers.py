@@ -20,9 +20,13 @@ def cells(papers: DataFrame, stage: Column, failed: Column, artifacts: Column) -
     ``papers`` has (paper_id, source_kind); ``stage`` is the stage's code or null, ``failed`` that of a failure, ``artifacts`` an array of the cells that left something.
     """
     some = papers.select("paper_id", sheets.mode_of(F.col("source_kind")).alias("mode"), stage.alias("_stage"), failed.alias("_failed"), artifacts.alias("_artifacts"))
-    done = F.coalesce(F.col("_stage") == "done", F.lit(False))
-    bars = [sheets.cell_states(some.where(F.col("mode") == m), m, F.col("_stage"), done, F.col("_failed"), F.col("_artifacts")).select("paper_id", "mode", F.struct("position", "cell", "state").alias("c")) for m in sheets.MODES]
-    return bars[0].unionByName(bars[1]).groupBy("paper_id", "mode").agg(F.array_sort(F.collect_list("c")).alias("cells"))
+    return some.select("paper_id", "mode", _bar(F.col("mode"), F.col("_stage"), F.col("_failed"), F.col("_artifacts")).alias("cells"))
+
+
+def _bar(mode: Column, stage: Column, failed: Column, artifacts: Column) -> Column:
+    done = F.coalesce(stage == "done", F.lit(False))
+    paper, sheet = (sheets.cell_bar(m, stage, done, failed, artifacts) for m in sheets.MODES)
+    return F.when(mode == "sheet", sheet).otherwise(paper)
 
 
 def progress(papers: DataFrame, counts: DataFrame, jobs: DataFrame, as_of: Column, quiet: int = 180) -> DataFrame:
@@ -39,8 +43,8 @@ def progress(papers: DataFrame, counts: DataFrame, jobs: DataFrame, as_of: Colum
     over = busy | (F.col("_s.stage") == "done")
     told = staged.withColumn("busy", busy).withColumn("failed", F.when(~over, F.col("_last.error"))).withColumn("failed_stage", F.when(~over & F.col("_last.error").isNotNull(), F.col("_last.error_stage")))
     have = F.array_compact(F.array(F.when(F.col("scenes") > 0, "scene"), F.when(F.col("assembled_fresh"), "assemble")))
-    bar = cells(told, F.col("_s.stage"), F.col("failed_stage"), have)
-    return told.join(bar, "paper_id").select(
+    whole = told.withColumn("mode", mode).withColumn("_have", have)
+    return whole.withColumn("cells", _bar(F.col("mode"), F.col("_s.stage"), F.col("failed_stage"), F.col("_have"))).select(
         "paper_id", "mode", F.col("_s.stage").alias("stage"), F.col("_s.done").alias("done"), F.col("_s.total").alias("total"), (F.col("_s.stage") == "done").alias("finished"), "busy", "failed", "failed_stage",
         F.col("_live.step").alias("step"), F.col("_live.page_done").alias("page_done"), F.col("_live.page_total").alias("page_total"), "cells",
     )
@@ -55,8 +59,7 @@ def question_view(questions: DataFrame, options: DataFrame, tables: DataFrame, s
     """Questions with their options, tables put together, topics by name, solution, failure and scene, and whether the reference agrees with the
     solution's short answer (null if it cannot be told). A topic that the vocabulary lacks goes by its code.
     """
-    key = F.struct("paper_id", "n")
-    united = merge.united_tables(tables.withColumn("_key", key), "_key").where(F.size("rows") > 0).select("_key.paper_id", "_key.n", "id", "caption", "rows", "images")
+    united = merge.united_tables(tables, ["paper_id", "n"]).where(F.size("rows") > 0).drop("n_parts")
     codes = questions.select("paper_id", "n", F.posexplode("kps").alias("at", "kp")).select("paper_id", "n", "at", "kp.code", "kp.why").join(vocabulary, "code", "left")
     named = codes.select("paper_id", "n", "at", "code", F.coalesce("why", F.lit("")).alias("why"), F.coalesce("name", "code").alias("name"), F.coalesce("chapter", F.lit("")).alias("chapter"))
     one = lambda rows, name: rows.select("paper_id", "n", F.struct(*[c for c in rows.columns if c not in ("paper_id", "n")]).alias(name))
@@ -90,8 +93,9 @@ def paper_view(papers: DataFrame, questions: DataFrame, sheet_rows: DataFrame, j
     left = {"ingest": F.lit(True), "segment": F.lit(True), "solve": F.col("solved") > 0, "spec": true(F.col("_specs")), "scene": F.col("scenes") > 0, "assemble": note == "page is fresh"}
     of_sheet = F.array(F.when(F.col("total") > 0, "refread"), F.when((F.col("total") > 0) & true(F.col("_topics")), "kpmark"))
     have = F.array_compact(F.when(sheets.mode_of(F.col("source_kind")) == "sheet", of_sheet).otherwise(F.array(*[F.when(left[s], s) for s in _STAGES])))
-    bar = cells(both, F.lit(None).cast("string"), F.lit(None).cast("string"), have)
-    return both.join(bar, "paper_id").select(
+    none = F.lit(None).cast("string")
+    whole = both.withColumn("mode", sheets.mode_of(F.col("source_kind"))).withColumn("_have", have)
+    return whole.withColumn("cells", _bar(F.col("mode"), none, none, F.col("_have"))).select(
         "paper_id", "mode", F.coalesce("sections", F.array().cast("array<string>")).alias("sections"), F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"), "questions", F.struct(*[left[s].alias(s) for s in _STAGES]).alias("stages"), note.alias("assemble_note"), "cells",
         F.when(F.col("mode") == "sheet", F.col("sheets")).alias("sheets"), "job", F.struct("solved", "failed", "total").alias("coverage"),
     )

@@ -80,10 +80,13 @@ def f9_paper(spark: SparkSession, d: str) -> DataFrame:
     """Customers are papers, orders their questions, lines the questions' options, tables and topics; each nested row is told by what it holds."""
     orders, k = table(spark, d, "orders"), F.col("o_orderkey")
     key = [F.col("o_custkey").alias("paper_id"), k.alias("n")]
-    a = answers(spark, d).join(orders.select(k.alias("sheet_id"), F.col("o_custkey").alias("paper_id")), "sheet_id").withColumnRenamed("n", "line").withColumnRenamed("sheet_id", "n")
-    topics = a.where("part_id % 4 = 0").groupBy("paper_id", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "part_id"))), lambda x: F.struct(F.concat(F.lit("k"), (x["part_id"] % 9).cast("string")).alias("code"), F.lit("w").alias("why"))).alias("kps"))
+    lines = answers(spark, d).groupBy("sheet_id").agg(F.array_sort(F.collect_list(F.struct(F.col("n").alias("line"), "part_id"))).alias("lines"))
+    kps = F.transform(F.filter("lines", lambda x: x["part_id"] % 4 == 0), lambda x: F.struct(F.concat(F.lit("k"), (x["part_id"] % 9).cast("string")).alias("code"), F.lit("w").alias("why")))
     size = F.concat((k % 13).cast("string"), F.lit(" m"))
-    questions = orders.select(*key, F.when(k % 5 > 0, size).alias("ref_answer")).join(topics, ["paper_id", "n"], "left")
+    # lines go to their questions once; what questions hold is made and put together there
+    whole = orders.join(lines, k == F.col("sheet_id"), "left").select(*key, F.when(k % 5 > 0, size).alias("ref_answer"), kps.alias("kps"), "lines").repartition("paper_id", "n")
+    questions = whole.drop("lines")
+    a = whole.select("paper_id", "n", F.explode("lines").alias("l")).select("paper_id", "n", "l.line", "l.part_id")
     options = a.where("line <= 4").select("paper_id", "n", F.col("line").alias("ord"), F.col("part_id").cast("string").alias("text"))
     root = F.when(F.col("line") % 3 == 2, F.col("line") - 1)
     cells = F.when(F.col("part_id") % 3 > 0, F.array(F.array(F.col("part_id").cast("string"))))
