@@ -326,7 +326,7 @@ T70 = f"""WITH k AS (SELECT {_KNOWN}, lang, source FROM documents) SELECT n AS d
  CASE WHEN n % 2 = 0 THEN '【解题时自补的假设】（题面没给，断言若依赖它们必须在 free_parameters 里说明）' || chr(10) || '- ' || source || chr(10) || '- ' || lang END, '【解题置信度】' || CASE WHEN n % 9 > 0 THEN source ELSE '?' END)) AS material_md5 FROM k"""
 
 #: letters that are put together with the mark after them, and one that is not
-_MARKED = "translate(substr(text, 1, 400), 'nq', '̣́')"
+_MARKED = "translate(text, 'nq', '̣́')"
 
 
 def t3_composed(spark: SparkSession, d: str) -> DataFrame:
