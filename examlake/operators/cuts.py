@@ -6,54 +6,75 @@ declared), the last the number of questions that the text itself declares, null
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
+from functools import lru_cache
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, StructType
 
-from ..functions.text import find_all, let
 from .folds import with_upper_median
 
 # fixed values: words for the type of a question
 TYPE_WORDS = ("单选题", "多选题", "填空题", "实验题", "计算题", "解答题", "作图题", "论述题", "简答题", "综合题")
-_TYPES = "|".join(TYPE_WORDS)
-_POINTS = r"^\s*[（(](\d+)分[)）]"
-# no word begins with an ASCII character
-_WORDS = rf"(?=[^\x00-\x7F])({_TYPES})"
-_ARABIC = r"(?:^|[\s　 ])(\d{1,2})\s*[.．、]"
+# a type word is sought by its last character, which all have in common, and a number by its first digit; then one looks back
+_TYPES = re.compile(f"题(?<=({'|'.join(TYPE_WORDS)}))")
+_COMMA = re.compile("[、，]")
+_SPACE = r" \t\n\x0b\f\r"
+_POINTS = re.compile(rf"[{_SPACE}]*[（(]([0-9]+)分[)）]")
+_ARABIC = re.compile(rf"([0-9](?<![^{_SPACE}\u3000\xa0][0-9])[0-9]?)[{_SPACE}]*[.．、]")
 
+_SCHEMES = ("type words with points", "type words", "arabic numbers")
+_ANCHOR = "scheme string, pos int, end int, type string, points int"
 
-_ANCHOR = "array<struct<scheme:string,pos:int,end:int,type:string,points:int>>"
 
+def _int(digits: str) -> int | None:
+    """The number, null where no int holds it."""
+    short = digits.lstrip("0")
+    return int(short or "0") if len(short) < 10 or (len(short) == 10 and short <= "2147483647") else None
 
-def _type_words(text: Column) -> Column:
-    """Anchors of two schemes, type words with points and type words alone; none that follows a comma within three characters, which heads a section."""
-    hits = F.filter(find_all(text, _WORDS), lambda h: ~F.substring(text, F.greatest(h["at"] - 2, F.lit(1)), F.least(h["at"], F.lit(3))).rlike("[、，]"))
-    anchor = lambda h, scheme, more, points: F.struct(F.lit(scheme).alias("scheme"), h["at"].alias("pos"), (h["at"] + F.length(h["hit"]) + more).alias("end"), h["hit"].alias("type"), points.alias("points"))
-    after = lambda h: F.regexp_extract(h["tail"], _POINTS, 0)
-    pointed = lambda h: anchor(h, "type words with points", F.length(after(h)), F.regexp_extract(after(h), _POINTS, 1).try_cast("int"))
-    plain = lambda h: anchor(h, "type words", F.lit(0), F.lit(None).cast("int"))
-    return let(hits, lambda all_: F.concat(F.transform(F.filter(all_, lambda h: after(h) != ""), pointed), F.transform(all_, plain)).cast(_ANCHOR))
 
+def _anchors(text: str, least: int) -> list[tuple]:
+    """Anchors of three schemes: type words with points and type words alone, none that follows a comma within three characters,
+    which heads a section; and numbers that begin lines or words, as far as they run 1, 2, 3, ... in order, ``least`` of them at
+    least."""
+    words = [(*w.span(1), w[1]) for w in _TYPES.finditer(text)]
+    words = [w for w in words if not _COMMA.search(text, max(w[0] - 3, 0), w[0])]
+    out = [(_SCHEMES[0], at, p.end(), word, _int(p[1])) for at, end, word in words if (p := _POINTS.match(text, end))]
+    out += [(_SCHEMES[1], at, end, word, None) for at, end, word in words]
+    kept: list[tuple] = []
+    for m in _ARABIC.finditer(text):
+        if int(m[1]) == len(kept) + 1:
+            kept.append((_SCHEMES[2], m.start(), m.end(), None, None))
+    return out + kept if len(kept) >= least else out
 
-def _numbers(text: Column, least: int) -> Column:
-    """Anchors at numbers that begin lines or words, as far as they run 1, 2, 3, ... in order; none if they are fewer than ``least``."""
-    hits = F.transform(find_all(text, _ARABIC), lambda h: F.struct(F.regexp_extract(h["hit"], _ARABIC, 1).cast("int").alias("n"), (h["at"] + F.length(F.regexp_extract(h["hit"], r"^[^0-9]*", 0))).alias("pos"), (h["at"] + F.length(h["hit"])).alias("end")))
-    zero = F.struct(F.lit(1).alias("want"), F.lit([]).cast("array<struct<n:int,pos:int,end:int>>").alias("kept"))
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = x["n"] == acc["want"]
-        return F.struct((acc["want"] + fits.cast("int")).alias("want"), F.when(fits, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"))
+@lru_cache
+def _anchors_of_texts(least: int) -> Callable:
+    made = to_arrow_schema(StructType.fromDDL(_ANCHOR))
 
-    named = lambda x: F.struct(F.lit("arabic numbers").alias("scheme"), x["pos"].alias("pos"), x["end"].alias("end"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("int").alias("points"))
-    return F.aggregate(hits, zero, step, lambda acc: F.when(F.size(acc["kept"]) >= least, F.transform(acc["kept"], named)).otherwise(F.array().cast(_ANCHOR)))
+    def run(texts: pa.Array) -> pa.Array:
+        each = [[] if (text := t.as_py()) is None else _anchors(text, least) for t in texts]
+        flat = [a for own in each for a in own]
+        anchors = pa.StructArray.from_arrays([pa.array([a[i] for a in flat], f.type) for i, f in enumerate(made)], fields=list(made))
+        return pa.ListArray.from_arrays(pa.array(accumulate(map(len, each), initial=0), pa.int32()), anchors)
+
+    return F.arrow_udf(run, ArrayType(StructType.fromDDL(_ANCHOR)))
+
+
+def _with_anchors(docs: DataFrame, key: str, least: int) -> DataFrame:
+    """(key, scheme, pos, end, type, points, length, declared): a document's anchors, all of them null where it has none."""
+    every = _anchors_of_texts(least)(F.col("text"))
+    return docs.select(key, "length", "declared", F.explode_outer(every).alias("a")).select(key, "a.*", "length", "declared")
 
 
 def text_anchors(docs: DataFrame, key: str, least: int = 4) -> DataFrame:
     """The anchors of all schemes that go by the text, in one pass over it: (key, scheme, pos, end, type, points, length, declared)."""
-    text = F.col("text")
-    every = F.concat(_type_words(text), _numbers(text, least))
-    return docs.select(key, "length", "declared", F.explode(every).alias("a")).select(key, "a.*", "length", "declared")
+    return _with_anchors(docs, key, least).where(F.col("scheme").isNotNull())
 
 
 def type_word_anchors(docs: DataFrame, key: str) -> DataFrame:
@@ -71,15 +92,18 @@ def typography_anchors(flow: DataFrame, key: str, least: int = 5, most: int = 3)
 
     ``flow`` has (key, seq, page, x, y, size, start, end), lines that count alone; y grows upward.
     """
-    line = Window.partitionBy(key).orderBy("seq")
+    page = Window.partitionBy(key)
+    line, group = page.orderBy("seq"), Window.partitionBy(key, "_size", "_left")
     gap = F.when(F.lag("page").over(line) == F.col("page"), F.lag("y").over(line) - F.col("y"))
-    marks = flow.withColumn("_gap", gap).withColumn("_n", F.count("*").over(Window.partitionBy(key))).where("_n >= 8")
-    middle = with_upper_median(marks.where("_gap > 0"), key, F.col("_gap"), "_m").groupBy(key).agg(F.max("_m").alias("_m"))
-    head = marks.join(middle, key).where(F.col("_gap") >= 1.6 * F.col("_m")).withColumn("_size", F.bround("size", 1)).withColumn("_left", (F.rint(F.col("x") / 6) * 6).cast("int"))
-    groups = head.groupBy(key, "_size", "_left").agg(F.count("*").alias("_k"), F.min("seq").alias("_first")).where(F.col("_k") >= least)
-    best = groups.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_k"), "_first"))).where(F.col("_r") <= most)
-    name = F.concat(F.lit("typography "), F.format_number("_size", 1), F.lit("/"), F.col("_left").cast("string"))
-    return head.join(best, [key, "_size", "_left"]).select(key, name.alias("scheme"), F.col("start").alias("pos"), "end", F.lit(None).cast("string").alias("type"), F.lit(None).cast("int").alias("points"))
+    marks = flow.withColumn("_gap", gap).withColumn("_n", F.count("*").over(page)).where("_n >= 8")
+    # all windows are within a key, so its lines are dealt once
+    middle = with_upper_median(marks, key, F.when(F.col("_gap") > 0, F.col("_gap")), "_m").withColumn("_m", F.max("_m").over(page))
+    head = middle.where(F.col("_gap") >= 1.6 * F.col("_m")).withColumn("_size", F.bround("size", 1)).withColumn("_left", (F.rint(F.col("x") / 6) * 6).cast("int"))
+    groups = head.withColumn("_k", F.count("*").over(group)).withColumn("_first", F.min("seq").over(group)).where(F.col("_k") >= least)
+    best = groups.withColumn("_r", F.dense_rank().over(page.orderBy(F.desc("_k"), "_first", "_size", "_left"))).where(F.col("_r") <= most)
+    # a null key is left out by what no scan can take up: a document's lines and its flow may then be dealt as one
+    name = F.when(F.col(key).isNotNull(), F.concat(F.lit("typography "), F.format_number("_size", 1), F.lit("/"), F.col("_left").cast("string")))
+    return best.where(name.isNotNull()).select(key, name.alias("scheme"), F.col("start").alias("pos"), "end", F.lit(None).cast("string").alias("type"), F.lit(None).cast("int").alias("points"))
 
 
 def anchor_score(anchors: DataFrame, docs: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -94,12 +118,12 @@ def anchor_score(anchors: DataFrame, docs: DataFrame, keys: Sequence[str]) -> Da
 
 
 def _scored(at: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """:func:`anchor_score` of anchors that have ``length`` and ``declared``; rows are put in order once."""
+    """:func:`anchor_score` of anchors that have ``length`` and ``declared``."""
     line = Window.partitionBy(*keys).orderBy("pos")
     seg = F.greatest(F.lit(0), F.coalesce(F.lead("pos").over(line), F.col("length")) - F.col("end"))
     cv = F.coalesce(F.try_divide(F.stddev_pop("_seg"), F.avg("_seg")), F.lit(0.0))
-    median = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY _seg DESC)").cast("int")
-    per = at.withColumn("_seg", seg).groupBy(*keys).agg(
+    median = F.max("_middle").cast("int")
+    per = with_upper_median(at.withColumn("_seg", seg), keys, F.col("_seg"), "_middle").groupBy(*keys).agg(
         F.count("*").alias("n"), median.alias("median"), F.count_if(F.col("_seg") < 25).alias("tiny"), cv.alias("_cv"), ((F.max("pos") - F.min("pos")) / F.greatest(F.max("length"), F.lit(1))).alias("coverage"),
         F.max("length").alias("_length"), F.max("declared").alias("_declared"), F.bool_and(F.coalesce(F.col("type"), F.lit("")) != "").alias("_typed"), F.bool_and(F.col("points").isNotNull()).alias("_pointed"),
     )
@@ -117,10 +141,13 @@ def _scored(at: DataFrame, keys: Sequence[str]) -> DataFrame:
 def detect(docs: DataFrame, flow: DataFrame | None, key: str) -> DataFrame:
     """(key, scheme, n, score, confident, why) of the scheme of anchors that fits best, by the order of detectors at a tie:
     type words, numbers, typography."""
-    found = text_anchors(docs, key)
+    found = _with_anchors(docs, key, 4).withColumn("_known", F.lit(True))
     if flow is not None:
-        found = found.unionByName(typography_anchors(flow, key).join(docs.select(key, "length", "declared"), key))
-    scored = _scored(found, [key, "scheme"])
+        # every document has a row, so what is known of it comes to the anchors of its flow without a join, in the order that scores need
+        whole = Window.partitionBy(key).orderBy("scheme", "pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        both = found.unionByName(typography_anchors(flow, key), allowMissingColumns=True)
+        found = both.withColumns({c: F.max(c).over(whole) for c in ("length", "declared", "_known")})
+    scored = _scored(found.where("_known AND scheme IS NOT NULL"), [key, "scheme"])
     rank = F.when(F.col("scheme") == "type words with points", 0).when(F.col("scheme") == "type words", 1).when(F.col("scheme") == "arabic numbers", 2).otherwise(3)
     best = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), rank, "scheme"))
     return scored.withColumn("_k", best).where("_k = 1").select(key, "scheme", "n", "score", "confident", "why")

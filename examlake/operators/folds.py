@@ -41,8 +41,8 @@ def streamed(rows: DataFrame, by: str, order: Sequence[str], values: Sequence[st
     return rows.repartition(F.xxhash64(by)).sortWithinPartitions(by, *order).select(by, *values).mapInArrow(run, schema)
 
 
-def with_upper_median(rows: DataFrame, by: str, value: Column, name: str) -> DataFrame:
+def with_upper_median(rows: DataFrame, by: str | Sequence[str], value: Column, name: str) -> DataFrame:
     """``rows`` with ``name``: the value in the one row that is its key's upper middle, null in the others."""
-    line = Window.partitionBy(by)
+    line = Window.partitionBy(*[by] if isinstance(by, str) else by)
     k, n = F.row_number().over(line.orderBy(value.asc_nulls_last())), F.count(value).over(line)
     return rows.withColumn(name, F.when(k == F.floor(n / 2) + 1, value))

@@ -19,14 +19,17 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").select("l_partkey", "l_returnflag", "l_linestatus", "l_quantity", i.alias("i"), (F.floor(F.col("l_extendedprice") / 1000).cast("int") * 10 + 1).alias("long"))
     head = F.concat(F.col("i").cast("string"), F.when(F.col("l_partkey") % 3 == 0, "、").otherwise(". "))
     kind = F.when(_type().isNull(), "").otherwise(F.concat(_type(), F.when(F.col("l_linestatus") == "F", "（4分）").otherwise("")))
-    line = F.concat(head, kind, F.repeat(F.lit("x"), F.col("long")), F.lit("\n"))
     before = Window.partitionBy("l_partkey").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("line", line).withColumn("head", F.length(head)).withColumn("kind", F.length(kind)).withColumn("start", F.coalesce(F.sum(F.length("line")).over(before), F.lit(0)).cast("int"))
+    sized = rows.withColumn("begin", F.concat(head, kind)).withColumn("head", F.length(head)).withColumn("kind", F.length(kind))
+    sized = sized.withColumn("n_chars", F.col("head") + F.col("kind") + F.when(F.col("long") < 0, 0).otherwise(F.col("long")) + 1)
+    return sized.withColumn("start", F.coalesce(F.sum("n_chars").over(before), F.lit(0)).cast("int"))
 
 
 def _documents(lines: DataFrame) -> DataFrame:
     """Texts; the number of questions is declared in every other one, and wrong in some of those."""
-    per = lines.groupBy("l_partkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "").alias("text"), F.count("*").alias("n"), F.sum(F.length("line")).cast("int").alias("length"))
+    line = lambda x: F.concat(x["begin"], F.repeat(F.lit("x"), x["long"]), F.lit("\n"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "begin", "long"))), line), "")
+    per = lines.groupBy("l_partkey").agg(text.alias("text"), F.count("*").alias("n"), F.sum("n_chars").cast("int").alias("length"))
     return per.select("l_partkey", "text", "length", F.when(F.col("l_partkey") % 2 == 0, F.col("n") + F.when(F.col("l_partkey") % 10 == 0, 1).otherwise(0)).alias("declared"))
 
 
@@ -57,7 +60,7 @@ def a11_detect(spark: SparkSession, d: str) -> DataFrame:
     """All detectors over the texts; in the flow, lines stand in two margins and a few have room above."""
     lines = _lines(spark, d)
     y = -F.sum(F.when(F.col("l_quantity") > 25, 30).otherwise(10)).over(Window.partitionBy("l_partkey").orderBy("i"))
-    flow = lines.select("l_partkey", F.col("i").alias("seq"), F.lit(1).alias("page"), F.when(F.col("l_linestatus") == "F", 60.0).otherwise(72.0).alias("x"), y.alias("y"), F.lit(10.5).alias("size"), "start", (F.col("start") + F.length("line")).alias("end"))
+    flow = lines.select("l_partkey", F.col("i").alias("seq"), F.lit(1).alias("page"), F.when(F.col("l_linestatus") == "F", 60.0).otherwise(72.0).alias("x"), y.alias("y"), F.lit(10.5).alias("size"), "start", (F.col("start") + F.col("n_chars")).alias("end"))
     return cuts.detect(_documents(lines), flow, "l_partkey").withColumn("score", F.round("score", 6))
 
 
